@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe
+from evalbench.llm import bpe, media, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_bpe_trie": bpe.op5,
+        "op9_jpeg_media": media.op9,
+        "op10_knn_quality": quality.op10,
     }
 
 
