@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, media, quality
+from evalbench.llm import bpe, html, media, mixing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_cnn": secrets.op2,
+        "op3_html_tree": html.op3,
+        "op4_mixing_tree": mixing.op4,
         "op5_bpe_trie": bpe.op5,
         "op9_jpeg_media": media.op9,
         "op10_knn_quality": quality.op10,
