@@ -165,9 +165,15 @@ def decide(rows: DataFrame, seed: int = 1, small: DataFrame | None = None) -> Da
     keyed = keyed.withColumn("block", F.pmod("h", "blocks")).drop("docs", "weight", "blocks", "passes", "rest")
     keyed = keyed.join(blocks, ["sid", "block"], "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<long>")))
     whole = keyed.where(F.col("budget").isNull())
-    # the shared block of a source: the documents that fit, in hashed order; a block is bounded
-    running = Window.partitionBy("sid", "block").orderBy("h", "size", *(["doc_id"] if "doc_id" in rows.columns else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shared = keyed.where(F.col("budget").isNotNull()).withColumn("fits", F.sum("size").over(running) <= F.col("budget"))
+    # the shared block of a source, which is bounded: a prefix in hashed order, then the smallest ones that still fit
+    ties = ["h", "size", *(["doc_id"] if "doc_id" in rows.columns else [])]
+    block = Window.partitionBy("sid", "block")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    shared = keyed.where(F.col("budget").isNotNull()).withColumn("__upto", F.sum("size").over(block.orderBy(*ties).rowsBetween(*upto)))
+    shared = shared.withColumn("__prefix", F.col("__upto") <= F.col("budget"))
+    shared = shared.withColumn("__used", F.coalesce(F.max(F.when(F.col("__prefix"), F.col("__upto"))).over(block), F.lit(0)))
+    more = F.sum(F.when(F.col("__prefix"), 0).otherwise(F.col("size"))).over(block.orderBy("__prefix", "size", *ties).rowsBetween(*upto))
+    shared = shared.withColumn("fits", F.col("__prefix") | (more <= F.col("budget") - F.col("__used"))).drop("__upto", "__prefix", "__used")
     shared = shared.withColumn("shards", F.when(F.col("fits") & (F.col("size") > 0), F.concat("shards", F.array("last_shard"))).otherwise(F.col("shards"))).drop("fits")
     out = whole.unionByName(shared)
     return out.withColumn("shards", F.when(F.col("size") > 0, F.col("shards")).otherwise(F.array().cast("array<long>"))).drop("sid", "block", "budget", "last_shard")

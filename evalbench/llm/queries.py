@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, html, media, mixing, quality, secrets
+from evalbench.llm import bpe, html, media, mixing, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_segment_topk": topk.op1,
         "op2_secret_cnn": secrets.op2,
         "op3_html_tree": html.op3,
         "op4_mixing_tree": mixing.op4,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_segment_topk": topk.SQL}
