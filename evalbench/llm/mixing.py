@@ -60,11 +60,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "sid", "source_size", "docs", "weight", target.alias("target"))
 
 
-def _log_factorial(x: str) -> str:
-    """ln x! by Stirling's series at x + 10, brought down again."""
-    y = f"({x} + 10D)"
-    down = " * ".join(f"({x} + {i}D)" for i in range(1, 11))
-    return f"(({y} + 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1D/(12D*{y}) - 1D/(360D*{y}*{y}*{y}) - ln({down}))"
+#: ln x! by Stirling's series at x + 10, brought down again.
+LOG_FACTORIAL = "(x + 10.5D) * ln(x + 10D) - x - 10D + 0.9189385332046727D + 1D/(12D*(x + 10D)) - 1D/(360D*pow(x + 10D, 3)) - ln((x+1D)*(x+2D)*(x+3D)*(x+4D)*(x+5D)*(x+6D)*(x+7D)*(x+8D)*(x+9D)*(x+10D))"
 
 
 def hypergeometric(total: str, good: str, drawn: str, uniform: str) -> str:
@@ -72,21 +69,21 @@ def hypergeometric(total: str, good: str, drawn: str, uniform: str) -> str:
 
     Steps reach 12 standard deviations to either side; what lies beyond has less than 1e-30 and falls to the mode.
     """
-    choose = lambda n, k: f"({_log_factorial(n)} - {_log_factorial(k)} - {_log_factorial(f'({n} - {k})')})"
-    n, k, m, x = "h.n", "h.k", "h.m", "h.x"
-    log_p = f"({choose(k, x)} + {choose(f'({n} - {k})', f'({m} - {x})')} - {choose(n, m)})"
-    steps = f"cast(20 + ceil(12D * sqrt({m} * ({k} / {n}) * (1D - {k} / {n}))) as int)"
-    up = f"if(a.up_x < least({k}, {m}), a.up * ({k} - a.up_x) * ({m} - a.up_x) / ((a.up_x + 1D) * ({n} - {k} - {m} + a.up_x + 1D)), 0D)"
-    down = f"if(a.down_x > greatest(0D, {m} + {k} - {n}), a.down * a.down_x * ({n} - {k} - {m} + a.down_x) / (({k} - a.down_x + 1D) * ({m} - a.down_x + 1D)), 0D)"
-    start = f"named_struct('left', h.u - exp({log_p}), 'up', exp({log_p}), 'down', exp({log_p}), 'up_x', {x}, 'down_x', {x}, 'out', if(h.u < exp({log_p}), {x}, -1D))"
+    mode = "least(least(g.k, g.m), greatest(greatest(0D, g.m + g.k - g.n), floor((g.m + 1D) * (g.k + 1D) / (g.n + 2D))))"
+    logs = f"transform(array(f.n, f.k, f.n - f.k, f.m, f.n - f.m, f.x, f.k - f.x, f.m - f.x, f.n - f.k - f.m + f.x), x -> {LOG_FACTORIAL})"
+    at_mode = "exp(l[1] - l[5] - l[6] + l[2] - l[7] - l[8] - l[0] + l[3] + l[4])"
+    steps = "cast(20 + ceil(12D * sqrt(h.m * (h.k / h.n) * (1D - h.k / h.n))) as int)"
+    up = "if(a.up_x < least(h.k, h.m), a.up * (h.k - a.up_x) * (h.m - a.up_x) / ((a.up_x + 1D) * (h.n - h.k - h.m + a.up_x + 1D)), 0D)"
+    down = "if(a.down_x > greatest(0D, h.m + h.k - h.n), a.down * a.down_x * (h.n - h.k - h.m + a.down_x) / ((h.k - a.down_x + 1D) * (h.m - a.down_x + 1D)), 0D)"
+    start = "named_struct('left', h.u - h.p, 'up', h.p, 'down', h.p, 'up_x', h.x, 'down_x', h.x, 'out', if(h.u < h.p, h.x, -1D))"
     step = f"""transform(array(named_struct('up', {up}, 'down', {down}, 'up_x', a.up_x + 1D, 'down_x', a.down_x - 1D)), t ->
         named_struct('left', a.left - t.up - t.down, 'up', t.up, 'down', t.down, 'up_x', t.up_x, 'down_x', t.down_x,
         'out', case when a.out >= 0D then a.out when t.up > 0D and a.left < t.up then t.up_x when t.down > 0D and a.left < t.up + t.down then t.down_x else -1D end))[0]"""
-    mode = "least(least(g.k, g.m), greatest(greatest(0D, g.m + g.k - g.n), floor((g.m + 1D) * (g.k + 1D) / (g.n + 2D))))"
+    given = f"array(named_struct('n', cast({total} as double), 'k', cast({good} as double), 'm', cast({drawn} as double), 'u', {uniform}))"
+    with_mode = f"transform({given}, g -> named_struct('n', g.n, 'k', g.k, 'm', g.m, 'u', g.u, 'x', cast({mode} as double)))"
+    with_p = f"transform({with_mode}, f -> named_struct('n', f.n, 'k', f.k, 'm', f.m, 'u', f.u, 'x', f.x, 'p', transform(array({logs}), l -> {at_mode})[0]))"
     return f"""(case when {good} <= 0 or {drawn} <= 0 then 0L when {drawn} >= {total} then cast({good} as long) when {good} >= {total} then cast({drawn} as long) else
-        transform(transform(array(named_struct('n', cast({total} as double), 'k', cast({good} as double), 'm', cast({drawn} as double), 'u', {uniform})),
-            g -> named_struct('n', g.n, 'k', g.k, 'm', g.m, 'u', g.u, 'x', cast({mode} as double))),
-            h -> aggregate(sequence(1, {steps}), {start}, (a, i) -> {step}, a -> cast(if(a.out >= 0D, a.out, {x}) as long)))[0] end)"""
+        transform({with_p}, h -> aggregate(sequence(1, {steps}), {start}, (a, i) -> {step}, a -> cast(if(a.out >= 0D, a.out, h.x) as long)))[0] end)"""
 
 
 def split(nodes: DataFrame, seed: int, level: int) -> DataFrame:
@@ -110,8 +107,8 @@ def shards(draws: DataFrame, seed: int) -> DataFrame:
     node = draws.agg(F.array_sort(F.collect_list(F.struct("sid", "draws"))).alias("all")).select(F.lit(0).cast("long").alias("node"), F.col("all.draws").alias("draws"))
     for level in range(levels):
         node = split(node, seed, level)
-        if level % 6 == 5:
-            node = node.repartition("node")
+        if level % 4 == 3:  # short plans, and many tasks from 16 nodes on
+            node = stash(node.repartition("node"), "mix-tree")
     # sources are numbered from 0 without gaps, so a place in the array is a source
     quotas = node.select(F.col("node").alias("shard"), F.posexplode("draws").alias("place", "n")).select("shard", F.col("place").cast("long").alias("sid"), "n")
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,7 +149,7 @@ def plan(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     placed = numbered.join(where, ["sid", "draw"]).groupBy("sid", "block").agg(
         F.sort_array(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("shards"), F.max(F.when(F.col("partial"), F.col("shard"))).alias("last_shard")
     )
-    return sources, blocks.select("sid", "block", "budget").join(placed, ["sid", "block"], "left")
+    return sources, stash(blocks.select("sid", "block", "budget").join(placed, ["sid", "block"], "left"), "mix-placed")
 
 
 def decide(rows: DataFrame, seed: int = 1, small: DataFrame | None = None) -> DataFrame:
