@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, html, lm, media, mixing, neardup, quality, secrets, topk
+from evalbench.llm import bpe, html, lm, media, mixing, neardup, passages, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing_tree": mixing.op4,
         "op5_bpe_trie": bpe.op5,
         "op6_ef_trie_lm": lm.op6,
+        "op7_compact_windows": passages.op7,
         "op8_icws_neardup": neardup.op8,
         "op9_jpeg_media": media.op9,
         "op10_knn_quality": quality.op10,
