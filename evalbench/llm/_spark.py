@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -37,3 +38,12 @@ def crc_part(spark_column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(spark_column.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+def release() -> None:
+    """Give memory that large arrays have left behind back to the system; workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -275,6 +275,26 @@ def _schema(docs: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), more])
 
 
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, ids, and digests of the ids and of the text decoded from them."""
+    path = path or vocabulary_path()
+
+    def run(batches):
+        bpe = encoder(path)
+        for batch in batches:
+            ids = [x for g in _groups(batch.column(2)) for x in bpe.encode_batch(g)]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
+            decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), lists, pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())],
+                ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
     path = path or vocabulary_path()

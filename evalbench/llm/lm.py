@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalbench.llm import _text as T
-from evalbench.llm._spark import stash, table
+from evalbench.llm._spark import release, stash, table
 
-CHUNK_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
 STRENGTH = 50.0
 HEAVY = 1000
 END, START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
@@ -281,6 +281,7 @@ def pack_chunks(batches):
         number, held = number + 1, 0
         for x in (ids, known, data, sizes):
             x.clear()
+        release()
         return row
 
     for batch in batches:
@@ -327,6 +328,8 @@ def _ask(shards: int, heavy: np.ndarray):
                             rows = []
                 if rows:
                     yield _rows(rows, number)
+                del chunk
+                release()
 
     return run
 
@@ -366,6 +369,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         words, plus, sizes, tail, top, _ = _unpack(blob)
         successors = top.astype(np.uint64) << np.uint64(32) | tail
         out.append((int(chunk), out[0][1], _pack(_small(trie.count(words[plus > 0])), trie.code(np.repeat(words, sizes.astype(np.int64)), successors))))
+    del trie
+    release()
     return pd.DataFrame(out, columns=["chunk", "shard", "blob"])
 
 
@@ -397,6 +402,8 @@ def _score(shards: int, heavy: np.ndarray, n: int, v: int, train_docs: int):
                 "score": np.add.reduceat(np.log10(full), first),
             }))
             parts[-1].loc[~chunk.known, "doc_id"] = pd.NA
+            del chunk, c, context, p, joint, full, counts, codes
+            release()
         return pd.concat(parts)
 
     return run

@@ -194,6 +194,18 @@ def score(docs: DataFrame, voter: Voter, columns: list[str] | None = None) -> Da
     return kept.mapInArrow(run, f"{fields}, score double")
 
 
+def accepted(docs: DataFrame, voter: Voter, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(voter)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column(at)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
