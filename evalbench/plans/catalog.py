@@ -25,9 +25,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from evalbench.plans import evaluation, retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
