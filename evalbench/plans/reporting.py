@@ -108,12 +108,12 @@ def a7(spark, d):
     return failures(spark, d).withColumn("secondary_label", F.coalesce("secondary_label", F.lit(""))).groupBy("experiment_id", "question_type", "primary_label", "secondary_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("a8_cost_breakdown", w("usage", """select experiment_id, operation, model_id, question_type, cached, calls, cast(net as double) as net, cast(round(net * 1.10, 6) as double) as gross, case when operation = 'generate' then round(cast(coalesce(pt, 0) as double) * covered / rc, 5) end as parse_share
+@register("a8_cost_breakdown", w("usage", """select experiment_id, operation, model_id, question_type, cached, calls, cast(net as double) as net, cast(round(net * 1.10, 6) as double) as gross, case when operation = 'generate' then round(cast(coalesce(pt, 0) as double) * covered / rc, 3) end as parse_share
 from (select experiment_id, operation, model_id, question_type, cached, count(*) as calls, sum(cost) as net, count(distinct case when operation = 'generate' then question_id end) as covered from usage group by all)
 left join (select experiment_id, sum(cost) as pt from usage where operation = 'parse' group by 1) using (experiment_id) left join (select experiment_id, count(distinct question_id) as rc from usage where operation = 'generate' group by 1) using (experiment_id)"""))
 def a8(spark, d):
     out = op.cost_breakdown(rel.usage(spark, d))
-    return out.select(*[F.col(c) for c in out.columns if c not in ("net", "gross", "parse_share")], F.col("net").cast("double").alias("net"), F.col("gross").cast("double").alias("gross"), F.round(F.col("parse_share").cast("double"), 5).alias("parse_share"))
+    return out.select(*[F.col(c) for c in out.columns if c not in ("net", "gross", "parse_share")], F.col("net").cast("double").alias("net"), F.col("gross").cast("double").alias("gross"), F.round(F.col("parse_share").cast("double"), 3).alias("parse_share"))
 
 
 @register("a9_reconciliation", w("usage", "select cast(round(sum(cost) * 1.10, 6) as double) as gross, 550000.0::double as console, cast(550000 - round(sum(cost) * 1.10, 6) as double) as delta, 'difference' as status from usage"))
@@ -121,9 +121,9 @@ def a9(spark, d):
     return op.reconcile(rel.usage(spark, d), "550000").select(*[F.col(c).cast("double").alias(c) for c in ("gross", "console", "delta")], "status")
 
 
-@register("a10_gold_aggregate", _star("", "select config_hash, question_type, metric, count(*) as n, round(round(avg(value), 6), 5) as mean from (unpivot (select config_hash, question_type, hit, recall, mrr from star) on hit, recall, mrr into name metric value value) group by grouping sets ((config_hash, metric), (config_hash, question_type, metric))"))
+@register("a10_gold_aggregate", _star("", "select config_hash, question_type, metric, count(*) as n, round(avg(value), 3) as mean from (unpivot (select config_hash, question_type, hit, recall, mrr from star) on hit, recall, mrr into name metric value value) group by grouping sets ((config_hash, metric), (config_hash, question_type, metric))"))
 def a10(spark, d):
-    return rounded(op.long_form(star(spark, d).select("config_hash", "question_type", "hit", "recall", "mrr"), ["hit", "recall", "mrr"], [["config_hash"], ["config_hash", "question_type"]]), mean=5)
+    return rounded(op.long_form(star(spark, d).select("config_hash", "question_type", "hit", "recall", "mrr"), ["hit", "recall", "mrr"], [["config_hash"], ["config_hash", "question_type"]]), mean=3)
 
 
 @register("a24_cohort_equality", "select count(*) as groups, count(distinct items) as cohorts from (select user_id % 6 as g, list_sort(list_distinct(list(event_id % 40))) as items from events group by 1)")
@@ -266,7 +266,7 @@ def m7(spark, d):
     return g.select("experiment_id", F.explode(rules).alias("blocker"))
 
 
-@register("a26_parse_plan_totals", "select count(*) filter (quality is null) as new_calls, sum(case when quality is null then n_chars // 1000 + 1 else 0 end) as billable_pages, cast(round(sum(case when quality is null then n_chars // 1000 + 1 else 0 end) * 0.01, 6) as double) as base_cost from documents left join labels using (doc_id)")
+@register("a26_parse_plan_totals", "select count(*) filter (quality is null) as new_calls, cast(sum(case when quality is null then n_chars // 1000 + 1 else 0 end) as bigint) as billable_pages, cast(round(sum(case when quality is null then n_chars // 1000 + 1 else 0 end) * 0.01, 6) as double) as base_cost from documents left join labels using (doc_id)")
 def a26(spark, d):
     met = rel.read(spark, d, "documents").select("doc_id", "n_chars").join(rel.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     pages = F.when(F.col("quality").isNull(), F.floor(F.col("n_chars") / 1000) + 1).otherwise(0)
