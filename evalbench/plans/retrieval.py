@@ -10,7 +10,10 @@ from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.plans.relations import with_sql as w
 
-ROUNDED = F.round("score", 6).alias("score")
+def rounded_score():
+    return F.round("score", 6).alias("score")
+
+
 _BM25 = """select question_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) as score
 from qterms join postings using (term) join dfs using (term) cross join stats group by question_id, chunk_id"""
 _RANK = "cast(row_number() over (partition by question_id order by round(score, 9) desc, chunk_id) as integer) as rank"
@@ -49,13 +52,13 @@ def j1(spark, d):
 
 @register("r2_bm25_topk", w("qterms postings dfs stats", _top(_BM25, 10)))
 def r2(spark, d):
-    return op.bm25(rel.chunks(spark, d), rel.questions(spark, d), 10).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.bm25(rel.chunks(spark, d), rel.questions(spark, d), 10).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("r2_bm25_document_filter", w("qterms postings dfs stats", _top(_BM25.replace("group by question_id", "where document_id in ('src1', 'src2', 'src3') group by question_id"), 5)))
 def r2_filter(spark, d):
     allowed = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "document_id string")
-    return op.bm25(rel.chunks(spark, d), rel.questions(spark, d), 5, allowed=allowed).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.bm25(rel.chunks(spark, d), rel.questions(spark, d), 5, allowed=allowed).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("p4_positive_score", w("qterms postings dfs stats", f"select question_id, count(*) as hits from ({_BM25}) where score > 0 group by question_id"))
@@ -69,7 +72,7 @@ _COS16 = _COS.replace("list_dot_product(q, vector)", "list_dot_product(q[1:16],
 
 @register("r3_cosine_topk", w("vectors qvectors", _top(_COS, 10)))
 def r3(spark, d):
-    return op.cosine(rel.vectors(spark, d), rel.query_vectors(spark, d), 10).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.cosine(rel.vectors(spark, d), rel.query_vectors(spark, d), 10).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("j2_query_vector_pairs", w("vectors qvectors", f"select question_id, count(*) as pairs, round(max(score), 6) as best, round(avg(score), 6) as mean from ({_COS}) group by question_id"))
@@ -80,7 +83,7 @@ def j2(spark, d):
 
 @register("r4_filtered_dense", w("vectors qvectors", _top(_COS + " where label in (1, 3)", 5)))
 def r4(spark, d):
-    return op.cosine(rel.vectors(spark, d).where(F.col("label").isin(1, 3)), rel.query_vectors(spark, d), 5).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.cosine(rel.vectors(spark, d).where(F.col("label").isin(1, 3)), rel.query_vectors(spark, d), 5).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("j4_vectors_chunks_filter", w("chunks", "select document_id, count(*) as n from (select printf('c%08d', vec_id) as chunk_id from embeddings) join chunks using (chunk_id) where document_id in ('src1', 'src4') group by document_id"))
@@ -97,12 +100,12 @@ def w2(spark, d):
 
 @register("r5_prefix_rerank", w("vectors qvectors", _top(f"select question_id, chunk_id, score from ({_COS}) join (select question_id, chunk_id from ({_top(_COS16, 40, 'score')})) using (question_id, chunk_id)", 10)))
 def r5(spark, d):
-    return op.prefix_rerank(rel.vectors(spark, d), rel.query_vectors(spark, d), 10, 16).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.prefix_rerank(rel.vectors(spark, d), rel.query_vectors(spark, d), 10, 16).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("w3_candidate_stage", w("vectors qvectors", _top(_COS16, 20)))
 def w3(spark, d):
-    return op.cosine(rel.vectors(spark, d), rel.query_vectors(spark, d), 20, prefix=16).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.cosine(rel.vectors(spark, d), rel.query_vectors(spark, d), 20, prefix=16).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 @register("w1_rank_cut", w("", "select label, vec_id, cast(rank as integer) as rank from (select label, vec_id, row_number() over (partition by label order by embedding[1] desc, vec_id) as rank from embeddings) where rank <= 3"))
@@ -135,7 +138,7 @@ def _branches(spark, d, k):
 @register("r8_weighted_rrf", w("vectors qvectors", f"""select question_id, chunk_id, round(score, 6) as score, rank from (select *, {_RANK} from (
 select question_id, chunk_id, sum(part) as score from (select question_id, chunk_id, 1.0::double / (60 + rank) as part from ({_top(_half('a'), 10)}) union all select question_id, chunk_id, 2.0::double / (60 + rank) from ({_top(_half('b'), 10)})) group by all)) where rank <= 10"""))
 def r8(spark, d):
-    return op.reciprocal_rank_fusion(list(_branches(spark, d, 10)), 60, [1.0, 2.0], 10).select("question_id", "chunk_id", ROUNDED, "rank")
+    return op.reciprocal_rank_fusion(list(_branches(spark, d, 10)), 60, [1.0, 2.0], 10).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
 _HYBRID = f"""select question_id, chunk_id, dense_rank, sparse_rank, coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.0::double / (60 + sparse_rank), 0) as score
@@ -144,7 +147,7 @@ from (select question_id, chunk_id, rank as dense_rank from ({_top(_half('a'), 4
 
 @register("r9_hybrid", w("vectors qvectors", f"select question_id, chunk_id, dense_rank, sparse_rank, round(score, 6) as score, rank from (select *, {_RANK} from ({_HYBRID})) where rank <= 10"))
 def r9(spark, d):
-    return op.hybrid(*_branches(spark, d, op.branch_size(10)), 10).select("question_id", "chunk_id", "dense_rank", "sparse_rank", ROUNDED, "rank")
+    return op.hybrid(*_branches(spark, d, op.branch_size(10)), 10).select("question_id", "chunk_id", "dense_rank", "sparse_rank", rounded_score(), "rank")
 
 
 @register("j3_branches_full_outer", w("vectors qvectors", f"select question_id, count(*) as n, count(dense_rank) as dense, count(sparse_rank) as sparse from ({_HYBRID}) group by question_id"))
@@ -202,7 +205,7 @@ def g9(spark, d):
     q = rel.questions(spark, d)
     hits = op.bm25(rel.chunks(spark, d), q, 10)
     scores = op.score_rankings(q, hits, rel.evidence(spark, d), 5).select("question_id", "hit", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
-    return hits.select("question_id", "chunk_id", "rank", ROUNDED).join(scores, "question_id")
+    return hits.select("question_id", "chunk_id", "rank", rounded_score()).join(scores, "question_id")
 
 
 @register("j6_ranking_evidence", w(_NEED, f"select question_id, h.chunk_id, rank, e.chunk_id is not null as relevant from ({_HITS}) h left join evidence e using (question_id, chunk_id)"))
