@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with ASCII letters lower-cased. Hashes are
 polynomial in the bytes modulo 2**64 and finished by a bit mixer, so a word's hash costs a difference of
-prefix sums. Everything works on slices of a few megabytes; one very long text is a slice of its own.
+prefix sums. Everything works on slices of a megabyte; one very long text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, dtype=U64)
+        have = np.full(max(n, 1 << 18), base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if n <= 1 << 25:
@@ -59,7 +59,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes, a single row at least."""
     start, n = 0, len(offsets) - 1
     while start < n:
@@ -69,7 +69,7 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]
         start = stop
 
 
-def batches(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of each slice."""
     data, offsets = utf8(column)
     for a, b in slices(offsets, most):
@@ -137,3 +137,14 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarr
 def row_of(first: np.ndarray) -> np.ndarray:
     """The row of each element, from the rows' first elements."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def sequence_hash(h: np.ndarray, first: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each row's words in order."""
+    n = len(first) - 1
+    out = np.zeros(n, np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        place = np.arange(len(h)) - first[:-1][row_of(first)]
+        out[some] = np.add.reduceat(h * powers(base, int(place.max()) + 2)[place + 1], first[:-1][some])
+    return mix(out + np.diff(first).astype(np.uint64))
