@@ -1,0 +1,328 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evalbench.llm import _text as T
+from evalbench.llm import bpe, html, lm, media, mixing, neardup, passages, quality, secrets, topk
+
+#: A small table with every odd case; columns that operators use inside come with other content.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, h string, size string, bucket string, component string"
+
+
+def prose(n, seed=0):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [None, "", "   ", "word", "The same text twice", "The same text twice", prose(300, 1), prose(20000, 2), "é日本 " * 40, "<|endoftext|> x", prose(60, 3), prose(60, 3)]
+    rows = [(i, t, "en", [None, "a", "b"][i % 3], len(t or ""), "s", "h", "z", "b", "c") for i, t in enumerate(texts)]
+    rows += [(20, prose(50, 4), None, None, None, None, None, None, None, None), (None, prose(30, 5), "de", "a", 3, "", "", "", "", ""), rows[6]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("doc_id = -1")
+
+
+def test_words_and_shingles():
+    import pyarrow as pa
+
+    texts = ["Ab  c", "", None, "x\ty\nz w v u", "ab c"]
+    data, off = T.utf8(pa.array(texts))
+    starts, ends, first = T.words(data, off)
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["Ab", "c", "x", "y", "z", "w", "v", "u", "ab", "c"]
+    h = T.word_hashes(data, starts, ends)
+    s, at = T.shingles(h, first)
+    assert np.diff(at).tolist() == [1, 0, 0, 2, 1] and s[0] == s[-1] and len(s) == 4
+
+
+# ---- 1
+
+
+def test_topk_is_exact(spark):
+    r = random.Random(3)
+    rows = [(i, [round(r.uniform(-1, 1), 2) for _ in range(16)], "x") for i in range(400)]
+    rows += [(500 + i, rows[5][1], "x") for i in range(30)]  # ties
+    rows += [(900, None, "x"), (901, [None] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [0.1] * 8, "x"), (904, [], "x"), (400, [0.5] * 16, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    got = collections.defaultdict(list)
+    for x in topk.top_k(df, df.where("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    floor = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v, _ in rows if v and all(x is not None and x == x for x in v)}
+    for q in (0, 100, 200, 300, 400):
+        want = sorted(((i, sum(a * b for a, b in zip(floor[q], v))) for i, v in floor.items() if i != q and len(v) == 16), key=lambda p: (-p[1], p[0]))[:10]
+        assert got[q] == want
+    assert set(got) == {0, 100, 200, 300, 400, 500}
+    assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
+
+
+# ---- 2
+
+
+def test_secret_base_patterns():
+    text = 'x PassWord = "abc123" token: abc api-key api_key=\'Zz/+.=-_9\' AKIA' + "A" * 16 + " AKIA1 " + "0a" * 12 + " " + "f" * 23
+    spans = secrets.base_spans(text)
+    assert [k for *_, k in spans] == ["assign", "assign", "access", "hex"]
+    assert text[spans[0][0] : spans[0][1]] == 'PassWord = "abc123'
+    assert secrets.base_spans("") == [] and secrets.base_spans("\u017fecret=abcdefgh to\u212aen=abcdefgh") == []
+
+
+def test_secret_network_on_held_out_findings():
+    net = secrets.trained()
+    found = secrets.labelled_findings(1200, seed=99)
+    p = net.probability(np.array([secrets.encode(t, a, b) for t, a, b, _ in found])) >= net.threshold
+    y = np.array([label for *_, label in found])
+    assert p[y == 1].mean() > 0.97 and p[y == 0].mean() < 0.05
+
+
+def test_secret_table(docs, empty, spark):
+    rows = secrets.find(docs).collect()
+    assert len(rows) == docs.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.doc_id in (0, 1, 2))
+    secret = spark.createDataFrame([(1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', "x"), (2, None, "x"), (3, "clean text", "x")], "doc_id long, text string, spans string")
+    out = {r.doc_id: r.text for r in secrets.redact(secret).collect()}
+    assert out == {1: 'a [SECRET]" b', 2: None, 3: "clean text"}
+    assert secrets.find(empty).count() == 0 and secrets.redact(empty).columns == empty.columns
+
+
+# ---- 3
+
+
+def test_main_text():
+    page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div><article><h1>Head &amp; line</h1><p><b>First  part.<br><p>Second\n part, long enough to be read as such.</p><div class="ad">Buy this now.</div></article><section id="comments"><p>Nice one, I say.</p></section><footer>&copy; me</footer></body></html>'
+    assert next(html.extract([page], html.trained())) == "Head & line\n\nFirst part.\n\nSecond part, long enough to be read as such."
+
+
+def test_main_text_of_held_out_pages():
+    pages = html.labelled_pages(120, seed=321)
+    exact = 0
+    for page, _ in pages:
+        want = [t for t in html.parse(page).runs.values() if t.startswith("X")]
+        exact += next(html.extract([page], html.trained())).split("\n\n") == want
+    assert exact / len(pages) > 0.93
+
+
+def test_messages_equal_enumeration():
+    model, tree = html.trained(), html.parse("<div><p>one two</p><nav><a>x</a></nav></div>")
+    forest = html.Forest([tree])
+    n, own = len(forest.kind), forest.features @ model.node
+    total, marginal = 0.0, np.zeros(n)
+    for labels in itertools.product((0, 1), repeat=n):
+        w = math.exp(sum(own[i] for i in range(n) if labels[i]) + sum(model.pair[forest.kind[i], labels[forest.parent[i]], labels[i]] for i in range(1, n)))
+        total += w
+        marginal += w * np.array(labels)
+    assert np.allclose(model.infer(forest)[0][:, 1], marginal / total)
+
+
+def test_broken_pages(spark):
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", "<div" * 500), (4, "u", "<p>" * 3000 + "x"), (5, "u", "a < b &am <")]
+    out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 5 and all(r.n_chars == len(r.text) for r in out)
+    assert [r.text for r in out if r.page_id < 3] == ["", ""]
+
+
+# ---- 4
+
+
+def test_targets_and_mixture(docs, empty, spark):
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), ["a", "b", "c", None][0 if i % 3 == 0 else i % 4], None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    small = mixing.measured(df, 1).select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
+    out = mixing.decide(small).collect()
+    assert len(out) == len(rows)
+    by = collections.defaultdict(lambda: [0, 0, 0.0])
+    for r in out:
+        copies = len(r.shards)
+        assert copies <= 3
+        by[r.source][0] += r.size
+        by[r.source][1] += r.size * copies
+        by[r.source][2] = r.target
+    total = sum(x[0] for x in by.values())
+    names = sorted((s for s in by if s), key=str.encode) + [None]
+    weight, capped = {s: i % 3 + 1 for i, s in enumerate(names)}, {}
+    while True:
+        left, wsum = total - sum(capped.values()), sum(weight[s] for s in names if s not in capped)
+        over = {s: 3 * by[s][0] for s in names if s not in capped and left * weight[s] / wsum > 3 * by[s][0]}
+        if not over:
+            break
+        capped |= over
+    for s in names:
+        assert by[s][2] == pytest.approx(capped.get(s, left * weight[s] / wsum))
+        assert abs(by[s][1] - by[s][2]) <= 7
+    assert sorted(map(str, out)) == sorted(map(str, mixing.decide(small).collect()))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_shard", "mix_key"] and mixing.mix(empty).count() == 0
+
+
+def test_hypergeometric_moments(spark):
+    for total, good, drawn in ((50, 20, 25), (10, 9, 5), (4000, 1000, 2000)):
+        u = f"(shiftrightunsigned(xxhash64(id), 11) * {2.0**-53!r}D)"
+        x = np.array([r.x for r in spark.range(4000).selectExpr(mixing.hypergeometric(f"{total}L", f"{good}L", f"{drawn}L", u) + " as x").collect()])
+        mean = drawn * good / total
+        var = mean * (1 - good / total) * (total - drawn) / (total - 1)
+        assert abs(x.mean() - mean) < 5 * (var / 4000) ** 0.5 and 0.85 < x.var() / var < 1.15
+
+
+# ---- 5
+
+
+def test_bpe_is_the_library(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdeThe  \n\t'sréß日1 2!.<|>\x1c") for _ in range(r.randint(0, 50))) for _ in range(3000)] + ["", "<|endoftext|>", " <|endoftext|> a", "x" * 3000, "I'll they're"]
+    own = bpe.TrieBPE(bpe.vocabulary_path())
+    for text, want, got in zip(texts, library.encode_batch(texts, add_special_tokens=False), own.encode_batch(texts)):
+        ids = np.frombuffer(got, "<u4").tolist()
+        assert ids == want.ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    rows = {r.doc_id: r for r in bpe.digests(docs).collect()}
+    assert rows[0].n_tokens == 0 and rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    back = bpe.decode(bpe.encode(docs.select("doc_id", "text"))).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+    assert bpe.digests(empty).count() == 0
+
+
+# ---- 6
+
+
+def test_elias_fano():
+    for values in ([], [0], [5, 5, 5], sorted(random.Random(1).sample(range(1 << 60), 1000))):
+        x = np.array(values, np.uint64)
+        ef = lm.EliasFano.of(x)
+        assert (ef.decode() == x).all() and (lm.EliasFano.view(np.frombuffer(ef.to_bytes(), np.uint8), 0)[0].decode() == x).all()
+
+
+def test_trie_in_a_file(tmp_path):
+    words = np.array([10, 20, 30], np.uint64)
+    pairs = np.array([0 << 40 | 7, 0 << 40 | 9, 2 << 40 | 7], np.uint64)
+    lm.TrieShard.build(words, np.array([4, 0, 2]), pairs, np.array([3, 1, 96])).save(f"{tmp_path}/t")
+    trie = lm.TrieShard.open(f"{tmp_path}/t")
+    assert trie.count(words).tolist() == [4, 0, 2] and trie.count(np.array([11], np.uint64)).tolist() == [0]
+    codes = trie.code(np.array([10, 10, 20, 30, 99], np.uint64), np.array([7, 8, 7, 7, 7], np.uint64))
+    assert lm._CODEBOOK[codes].tolist() == [3, 0, 0, 96, 0]
+
+
+def test_scores(docs, empty):
+    rows = docs.collect()
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    tokens = [[w for w in (r.text or "").translate(low).replace("\t", " ").split(" ") if w] + [0] for r in rows]
+    train = [zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2 for r in rows]
+    c = collections.Counter(w for t, ok in zip(tokens, train) if ok for w in t)
+    b = collections.Counter(p for t, ok in zip(tokens, train) if ok for p in zip(["S", *t], t))
+    n, v = sum(c.values()), len(c)
+    c["S"] = sum(train)
+    want = collections.Counter()
+    for r, t, ok in zip(rows, tokens, train):
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
+        full = sum(math.log10((b[u, w] + lm.STRENGTH * (c[w] + 1) / (n + v + 1)) / (c[u] + lm.STRENGTH)) for u, w in zip(["S", *t], t))
+        want[r.doc_id, not ok, len(t), sum(c[w] > 0 for w in t), n, round(base, 3), round(full, 1)] += 1
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 1)) for r in lm.score(docs).collect())
+    assert got == want
+    assert lm.score(empty).count() == 0
+
+
+# ---- 7
+
+
+def test_compact_windows_cover_every_stretch():
+    h = np.random.RandomState(1).randint(0, 1 << 30, 200).astype(np.uint64)
+    found = passages.compact_windows(h, 20)
+    for i in range(0, 180, 7):
+        for j in range(i + 19, 200, 11):
+            c = i + int(h[i : j + 1].argmin())
+            assert any(a <= i and b >= j and m == c for a, m, b in found)
+
+
+def test_repeated_passages(spark, docs, empty):
+    shared, line = prose(55, 70), prose(25, 71)
+    rows = [(i, " ".join([prose(80 + i, 100 + i), shared if i < 3 else line, prose(60, 200 + i)]), "x") for i in range(40)]
+    rows += [(100, prose(120, 9), "x"), (101, prose(120, 9), "x"), (102, None, "x"), (103, "", "x")]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect()}
+    assert set(got) == {0, 1, 2, 100, 101}
+    assert got[1] == (81, 136) and got[100] == (0, 120)
+    assert {r.doc_id for r in passages.passages(docs).collect()} == {10, 11} and passages.passages(empty).count() == 0
+
+
+# ---- 8
+
+
+def test_near_duplicates(spark, docs, empty):
+    base = prose(200, 1).split()
+    edited = lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(base))
+    rows = [(1, edited(), "x"), (2, edited(50), "x"), (3, edited(*range(0, 200, 8)), "x"), (4, edited().upper().replace(" ", "  "), "x"), (5, prose(200, 2), "x"), (6, None, "x"), (7, "", "x"), (8, "a b", "x"), (9, "A  b", "x"), (10, "a b c", "x"), (None, edited(), "x")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10, None: None}
+    assert neardup.classes(empty).count() == 0
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 20]
+
+
+def test_large_group_stays_linked(spark):
+    base, r = prose(150, 3).split(), random.Random(1)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        words = list(base)
+        for _ in range(r.randint(1, 2)):
+            words[r.randrange(150)] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    got = [r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert collections.Counter(got)[0] == 150
+
+
+def test_samples_estimate_similarity():
+    r = np.random.RandomState(5)
+    a = r.randint(0, 1 << 62, 400).astype(np.uint64)
+    b = np.concatenate([a[:300], r.randint(0, 1 << 62, 100).astype(np.uint64)])
+    none = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    agree = [np.mean(np.equal(*neardup.Sampler(seed).sample(np.concatenate([a, b]), np.array([0, 400, 800]), none))) for seed in range(12)]
+    assert abs(np.mean(agree) - 0.6) < 0.08
+
+
+# ---- 9
+
+
+def test_media_round_trip(docs, empty):
+    r = random.Random(1)
+    payloads = [media.pad(r.randbytes(r.randint(0, 3000))) for _ in range(60)] + [media.pad(b""), media.pad(b"a" * 600_000)]
+    files = media.store(payloads)
+    for payload, pictures in zip(payloads, media.decode_many(files)):
+        assert media.load(pictures, len(payload)) == payload
+    with pytest.raises(ValueError):
+        media.decode_many([files[0][:200]])
+    rows = {r.doc_id: r for r in media.text_media(docs).collect()}
+    assert rows[0].payload_bytes == 64 and rows[0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() and rows[0].tail_crc32 == zlib.crc32(bytes(64))
+    assert rows[4].media_sha256 == rows[5].media_sha256 and rows[4].n_bytes == 19
+    assert media.text_media(empty).count() == 0
+    seen = media.inspect(media.text_media(docs, keep=True).select("doc_id", "media")).collect()
+    assert all(r.width == 512 for r in seen if r.doc_id is not None and r.doc_id < 6)
+
+
+# ---- 10
+
+
+def test_quality_on_held_out_documents(spark, docs, empty):
+    good = [(i, prose(80, i)) for i in range(300)]
+    bad = [(1000 + i, " ".join(f"{w}!!" for w in prose(60, i).upper().split())) for i in range(150)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad] + [(5, None), (7, 9)], "doc_id long, quality int")
+    voter = quality.fit(df, labels)
+    out = quality.score(df, voter, ["doc_id"]).collect()
+    held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(held) > 50 and all((r.score >= 0.5) == (r.doc_id < 1000) for r in held)
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, voter, ["doc_id", "text"]).collect())
+    assert quality.accepted(docs, voter).columns == docs.columns and quality.accepted(empty, voter).count() == 0
+    none = quality.fit(df, labels.where("doc_id < 0"))
+    assert {r.score for r in quality.score(docs, none, ["doc_id"]).collect()} == {0.5}
