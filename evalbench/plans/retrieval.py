@@ -42,7 +42,7 @@ def a12(spark, d):
     return op.postings(rel.chunks(spark, d)).join(op.small(wanted), "term", "left_semi").select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
-@register("j1_terms_postings", w("postings qterms dfs", "select question_id, count(*) as matches, count(distinct chunk_id) as chunks, sum(tf) as tf, sum(df) as df from qterms join postings using (term) join dfs using (term) group by question_id"))
+@register("j1_terms_postings", w("postings qterms dfs", "select question_id, count(*) as matches, count(distinct chunk_id) as chunks, cast(sum(tf) as bigint) as tf, cast(sum(df) as bigint) as df from qterms join postings using (term) join dfs using (term) group by question_id"))
 def j1(spark, d):
     post = op.postings(rel.chunks(spark, d))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
