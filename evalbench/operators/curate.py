@@ -160,3 +160,41 @@ def quota_deficits(accepted: DataFrame, quotas: DataFrame) -> DataFrame:
 
 def completion_level(n: Column, target: int, floor: int, emergency: int) -> Column:
     return F.when(n >= target, "TARGET").when(n >= floor, "NORMAL_FLOOR").when(n >= emergency, "EMERGENCY").otherwise("INSUFFICIENT")
+
+
+def plan_jobs(windows: DataFrame, quotas: dict[str, int], per_document: int, per_page: int) -> DataFrame:
+    """Jobs (ordinal, kind, window_id): kinds in turn take the next window, documents in turn, within both caps.
+
+    Raises if the windows do not reach. Sequential; on the driver over the windows of one benchmark.
+    """
+    rows = windows.select("window_id", "document_id", "page").orderBy("document_id", "page", "window_id").collect()
+    queues: dict[str, list] = {}
+    for r in rows:
+        queues.setdefault(r.document_id, []).append(r)
+    used_document: dict[str, int] = {}
+    used_page: dict[tuple, int] = {}
+    turn, jobs = sorted(queues), []
+    at = 0
+    for kind in [k for k, n in sorted(quotas.items()) for _ in range(n)]:
+        for _ in range(len(turn)):
+            document = turn[at % len(turn)]
+            at += 1
+            if used_document.get(document, 0) >= per_document:
+                continue
+            free = next((r for r in queues[document] if used_page.get((document, r.page), 0) < per_page), None)
+            if free is not None:
+                queues[document].remove(free)
+                used_document[document] = used_document.get(document, 0) + 1
+                used_page[document, free.page] = used_page.get((document, free.page), 0) + 1
+                jobs.append((len(jobs), kind, free.window_id))
+                break
+        else:
+            raise ValueError(f"no window is left for {kind}")
+    return windows.sparkSession.createDataFrame(jobs, "ordinal int, kind string, window_id string")
+
+
+def plan_replacements(accepted: DataFrame, windows: DataFrame, quotas: dict[str, int], per_document: int, per_page: int) -> DataFrame:
+    """Jobs for what is missing only, from windows that are not used yet."""
+    have = {r["kind"]: r["n"] for r in accepted.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    missing = {k: n - have.get(k, 0) for k, n in quotas.items() if n > have.get(k, 0)}
+    return plan_jobs(windows.join(accepted.select("window_id"), "window_id", "left_anti"), missing, per_document, per_page)
