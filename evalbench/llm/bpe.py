@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalbench.llm._spark import release
+
 #: Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_PIECES = 600_000
-MEMO = 2_000_000
+MEMO = 1_000_000
 CACHE_PIECE_CHARS = 256
 
 
@@ -220,6 +222,10 @@ class TrieBPE:
             if len(p) > CACHE_PIECE_CHARS:
                 self.cache.pop(p, None)
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the worker may go on with other work."""
+        self.cache, self.step, self.follows = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
 
@@ -290,6 +296,8 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), lists, pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

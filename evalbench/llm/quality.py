@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalbench.llm import _text as T
-from evalbench.llm._spark import crc_part, table
+from evalbench.llm._spark import crc_part, release, table
 
 PER_CLASS = 1500
 DIMENSIONS = 64
@@ -171,6 +171,7 @@ def document_frequencies(texts: DataFrame, place: np.ndarray) -> tuple[int, np.n
                 for i in range(len(offsets) - 1):
                     at = place[np.flatnonzero(np.bincount(bigrams(data[offsets[i] : offsets[i + 1]]), minlength=1))]
                     df[at[at >= 0]] += 1
+        release()
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(-1, width), pa.int32()), "n": pa.array(np.concatenate([[n], df]), pa.int64())})
 
     rows = texts.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
@@ -202,6 +203,7 @@ def accepted(docs: DataFrame, voter: Voter, least: float = 0.5) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(at)) >= least))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalbench.llm._spark import table
+from evalbench.llm._spark import release, table
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -287,6 +287,7 @@ def redact(docs: DataFrame, net: CharCNN | None = None, mark: str = "[SECRET]")
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        release()
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {kind if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields))
 
