@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
 from evalbench.operators import curate as op
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
-
-
-def checkpoint(df):
-    """Write to the folder that the cluster shares and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/evalbench-shared"
-    path = f"{base.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from evalbench.sources.shared import rewritten as checkpoint
 
 
 _SQ = "regexp_replace(lower({0}), '[^0-9a-z가-힣]', '', 'g')"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
@@ -14,11 +11,7 @@ from evalbench.operators import ledger as led
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.sources import files, sinks
-
-
-def folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/evalbench-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from evalbench.sources.shared import fresh as folder
 
 
 def _vocabulary() -> tuple[str, str]:
