@@ -16,8 +16,8 @@ copies of one text are a large part of a table, their own shingles count as comm
 make too much of their edits.
 
 Equal texts (as word sequences) become one vertex first. In a band's bucket the candidates are compared with
-a leader, and those unlike it meet others only where the leader does not already rule a link out (see
-``links``); so the pairs within a group are not made. Classes are the connected components.
+a leader, and those unlike it meet others wherever the leader does not rule a link out, until no pair is open
+(see ``links``); so the pairs within a group are not made. Classes are the connected components.
 
 Defined results: null and empty texts, and those of white space only, are classes of their own; texts of 1 to
 4 words match only equal texts; a row with a null doc_id has a null class; repeated rows are in one class;
@@ -45,7 +45,7 @@ COMMON = 0.05
 RARE_IDF = float(1 - np.log(COMMON))
 POOL_BITS = 14
 SMALL = 48
-LEADERS = 8
+WEIGHTED, PLAIN = 0, 1  # kinds of similarity
 GATHER = 2_000_000  # shingles that are counted together
 
 
@@ -245,39 +245,61 @@ def signatures(docs: DataFrame, weigh: Weights, seed: int = 1) -> DataFrame:
 # ---- candidates and links
 
 
+_JUDGED = pa.schema([("leader", pa.int64()), ("doc_id", pa.int64()), ("similarity", pa.float64()), ("kind", pa.int32()), ("budget", pa.float64()), ("extra", pa.list_(pa.int64())), ("excess", pa.list_(pa.float64()))])
+
+
 def _verify(shared, least: float):
-    """Pairs (leader, member, left, right) with their similarity, and what the member may share with others: see ``links``."""
-    schema = pa.schema([("leader", pa.int64()), ("doc_id", pa.int64()), ("similarity", pa.float64()), ("extra", pa.list_(pa.int64())), ("common", pa.float64()), ("weight", pa.float64())])
+    """Pairs (leader, doc_id, kinds, left, right) with their similarity, and a row a kind with what the member has over its leader: see ``links``."""
 
     def run(batches):
         last, kept = None, None
         for batch in batches:
-            rows, leaders = [], batch.column(0).to_pylist()
-            for i, leader in enumerate(leaders):
+            rows: list[tuple] = []
+            pairs = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for i, (leader, member, kinds) in enumerate(pairs):
                 if leader != last:
-                    last, kept = leader, _weighted(batch.column(2).slice(i, 1), shared.value)
-                rows.append(_relation(kept, _weighted(batch.column(3).slice(i, 1), shared.value), least))
-            columns = zip(*rows, strict=True) if rows else [()] * 4
+                    last, kept = leader, _weighted(batch.column(3).slice(i, 1), shared.value)
+                similar, over = _relation(kept, _weighted(batch.column(4).slice(i, 1), shared.value), least, kinds)
+                rows += [(leader, member, similar, *x) for x in over or [(None, None, None, None)]]
+            columns = zip(*rows, strict=True) if rows else [()] * len(_JUDGED)
             release()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _JUDGED, strict=True)], schema=_JUDGED)
 
     return run
 
 
-def _relation(leader: tuple, member: tuple, least: float) -> tuple[float, list[int], float, float]:
-    """Similarity; a prefix of the shingles that the leader lacks; the common weight and the member's."""
+def _relation(leader: tuple, member: tuple, least: float, kinds: list[int]) -> tuple[float, list[tuple]]:
+    """Similarity; and for each kind what of the member's excess over the leader a linked document may lack, the shingles of that excess and its parts."""
     (sa, wa), (sb, wb) = leader, member
-    if not len(sa) or not len(sb):
-        return 0.0, [], 0.0, float(wb.sum())
     at = np.minimum(np.searchsorted(sa, sb), len(sa) - 1)
-    theirs = np.where(sa[at] == sb, wa[at], 0)
+    same = sa[at] == sb
+    theirs = np.where(same, wa[at], 0)
     shared = np.minimum(theirs, wb).sum()
-    union = wa.sum() + wb.sum() - shared
-    both = int((sa[at] == sb).sum())
-    similar = max(float(shared / union), both / (len(sa) + len(sb) - both))
-    more = np.flatnonzero(wb > theirs)  # by hash: an order that all share
-    enough = np.searchsorted(np.cumsum(wb[more]), (1 - least) * wb.sum() * (1 + 1e-9), side="right") + 1
-    return similar, T.signed(sb[more[:enough]]).tolist(), float(shared), float(wb.sum())
+    both = int(same.sum())
+    similar = max(float(shared / (wa.sum() + wb.sum() - shared)), both / (len(sa) + len(sb) - both))
+    share, over = least / (1 + least), []
+    for kind in kinds:
+        excess, own, led = (wb - theirs, wb.sum(), wa.sum()) if kind == WEIGHTED else (1.0 - same, len(sb), len(sa))
+        more = np.flatnonzero(excess > 0)
+        over.append((kind, float(min((1 - least) * own, (1 - share) * own - share * led) + 1e-9 * own), T.signed(sb[more]).tolist(), excess[more].tolist()))
+    return similar, over
+
+
+def _measure(shared):
+    """Weight and number of the distinct shingles of each (doc_id, text), a row a kind."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_weighted(batch.column(1).slice(i, 1), shared.value) for i in range(batch.num_rows)]
+            ids = batch.column(0).to_pylist()
+            release()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([*ids, *ids], pa.int64()),
+                "kind": pa.array([WEIGHTED] * len(ids) + [PLAIN] * len(ids), pa.int32()),
+                "size": pa.array([*(float(w.sum()) for _, w in found), *(float(len(s)) for s, _ in found)], pa.float64()),
+            })
+
+    return run
 
 
 def _weighted(column: pa.Array, weigh: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -291,56 +313,80 @@ def links(texts: DataFrame, members: DataFrame, weigh: Weights, least: float = S
     """``id, component`` of linked documents among ``members`` (bucket, doc_id) of buckets with two or more.
 
     ``texts`` (doc_id, text) holds the members' texts. All pairs of a bucket of at most ``SMALL`` members are
-    compared, which is a bounded number a member. In a larger bucket all members are compared with a leader,
-    the one that meets most others in its buckets. Of two members x and y that share no shingle that the
-    leader h lacks, all they share is in h, so with m the smaller of their weights in common with h,
-    J(x, y) <= m / (weight x + weight y - m): what h has not linked is hardly linked that way. So in a second
-    round members of different components meet the next ``LEADERS`` - 1 leaders, and meet each other under
-    each shingle that their leader lacks (of a prefix of 1 - least of their weight in hash order, which a linked
-    pair must share), again with all pairs of small groups and ``LEADERS`` leaders of large ones.
-
-    What this may leave out: a link of two members of a large bucket that none of the leaders joins, and whose
-    common shingles that the leader lacks are each common to more than ``SMALL`` members.
+    compared, which is a bounded number a member. In a larger bucket all members are compared with a leader h,
+    the one of the least size. Size is the weight for links by weight and the number of shingles for the plain
+    ones, so a bucket has a group of each kind. With T = least / (1 + least), x and y are linked if what they
+    share is T (x + y) or more. If h does not link x, x shares less than T (x + h) <= T (x + y) with h, so a
+    linked x and y also share some shingle that both have over h. The excess of x over h that y lacks is at most
+    (1 - T) x - T h then. So in an order of the shingles that all members keep, their first common one is among
+    those before which x has no more excess than that. Members are filed anew under these, rare ones first, and
+    those that only one component has before all. A key that one component holds alone needs no comparison, and
+    other keys are groups anew: where at most ``SMALL`` members are outside the largest component, these meet all
+    of other components, else all meet a leader, until no group is left. Leaders grow from round to round, so there is an end,
+    and no pair of a bucket that is linked stays between two components.
     """
     shared = texts.sparkSession.sparkContext.broadcast(weigh)
 
-    def meeting(members: DataFrame, lo: int, hi: int) -> DataFrame:
-        """Pairs (leader, doc_id, led): all of small buckets if ``lo`` is 1, and with the leaders in places ``lo`` to ``hi`` of large ones."""
-        sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-        many = sized.where(F.col("n") > SMALL).select("bucket", "doc_id", "n")
-        met = many.groupBy("doc_id").agg(F.sum("n").alias("met"))
-        typical = Window.partitionBy("bucket").orderBy(F.col("met").desc(), F.xxhash64("doc_id"), "doc_id")
-        chosen = many.join(met, "doc_id").withColumn("place", F.row_number().over(typical)).where(F.col("place") <= hi).where(F.col("place") >= lo).select("bucket", F.col("doc_id").alias("leader"), "place")
-        pairs = many.select("bucket", "doc_id").join(chosen, "bucket").where("doc_id <> leader").select("leader", "doc_id", (F.col("place") == 1).alias("led"))
-        if lo == 1:
-            few = sized.where(F.col("n") <= SMALL).select("bucket", "doc_id")
-            pairs = pairs.unionByName(few.join(few.withColumnRenamed("doc_id", "leader"), "bucket").where("leader < doc_id").select("leader", "doc_id", F.lit(False).alias("led")))
-        return pairs
+    def all_pairs(few: DataFrame) -> DataFrame:
+        return unled(few.join(few.withColumnRenamed("doc_id", "leader"), "bucket").where("leader < doc_id"))
+
+    def unled(pairs: DataFrame) -> DataFrame:
+        return pairs.select("leader", "doc_id", F.lit(None).cast("int").alias("kind"))
+
+    def led(groups: DataFrame) -> DataFrame:
+        head = groups.join(sizes, ["doc_id", "kind"]).groupBy("bucket", "kind").agg(F.min(F.struct("size", "doc_id")).alias("h")).select("bucket", "kind", F.col("h.doc_id").alias("leader"))
+        return groups.join(head, ["bucket", "kind"]).where("doc_id <> leader").select("leader", "doc_id", "kind")
+
+    def opened(again: DataFrame) -> DataFrame:
+        """The next pairs: those between components where at most SMALL members are outside the largest one, else those with leaders."""
+        sized = again.groupBy("bucket", "kind", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket", "kind").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+        again = again.join(sized.select("bucket", "kind", (F.col("n") - F.col("top.c") <= SMALL).alias("few"), F.col("top.component").alias("top")), ["bucket", "kind"])
+        few = again.where("few").join(sizes, ["doc_id", "kind"])
+        minor = few.where("component <> top").select("bucket", "kind", F.col("doc_id").alias("leader"), F.col("component").alias("other"), F.col("size").alias("led"))
+        apart = few.join(minor, ["bucket", "kind"]).where("component <> other").where(F.least("size", "led") >= (least - 1e-9) * F.greatest("size", "led"))
+        return unled(apart.select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("doc_id"))).unionByName(led(again.where("not few").select("bucket", "kind", "doc_id")))
 
     def judge(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.groupBy("leader", "doc_id").agg(F.collect_set("kind").alias("kinds"))
         both = pairs.join(texts.withColumnRenamed("text", "right"), "doc_id").join(texts.withColumnsRenamed({"doc_id": "leader", "text": "left"}), "leader")
-        rows = both.select("leader", "doc_id", "left", "right").mapInArrow(_verify(shared, least), "leader long, doc_id long, similarity double, extra array<long>, common double, weight double")
+        rows = both.select("leader", "doc_id", "kinds", "left", "right").mapInArrow(_verify(shared, least), "leader long, doc_id long, similarity double, kind int, budget double, extra array<long>, excess array<double>")
         return stash(rows, "neardup-judged")
 
     def linked(judged: DataFrame) -> DataFrame:
-        return judged.where(F.col("similarity") >= least).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-
-    first = stash(meeting(members, 1, 1).groupBy("leader", "doc_id").agg(F.bool_or("led").alias("led")), "neardup-pairs")
-    judged = judge(first)
-    joined = components(linked(judged))
-    component = members.select("doc_id").distinct().join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    component = stash(component, "neardup-components")
-    led = judged.join(first.where("led").select("leader", "doc_id"), ["leader", "doc_id"], "left_semi")
-    keyed = led.select("leader", "doc_id", F.explode("extra").alias("shingle")).join(component, "doc_id")
-    # only keys that two components share
-    two = keyed.groupBy("leader", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "shingle")
-    again = stash(keyed.join(two, ["leader", "shingle"]).select(F.xxhash64("leader", "shingle").alias("bucket"), "doc_id"), "neardup-again")
-    # what is in one component already needs no further comparison
-    of = lambda c: component.select(F.col("doc_id").alias(c), F.col("component").alias(f"{c}_component"))
-    second = meeting(members, 2, LEADERS).unionByName(meeting(again, 1, LEADERS)).select("leader", "doc_id").distinct()
-    second = second.join(of("leader"), "leader").join(of("doc_id"), "doc_id").where("leader_component <> doc_id_component").select("leader", "doc_id")
-    more = linked(judge(second))
-    return components(linked(judged).unionByName(more)) if more.limit(1).count() else joined
+        return judged.where(F.col("similarity") >= least).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+    def refiled(judged: DataFrame, joined: DataFrame) -> DataFrame:
+        """Groups (bucket, kind, doc_id, component) in which pairs are open."""
+        own = judged.where("kind is not null").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        range_ = (F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = own.groupBy("leader", "kind").agg(*range_).where("lo < hi").select("leader", "kind")
+        each = own.join(mixed, ["leader", "kind"]).select("leader", "kind", "doc_id", "component", "budget", F.explode(F.arrays_zip("extra", "excess")).alias("e"))
+        each = each.select("leader", "kind", "doc_id", "component", "budget", F.col("e.extra").alias("shingle"), F.col("e.excess").alias("excess"))
+        held = each.groupBy("leader", "kind", "shingle").agg(F.count(F.lit(1)).alias("n"), *range_).withColumn("open", F.col("lo") < F.col("hi")).drop("lo", "hi")
+        before = Window.partitionBy("leader", "kind", "doc_id").orderBy("open", "n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+        keyed = each.join(held, ["leader", "kind", "shingle"]).withColumn("before", F.coalesce(F.sum("excess").over(before), F.lit(0.0))).where("open and before <= budget")
+        # what a prefix has left out may leave one component
+        keyed = stash(keyed.select(F.xxhash64("leader", "kind", "shingle").alias("bucket"), "kind", "doc_id", "component"), "neardup-keyed")
+        two = keyed.groupBy("bucket", "kind").agg(*range_).where("lo < hi").select("bucket", "kind")
+        return stash(keyed.join(two, ["bucket", "kind"]), "neardup-again")
+
+    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    many = stash(sized.where(F.col("n") > SMALL).select("bucket", "doc_id"), "neardup-large")
+    measured = texts.join(many.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sizes = stash(measured.mapInArrow(_measure(shared), "doc_id long, kind int, size double"), "neardup-sizes")
+    both = many.withColumn("kind", F.explode(F.array(F.lit(WEIGHTED), F.lit(PLAIN))))
+    judged = judge(all_pairs(sized.where(F.col("n") <= SMALL)).unionByName(led(both)))
+    found = linked(judged)
+    joined = components(found)
+    while True:
+        again = refiled(judged, joined)
+        if not again.limit(1).count():
+            return joined
+        judged = judge(opened(again))
+        more = linked(judged)
+        if more.limit(1).count():
+            found = found.unionByName(more)
+            joined = components(found)
 
 
 def classes(docs: DataFrame, seed: int = 1, least: float = SIMILARITY) -> DataFrame:

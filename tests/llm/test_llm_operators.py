@@ -282,6 +282,37 @@ def test_large_group_stays_linked(spark):
     assert collections.Counter(got)[0] == 150
 
 
+def test_large_buckets_lose_no_link(spark):
+    r, base = random.Random(8), prose(120, 6).split()
+    texts = []
+    for _ in range(9):  # families of edited copies, each unlike the base and the other families
+        own = [f"f{r.random()}" if r.random() < 0.06 else w for w in base[: r.randint(80, 120)]]
+        for _ in range(60):
+            at = set(r.sample(range(len(own)), r.randint(1, 3)))
+            texts.append(" ".join(f"e{r.randrange(30)}" if i in at else w for i, w in enumerate(own)))
+    weigh = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    sets = [neardup._weighted(neardup.pa.array([t]), weigh) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        (a, wa), (b, wb) = sets[i], sets[j]
+        _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        shared = np.minimum(wa[x], wb[y]).sum()
+        if max(shared / (wa.sum() + wb.sum() - shared), len(x) / (len(a) + len(b) - len(x))) >= 0.8:
+            p, q = sorted((find(i), find(j)))
+            root[q] = p
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 9
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.id: x.component for x in neardup.links(rows, rows.selectExpr("7L as bucket", "doc_id"), weigh).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_samples_estimate_similarity():
     r = np.random.RandomState(5)
     a = r.randint(0, 1 << 62, 400).astype(np.uint64)
