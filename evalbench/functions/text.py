@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 import uuid
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_of_at_least(least: float):
+    """``sequence_ratio`` where it is ``least`` or more, else null; the bag of characters, a bound from above, is compared first."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            shared = sum((Counter(x) & Counter(y)).values())
+            found = difflib.SequenceMatcher(None, x, y).ratio() if 2 * shared >= (least - 1e-9) * (len(x) + len(y)) else 0.0
+            out.append(found if found >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 @F.pandas_udf(StringType())
 def uuid5_url(name: pd.Series) -> pd.Series:
     return name.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))

@@ -52,19 +52,31 @@ def contaminated(questions: DataFrame, terms: list[str]) -> DataFrame:
 def near_duplicate_questions(questions: DataFrame, least: float = 0.92) -> DataFrame:
     """Pairs a < b (item_id) whose fingerprints have a matching-blocks ratio of ``least`` or more.
 
-    Only pairs that share a six-character gram of a rare kind and whose lengths allow the ratio are compared:
-    two texts with ratio r have a common block of at least r / (1 - r) / 2 characters at these thresholds.
+    Texts of n >= m characters with ratio r leave at most u = (1 - r) 2 n characters unmatched in both together. Each
+    of these breaks at most one of u + 1 pieces of the longer text, so one piece at least is in the other text, at
+    a place that is off by at most u. Only pairs that share the start of such a piece, of the least length of the
+    pieces, and whose lengths allow the ratio, are compared; a piece held by any number of texts counts.
     """
+    if least <= 0.5:
+        raise ValueError("least has to be above 0.5")
     f = questions.select("item_id", tx.fingerprint(F.col("question")).alias("f")).where("f <> ''")
     f = f.withColumn("n", F.length("f"))
     same = f.groupBy("f").agg(F.min("item_id").alias("a")).join(f.select("f", F.col("item_id").alias("b")), "f").where("a < b").select("a", "b", F.lit(1.0).alias("ratio"))
     one = f.groupBy("f", "n").agg(F.min("item_id").alias("item_id"))
-    grams = one.select("item_id", "f", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 5, F.lit(1))), lambda i: F.substring("f", i, F.lit(6))))).alias("g"))
-    common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c between 2 and 12").select("g")
-    g = grams.join(common, "g")
-    other = g.select("g", F.col("item_id").alias("b"), F.col("f").alias("fb"), F.col("n").alias("nb"))
-    met = g.join(other, "g").where((F.col("item_id") < F.col("b")) & (2 * F.least("n", "nb") >= least * (F.col("n") + F.col("nb")))).select(F.col("item_id").alias("a"), "b", "f", "fb").distinct()
-    near = met.withColumn("ratio", tx.sequence_ratio("f", "fb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    pieces = lambda n: F.floor(2 * (1 - least) * n + 1e-6).cast("int") + 1
+    width = lambda n: F.floor(n / pieces(n)).cast("int")
+    n, longest = F.col("n"), F.floor(F.col("n") * ((2 - least) / least) + 1e-6).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda i: F.struct(F.substring("f", i * width(n) + 1, width(n)).alias("g"), (i * width(n)).alias("at")))
+    left = one.select(F.col("item_id").alias("x"), F.col("f").alias("fx"), F.col("n").alias("nx"), pieces(n).alias("off"), F.explode(cut).alias("e")).select("x", "fx", "nx", "off", "e.g", "e.at")
+    # the widths of all texts that may be the longer of a pair
+    widths = F.array_distinct(F.transform(F.sequence(n, F.greatest(n, longest)), width))
+    own = one.select("item_id", "f", "n", F.explode(widths).alias("w")).where("w <= n")
+    place = F.posexplode(F.transform(F.sequence(F.lit(1), n - F.col("w") + 1), lambda i: F.substring("f", i, F.col("w")))).alias("place", "g")
+    right = own.select(F.col("item_id").alias("y"), F.col("f").alias("fy"), F.col("n").alias("ny"), place)
+    fits = (F.col("nx") >= F.col("ny")) & (F.col("x") != F.col("y")) & (F.abs(F.col("at") - F.col("place")) < F.col("off")) & (2 * F.col("ny") >= (least - 1e-9) * (F.col("nx") + F.col("ny")))
+    first = F.col("x") < F.col("y")
+    met = left.join(right, "g").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("fx")).otherwise(F.col("fy")).alias("f"), F.when(first, F.col("fy")).otherwise(F.col("fx")).alias("fb")).distinct()
+    near = met.withColumn("ratio", tx.ratio_of_at_least(least)("f", "fb")).where("ratio is not null").select("a", "b", "ratio")
     return same.unionByName(near)
 
 

@@ -1,3 +1,7 @@
+import difflib
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +72,32 @@ def test_components_and_splits(spark, tmp_path):
     assert split.groupBy("component").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
 
 
+def test_near_duplicate_questions_equal_brute_force(spark):
+    r = random.Random(4)
+    letters = "abcdefghijklmnop0123456789"
+    base = "".join(r.choice(letters) for _ in range(60))
+    texts = []
+    for _ in range(50):  # a group in which each gram is held by many
+        t = list(base)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(t))
+            t[i : i + 1] = r.choice([[], [r.choice(letters)], [t[i], r.choice(letters)]])
+        texts.append("".join(t))
+    texts += ["".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 5, 40, 60)]
+    texts += ["abcdefghijkl", "abcdefxghijkl", "abcd1efgh2ijkl", "abc", "abc", "", "abcdefghijklm", "abcdxefghijklm", "abcdefghiyjklm"]
+    want = {}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        ratio = difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()
+        if texts[a] and ratio >= 0.92:
+            want[a, b] = ratio
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, question string")
+    # of equal texts one stands for all in comparisons with others
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    want = {(a, b): x for (a, b), x in want.items() if texts[a] == texts[b] and first[texts[a]] == a or texts[a] != texts[b] and first[texts[a]] == a and first[texts[b]] == b}
+    rows = curate.near_duplicate_questions(df).collect()
+    assert len(want) > 200 and len(rows) == len(want) and {(x.a, x.b): x.ratio for x in rows} == pytest.approx(want)
+
+
 def test_top_three_and_pareto(spark):
     df = spark.createDataFrame([("a", 0.91, 0.90, 0.92, 10.0), ("b", 0.90, 0.89, 0.91, 9.0), ("c", 0.895, 0.885, 0.905, 2.0), ("d", 0.70, 0.69, 0.71, 1.0)], "id string, quality double, ci_low double, ci_high double, cost double")
     assert [r.id for r in report.top_three(df).orderBy("place").collect()] == ["a", "b", "c"]
