@@ -1,7 +1,8 @@
 """Operator 8: near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles, weight = occurrences * idf, idf = 1 + ln(documents / its documents). A shingle found in less
-than ``COMMON`` of the documents has the idf of one found in just that share, so only common shingles need
+A document is the weighted set of its five-word shingles, weight = occurrences * idf, idf = sqrt(1 + ln(documents / its documents)). The root keeps a rare shingle
+below two and a half common ones, else the edits of a group that is most of a table would outweigh its text.
+A shingle found in less than ``COMMON`` of the documents has the idf of one found in just that share (2.2), so only common shingles need
 their document frequency: there are at most (mean shingles a document) / COMMON of them, they are found by a
 lossy count over all documents (partial counts leave out at most a quarter of COMMON) and counted exactly in
 a second pass.
@@ -11,13 +12,11 @@ r, c ~ Gamma(2, 1) and b ~ U(0, 1), t = floor(ln w / r + b), and the sample is t
 ln c - r * (t - b) - r. Variates come from a pool indexed by a hash of (s, k), so for the usual weight - once
 in the document, not common - a sample costs a look-up; ties between shingles go to the smaller hash.
 ``BANDS`` bands of ``ROWS`` samples make candidates, and the exact weighted Jaccard similarity of the texts
-decides: 0.8 or more links two documents. So does an unweighted Jaccard similarity of 0.8 or more: where near
-copies of one text are a large part of a table, their own shingles count as common, and weights alone would
-make too much of their edits.
+decides: 0.8 or more links two documents.
 
 Equal texts (as word sequences) become one vertex first. In a band's bucket the candidates are compared with
-a leader, and those unlike it meet others wherever the leader does not rule a link out, until no pair is open
-(see ``links``); so the pairs within a group are not made. Classes are the connected components.
+a leader; where its others are still in several components, they are filed by a prefix filter and meet until
+no pair is open (see ``links``), whatever the bucket's size. Classes are the connected components.
 
 Defined results: null and empty texts, and those of white space only, are classes of their own; texts of 1 to
 4 words match only equal texts; a row with a null doc_id has a null class; repeated rows are in one class;
@@ -41,12 +40,12 @@ from evalbench.llm.graph import components
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-COMMON = 0.05
-RARE_IDF = float(1 - np.log(COMMON))
+COMMON = 0.02
+RARE_IDF = float(np.sqrt(1 - np.log(COMMON)))
 POOL_BITS = 14
-SMALL = 48
-WEIGHTED, PLAIN = 0, 1  # kinds of similarity
+GROWTH = 8  # leaders of a component under a key: 1, 8, 64, ... by round
 GATHER = 2_000_000  # shingles that are counted together
+ROUNDING = 1e-9  # of a size; covers the order of additions
 
 
 # ---- document frequencies of common shingles
@@ -71,11 +70,11 @@ def _gathered(batches):
 
 
 def _often(batches):
-    """Shingles in at least a quarter of COMMON of the gathered documents, with their number."""
+    """Shingles in more than a quarter of COMMON of the gathered documents, with their number."""
     seen = 0
     for n, s, rows in _gathered(batches):
         seen += n
-        least = max(2, int(np.ceil(COMMON / 4 * n)))
+        least = int(COMMON / 4 * n) + 1
         order = np.argsort(s)
         s = s[order]
         new = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
@@ -133,7 +132,7 @@ def weights(texts: DataFrame) -> Weights:
             counts[r["at"]] = r["n"]
     df = counts[:-1]
     common = df >= max(COMMON * n, 2)
-    return Weights(wanted[common], 1 + np.log(max(n, 1) / np.maximum(df[common], 1)))
+    return Weights(wanted[common], np.sqrt(1 + np.log(max(n, 1) / np.maximum(df[common], 1))))
 
 
 # ---- samples
@@ -245,148 +244,127 @@ def signatures(docs: DataFrame, weigh: Weights, seed: int = 1) -> DataFrame:
 # ---- candidates and links
 
 
-_JUDGED = pa.schema([("leader", pa.int64()), ("doc_id", pa.int64()), ("similarity", pa.float64()), ("kind", pa.int32()), ("budget", pa.float64()), ("extra", pa.list_(pa.int64())), ("excess", pa.list_(pa.float64()))])
-
-
 def _verify(shared, least: float):
-    """Pairs (leader, doc_id, kinds, left, right) with their similarity, and a row a kind with what the member has over its leader: see ``links``."""
+    """Pairs (a, b, left, right) into those with a weighted Jaccard similarity of ``least`` or more."""
 
     def run(batches):
         last, kept = None, None
         for batch in batches:
-            rows: list[tuple] = []
-            pairs = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for i, (leader, member, kinds) in enumerate(pairs):
-                if leader != last:
-                    last, kept = leader, _weighted(batch.column(3).slice(i, 1), shared.value)
-                similar, over = _relation(kept, _weighted(batch.column(4).slice(i, 1), shared.value), least, kinds)
-                rows += [(leader, member, similar, *x) for x in over or [(None, None, None, None)]]
-            columns = zip(*rows, strict=True) if rows else [()] * len(_JUDGED)
+            first, second = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = []
+            for i, a in enumerate(first):
+                if a != last:
+                    last, kept = a, _weighted(batch.column(2).slice(i, 1), shared.value)
+                good.append(similarity(kept, _weighted(batch.column(3).slice(i, 1), shared.value)) >= least)
             release()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _JUDGED, strict=True)], schema=_JUDGED)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _relation(leader: tuple, member: tuple, least: float, kinds: list[int]) -> tuple[float, list[tuple]]:
-    """Similarity; and for each kind what of the member's excess over the leader a linked document may lack, the shingles of that excess and its parts."""
-    (sa, wa), (sb, wb) = leader, member
-    at = np.minimum(np.searchsorted(sa, sb), len(sa) - 1)
-    same = sa[at] == sb
-    theirs = np.where(same, wa[at], 0)
-    shared = np.minimum(theirs, wb).sum()
-    both = int(same.sum())
-    similar = max(float(shared / (wa.sum() + wb.sum() - shared)), both / (len(sa) + len(sb) - both))
-    share, over = least / (1 + least), []
-    for kind in kinds:
-        excess, own, led = (wb - theirs, wb.sum(), wa.sum()) if kind == WEIGHTED else (1.0 - same, len(sb), len(sa))
-        more = np.flatnonzero(excess > 0)
-        over.append((kind, float(min((1 - least) * own, (1 - share) * own - share * led) + 1e-9 * own), T.signed(sb[more]).tolist(), excess[more].tolist()))
-    return similar, over
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sets (sorted distinct shingles, weights)."""
+    at = np.minimum(np.searchsorted(x[0], y[0]), len(x[0]) - 1)
+    shared = np.minimum(np.where(x[0][at] == y[0], x[1][at], 0), y[1]).sum()
+    return float(shared / (x[1].sum() + y[1].sum() - shared))
+
+
+def _weighted(column: pa.Array, weigh: Weights) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = T.utf8(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    starts, ends, first = T.words(data, offsets)
+    return weigh.weigh(T.shingles(T.word_hashes(data, starts, ends), first)[0])
 
 
-def _measure(shared):
-    """Weight and number of the distinct shingles of each (doc_id, text), a row a kind."""
+def _spell(shared):
+    """(doc_id, component, text) into a row a distinct shingle, with its weight and that of the whole text."""
 
     def run(batches):
         for batch in batches:
-            found = [_weighted(batch.column(1).slice(i, 1), shared.value) for i in range(batch.num_rows)]
-            ids = batch.column(0).to_pylist()
+            ids, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b, data, offsets in T.batches(batch.column(2)):
+                starts, ends, first = T.words(data, offsets)
+                s, off = T.shingles(T.word_hashes(data, starts, ends), first)
+                rows = T.row_of(off)
+                order = np.lexsort((s, rows))
+                s, rows = s[order], rows[order]
+                new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (rows[1:] != rows[:-1]))[: len(s)])
+                weight = np.diff(np.append(new, len(s))) * shared.value.of(s[new])
+                s, rows = s[new], rows[new]
+                size = np.bincount(rows, weight, minlength=b - a)
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b][rows], "component": parts[a:b][rows], "size": size[rows], "shingle": T.signed(s), "weight": weight})
             release()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([*ids, *ids], pa.int64()),
-                "kind": pa.array([WEIGHTED] * len(ids) + [PLAIN] * len(ids), pa.int32()),
-                "size": pa.array([*(float(w.sum()) for _, w in found), *(float(len(s)) for s, _ in found)], pa.float64()),
-            })
 
     return run
 
 
-def _weighted(column: pa.Array, weigh: Weights) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = T.utf8(column)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    starts, ends, first = T.words(data, offsets)
-    return weigh.weigh(T.shingles(T.word_hashes(data, starts, ends), first)[0])
+def prefixes(texts: DataFrame, weigh, least: float) -> DataFrame:
+    """``key, doc_id, component, size, before``: of each text (doc_id, component, text) the shingles that may be its first in common with a linked text of another component.
+
+    Shingles are ordered: those of one component alone, which are nowhere in common, then the others, rare ones
+    first. x and y are linked if what they share is T (x + y) or more, with T = least / (1 + least), and none is
+    linked to a text of less than ``least`` times its size. So what stands before their first common shingle,
+    which y lacks, has at most the weight (1 - T) x - T y <= (1 - least) x.
+    """
+    spelt = stash(texts.mapInArrow(_spell(weigh), "doc_id long, component long, size double, shingle long, weight double"), "neardup-spelt")
+    held = spelt.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "n")
+    own = Window.partitionBy("doc_id")
+    lighter = F.coalesce(F.sum("weight").over(own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    keyed = spelt.join(held, "shingle").withColumn("before", F.col("size") - F.sum("weight").over(own) + lighter)
+    return keyed.where(F.col("before") <= (1 - least + ROUNDING) * F.col("size")).select(F.col("shingle").alias("key"), "doc_id", "component", "size", "before")
 
 
 def links(texts: DataFrame, members: DataFrame, weigh: Weights, least: float = SIMILARITY) -> DataFrame:
     """``id, component`` of linked documents among ``members`` (bucket, doc_id) of buckets with two or more.
 
-    ``texts`` (doc_id, text) holds the members' texts. All pairs of a bucket of at most ``SMALL`` members are
-    compared, which is a bounded number a member. In a larger bucket all members are compared with a leader h,
-    the one of the least size. Size is the weight for links by weight and the number of shingles for the plain
-    ones, so a bucket has a group of each kind. With T = least / (1 + least), x and y are linked if what they
-    share is T (x + y) or more. If h does not link x, x shares less than T (x + h) <= T (x + y) with h, so a
-    linked x and y also share some shingle that both have over h. The excess of x over h that y lacks is at most
-    (1 - T) x - T h then. So in an order of the shingles that all members keep, their first common one is among
-    those before which x has no more excess than that. Members are filed anew under these, rare ones first, and
-    those that only one component has before all. A key that one component holds alone needs no comparison, and
-    other keys are groups anew: where at most ``SMALL`` members are outside the largest component, these meet all
-    of other components, else all meet a leader, until no group is left. Leaders grow from round to round, so there is an end,
-    and no pair of a bucket that is linked stays between two components.
+    ``texts`` (doc_id, text) holds the members' texts. Every member is compared with its bucket's leader, the one
+    that meets most others in all its buckets, as an original does among its copies. A bucket is settled if its
+    other members are in one component then. The members of the rest are filed under their prefixes (see
+    ``prefixes``), so any linked pair of two components meets under its first common shingle. Under a key, every
+    component but the largest has a leader, then more by round: these are compared with all of other components
+    that the order allows at that place, and leave the key. Components that are linked grow together, so most
+    keys are settled soon; the number of leaders grows until every key is. So no pair of a bucket that is linked
+    stays between two components, and there is no limit on what is compared.
     """
     shared = texts.sparkSession.sparkContext.broadcast(weigh)
+    share = least / (1 + least)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a")
+        return stash(both.select("a", "b", "left", "right").mapInArrow(_verify(shared, least), "a long, b long"), "neardup-links")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def fits(x: str, before: str, y: str) -> F.Column:
+        return F.col(before) <= (1 - share + ROUNDING) * F.col(x) - share * F.col(y)
 
-    def all_pairs(few: DataFrame) -> DataFrame:
-        return unled(few.join(few.withColumnRenamed("doc_id", "leader"), "bucket").where("leader < doc_id"))
-
-    def unled(pairs: DataFrame) -> DataFrame:
-        return pairs.select("leader", "doc_id", F.lit(None).cast("int").alias("kind"))
-
-    def led(groups: DataFrame) -> DataFrame:
-        head = groups.join(sizes, ["doc_id", "kind"]).groupBy("bucket", "kind").agg(F.min(F.struct("size", "doc_id")).alias("h")).select("bucket", "kind", F.col("h.doc_id").alias("leader"))
-        return groups.join(head, ["bucket", "kind"]).where("doc_id <> leader").select("leader", "doc_id", "kind")
-
-    def opened(again: DataFrame) -> DataFrame:
-        """The next pairs: those between components where at most SMALL members are outside the largest one, else those with leaders."""
-        sized = again.groupBy("bucket", "kind", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket", "kind").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
-        again = again.join(sized.select("bucket", "kind", (F.col("n") - F.col("top.c") <= SMALL).alias("few"), F.col("top.component").alias("top")), ["bucket", "kind"])
-        few = again.where("few").join(sizes, ["doc_id", "kind"])
-        minor = few.where("component <> top").select("bucket", "kind", F.col("doc_id").alias("leader"), F.col("component").alias("other"), F.col("size").alias("led"))
-        apart = few.join(minor, ["bucket", "kind"]).where("component <> other").where(F.least("size", "led") >= (least - 1e-9) * F.greatest("size", "led"))
-        return unled(apart.select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("doc_id"))).unionByName(led(again.where("not few").select("bucket", "kind", "doc_id")))
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.groupBy("leader", "doc_id").agg(F.collect_set("kind").alias("kinds"))
-        both = pairs.join(texts.withColumnRenamed("text", "right"), "doc_id").join(texts.withColumnsRenamed({"doc_id": "leader", "text": "left"}), "leader")
-        rows = both.select("leader", "doc_id", "kinds", "left", "right").mapInArrow(_verify(shared, least), "leader long, doc_id long, similarity double, kind int, budget double, extra array<long>, excess array<double>")
-        return stash(rows, "neardup-judged")
-
-    def linked(judged: DataFrame) -> DataFrame:
-        return judged.where(F.col("similarity") >= least).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-
-    def refiled(judged: DataFrame, joined: DataFrame) -> DataFrame:
-        """Groups (bucket, kind, doc_id, component) in which pairs are open."""
-        own = judged.where("kind is not null").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        range_ = (F.min("component").alias("lo"), F.max("component").alias("hi"))
-        mixed = own.groupBy("leader", "kind").agg(*range_).where("lo < hi").select("leader", "kind")
-        each = own.join(mixed, ["leader", "kind"]).select("leader", "kind", "doc_id", "component", "budget", F.explode(F.arrays_zip("extra", "excess")).alias("e"))
-        each = each.select("leader", "kind", "doc_id", "component", "budget", F.col("e.extra").alias("shingle"), F.col("e.excess").alias("excess"))
-        held = each.groupBy("leader", "kind", "shingle").agg(F.count(F.lit(1)).alias("n"), *range_).withColumn("open", F.col("lo") < F.col("hi")).drop("lo", "hi")
-        before = Window.partitionBy("leader", "kind", "doc_id").orderBy("open", "n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-        keyed = each.join(held, ["leader", "kind", "shingle"]).withColumn("before", F.coalesce(F.sum("excess").over(before), F.lit(0.0))).where("open and before <= budget")
-        # what a prefix has left out may leave one component
-        keyed = stash(keyed.select(F.xxhash64("leader", "kind", "shingle").alias("bucket"), "kind", "doc_id", "component"), "neardup-keyed")
-        two = keyed.groupBy("bucket", "kind").agg(*range_).where("lo < hi").select("bucket", "kind")
-        return stash(keyed.join(two, ["bucket", "kind"]), "neardup-again")
-
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    many = stash(sized.where(F.col("n") > SMALL).select("bucket", "doc_id"), "neardup-large")
-    measured = texts.join(many.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    sizes = stash(measured.mapInArrow(_measure(shared), "doc_id long, kind int, size double"), "neardup-sizes")
-    both = many.withColumn("kind", F.explode(F.array(F.lit(WEIGHTED), F.lit(PLAIN))))
-    judged = judge(all_pairs(sized.where(F.col("n") <= SMALL)).unionByName(led(both)))
-    found = linked(judged)
+    central = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("doc_id").agg(F.sum(-F.col("n")).alias("central"))
+    head = members.join(central, "doc_id").groupBy("bucket").agg(F.min(F.struct("central", "doc_id")).alias("h")).select("bucket", F.col("h.doc_id").alias("leader"))
+    rest = stash(members.join(head, "bucket").where("doc_id <> leader"), "neardup-rest")
+    found = verified(rest.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
     joined = components(found)
+    open_ = labelled(rest).groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    wanted = labelled(rest.join(open_, "bucket", "left_semi").select("doc_id").distinct())
+    left = stash(prefixes(wanted.join(texts, "doc_id").select("doc_id", "component", "text"), shared, least), "neardup-prefixes")
+    leaders = 1
     while True:
-        again = refiled(judged, joined)
-        if not again.limit(1).count():
+        sized = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        unsettled = sized.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        left = stash(left.join(unsettled.select("key", F.col("top.component").alias("top")), "key"), "neardup-open")
+        if left.isEmpty():
             return joined
-        judged = judge(opened(again))
-        more = linked(judged)
-        if more.limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("key", "component").orderBy("before", "doc_id"))
+        lead = left.where("component <> top").withColumn("turn", turn).where(F.col("turn") <= leaders)
+        lead = lead.select("key", F.col("doc_id").alias("leader"), F.col("component").alias("other"), F.col("size").alias("led"), F.col("before").alias("ahead"))
+        pairs = left.join(lead, "key").where(F.col("component") != F.col("other")).where(fits("size", "before", "led") & fits("led", "ahead", "size"))
+        more = verified(pairs.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct())
+        left = left.drop("top").join(lead.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        leaders *= GROWTH
+        if not more.isEmpty():
             found = found.unionByName(more)
             joined = components(found)
+            left = labelled(left.drop("component"))
 
 
 def classes(docs: DataFrame, seed: int = 1, least: float = SIMILARITY) -> DataFrame:

@@ -282,16 +282,11 @@ def test_large_group_stays_linked(spark):
     assert collections.Counter(got)[0] == 150
 
 
-def test_large_buckets_lose_no_link(spark):
-    r, base = random.Random(8), prose(120, 6).split()
-    texts = []
-    for _ in range(9):  # families of edited copies, each unlike the base and the other families
-        own = [f"f{r.random()}" if r.random() < 0.06 else w for w in base[: r.randint(80, 120)]]
-        for _ in range(60):
-            at = set(r.sample(range(len(own)), r.randint(1, 3)))
-            texts.append(" ".join(f"e{r.randrange(30)}" if i in at else w for i, w in enumerate(own)))
-    weigh = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
-    sets = [neardup._weighted(neardup.pa.array([t]), weigh) for t in texts]
+def brute_classes(texts, idf):
+    """Classes by all pairs; ``idf`` of a number of documents."""
+    grams = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    df = collections.Counter(g for c in grams for g in c)
+    weights = [{g: n * idf(df[g]) for g, n in c.items()} for c in grams]
     root = list(range(len(texts)))
 
     def find(i):
@@ -300,19 +295,45 @@ def test_large_buckets_lose_no_link(spark):
         return i
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        (a, wa), (b, wb) = sets[i], sets[j]
-        _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        shared = np.minimum(wa[x], wb[y]).sum()
-        if max(shared / (wa.sum() + wb.sum() - shared), len(x) / (len(a) + len(b) - len(x))) >= 0.8:
+        a, b = weights[i], weights[j]
+        shared = sum(min(w, b[g]) for g, w in a.items() if g in b)
+        if shared >= 0.8 * (sum(a.values()) + sum(b.values()) - shared):
             p, q = sorted((find(i), find(j)))
             root[q] = p
-    want = {i: find(i) for i in range(len(texts))}
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_large_buckets_lose_no_link(spark):
+    r, base = random.Random(8), prose(120, 6).split()
+    texts = []
+    for _ in range(9):  # families of edited copies, each unlike the base and the other families
+        own = [f"f{r.random()}" if r.random() < 0.06 else w for w in base[: r.randint(80, 120)]]
+        for _ in range(60):
+            at = set(r.sample(range(len(own)), r.randint(1, 3)))
+            texts.append(" ".join(f"e{r.randrange(30)}" if i in at else w for i, w in enumerate(own)))
+    weigh = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    want = brute_classes(texts, lambda df: 1)
     assert len(set(want.values())) > 9
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.id: x.component for x in neardup.links(rows, rows.selectExpr("7L as bucket", "doc_id"), weigh).collect()}
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_many_near_copies_have_the_classes_of_all_pairs(spark):
+    r, base = random.Random(12), prose(200, 15).split()
+    texts = []
+    for i in range(300):
+        at = set(r.sample(range(200), r.randint(0, 5)))
+        texts.append(" ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base)))
+    texts += [" ".join(["same", *prose(60, 300 + i).split()]) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(texts, lambda df: math.sqrt(1 + math.log(min(len(texts) / df, 1 / neardup.COMMON))))
+    assert 40 < len(set(want.values())) < 340
+    assert {x.doc_id: x.class_id for x in neardup.classes(rows).collect()} == want
+    # a tie of leaders, and everything twice
+    assert {x.doc_id: x.class_id for x in neardup.classes(rows.unionByName(rows)).collect()} == want
+
+
 def test_samples_estimate_similarity():
     r = np.random.RandomState(5)
     a = r.randint(0, 1 << 62, 400).astype(np.uint64)
