@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
 from evalbench.operators import chunks as op
+from evalbench.operators import parsing
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 
@@ -97,19 +99,24 @@ def c15(spark, d):
     return g.join(docs, "document_id").where("reported <> expected")
 
 
-@register("c16_merge_split_parses", f"with {_EL} select document_id, page, cast(page + coalesce(off, 0) as bigint) as merged_page from (select distinct document_id, page from el) join (select document_id, sum(p) over (order by document_id rows between unbounded preceding and 1 preceding) as off from (select document_id, max(page) as p from el group by 1) where document_id < 50) using (document_id)")
-def c16(spark, d):
-    from pyspark.sql.window import Window
+_PARTS = """part as (select source as document_id, doc_id as part, sum(p) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as start, sum(m) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as shift from (select doc_id, source, max(page) as p, max(case when idx % 4 <> 3 then idx + 1 end) as m from el join documents on doc_id = document_id group by all))"""
+
 
-    e = elements(spark, d).where("document_id < 50").select(F.lit("whole").alias("whole"), "document_id", "page").distinct()
-    parts = e.groupBy("whole", "document_id").agg(F.max("page").alias("p"))
-    w = Window.partitionBy("whole").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.join(parts.withColumn("off", F.coalesce(F.sum("p").over(w), F.lit(0))), ["whole", "document_id"]).select("document_id", "page", (F.col("page") + F.col("off")).alias("merged_page"))
+@register("c16_merge_split_parses", f"""with {_EL}, {_PARTS} select part.document_id, part, idx, cast(case when idx % 4 <> 3 then idx + coalesce(shift, 0) end as bigint) as id, cast(page + coalesce(start, 0) as bigint) as page, '<p id="' || cast(idx + coalesce(shift, 0) as varchar) || '">' || cast(idx as varchar) || '</p>' as html from el join part on part.part = el.document_id""")
+def c16(spark, d):
+    """Documents are the parts of their source; one element in four has no id."""
+    e = elements(spark, d).join(rel.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source"), "document_id")
+    html = F.format_string('<p id="%d">%d</p>', F.col("idx"), F.col("idx"))
+    parsed = e.select(F.col("source").alias("document_id"), F.col("document_id").alias("part"), "idx", F.when(F.col("idx") % 4 != 3, F.col("idx")).alias("id"), "page", html.alias("html"))
+    sizes = parsed.groupBy("document_id", "part").agg(F.max("page").alias("p"))
+    start = F.coalesce(F.sum("p").over(Window.partitionBy("document_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = parsing.merged(sizes.select("document_id", "part", start.alias("start")), parsed)
+    return out.withColumn("id", F.col("id").cast("long")).withColumn("page", F.col("page").cast("long"))
 
 
 @register("w15_heading_stack")
 def w15(spark, d):
-    b = blocks(spark, d).where("document_id < 200").withColumn("content", F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), (F.col("ord") % 3 + 1).cast("int")), F.lit(" "), F.substring("content", 1, 10))).otherwise(F.col("content")))
+    b = blocks(spark, d).withColumn("content", F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), (F.col("ord") % 3 + 1).cast("int")), F.lit(" "), F.col("content"))).otherwise(F.col("content")))
     return op.section_paths(b).select("document_id", "ord", F.array_join("section", ">").alias("section"))
 
 
@@ -151,8 +158,6 @@ def c10(spark, d):
 
 @register("c11_heading_chunks", f"with {_EL}, {_BL}, sec as (select document_id, ord, content, sum(case when kind = 'heading' then 1 else 0 end) over (partition by document_id order by ord) as run from bl), st as (select document_id, run, {_TOK.format('string_agg(content, chr(10) order by ord)')} as t from sec group by all) select document_id, run, cast(o as integer) as ordinal, o * 500 as token_start, least(o * 500 + 600, len(t)) as token_end from (select document_id, cast(run as bigint) as run, t, unnest(range(0, greatest(1, cast(ceil((len(t) - 100) / 500.0) as bigint)))) as o from st where len(t) > 0)")
 def c11(spark, d):
-    from pyspark.sql.window import Window
-
     b = blocks(spark, d)
     run = F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(Window.partitionBy("document_id").orderBy("ord"))
     b = b.withColumn("run", run).withColumn("key", F.concat_ws("#", "document_id", "run"))
@@ -193,8 +198,6 @@ def w18(spark, d):
 
 @register("w19_fixed_batches", "select doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 20 as bigint) as batch from documents")
 def w19(spark, d):
-    from pyspark.sql.window import Window
-
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return rel.read(spark, d, "documents").select("doc_id", F.floor((n - 1) / 20).alias("batch"))
 
@@ -205,22 +208,62 @@ def c22(spark, d):
     return h.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("snapshot_id"))
 
 
-@register("c21_raw_response_checkpoint", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.k') is not null as complete from events")
+_CALLS = """calls as (select doc_id as document_id, 1 + doc_id % 4 as pages, doc_id % 12 as k from documents)"""
+_PROBLEM = "case when k = 0 then 'no_response' when k = 1 then 'not_json' when k = 2 then 'model_version' when k = 3 then 'elements' when k = 4 then 'page_count' when k = 5 then 'no_evidence' when k = 6 then 'page_range' when k = 11 then 'elements' end"
+
+
+def calls(spark, d):
+    """One case of a response for each remainder of the id: what is wrong with it is in _PROBLEM."""
+    i = F.col("doc_id")
+    k, pages = i % 12, (1 + i % 4).cast("int")
+    element = lambda page: F.concat(F.lit('{"id":1,"page":'), page.cast("string"), F.lit(',"category":"p","content":"x"}'))
+    body = lambda model, elements, rest="": F.concat(F.lit(f'{{"model":"{model}",{rest}"elements":['), elements, F.lit("]}"))
+    usage = lambda n: F.concat(F.lit('{"model":"m-2","usage":{"pages":'), n.cast("string"), F.lit('},"elements":['), element(pages), F.lit("]}"))
+    raw = (
+        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit('{"model":"m-2","elements":[')).when(k == 2, body("m-1", element(pages))).when(k == 3, F.lit('{"model":"m-2","elements":{"id":1}}')).when(k == 4, usage(pages + 1))
+        .when(k == 5, F.lit('{"model":"m-2","content":{"markdown":"","html":""}}')).when(k == 6, body("m-2", element(pages + 1))).when(k == 7, usage(pages)).when(k == 8, F.lit('{"model":"m-2","content":{"markdown":"# t"}}')).when(k == 11, F.lit('{"model":"m-2","elements":[null]}'))
+        .otherwise(body("m-2", F.concat(element(F.lit(1)), F.lit(","), element(pages))))
+    )
+    return rel.read(spark, d, "documents").select(i.alias("document_id"), pages.alias("pages"), raw.alias("raw"))
+
+
+@register("c21_raw_response_checkpoint", f"with {_CALLS} select document_id, pages, {_PROBLEM} as problem, case when k = 0 then 'failed' when {_PROBLEM} is null then 'succeeded' else 'reconciliation_required' end as status, case when k = 0 then 0.0 else pages * 0.011 end as cost, case when k = 8 then 0 when k = 7 then 1 when k in (9, 10) then case when pages = 1 then 1 else 2 end end as mapped_pages from calls")
 def c21(spark, d):
-    p = F.from_json("props", "k long")
-    return rel.read(spark, d, "events").select("event_id", p["k"].alias("k"), p["k"].isNotNull().alias("complete"))
+    c = parsing.checkpoints(calls(spark, d), "m-2", "0.01", "0.10")
+    return c.select("document_id", "pages", "problem", "status", F.col("cost").cast("double").alias("cost"), "mapped_pages")
+
+
+_PLAN = """chk as (select doc_id as document_id, sha256(cast(doc_id as varchar)) as sha, 1 + doc_id % 4 as pages, case when doc_id % 13 = 0 then 'failed' else 'succeeded' end as status, doc_id % 17 <> 0 as whole, case when doc_id % 19 = 0 then 'v1' else 'v2' end as version, case when doc_id % 23 = 0 then 'enhanced' else 'standard' end as mode, case when doc_id % 29 = 0 then 9 else 1 + doc_id % 4 end as seen from documents where doc_id % 3 <> 0),
+plan as (select d.doc_id as document_id, 1 + d.doc_id % 4 as pages, coalesce(status = 'succeeded' and whole and seen = 1 + d.doc_id % 4, false) as cache_hit, coalesce(status = 'succeeded' and not (whole and seen = 1 + d.doc_id % 4), false) as corrupt from documents d left join (select * from chk where version = 'v2' and mode = 'standard') c on c.document_id = d.doc_id)"""
+
 
+def planned(spark, d):
+    docs, i = rel.read(spark, d, "documents").select("doc_id"), F.col("doc_id")
+    sha, pages = F.sha2(i.cast("string"), 256), (1 + i % 4).cast("int")
+    documents = docs.select(i.alias("document_id"), sha.alias("source_sha256"), pages.alias("pages"))
+    stored = docs.where("doc_id % 3 <> 0").select(
+        F.lit("s1").alias("snapshot_id"), i.alias("document_id"), sha.alias("source_sha256"), F.when(i % 29 == 0, 9).otherwise(pages).alias("pages"), F.when(i % 23 == 0, "enhanced").otherwise("standard").alias("mode"), F.lit("m").alias("model_id"),
+        F.when(i % 19 == 0, "v1").otherwise("v2").alias("model_version"), F.when(i % 13 == 0, "failed").otherwise("succeeded").alias("status"), F.lit("body").alias("payload"), F.when(i % 17 == 0, "x").otherwise(F.sha2(F.lit("body"), 256)).alias("payload_hash"),
+    )
+    return parsing.plan(documents, stored, "s1", "standard", "m", "v2")
 
-@register("c18_parse_plan", "select doc_id as document_id, case when quality = 1 then 'cached' when quality = 0 then 'stale' else 'new' end as action from documents left join labels using (doc_id)")
+
+@register("c18_parse_plan", f"with {_PLAN} select * from plan")
 def c18(spark, d):
-    met = rel.read(spark, d, "documents").select("doc_id").join(rel.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return met.select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "cached").when(F.col("quality") == 0, "stale").otherwise("new").alias("action"))
+    return planned(spark, d).select("document_id", F.col("pages").cast("long").alias("pages"), "cache_hit", "corrupt")
+
+
+@register("c18_parse_plan_totals", f"with {_PLAN} select count(*) filter (not cache_hit) as new_calls, cast(sum(pages) filter (not cache_hit) as bigint) as billable_pages, count(*) filter (corrupt) as corrupt, sum(pages) filter (not cache_hit) * 0.01 as base, sum(pages) filter (not cache_hit) * 0.011 as worst, 135.0 - 21.5 - sum(pages) filter (not cache_hit) * 0.011 as remaining from plan")
+def c18_totals(spark, d):
+    t = parsing.plan_totals(planned(spark, d), "0.01", "0.10", "135", "21.5")
+    return t.select("new_calls", "billable_pages", "corrupt", *[F.col(c).cast("double").alias(c) for c in ("base", "worst", "remaining")])
 
 
-@register("c20_parse_run_summary", "select case event_id % 10 when 0 then 'failed' when 1 then 'reconciliation_required' else 'succeeded' end as status, count(*) as n from events where event_type = 'signup' group by 1")
+@register("c20_parse_run_summary", f"with {_CALLS}, {_PLAN}, x as (select plan.*, {_PROBLEM} as problem from plan join calls using (document_id)) select count(*) as documents, cast(sum(pages) as bigint) as pages, count(*) filter (cache_hit) as cache_hits, cast(sum(pages) filter (cache_hit) as bigint) as cached_pages, count(*) filter (not cache_hit and problem is null) as new_successes, count(*) filter (cache_hit or problem is null) as completed, cast(sum(pages) filter (cache_hit or problem is null) as bigint) as completed_pages, count(*) filter (not cache_hit and problem is not null) as failures, cast(sum(pages) filter (not cache_hit and problem is not null) as bigint) as failed_pages, count(*) filter (corrupt) as corrupt from x")
 def c20(spark, d):
-    i = F.col("event_id") % 10
-    return rel.read(spark, d, "events").where("event_type = 'signup'").groupBy(F.when(i == 0, "failed").when(i == 1, "reconciliation_required").otherwise("succeeded").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    plan = planned(spark, d)
+    made = parsing.checkpoints(calls(spark, d).join(plan.where("not cache_hit").select("document_id"), "document_id"), "m-2", "0.01", "0.10")
+    return parsing.run_summary(plan, made)
 
 
 @register("c19_embedding_manifest", "select label, count(*) as n, sha256(string_agg(cast(vec_id as varchar), ',' order by vec_id)) as manifest from embeddings group by label")
