@@ -107,10 +107,42 @@ def g10(spark, d):
     return rel.read(spark, d, "events").select("event_id", ctx.token_usage(F.col("props"), "k").alias("tokens"))
 
 
-@register("e9_judge_parse", "select event_id, cast(json_extract_string(props, '$.k') as bigint) % 5 as grade, cast(json_extract_string(props, '$.k') as bigint) % 5 in (1, 2) as allowed from events")
+_GOOD = '{"correctness":0.5,"correctness_evidence_ids":["e1"],"claims":[{"claim_id":"c1","supported":true,"evidence_ids":["e1"],"rationale":"e1 shows it"},{"claim_id":"c2","supported":false,"evidence_ids":[],"rationale":"none"}],"citations":[{"citation_id":"e1","claim_ids":["c1"],"supported":true,"evidence_ids":["e1"],"rationale":"e1"}],"benchmark_defect":false,"benchmark_defect_evidence_ids":[],"rationale":"see e1."}'
+#: Changes to a good answer of a judge, and the rule that each breaks: one rule a row.
+_JUDGED = [
+    ("", "", None),
+    ('"correctness":0.5,', "", "not_strict_json"),
+    ('"correctness":0.5', '"correctness":1.5', "not_strict_json"),
+    ('"benchmark_defect":false', '"note":1,"benchmark_defect":false', "not_strict_json"),
+    ('see e1."}', "see", "not_strict_json"),
+    ('"claim_id":"c2"', '"claim_id":"c1"', "claim_coverage"),
+    ('"citation_id":"e1"', '"citation_id":"e2"', "citation_coverage"),
+    ('"correctness_evidence_ids":["e1"]', '"correctness_evidence_ids":["e9"]', "invented_evidence"),
+    ('"claim_ids":["c1"]', '"claim_ids":["c7"]', "invented_claim"),
+    ('"supported":false,"evidence_ids":[]', '"supported":false,"evidence_ids":["g1"]', "not_retrieved"),
+    ('"claim_ids":["c1"]', '"claim_ids":[]', "citation_without_claim"),
+    ('["c1"],"supported":true,"evidence_ids":["e1"]', '["c1"],"supported":true,"evidence_ids":["e2"]', "citation_not_its_own"),
+    ('"c1","supported":true,"evidence_ids":["e1"]', '"c1","supported":true,"evidence_ids":[]', "support_without_evidence"),
+    ('"correctness_evidence_ids":["e1"]', '"correctness_evidence_ids":[]', "correctness_without_evidence"),
+    ('"benchmark_defect":false', '"benchmark_defect":true', "defect_without_evidence"),
+    ("e1 shows it", "it shows", "evidence_not_in_rationale"),
+    ("see e1.", "see e1 and x-77.", "invented_in_rationale"),
+    ('"correctness_evidence_ids":["e1"]', '"correctness_evidence_ids":["e1","e1"]', "blank_or_repeated_evidence"),
+    ("see e1.", "see e1이.", None),
+]
+
+
+@register("e9_judge_parse", "select event_id, [" + ",".join("null" if p is None else f"'{p}'" for _, _, p in _JUDGED) + f"][event_id % {len(_JUDGED)} + 1] as problem from events")
 def e9(spark, d):
-    k = F.from_json("props", "k long")["k"] % 5
-    return rel.read(spark, d, "events").select("event_id", k.alias("grade"), k.isin(1, 2).alias("allowed"))
+    """The rule that each change breaks is written beside it."""
+    case = F.col("event_id") % len(_JUDGED)
+    raw = F.lit(_GOOD)
+    for i, (old, new, _) in enumerate(_JUDGED):
+        if old:
+            raw = F.when(case == i, _GOOD.replace(old, new, 1)).otherwise(raw)
+    names = lambda *x: F.array(*[F.lit(v) for v in x])
+    problem = op.judgement_problem(F.col("raw"), names("c1", "c2"), names("e1"), names("g1"), names("e1", "e2"))
+    return rel.read(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", problem.alias("problem"))
 
 
 @register("e14_blind_judge_prompt", """select conv_id, turn, md5('{"question":' || to_json(text) || ',"turn":' || cast(turn as varchar) || '}') as prompt from conversations""")
@@ -249,10 +281,16 @@ def x13(spark, d):
     return g.select(F.sha2(F.array_join(F.transform("x", lambda x: x["config_hash"]), ","), 256).alias("frozen"))
 
 
-@register("x14_gold_completeness", w("results", "select experiment_id, count(distinct question_id) as items, count(*) as rows_n, count(*) = 3 * count(distinct question_id) as complete from results group by experiment_id"))
+@register("x14_gold_completeness", w("results", """select experiment_id as config_hash, 'self_hash' as problem, count(*) as n from results where event_id % 31 = 0 group by all union all select experiment_id, 'file_name', count(*) from results where event_id % 43 = 0 group by all
+union all select experiment_id, 'unknown_config', count(*) from results where experiment_id = 'e11' group by all union all select c, 'missing', (select count(distinct question_id) from results where event_id % 5 <> 0) - count(distinct case when event_id % 5 <> 0 then question_id end) from (select distinct experiment_id as c from results where experiment_id <> 'e11') left join results on experiment_id = c group by c
+union all select experiment_id, 'extra', count(distinct question_id) from results where event_id % 5 = 0 and experiment_id <> 'e11' group by all"""))
 def x14(spark, d):
-    g = rel.results(spark, d).groupBy("experiment_id").agg(F.countDistinct("question_id").alias("items"), F.count(F.lit(1)).alias("rows_n"))
-    return g.withColumn("complete", F.col("rows_n") == 3 * F.col("items"))
+    r, i = rel.results(spark, d), F.col("event_id")
+    body = F.to_json(F.struct("hit", "recall"))
+    stored = r.select(F.col("experiment_id").alias("config_hash"), F.col("question_id").alias("item_id"), body.alias("payload"), F.when(i % 31 == 0, "x").otherwise(F.sha2(body, 256)).alias("payload_hash"), F.when(i % 43 == 0, "x.json").otherwise(F.concat(F.sha2("question_id", 256), F.lit(".json"))).alias("name"))
+    configs = r.select(F.col("experiment_id").alias("config_hash")).where("config_hash <> 'e11'").distinct()
+    items = r.where(i % 5 != 0).select(F.col("question_id").alias("item_id")).distinct()
+    return op.gold_store_problems(stored, configs, items).groupBy("config_hash", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("x15_experiment_lookup", w("results", "select experiment_id, question_type, count(*) as n from results where experiment_id = 'e03' group by all"))
@@ -266,10 +304,18 @@ def x19(spark, d):
     return op.pending(e, e.where("vec_id % 3 = 0"), ["vec_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@register("x20_screening_store", "select status, count(*) as n from (select user_id, arg_max(event_type, event_id) as status from events group by user_id) group by status")
+_LOG = "log as (select user_id as run_id, event_id as seq, case event_id % 9 when 0 then 'begin' when 4 then 'interrupt' when 7 then case when event_id % 4 = 0 then 'finish' else 'begin' end else 'question' end as action, case when event_id % 9 in (0, 7) and not (event_id % 9 = 7 and event_id % 4 = 0) then event_id % 45 // 9 // 4 end as inputs, event_id % 6 as question_id from events)"
+
+
+@register("x20_screening_store", f"""with {_LOG}, given as (select run_id, arg_min(inputs, seq) as g from log where action = 'begin' group by run_id), r as (select log.*, g from log join given using (run_id)),
+s as (select run_id, max(seq) filter (action = 'begin' and inputs = g) as begun, max(seq) filter (action in ('interrupt', 'finish')) as stopped, arg_max(action, seq) filter (action in ('interrupt', 'finish')) as last, count(distinct question_id) filter (action = 'question') as completed, count(*) filter (action = 'begin' and inputs <> g) as collisions from r group by run_id)
+select run_id, case when last is null then 'running' when last = 'finish' then 'complete' when begun > stopped then 'running' else 'interrupted' end as status, completed, collisions from s""")
 def x20(spark, d):
-    latest = rel.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
-    return latest.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    i = F.col("event_id")
+    end = (i % 9 == 7) & (i % 4 == 0)
+    action = F.when(i % 9 == 0, "begin").when(i % 9 == 4, "interrupt").when(end, "finish").when(i % 9 == 7, "begin").otherwise("question")
+    log = rel.read(spark, d, "events").select(F.col("user_id").alias("run_id"), i.alias("seq"), action.alias("action"), F.when((i % 9).isin(0, 7) & ~end, F.floor(F.floor(i % 45 / 9) / 4)).alias("inputs"), (i % 6).alias("question_id"))
+    return op.screening_state(log)
 
 
 @register("x21_attempt_numbers", "select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as attempt from events where event_type = 'error'")
