@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,14 +37,31 @@ def totals(ledger: DataFrame) -> DataFrame:
 
 
 def replay(requests: DataFrame, cap: str) -> DataFrame:
-    """Requests in order with the spending before and whether it still fits: reaching the cap is a rejection.
+    """Requests (account, ord, amount) in order, with what the account has reserved after each and whether it was accepted.
 
-    The running sum counts every earlier request, so what follows the first rejection is rejected too.
-    Partitioned by account.
+    A request that would reach the cap is rejected and reserves nothing, so a later, smaller one may fit. As each
+    answer depends on the ones before, an account is read in order by one task, row by row: its requests are sorted
+    by Spark and never held together.
     """
-    w = Window.partitionBy("account").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = requests.withColumn("spent", F.sum("amount").over(w).cast("decimal(38,6)"))
-    return out.withColumn("accepted", F.col("spent") < F.lit(cap).cast("decimal(38,6)"))
+    kind = requests.schema["amount"].dataType.simpleString()
+    limit = Decimal(cap)
+
+    def run(batches):
+        account, spent = object(), Decimal(0)
+        for batch in batches:
+            sums, accepted = [], []
+            for a, amount in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if a != account:
+                    account, spent = a, Decimal(0)
+                ok = amount is not None and spent + amount < limit
+                spent += amount if ok else 0
+                sums.append(spent)
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.decimal128(38, 6)), pa.array(accepted, pa.bool_())], ["account", "ord", "amount", "spent", "accepted"])
+
+    types = [requests.schema[c].dataType.simpleString() for c in ("account", "ord")]
+    rows = requests.select("account", "ord", "amount").repartition("account").sortWithinPartitions("account", "ord")
+    return rows.mapInArrow(run, f"account {types[0]}, ord {types[1]}, amount {kind}, spent decimal(38,6), accepted boolean")
 
 
 TRANSITIONS = {"open": {"settled", "released", "reconciliation_required"}, "reconciliation_required": {"settled", "released"}, "settled": set(), "released": set()}

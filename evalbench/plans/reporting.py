@@ -145,9 +145,9 @@ def j7(spark, d):
     return two_systems(spark, d).select("question_id", F.col("left").alias("left_value"), F.col("right").alias("right_value"))
 
 
-@register("j9_parse_mode_pairs", _star("", "select chunk_strategy, question_type, round(avg(recall) filter (parse_mode = 'enhanced') - avg(recall) filter (parse_mode = 'standard'), 6) as effect from star where event_id < 5000 group by all"))
+@register("j9_parse_mode_pairs", _star("", "select chunk_strategy, question_type, round(avg(recall) filter (parse_mode = 'enhanced') - avg(recall) filter (parse_mode = 'standard'), 6) as effect from star group by all"))
 def j9(spark, d):
-    p = star(spark, d).where("event_id < 5000").groupBy("chunk_strategy", "question_type").pivot("parse_mode", ["standard", "enhanced"]).agg(F.avg("recall"))
+    p = star(spark, d).groupBy("chunk_strategy", "question_type").pivot("parse_mode", ["standard", "enhanced"]).agg(F.avg("recall"))
     return p.select("chunk_strategy", "question_type", F.round(F.col("enhanced") - F.col("standard"), 6).alias("effect"))
 
 
@@ -223,9 +223,9 @@ def a23(spark, d):
     return led.totals(ledger(spark, d)).select(F.col("settled").cast("double").alias("settled"), F.col("open").cast("double").alias("open"))
 
 
-@register("m3_reserve_replay", f"with {_LED} select account, count(*) as requests, count(*) filter (spent < 1000) as accepted from (select account, sum(amount) over (partition by account order by ord) as spent from ledger) group by account")
+@register("m3_reserve_replay", f"with recursive {_LED}, n as (select account, amount, row_number() over (partition by account order by ord) as r from ledger), f as (select distinct account, cast(0 as bigint) as r, cast(0 as decimal(38,6)) as spent, cast(0 as bigint) as accepted from ledger union all select n.account, n.r, case when spent + amount < 1000 then spent + amount else spent end, accepted + case when spent + amount < 1000 then 1 else 0 end from f join n on n.account = f.account and n.r = f.r + 1) select account, max(r) as requests, max(accepted) as accepted, cast(max(spent) as double) as reserved from f group by account")
 def m3(spark, d):
-    return led.replay(ledger(spark, d), "1000").groupBy("account").agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"))
+    return led.replay(ledger(spark, d), "1000").groupBy("account").agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.max("spent").cast("double").alias("reserved"))
 
 
 _HIST = "hist as (select event_id // 3 as id, event_id % 3 as seq, case when event_id % 3 = 0 then 'open' when event_id % 3 = 1 then ['settled','released','reconciliation_required'][event_id % 7 % 3 + 1] else ['settled','released'][event_id % 2 + 1] end as state from events)"
