@@ -10,7 +10,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 #: Letters without digits and underscore, as Java classes; grouped numbers first, then plain ones.
 TOKEN = r"\p{Nd}{1,3}(?:,\p{Nd}{3})+(?:\.\p{Nd}+)?|\p{Nd}+(?:\.\p{Nd}+)?|[\p{L}\p{Nl}\p{No}]+"
@@ -21,6 +21,11 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -47,6 +52,32 @@ def ratio_of_at_least(least: float):
     return ratio
 
 
+def nearly_contains(least: float):
+    """Whether a text has a window of the needle's length, at steps of a tenth of it, with a ratio of ``least`` or more; null needles give null."""
+
+    @F.pandas_udf(BooleanType())
+    def found(needle: pd.Series, text: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(needle, text, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            n, bag, ok = len(x), Counter(x), False
+            match = difflib.SequenceMatcher(None, "", "")
+            for at in range(0, len(y) - n + 1, max(1, n // 10)):
+                part = y[at : at + n]
+                # the bag of characters bounds the ratio from above
+                if sum((bag & Counter(part)).values()) >= (least - 1e-9) * n:
+                    match.set_seqs(x, part)
+                    if match.ratio() >= least:
+                        ok = True
+                        break
+            out.append(ok)
+        return pd.Series(out, dtype="object")
+
+    return found
+
+
 @F.pandas_udf(StringType())
 def uuid5_url(name: pd.Series) -> pd.Series:
     return name.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
@@ -61,9 +92,17 @@ def tokens(text: Column, unicode_forms: bool = False) -> Column:
     return F.regexp_extract_all(fold(text, unicode_forms), F.lit(TOKEN), 0)
 
 
-def squash(text: Column) -> Column:
-    """Search text: digits, a-z and Hangul syllables of the lower-cased text."""
-    return F.regexp_replace(F.lower(text), "[^0-9a-z가-힣]", "")
+#: The full-width forms of the ASCII characters, and these.
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def squash(text: Column, unicode_forms: bool = False) -> Column:
+    """Search text: digits, a-z and Hangul syllables of the lower-cased text; full-width letters and digits count as plain ones.
+
+    Other compatibility forms only with ``unicode_forms``, which costs an Arrow UDF.
+    """
+    plain = nfkc(text) if unicode_forms else F.translate(text, _WIDE, _PLAIN)
+    return F.regexp_replace(F.lower(plain), "[^0-9a-z가-힣]", "")
 
 
 def answer_key(text: Column, unicode_forms: bool = False) -> Column:

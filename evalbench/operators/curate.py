@@ -22,8 +22,13 @@ def evidence_rules(candidates: DataFrame, windows: DataFrame) -> DataFrame:
     return out.select("candidate_id", rule.alias("rule"))
 
 
+#: One-letter words that negate and so count as content.
+NEGATIONS = ("안", "못")
+
+
 def content_tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[0-9a-z가-힣]+"), 0), lambda t: F.length(t) >= 2)
+    """Words of two letters or more, and the negations."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[0-9a-z가-힣]+"), 0), lambda t: (F.length(t) >= 2) | t.isin(*NEGATIONS))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -49,35 +54,76 @@ def contaminated(questions: DataFrame, terms: list[str]) -> DataFrame:
     return questions.where(F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(both, t)))
 
 
-def near_duplicate_questions(questions: DataFrame, least: float = 0.92) -> DataFrame:
-    """Pairs a < b (item_id) whose fingerprints have a matching-blocks ratio of ``least`` or more.
+def exact_duplicates(questions: DataFrame) -> DataFrame:
+    """Pairs (a, b) of equal fingerprints: each later item with the first one."""
+    f = questions.select("item_id", tx.fingerprint(F.col("question")).alias("f"))
+    first = f.groupBy("f").agg(F.min("item_id").alias("a"))
+    return f.join(first, "f").where("item_id <> a").select("a", F.col("item_id").alias("b"))
+
 
-    Texts of n >= m characters with ratio r leave at most u = (1 - r) 2 n characters unmatched in both together. Each
-    of these breaks at most one of u + 1 pieces of the longer text, so one piece at least is in the other text, at
-    a place that is off by at most u. Only pairs that share the start of such a piece, of the least length of the
-    pieces, and whose lengths allow the ratio, are compared; a piece held by any number of texts counts.
+def duplicate_groups(questions: DataFrame, least: float, checkpoint) -> DataFrame:
+    """item_id, group_id (its smallest item) and rejected (all but that one) of every item that is like another.
+
+    Fingerprints are alike with a matching-blocks ratio of ``least`` or more, and a group is what such pairs connect.
+    Equal fingerprints are one from the start. Texts of n >= m characters with ratio r leave at most u = (1 - r) 2 n
+    characters unmatched in both together. Each of these breaks at most one of u + 1 pieces of the longer text, so
+    one piece at least is in the other text, at a place that is off by at most u: pairs meet under such a piece.
+    Under a piece one of the longer texts leads first and is compared with all shorter ones whose place and length
+    allow the ratio; after that one of each component, then more by round, with those of other components only. What
+    has led leaves, and the end is where all that is left under a piece is in one component. So a piece that many
+    texts hold costs about as many comparisons as texts, and no pair of two groups is left out.
     """
     if least <= 0.5:
         raise ValueError("least has to be above 0.5")
-    f = questions.select("item_id", tx.fingerprint(F.col("question")).alias("f")).where("f <> ''")
-    f = f.withColumn("n", F.length("f"))
-    same = f.groupBy("f").agg(F.min("item_id").alias("a")).join(f.select("f", F.col("item_id").alias("b")), "f").where("a < b").select("a", "b", F.lit(1.0).alias("ratio"))
-    one = f.groupBy("f", "n").agg(F.min("item_id").alias("item_id"))
+    f = questions.select("item_id", tx.fingerprint(F.col("question")).alias("f"))
+    one = checkpoint(f.groupBy("f").agg(F.min("item_id").alias("item_id")).withColumn("n", F.length("f")))
     pieces = lambda n: F.floor(2 * (1 - least) * n + 1e-6).cast("int") + 1
     width = lambda n: F.floor(n / pieces(n)).cast("int")
     n, longest = F.col("n"), F.floor(F.col("n") * ((2 - least) / least) + 1e-6).cast("int")
     cut = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda i: F.struct(F.substring("f", i * width(n) + 1, width(n)).alias("g"), (i * width(n)).alias("at")))
-    left = one.select(F.col("item_id").alias("x"), F.col("f").alias("fx"), F.col("n").alias("nx"), pieces(n).alias("off"), F.explode(cut).alias("e")).select("x", "fx", "nx", "off", "e.g", "e.at")
+    some = one.where("n > 0")
+    left = some.select(F.col("item_id").alias("x"), F.col("n").alias("nx"), pieces(n).alias("off"), F.explode(cut).alias("e")).select("x", "nx", "off", "e.g", "e.at")
     # the widths of all texts that may be the longer of a pair
     widths = F.array_distinct(F.transform(F.sequence(n, F.greatest(n, longest)), width))
-    own = one.select("item_id", "f", "n", F.explode(widths).alias("w")).where("w <= n")
+    own = some.select("item_id", "f", "n", F.explode(widths).alias("w")).where("w <= n")
     place = F.posexplode(F.transform(F.sequence(F.lit(1), n - F.col("w") + 1), lambda i: F.substring("f", i, F.col("w")))).alias("place", "g")
-    right = own.select(F.col("item_id").alias("y"), F.col("f").alias("fy"), F.col("n").alias("ny"), place)
+    right = own.select(F.col("item_id").alias("y"), F.col("n").alias("ny"), place)
+    held = left.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    right = checkpoint(right.join(held, "g").where("y <> lo or y <> hi").drop("lo", "hi"))
+    left = checkpoint(left.join(right.select("g").distinct(), "g", "left_semi"))
+    texts = one.select("item_id", "f")
     fits = (F.col("nx") >= F.col("ny")) & (F.col("x") != F.col("y")) & (F.abs(F.col("at") - F.col("place")) < F.col("off")) & (2 * F.col("ny") >= (least - 1e-9) * (F.col("nx") + F.col("ny")))
-    first = F.col("x") < F.col("y")
-    met = left.join(right, "g").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("fx")).otherwise(F.col("fy")).alias("f"), F.when(first, F.col("fy")).otherwise(F.col("fx")).alias("fb")).distinct()
-    near = met.withColumn("ratio", tx.ratio_of_at_least(least)("f", "fb")).where("ratio is not null").select("a", "b", "ratio")
-    return same.unionByName(near)
+    labels, found, leaders = None, None, 0
+    while True:
+        a, b = left, right
+        if labels is not None:
+            a = a.join(labels.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
+            b = b.join(labels.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
+        else:
+            a, b = a.withColumn("cx", F.col("x")), b.withColumn("cy", F.col("y"))
+        a, b = a.withColumn("cx", F.coalesce("cx", "x")), b.withColumn("cy", F.coalesce("cy", "y"))
+        turn = Window.partitionBy("g") if not leaders else Window.partitionBy("g", "cx")
+        lead = checkpoint(a.withColumn("turn", F.row_number().over(turn.orderBy("x", "at"))).where(F.col("turn") <= max(leaders, 1)).drop("turn"))
+        if lead.isEmpty():
+            break
+        # the earlier text comes first, as the ratio is not symmetric
+        pairs = lead.join(b, "g").where(fits & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        both = pairs.join(texts.select(F.col("item_id").alias("a"), F.col("f").alias("fa")), "a").join(texts.select(F.col("item_id").alias("b"), F.col("f").alias("fb")), "b")
+        more = checkpoint(both.withColumn("ratio", tx.ratio_of_at_least(least)("fa", "fb")).where("ratio is not null").select("a", "b"))
+        left = checkpoint(left.join(lead.select("x", "g", "at"), ["x", "g", "at"], "left_anti"))
+        if not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
+            labels = min_label_components(found, checkpoint)
+        if labels is not None:  # what has one component under its piece is settled
+            named = left.select("g", F.col("x").alias("id")).unionByName(right.select("g", F.col("y").alias("id"))).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            open_ = named.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+            left = checkpoint(left.join(open_, "g", "left_semi"))
+        leaders = max(1, leaders * 8)
+    first = f.join(one.select("f", F.col("item_id").alias("first")), "f").select("item_id", "first")
+    if labels is not None:
+        first = first.join(labels.select(F.col("id").alias("first"), "component"), "first", "left").select("item_id", F.coalesce("component", "first").alias("first"))
+    many = first.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
+    return first.join(many, "first").select("item_id", F.col("first").alias("group_id"), (F.col("item_id") != F.col("first")).alias("rejected"))
 
 
 def min_label_components(links: DataFrame, checkpoint) -> DataFrame:
@@ -104,20 +150,20 @@ def shared_token_links(items: DataFrame) -> DataFrame:
     return items.join(first, "token").where("a <> item_id").select("a", F.col("item_id").alias("b")).distinct()
 
 
-def allocate_splits(components: DataFrame, splits: dict[str, int], seed: int) -> DataFrame:
-    """Largest component first to the split that is furthest from its size; ties by a hash.
+def allocate_splits(components: DataFrame, splits: list[str], seed: int) -> DataFrame:
+    """Largest component first to the split that has least so far; ties by a hash of the seed.
 
     Sequential by nature; runs on the driver over (component, size), which callers bound (a benchmark).
     """
     import hashlib
 
     rows = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.md5(F.concat_ws(":", F.lit(seed), "component"))).collect()
-    left, out = dict(splits), []
+    size, out = dict.fromkeys(splits, 0), []
     for r in rows:
-        name = max(left, key=lambda s: (left[s], hashlib.md5(f"{seed}:{s}:{r.component}".encode()).hexdigest()))
-        left[name] -= r.n
+        name = min(size, key=lambda s: (size[s], hashlib.md5(f"{seed}:{s}:{r.component}".encode()).hexdigest()))
+        size[name] += r.n
         out.append((r.component, name))
-    return components.join(F.broadcast(components.sparkSession.createDataFrame(out, "component long, split string")), "component")
+    return components.join(components.sparkSession.createDataFrame(out, "component long, split string"), "component")
 
 
 def stratified(items: DataFrame, strata: list[str], n: int, key: Column) -> DataFrame:

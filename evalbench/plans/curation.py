@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
 from evalbench.operators import curate as op
+from evalbench.operators import validation as val
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.sources.shared import rewritten as checkpoint
@@ -62,15 +63,40 @@ def b3(spark, d):
     return op.answer_rules(qa(spark, d)).select("doc_id", "rule")
 
 
-@register("b2_fuzzy_evidence", f"select doc_id, contains({_SQ.format('text')}, {_SQ.format('substr(text, 20, 50)')}) as contained from documents")
-def b2(spark, d):
+@register("b2_contained_evidence", f"select doc_id, contains({_SQ.format('text')}, {_SQ.format('substr(text, 20, 50)')}) as contained from documents")
+def b2_contained(spark, d):
     return rel.read(spark, d, "documents").select("doc_id", F.contains(tx.squash(F.col("text")), tx.squash(F.substring("text", 20, 50))).alias("contained"))
 
 
-@register("b4_unanswerable_rules", "select doc_id, case when contains(text, 'zzqx') then 'target_present' when not contains(text, substr(text, 1, 10)) then 'original_missing' when not contains(lower(text), 'the') then 'fact_absent' end as rule from documents")
+@register("b2_fuzzy_evidence")
+def b2(spark, d):
+    """Quotes with a letter in ten taken out, against their own text and the one before."""
+    docs = rel.read(spark, d, "documents").select("doc_id", "text", "source")
+    i = F.col("doc_id")
+    units = docs.select(F.col("source").alias("document_id"), (i % 500).cast("int").alias("page"), i.cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    quote = F.when(i % 3 == 0, F.substring("text", 20, 60)).when(i % 3 == 1, F.concat(F.substring("text", 20, 25), F.lit("x"), F.substring("text", 46, 35))).otherwise(F.reverse(F.substring("text", 20, 60)))
+    spans = docs.select(i.alias("ord"), F.col("source").alias("document_id"), (i % 500).cast("int").alias("page"), i.cast("string").alias("chunk_id"), quote.alias("quote"))
+    return val.evidence(spans, units).select(F.col("ord").alias("doc_id"), "rule")
+
+
+_UN = "un as (select doc_id as ord, 'q ' || case when doc_id % 2 = 0 then substr(text, 1, 10) || ' zzqx' else 'nothing' end as question, case doc_id % 7 when 6 then null when 5 then 'nowhere' else 's' || cast(doc_id % 200 as varchar) end as document_id, case when doc_id % 11 = 0 then 'k9999999' else 'k' || cast(doc_id as varchar) end as chunk_id, substr(text, 1, 10) as original, case when doc_id % 5 = 0 then substr(text, 1, 10) else substr(text, 1, 10) || ' zzqx' end as changed from documents where doc_id % 3 = 0), unit as (select 's' || cast(doc_id % 200 as varchar) as document_id, 'k' || cast(doc_id as varchar) as chunk_id, text as content from documents)"
+
+
+def unanswerables(spark, d):
+    docs, i = rel.read(spark, d, "documents"), F.col("doc_id")
+    name, key, start = F.concat(F.lit("s"), (i % 200).cast("string")), F.concat(F.lit("k"), i.cast("string")), F.substring("text", 1, 10)
+    units = docs.select(name.alias("document_id"), F.lit(1).alias("page"), key.alias("chunk_id"), F.col("text").alias("content"))
+    some = docs.where("doc_id % 3 = 0")
+    candidates = some.select(i.alias("ord"), F.concat(F.lit("q "), F.when(i % 2 == 0, F.concat(start, F.lit(" zzqx"))).otherwise("nothing")).alias("question"), F.lit(False).alias("answerable"))
+    document = F.when(i % 7 == 5, "nowhere").otherwise(name)
+    changes = some.where("doc_id % 7 <> 6").select(i.alias("ord"), document.alias("document_id"), F.lit(1).alias("page"), F.when(i % 11 == 0, "k9999999").otherwise(key).alias("chunk_id"), start.alias("original"), F.when(i % 5 == 0, start).otherwise(F.concat(start, F.lit(" zzqx"))).alias("changed"))
+    return candidates, changes, units
+
+
+@register("b4_unanswerable_rules", f"""with {_UN}, whole as (select document_id, {_SQ.format("string_agg(content, chr(10) order by chunk_id)")} as w from unit group by document_id), x as (select ord, u.document_id, w.w is not null as known, exists (select 1 from unit k where k.document_id = u.document_id and k.chunk_id = u.chunk_id and contains({_SQ.format('k.content')}, {_SQ.format('original')})) as there, contains(w.w, {_SQ.format('changed')}) as present, contains({_SQ.format('question')}, {_SQ.format('changed')}) as asked from un u left join whole w on w.document_id = u.document_id)
+select ord, 'malformed_unanswerable' as rule from x where document_id is null union all select ord, 'impossible_target_document' from x where document_id is not null and not known union all select ord, 'original_fact_not_found' from x where known and not there union all select ord, 'asserted_absent_fact_present' from x where known and present union all select ord, 'transformed_fact_not_in_question' from x where known and not asked""")
 def b4(spark, d):
-    rule = F.when(F.contains("text", F.lit("zzqx")), "target_present").when(~F.contains("text", F.substring("text", 1, 10)), "original_missing").when(~F.contains(F.lower("text"), F.lit("the")), "fact_absent")
-    return rel.read(spark, d, "documents").select("doc_id", rule.alias("rule"))
+    return val.unanswerable(*unanswerables(spark, d))
 
 
 @register("b5_contamination", f"with {_QA} select doc_id from qa where contains(lower(concat_ws(' ', question, answer)), 'nothing') or contains(lower(concat_ws(' ', question, answer)), '12,345')")
@@ -84,12 +110,12 @@ def _questions(spark, d):
 
 @register("b6_near_duplicate_groups")
 def b6(spark, d):
-    return op.near_duplicate_questions(_questions(spark, d)).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return op.duplicate_groups(_questions(spark, d), 0.92, checkpoint)
 
 
-@register("j14_exact_duplicate_questions", f"select a.doc_id as a, b.doc_id as b from (select doc_id, {_SQ.format('substr(text, 1, 120)')} as f from documents) a join (select doc_id, {_SQ.format('substr(text, 1, 120)')} as f from documents) b using (f) where a.doc_id < b.doc_id and f <> '' and a.doc_id = (select min(doc_id) from (select doc_id, {_SQ.format('substr(text, 1, 120)')} as f from documents) c where c.f = a.f)")
+@register("j14_exact_duplicate_questions", f"with f as (select doc_id, {_SQ.format('text')} as f from documents) select (select min(doc_id) from f c where c.f = b.f) as a, b.doc_id as b from f b where b.doc_id <> (select min(doc_id) from f c where c.f = b.f)")
 def j14(spark, d):
-    return op.near_duplicate_questions(_questions(spark, d), 1.0).where("ratio = 1").select("a", "b").distinct()
+    return op.exact_duplicates(rel.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("question")))
 
 
 _ITEMS = "items as (select doc_id as item_id, 'd' || cast(doc_id // 3 as varchar) as token from documents union all select doc_id, 'f' || cast(doc_id * 7 // 4 as varchar) from documents)"
@@ -110,7 +136,7 @@ def b8(spark, d):
 @register("b9_split_allocation")
 def b9(spark, d):
     labels = op.min_label_components(op.shared_token_links(items(spark, d)), checkpoint)
-    return op.allocate_splits(labels, {"dev": 600, "gold": 400}, 1).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return op.allocate_splits(labels, ["dev", "gold", "holdout"], 1).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("w9_stratified_hash", "select doc_id, lang from (select *, row_number() over (partition by lang order by md5('3:' || cast(doc_id as varchar))) as round from documents) order by round, lang limit 50")
@@ -131,7 +157,7 @@ def w21(spark, d):
 
 @register("w20_caps_admission")
 def w20(spark, d):
-    rows = rel.read(spark, d, "documents").where("doc_id < 1500").select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("kind"), F.col("source").alias("document_id"), F.col("doc_id").alias("ord"))
+    rows = rel.read(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("kind"), F.col("source").alias("document_id"), F.col("doc_id").alias("ord"))
     return op.admit_with_caps(rows, {"en": 100, "de": 50, "fr": 20}, 6).select("candidate_id", "accepted")
 
 
@@ -171,20 +197,56 @@ def a25(spark, d):
     return g.agg((F.max("n") - F.min("n")).alias("spread"), F.count(F.lit(1)).alias("strata"))
 
 
-@register("b7_full_validator", f"with {_CAND}, r as ({_B1.replace('with ' + _CAND, '')}), ok as (select candidate_id, document_id, row_number() over (partition by document_id order by candidate_id) as p from cand join r using (candidate_id) where rule is null) select candidate_id, coalesce(rule, case when p > 2 then 'document_cap' end) as rejection from r left join ok using (candidate_id)")
+_VAL = """c as (select doc_id as ord, case when doc_id % 97 = 0 then 'c0' else 'c' || cast(doc_id as varchar) end as candidate_id, case when doc_id % 2 = 0 then 'fact' else 'summary' end as kind, case when doc_id % 29 = 0 then sha256('f' || cast(doc_id as varchar)) || ' forbidden' else sha256(cast(case when doc_id % 41 = 40 then doc_id - 40 else doc_id end as varchar)) end as question,
+case doc_id % 4 when 0 then substr(text, 5, 20) when 1 then '12,345 and ' || cast(doc_id as varchar) when 2 then substr(text, 100, 40) else 'nothing like it' end as answer, substr(text, 1, 200) as quote, 's' || cast(doc_id as varchar) as document_id from documents)"""
+
+
+def validated(spark, d):
+    docs, i = rel.read(spark, d, "documents"), F.col("doc_id")
+    question = F.when(i % 29 == 0, F.concat(F.sha2(F.concat(F.lit("f"), i.cast("string")), 256), F.lit(" forbidden"))).otherwise(F.sha2(F.when(i % 41 == 40, i - 40).otherwise(i).cast("string"), 256))
+    answer = F.when(i % 4 == 0, F.substring("text", 5, 20)).when(i % 4 == 1, F.concat(F.lit("12,345 and "), i.cast("string"))).when(i % 4 == 2, F.substring("text", 100, 40)).otherwise(F.lit("nothing like it"))
+    candidates = docs.select(i.alias("ord"), F.when(i % 97 == 0, "c0").otherwise(F.concat(F.lit("c"), i.cast("string"))).alias("candidate_id"), F.when(i % 2 == 0, "fact").otherwise("summary").alias("kind"), question.alias("question"), answer.alias("answer"), F.lit(True).alias("answerable"))
+    place = [F.concat(F.lit("s"), i.cast("string")).alias("document_id"), F.lit(1).alias("page"), F.lit("k").alias("chunk_id")]
+    spans, units = docs.select(i.alias("ord"), *place, F.substring("text", 1, 200).alias("quote")), docs.select(*place, F.col("text").alias("content"))
+    changes = docs.where("false").select(i.alias("ord"), *place, F.lit("").alias("original"), F.lit("").alias("changed"))
+    return candidates, spans, units, changes
+
+
+_NUMQ = _NUMS.format("quote")
+#: Questions are hashes, so that only equal ones are like each other, and every document has one, so that only the quotas bind.
+@register("b7_full_validator", f"""with {_VAL}, x as (select *, {_SQ.format('question')} as sq, {_SQ.format('answer')} as sa, {_SQ.format('quote')} as se, {_TOKS.format('answer')} as ta, {_TOKS.format('quote')} as tq from c), y as (select *, case when len(ta) > 1 then {_BI.format('ta')} else [] end as ba, case when len(tq) > 1 then {_BI.format('tq')} else [] end as bq, len(list_filter({_NUMS.format('answer')}, lambda z: not list_contains({_NUMQ}, z))) > 0 as nums from x),
+r as (select ord, 'duplicate_candidate_id' as rule from (select ord, row_number() over (partition by candidate_id order by ord) as n from c) where n > 1 union all select ord, 'duplicate_question' from (select ord, row_number() over (partition by sq order by ord) as n from x) where n > 1
+union all select ord, 'evidence_not_found' from x where se = '' union all select ord, 'answer_leaked_in_question' from x where contains(sq, sa) union all select ord, 'numeric_mismatch' from y where nums
+union all select ord, 'answer_not_supported' from y where not nums and not (case when kind = 'fact' then contains(se, sa) else len(list_filter(ta, lambda z: not list_contains(tq, z))) = 0 and len(list_filter(ba, lambda z: not list_contains(bq, z))) = 0 end) union all select ord, 'contamination_detected' from x where contains(sq || sa, 'forbidden')),
+q as (select ord, row_number() over (partition by kind order by ord) as n, kind from c where ord not in (select ord from r)), every as (select * from r union all select ord, 'type_quota_exceeded' from q where n > case kind when 'fact' then 60 else 25 end)
+select c.ord, candidate_id, count(rule) = 0 as accepted, coalesce(string_agg(distinct rule, ',' order by rule), '') as rules from c left join every using (ord) group by c.ord, candidate_id""")
 def b7(spark, d):
-    from pyspark.sql.window import Window
+    out = val.validate(*validated(spark, d), checkpoint, {"fact": 60, "summary": 25}, 5, 5, ["forbidden"])
+    return out.select("ord", "candidate_id", "accepted", F.array_join("rules", ",").alias("rules"))
+
 
-    c, windows = candidates(spark, d)
-    r = op.evidence_rules(c, windows)
-    ok = c.join(r.where("rule is null"), "candidate_id").select("candidate_id", F.row_number().over(Window.partitionBy("document_id").orderBy("candidate_id")).alias("p"))
-    return r.join(ok, "candidate_id", "left").select("candidate_id", F.coalesce("rule", F.when(F.col("p") > 2, "document_cap")).alias("rejection"))
+_GEN = """plan as (select 'b' || cast(doc_id // 8 as varchar) as batch_id, doc_id as ordinal, case when doc_id % 2 = 0 then 'fact' else 'summary' end as kind from documents), got as (select 'b' || cast(doc_id // 8 as varchar) as batch_id, doc_id % 8 as place, case when doc_id % 2 = 0 and doc_id % 50 <> 0 then 'fact' else 'summary' end as kind, case when doc_id % 70 = 1 then 'g' || cast(doc_id - 1 as varchar) else 'g' || cast(doc_id as varchar) end as candidate_id from documents where doc_id % 30 <> 29)"""
 
 
-@register("b15_batch_generation_checks", "select doc_id as ordinal, case when l.doc_id is null then 'missing' when quality = 0 then 'rejected' end as problem from documents left join labels l using (doc_id)")
+def generated(spark, d):
+    docs, i = rel.read(spark, d, "documents").select("doc_id"), F.col("doc_id")
+    batch = F.concat(F.lit("b"), F.floor(i / 8).cast("string")).alias("batch_id")
+    planned = docs.select(F.sha2(F.lit("plan"), 256).alias("plan_hash"), batch, i.alias("ordinal"), F.when(i % 2 == 0, "fact").otherwise("summary").alias("kind"), F.md5(i.cast("string")).alias("window_hash"))
+    returned = docs.where("doc_id % 30 <> 29").select(batch, (i % 8).alias("place"), F.when((i % 2 == 0) & (i % 50 != 0), "fact").otherwise("summary").alias("kind"), F.concat(F.lit("g"), F.when(i % 70 == 1, i - 1).otherwise(i).cast("string")).alias("candidate_id"))
+    return planned, returned
+
+
+@register("b15_batch_generation_checks", f"with {_GEN}, p as (select *, row_number() over (partition by batch_id order by ordinal) - 1 as place from plan) select batch_id, 'job_count' as problem from p left join got using (batch_id, place) group by batch_id having count(got.kind) <> count(*) union all select distinct batch_id, 'question_type' from p join got using (batch_id, place) where p.kind <> got.kind union all select batch_id, 'duplicate_candidate_id' from got group by batch_id having count(distinct candidate_id) < count(*)")
 def b15(spark, d):
-    met = rel.read(spark, d, "documents").select("doc_id").join(rel.read(spark, d, "labels"), "doc_id", "left")
-    return met.select(F.col("doc_id").alias("ordinal"), F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 0, "rejected").alias("problem"))
+    return val.batch_problems(*generated(spark, d))
+
+
+@register("b15_resumed_batches", """with plan as (select doc_id as ordinal, doc_id // 8 as batch, sha256('{"job_ordinal":' || cast(doc_id as varchar) || ',"plan_hash":"' || sha256('plan') || '"}') as id from documents), stored as (select ordinal, batch, case when ordinal % 37 = 0 then 'other' else id end as id, ordinal % 53 = 0 as moved from plan where batch % 3 = 0 and ordinal % 61 <> 0) select 'b' || cast(p.batch as varchar) as batch_id, p.ordinal from plan p left join stored s using (ordinal) where p.batch in (select batch from stored) and (s.id is null or s.id <> p.id or s.moved)""")
+def b15_resumed(spark, d):
+    planned, i = generated(spark, d)[0], F.col("ordinal")
+    stored = planned.where(F.floor(i / 8) % 3 == 0).where(i % 61 != 0)
+    stored = stored.withColumn("candidate_id", F.when(i % 37 == 0, "other").otherwise(val.assigned_id(F.col("plan_hash"), i))).withColumn("window_hash", F.when(i % 53 == 0, "moved").otherwise(F.col("window_hash")))
+    return val.resume_problems(planned, stored)
 
 
 @register("b14_gold_seal")

@@ -57,45 +57,51 @@ def test_greedy_batches(spark):
     assert [r.batch for r in chunks.pack_batches(df, 3, 12).orderBy("ord").collect()] == [0, 0, 1, 2, 3, 3, 3]
 
 
-def test_components_and_splits(spark, tmp_path):
+@pytest.fixture
+def checkpoint(tmp_path):
     count = iter(range(1000))
 
-    def checkpoint(df):
+    def put(df):
         path = f"file://{tmp_path}/{next(count)}"
         df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    return put
+
+
+def test_components_and_splits(spark, checkpoint):
     items = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "y"), (9, "z"), (8, "z")], "item_id long, token string")
     got = {r.id: r.component for r in curate.min_label_components(curate.shared_token_links(items), checkpoint).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
-    split = curate.allocate_splits(spark.createDataFrame(list(got.items()), "id long, component long"), {"dev": 3, "gold": 2}, 1)
+    split = curate.allocate_splits(spark.createDataFrame([*got.items(), (10, 10)], "id long, component long"), ["dev", "gold"], 1)
     assert split.groupBy("component").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    # 3 go to one split, then 2 and 1 to the other, which has less
+    assert sorted(r["count"] for r in split.groupBy("split").count().collect()) == [3, 3]
 
 
-def test_near_duplicate_questions_equal_brute_force(spark):
-    r = random.Random(4)
+@pytest.mark.parametrize("copies", [5, 50, 200])
+def test_duplicate_groups_equal_all_pairs(spark, checkpoint, copies):
+    r = random.Random(copies)
     letters = "abcdefghijklmnop0123456789"
     base = "".join(r.choice(letters) for _ in range(60))
     texts = []
-    for _ in range(50):  # a group in which each gram is held by many
+    for _ in range(copies):  # a group in which each gram is held by many
         t = list(base)
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, 5)):
             i = r.randrange(len(t))
             t[i : i + 1] = r.choice([[], [r.choice(letters)], [t[i], r.choice(letters)]])
         texts.append("".join(t))
     texts += ["".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 5, 40, 60)]
-    texts += ["abcdefghijkl", "abcdefxghijkl", "abcd1efgh2ijkl", "abc", "abc", "", "abcdefghijklm", "abcdxefghijklm", "abcdefghiyjklm"]
-    want = {}
+    texts += ["abcdefghijkl", "abcdefxghijkl", "abcd1efgh2ijkl", "abc", "abc", "", "", "abcdefghijklm", "abcdxefghijklm", "abcdefghiyjklm"]
+    root = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
-        ratio = difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()
-        if texts[a] and ratio >= 0.92:
-            want[a, b] = ratio
+        if root[a] != root[b] and difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.92:
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if x == hi else x for x in root]
+    many = {x for x in root if root.count(x) > 1}
     df = spark.createDataFrame(list(enumerate(texts)), "item_id long, question string")
-    # of equal texts one stands for all in comparisons with others
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}
-    want = {(a, b): x for (a, b), x in want.items() if texts[a] == texts[b] and first[texts[a]] == a or texts[a] != texts[b] and first[texts[a]] == a and first[texts[b]] == b}
-    rows = curate.near_duplicate_questions(df).collect()
-    assert len(want) > 200 and len(rows) == len(want) and {(x.a, x.b): x.ratio for x in rows} == pytest.approx(want)
+    got = {x.item_id: (x.group_id, x.rejected) for x in curate.duplicate_groups(df, 0.92, checkpoint).collect()}
+    assert got == {i: (x, i != x) for i, x in enumerate(root) if x in many}
 
 
 def test_top_three_and_pareto(spark):
@@ -104,9 +110,13 @@ def test_top_three_and_pareto(spark):
     assert {r.id for r in report.pareto(df, "id", "quality", "cost").collect()} == {"a", "b", "c", "d"}
 
 
-def test_reaching_the_cap_is_rejected(spark):
-    df = spark.createDataFrame([("x", 1, "4"), ("x", 2, "6"), ("x", 3, "1")], "account string, ord int, amount string").withColumn("amount", F.col("amount").cast("decimal(12,6)"))
-    assert [r.accepted for r in ledger.replay(df, "10").orderBy("ord").collect()] == [True, False, False]
+def test_reaching_the_cap_is_rejected_and_reserves_nothing(spark):
+    rows = [("x", 1, "4"), ("x", 2, "6"), ("x", 3, "1"), ("x", 4, "5"), ("x", 5, "4.999999"), ("y", 3, "9"), ("y", 1, "10"), ("y", 4, None), ("y", 5, "0.5")]
+    df = spark.createDataFrame(rows, "account string, ord int, amount string").withColumn("amount", F.col("amount").cast("decimal(12,6)"))
+    got = {a: [(r.accepted, str(r.spent)) for r in ledger.replay(df, "10").where(F.col("account") == a).orderBy("ord").collect()] for a in "xy"}
+    assert [x for x, _ in got["x"]] == [True, False, True, False, True] and got["x"][-1][1] == "9.999999"
+    assert [x for x, _ in got["y"]] == [False, True, False, True]
+    assert ledger.replay(df.where("ord > 9"), "10").count() == 0
 
 
 def test_files(spark, tmp_path):
