@@ -85,23 +85,27 @@ def token_offsets(blocks: DataFrame, by: list[str], tokens: Column) -> DataFrame
     return blocks.withColumn("n_tokens", F.size(tokens)).withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
 
 
-def windows(texts: DataFrame, size: int, overlap: int, tokens: Column | None = None, key: str = "document_id") -> DataFrame:
-    """key, ordinal, token_start, token_end (exclusive), token_count: windows of ``size`` tokens that overlap, the last one ends the text."""
+def spans(n: Column, size: int, overlap: int) -> Column:
+    """Array of (ordinal, token_start, token_end) of the windows over ``n`` tokens: they overlap, and the last one ends the text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
+    count = F.greatest(F.lit(1), F.ceil((n - F.lit(overlap)) / F.lit(step)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("ordinal"), (i * step).alias("token_start"), F.least(i * step + size, n).alias("token_end")))
+
+
+def windows(texts: DataFrame, size: int, overlap: int, tokens: Column | None = None, key: str = "document_id") -> DataFrame:
+    """key, ordinal, token_start, token_end (exclusive), token_count of the windows of each text that has tokens."""
     n = texts.select(key, F.size(tokens if tokens is not None else tx.tokens(F.col("content"))).alias("n")).where("n > 0")
-    count = F.greatest(F.lit(1), F.ceil((F.col("n") - F.lit(overlap)) / F.lit(step)).cast("int"))
-    w = n.select(key, "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("ordinal"))
-    start = F.col("ordinal") * step
-    return w.select(key, "ordinal", start.alias("token_start"), F.least(start + size, F.col("n")).alias("token_end"), (F.least(start + size, F.col("n")) - start).alias("token_count"))
+    w = n.select(key, F.explode(spans(F.col("n"), size, overlap)).alias("w")).select(key, "w.*")
+    return w.withColumn("token_count", F.col("token_end") - F.col("token_start"))
 
 
 def fixed_chunks(texts: DataFrame, size: int, overlap: int, snapshot: str, strategy: str) -> DataFrame:
-    """Windows with their text (tokens joined by blanks) and a content-based id."""
-    w = windows(texts, size, overlap)
-    t = texts.select("document_id", tx.tokens(F.col("content")).alias("t"))
-    out = w.join(t, "document_id").withColumn("content", F.array_join(F.slice("t", F.col("token_start") + 1, F.col("token_count")), " ")).drop("t")
+    """Windows with their text (tokens joined by blanks) and a content-based id. One pass: the windows are cut beside the tokens."""
+    t = texts.select("document_id", tx.tokens(F.col("content")).alias("t")).where(F.size("t") > 0)
+    cut = F.transform(spans(F.size("t"), size, overlap), lambda w: F.struct(w["ordinal"].alias("ordinal"), w["token_start"].alias("token_start"), w["token_end"].alias("token_end"), (w["token_end"] - w["token_start"]).alias("token_count"), F.array_join(F.slice("t", w["token_start"] + 1, w["token_end"] - w["token_start"]), " ").alias("content")))
+    out = t.select("document_id", F.explode(cut).alias("w")).select("document_id", "w.*")
     name = F.concat_ws("|", "document_id", F.col("token_start").cast("string"), F.col("token_end").cast("string"), "content")
     return out.withColumn("chunk_id", F.concat_ws(":", F.lit(snapshot), F.lit(strategy), F.substring(F.sha2(name, 256), 1, 24)))
 

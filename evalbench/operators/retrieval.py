@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
+from evalbench.sources.shared import rewritten
 
 #: Scores are compared at this many decimals, so that the order of additions does not decide ties.
 TIE_DECIMALS = 9
@@ -34,16 +35,22 @@ def best(df: DataFrame, k: int | None, by: str = "question_id", score: str = "sc
     return rank(df, by, [F.round(score, TIE_DECIMALS).desc(), F.col("chunk_id")], k)
 
 
-def postings(chunks: DataFrame, unicode_forms: bool = False) -> DataFrame:
-    """term, chunk_id, document_id, tf, length of every chunk that has tokens."""
+def tokenised(chunks: DataFrame, unicode_forms: bool = False) -> DataFrame:
+    """chunk_id, document_id, terms and length (in tokens), written once to the shared folder: the pattern runs once a text."""
     t = chunks.select("chunk_id", "document_id", tx.tokens(F.col("content"), unicode_forms).alias("terms"))
-    t = t.withColumn("length", F.size("terms")).select("chunk_id", "document_id", "length", F.explode("terms").alias("term"))
+    return rewritten(t.withColumn("length", F.size("terms")))
+
+
+def postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, document_id, length, tf of every chunk of ``tokens`` (see ``tokenised``); only of ``wanted`` terms (term), if given, which go before the count."""
+    t = tokens.select("chunk_id", "document_id", "length", F.explode("terms").alias("term"))
+    t = t if wanted is None else t.join(wanted, "term", "left_semi")
     return t.groupBy("term", "chunk_id", "document_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_statistics(chunks: DataFrame, unicode_forms: bool = False) -> DataFrame:
+def corpus_statistics(tokens: DataFrame) -> DataFrame:
     """One row: documents and their mean length in tokens."""
-    return chunks.select(F.size(tx.tokens(F.col("content"), unicode_forms)).alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.avg("n").alias("mean_length"))
+    return tokens.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
 
 
 def query_terms(questions: DataFrame, unicode_forms: bool = False) -> DataFrame:
@@ -52,23 +59,28 @@ def query_terms(questions: DataFrame, unicode_forms: bool = False) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None, unicode_forms: bool = False) -> DataFrame:
-    """Okapi BM25 of all questions at once. ``allowed`` (document_id) drops candidates after the statistics."""
+    """Okapi BM25 of all questions at once. ``allowed`` (document_id) drops candidates after the statistics.
+
+    Where the questions' terms are few enough to go to every task, postings meet them where they are and a hot term
+    is no hot key; else the join is by term, with Spark's splitting of skewed ones.
+    """
     if not k1 > 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
     if k is not None and k <= 0:
         raise ValueError("k must be positive")
-    terms = query_terms(questions, unicode_forms)
-    wanted = small(terms.select("term").distinct())
+    terms = rewritten(query_terms(questions, unicode_forms))
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    to_all = F.broadcast if few else (lambda df: df)
+    tokens = tokenised(chunks, unicode_forms)
     # only terms of some question are counted: a semi join before the shuffle
-    post = postings(chunks, unicode_forms).join(wanted, "term", "left_semi")
+    post = postings(tokens, to_all(terms.select("term").distinct()))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_statistics(chunks, unicode_forms)
     if allowed is not None:
         post = post.join(small(allowed.select("document_id").distinct()), "document_id", "left_semi")
     weight = F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    weighed = df.join(F.broadcast(stats)).join(terms, "term")  # one row of statistics
-    scored = post.join(weighed, "term").groupBy("question_id", "chunk_id").agg(F.sum(part).alias("score"))
+    weighed = df.join(F.broadcast(corpus_statistics(tokens))).join(to_all(terms), "term")  # one row of statistics
+    scored = post.join(to_all(weighed), "term").groupBy("question_id", "chunk_id").agg(F.sum(part).alias("score"))
     return best(scored.where("score > 0"), k)
 
 

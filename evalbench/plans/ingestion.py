@@ -19,7 +19,7 @@ _BL = f"bl as (select *, {_KIND} as kind from el)"
 
 
 def elements(spark, d):
-    docs = rel.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    docs = rel.documents(spark, d).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "content"))
     n = F.length("content")
     cats = F.array(*[F.lit(c) for c in ("heading1", "paragraph", "list", "table", "figure", "header", "footer", "unknown")])
     cat = F.when(F.col("i") == 0, "heading1").when(n % 11 == 0, "heading2").when(n % 13 == 0, "header").otherwise(F.element_at(cats, n % 8 + 1))
@@ -142,7 +142,7 @@ _WIN = "win as (select document_id, t, cast(o as integer) as ordinal, o * 200 as
 
 
 def texts(spark, d):
-    return rel.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    return rel.documents(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
 
 
 @register("c9_token_windows", f"with {_TK}, {_WIN} select document_id, ordinal, token_start, token_end, token_end - token_start as token_count from win")

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalbench.sources.shared import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work on its texts; a table that is one piece is dealt out first."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of one page each; the source is the document."""
-    return read(spark, sf_dir, "documents").select(F.format_string("c%08d", "doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), "lang", F.col("doc_id").alias("ord"))
+    return documents(spark, sf_dir).select(F.format_string("c%08d", "doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), "lang", F.col("doc_id").alias("ord"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

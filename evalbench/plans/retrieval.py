@@ -31,7 +31,7 @@ def r1(spark, d):
 
 @register("a11_corpus_statistics", w("stats dfs", "select n as documents, round(avgdl, 6) as mean_length, (select count(*) from dfs) as terms, (select max(df) from dfs) as max_df from stats"))
 def a11(spark, d):
-    c = rel.chunks(spark, d)
+    c = op.tokenised(rel.chunks(spark, d))
     df = op.postings(c).groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.max("df").alias("max_df"))
     return op.corpus_statistics(c).join(F.broadcast(df)).select("documents", F.round("mean_length", 6).alias("mean_length"), "terms", "max_df")
 
@@ -39,12 +39,12 @@ def a11(spark, d):
 @register("a12_term_frequency", w("postings qterms", "select chunk_id, term, tf from postings where term in (select term from qterms)"))
 def a12(spark, d):
     wanted = op.query_terms(rel.questions(spark, d)).select("term").distinct()
-    return op.postings(rel.chunks(spark, d)).join(op.small(wanted), "term", "left_semi").select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
+    return op.postings(op.tokenised(rel.chunks(spark, d)), op.small(wanted)).select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @register("j1_terms_postings", w("postings qterms dfs", "select question_id, count(*) as matches, count(distinct chunk_id) as chunks, cast(sum(tf) as bigint) as tf, cast(sum(df) as bigint) as df from qterms join postings using (term) join dfs using (term) group by question_id"))
 def j1(spark, d):
-    post = op.postings(rel.chunks(spark, d))
+    post = op.postings(op.tokenised(rel.chunks(spark, d)))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     met = post.join(op.small(op.query_terms(rel.questions(spark, d))), "term").join(df, "term")
     return met.groupBy("question_id").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("chunk_id").alias("chunks"), F.sum("tf").alias("tf"), F.sum("df").alias("df"))

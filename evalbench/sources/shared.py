@@ -27,3 +27,13 @@ def rewritten(df: DataFrame, name: str = "rows") -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of fewer splits are small: at the usual split size they hold a gigabyte at most.
+FEW_SPLITS = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over the cores if its files are fewer pieces than these; a scan never splits a row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 64)) if df.rdd.getNumPartitions() < min(FEW_SPLITS, cores) else df
