@@ -1,25 +1,32 @@
 """Operator 6: n-gram language-model scoring with an Elias-Fano trie.
 
-The model is a bigram model with Dirichlet smoothing over an add-one unigram model,
+The model has three orders with absolute discounting over an add-one unigram model:
 
-    P(w | u) = (N * p(u, w) + STRENGTH * P(w)) / (c(u) + STRENGTH),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | u, v) = (c(u, v, w) - D) / c(u, v) + D * t(u, v) / c(u, v) * P(w | v)
+    P(w | v)    = (c(v, w) - D) / c(v) + D * t(v) / c(v) * P(w)
+    P(w)        = (c(w) + 1) / (N + V + 1)
 
-where p(u, w) is the stored, quantised joint probability. All n-grams of the training documents count; there
-is no cut-off, so the trie grows with the corpus.
+with t the number of different successors of a context, and D = DISCOUNT; a term of what was never seen is left
+out, and a context never seen gives the order below. Texts begin after two start marks. All n-grams of the
+training documents count; there is no cut-off, so the trie grows with the corpus.
 
-The trie is kept in shards. A shard holds, as Elias-Fano sequences, the sorted hashes of its words, the
-running sums of their counts, the pointers from each word to its successors, and the successors: a value's
-high part is the context's place, its low part the successor's hash, so the whole level is monotone and a
-successor is searched relative to its context. One byte a successor is the quantised probability. A shard is
-one buffer; ``TrieShard.save`` and ``open`` map its levels from a file.
+The trie is kept in shards by the word next to the predicted one. A shard has these levels, each an Elias-Fano
+sequence: words; for each word its successors, and its predecessors; for each (word, predecessor) the successors.
+A node's value is its parent's place and 32 bits of its word's hash, so a level is monotone; a pointer sequence holds
+where each parent's range begins. What is stored at a node is one byte, a smoothed probability quantised on a
+logarithmic scale (steps of 1 / SCALE of a power of ten): the discounted terms above - for pairs as a share of all
+N - and the weights of the order below. A level is never decoded as a whole: a query finds its parents' ranges by
+the pointers, and decodes and searches these ranges. A shard is one file, mapped into memory; it is in the folder
+that executors share where that is a plain folder, and goes when its task ends. Else it is viewed in the buffer.
 
 Plan: documents are packed into compressed chunks in the shared folder. A chunk asks each shard once for the
-distinct words and word pairs it holds, and says how often it saw them in training documents; the shard adds
-up, builds its trie, and answers by place. A chunk then scores its documents from the answers. So the
-shuffles carry distinct n-grams by chunk, not tokens. Words that make up a thousandth of the corpus have
-their successors dealt over all shards; there are at most two thousand such words.
+distinct n-grams it holds, and says how often it saw them in training documents; the shard adds up, builds its
+trie, and answers by place. A chunk then scores its documents from the answers. So the shuffles carry distinct
+n-grams by chunk, not tokens; like the blocks of any shuffle, their rows are as many as chunks times shards. Words
+that make up a thousandth of the corpus, and the start mark, have their pairs dealt over all shards by the
+successor and their triples by the predecessor; there are at most two thousand such words.
 
-Words are told apart by 64-bit hashes, successors of one context by 40 bits of them.
+Words are told apart by 64-bit hashes, successors and predecessors of one word by 32 bits of them.
 
 Defined results: a null text counts as empty; an empty text has one token, the end; a null doc_id counts as
 the empty text for the fold; repeated rows each count and each score; without training documents N and V are
@@ -28,7 +35,11 @@ the empty text for the fold; repeated rows each count and each score; without tr
 
 from __future__ import annotations
 
+import contextlib
+import os
 import struct
+import urllib.parse
+import uuid
 import zlib
 
 import numpy as np
@@ -40,106 +51,167 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalbench.llm import _text as T
-from evalbench.llm._spark import release, stash, table
+from evalbench.llm._spark import release, shared_dir, stash, table
 
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
-STRENGTH = 50.0
+SHARD_BYTES = 4 << 20
+DISCOUNT = 0.75
 HEAVY = 1000
 END, START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
-LOW = 40
+LOW = np.uint64(32)
+TAIL = np.uint64((1 << 32) - 1)
+SCALE = 28  # codes a power of ten; 255 codes reach 10 ** -9
+SAMPLE = 4096  # ones of a high part between two entries of its directory
+BLOCK = 1 << 18  # nodes that are decoded together, about
 
 
 # ---- Elias-Fano
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high parts in unary."""
+    """A monotone sequence: low bits packed in planes, high parts in unary, and where every SAMPLE-th one is."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, sample: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.sample = n, low_bits, low, high, sample
 
     @staticmethod
     def of(values: np.ndarray) -> EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         if not n:
-            return EliasFano(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+            return EliasFano(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1)
-        high = np.zeros(int(values[-1] >> np.uint64(low_bits)) + n + 1, np.uint8)
-        high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        high = np.zeros(int(ones[-1]) + 2, np.uint8)
+        high[ones] = 1
         planes = [np.packbits((values >> np.uint64(b) & np.uint64(1)).astype(np.uint8)) for b in range(low_bits % 8)]
         whole = [(values >> np.uint64(low_bits % 8 + 8 * b) & np.uint64(255)).astype(np.uint8) for b in range(low_bits // 8)]
-        return EliasFano(n, low_bits, np.concatenate([*planes, *whole, np.zeros(0, np.uint8)]), np.packbits(high))
+        return EliasFano(n, low_bits, np.concatenate([*planes, *whole, np.zeros(0, np.uint8)]), np.packbits(high), ones[::SAMPLE].astype(np.uint64))
 
-    def decode(self) -> np.ndarray:
-        n, bits = self.n, self.low_bits
-        if not n:
+    def range(self, a: int, b: int) -> np.ndarray:
+        """The values at places a to b - 1."""
+        if b <= a:
             return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high))[:n]
-        out = (ones - np.arange(n)).astype(np.uint64) << np.uint64(bits)
-        plane, at = (n + 7) // 8, 0
-        for b in range(bits % 8):
-            out |= np.unpackbits(self.low[at : at + plane])[:n].astype(np.uint64) << np.uint64(b)
+        bits, first = self.low_bits, a // SAMPLE
+        begin = int(self.sample[first]) // 8
+        last = (b - 1) // SAMPLE + 1
+        end = int(self.sample[last]) // 8 + 1 if last < len(self.sample) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end]))
+        # ones of the first byte that stand before the sampled one belong to places before it
+        skip = int(np.searchsorted(ones, int(self.sample[first]) - 8 * begin)) + a - first * SAMPLE
+        ones = ones[skip : skip + b - a] + 8 * begin
+        out = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(bits)
+        plane, at, lo = (self.n + 7) // 8, 0, a // 8
+        for i in range(bits % 8):
+            out |= np.unpackbits(self.low[at + lo : at + (b + 7) // 8])[a - 8 * lo : b - 8 * lo].astype(np.uint64) << np.uint64(i)
             at += plane
-        for b in range(bits // 8):
-            out |= self.low[at : at + n].astype(np.uint64) << np.uint64(bits % 8 + 8 * b)
-            at += n
+        for i in range(bits // 8):
+            out |= self.low[at + a : at + b].astype(np.uint64) << np.uint64(bits % 8 + 8 * i)
+            at += self.n
         return out
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QQQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.sample)) + self.low.tobytes() + self.high.tobytes() + self.sample.tobytes()
 
     @staticmethod
     def view(buffer: np.ndarray, at: int) -> tuple[EliasFano, int]:
-        n, bits, low, high = struct.unpack("<QQQQ", buffer[at : at + 32].tobytes())
-        at += 32
-        return EliasFano(n, bits, buffer[at : at + low], buffer[at + low : at + low + high]), at + low + high
+        n, bits, low, high, sample = struct.unpack("<QQQQQ", buffer[at : at + 40].tobytes())
+        a, b, c = at + 40, at + 40 + low, at + 40 + low + high
+        return EliasFano(n, bits, buffer[a:b], buffer[b:c], buffer[c : c + 8 * sample].view(np.uint64)), c + 8 * sample
+
+
+#: Probabilities by code; code 0 stands for what was never seen.
+_VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / SCALE)])
+
 
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities above 0."""
+    return np.clip(np.rint(-SCALE * np.log10(p)) + 1, 1, 255).astype(np.uint8)
 
-#: Codes of joint counts: exact up to 96, then geometric. Code 0: absent.
-_EXACT, _RATIO = 96, 1.12
 
+class Level:
+    """Nodes below the places of a parent level: pointers to their ranges, values and codes."""
 
-def codebook() -> np.ndarray:
-    rest = _EXACT * _RATIO ** np.arange(1, 255 - _EXACT + 1)
-    return np.concatenate([np.arange(_EXACT + 1), rest])
+    def __init__(self, pointers: EliasFano, nodes: EliasFano, codes: np.ndarray):
+        self.pointers, self.nodes, self.codes = pointers, nodes, codes
 
+    @staticmethod
+    def of(nodes: np.ndarray, parents: int, codes: np.ndarray) -> Level:
+        """``nodes`` sorted and distinct: parent's place << 32 | tail."""
+        sizes = np.bincount((nodes >> LOW).astype(np.int64), minlength=parents)
+        return Level(EliasFano.of(np.concatenate([[0], np.cumsum(sizes)])), EliasFano.of(nodes), codes)
+
+    def places(self, parents: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """The place of each (parent, tail), sorted by parent; -1 where there is none or the parent is -1."""
+        out = np.full(len(parents), -1)
+        there = np.flatnonzero(parents >= 0)
+        at = 0
+        while at < len(there):
+            # parents up to about BLOCK nodes, one parent at least; a large one is searched in parts
+            first = int(parents[there[at]])
+            upto = min(at + BLOCK, len(there))
+            pointers = self.pointers.range(first, int(parents[there[upto - 1]]) + 2).astype(np.int64)
+            wide = int(np.searchsorted(pointers, pointers[0] + BLOCK, side="right")) - 1
+            upto = at + max(1, int(np.searchsorted(parents[there[at:upto]], first + max(1, wide))))
+            own = there[at:upto]
+            lo, hi = int(pointers[0]), int(pointers[int(parents[own[-1]]) - first + 1])
+            wanted = parents[own].astype(np.uint64) << LOW | tails[own].astype(np.uint64)
+            for a in range(lo, hi, 4 * BLOCK):
+                values = self.nodes.range(a, min(hi, a + 4 * BLOCK))
+                i = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                hit = values[i] == wanted
+                out[own[hit]] = a + i[hit]
+            at = upto
+        return out
 
-_CODEBOOK = codebook()
+    def code(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.codes[places], 0).astype(np.uint8) if len(self.codes) else np.zeros(len(places), np.uint8)
 
+    def parts(self) -> list[bytes]:
+        return [self.pointers.to_bytes(), self.nodes.to_bytes(), struct.pack("<Q", len(self.codes)), self.codes.tobytes()]
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """The code of the nearest value of the codebook, by ratio."""
-    edges = np.sqrt(np.maximum(_CODEBOOK[1:-1], 1) * _CODEBOOK[2:])
-    return (1 + np.searchsorted(edges, counts, side="left")).astype(np.uint8) * (counts > 0)
+    @staticmethod
+    def view(buffer: np.ndarray, at: int) -> tuple[Level, int]:
+        pointers, at = EliasFano.view(buffer, at)
+        nodes, at = EliasFano.view(buffer, at)
+        n = struct.unpack("<Q", buffer[at : at + 8].tobytes())[0]
+        return Level(pointers, nodes, buffer[at + 8 : at + 8 + n]), at + 8 + n
 
 
 class TrieShard:
-    """Level 1: words, counts, pointers. Level 2: successors and codes of their joint probabilities times N."""
+    """Words with counts and weights; successors of words; predecessors of words, and successors of these pairs."""
 
-    def __init__(self, words: EliasFano, counts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.levels, self.codes = (words, counts, pointers, successors), codes
-        self.words, self.pointers, self.successors = words.decode(), pointers.decode().astype(np.int64), successors.decode()
-        self.counts = np.diff(counts.decode().astype(np.int64), prepend=0)
+    def __init__(self, words: EliasFano, counts: EliasFano, weights: np.ndarray, pairs: Level, contexts: Level, triples: Level):
+        self.words, self.counts, self.weights, self.pairs, self.contexts, self.triples = words, counts, weights, pairs, contexts, triples
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> TrieShard:
-        """``words`` sorted and distinct; ``pairs`` sorted and distinct: place of the context << 40 | successor."""
-        sizes = np.bincount((pairs >> np.uint64(LOW)).astype(np.int64), minlength=len(words))
-        return TrieShard(EliasFano.of(words), EliasFano.of(np.cumsum(counts)), EliasFano.of(np.cumsum(sizes)), EliasFano.of(pairs), quantise(pair_counts))
+    def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, contexts: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, n: int) -> TrieShard:
+        """All keys sorted and distinct, all counts above 0 but those of words; ``n``: the training tokens."""
+        kinds = np.bincount((pairs >> LOW).astype(np.int64), minlength=len(words))
+        seen = np.flatnonzero((kinds > 0) & (counts > 0))
+        weights = np.zeros(len(words), np.uint8)
+        weights[seen] = quantise(DISCOUNT * kinds[seen] / counts[seen])
+        parent = (triples >> LOW).astype(np.int64)
+        total = np.bincount(parent, triple_n, minlength=len(contexts))
+        different = np.bincount(parent, minlength=len(contexts))
+        return TrieShard(
+            EliasFano.of(words), EliasFano.of(np.concatenate([[0], np.cumsum(counts)])), weights, Level.of(pairs, len(words), quantise((pair_n - DISCOUNT) / max(n, 1))),
+            Level.of(contexts, len(words), quantise(DISCOUNT * different / np.maximum(total, 1))), Level.of(triples, len(contexts), quantise((triple_n - DISCOUNT) / total[parent])),
+        )
 
     def to_bytes(self) -> bytes:
-        return b"".join([*(x.to_bytes() for x in self.levels), struct.pack("<Q", len(self.codes)), self.codes.tobytes()])
+        return b"".join([self.words.to_bytes(), self.counts.to_bytes(), self.weights.tobytes(), *self.pairs.parts(), *self.contexts.parts(), *self.triples.parts()])
 
     @staticmethod
     def from_buffer(buffer: np.ndarray) -> TrieShard:
-        at, levels = 0, []
-        for _ in range(4):
-            level, at = EliasFano.view(buffer, at)
+        words, at = EliasFano.view(buffer, 0)
+        counts, at = EliasFano.view(buffer, at)
+        weights, at = buffer[at : at + words.n], at + words.n
+        levels = []
+        for _ in range(3):
+            level, at = Level.view(buffer, at)
             levels.append(level)
-        n = struct.unpack("<Q", buffer[at : at + 8].tobytes())[0]
-        return TrieShard(*levels, buffer[at + 8 : at + 8 + n])
+        return TrieShard(words, counts, weights, *levels)
 
     def save(self, path: str) -> None:
         with open(path, "wb") as f:
@@ -150,24 +222,41 @@ class TrieShard:
         return TrieShard.from_buffer(np.memmap(path, np.uint8, "r"))
 
     def places(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word, -1 where there is none."""
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
-
-    def count(self, words: np.ndarray) -> np.ndarray:
-        at = self.places(words)
-        return np.where(at >= 0, self.counts[at], 0) if len(self.words) else np.zeros(len(words), np.int64)
-
-    def code(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """The code of each successor of each context, 0 where there is none: a search in the context's range."""
-        if not len(self.successors):
-            return np.zeros(len(contexts), np.uint8)
-        place = self.places(contexts)
-        wanted = np.maximum(place, 0).astype(np.uint64) << np.uint64(LOW) | successors
-        at = np.searchsorted(self.successors, wanted)
-        at[at == len(self.successors)] = 0
-        return np.where((place >= 0) & (self.successors[at] == wanted), self.codes[at], 0).astype(np.uint8)
+        """The place of each of some sorted words, -1 where there is none."""
+        out = np.full(len(words), -1)
+        for a in range(0, self.words.n, BLOCK):
+            values = self.words.range(a, min(self.words.n, a + BLOCK))
+            lo, hi = np.searchsorted(words, values[0]), np.searchsorted(words, values[-1], side="right")
+            i = np.minimum(np.searchsorted(values, words[lo:hi]), len(values) - 1)
+            out[lo:hi] = np.where(values[i] == words[lo:hi], a + i, -1)
+        return out
+
+    def count(self, places: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "sums"):  # asked again and again; one a word
+            self.sums = self.counts.range(0, self.counts.n).astype(np.int64)
+        return np.where(places >= 0, self.sums[places + 1] - self.sums[places], 0)
+
+
+@contextlib.contextmanager
+def mapped(trie: TrieShard, folder: str | None):
+    """``trie`` as a mapped file in a folder that goes at the end, or in a buffer where there is no plain folder."""
+    if folder is None:
+        yield TrieShard.from_buffer(np.frombuffer(trie.to_bytes(), np.uint8))
+        return
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{uuid.uuid4().hex}.trie")
+    try:
+        trie.save(path)
+        yield TrieShard.open(path)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(path)
+
+
+def plain_folder(url: str) -> str | None:
+    """The path of a file: URL or of a path without a scheme."""
+    parts = urllib.parse.urlparse(url)
+    return urllib.parse.unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
 # ---- chunks
@@ -178,7 +267,7 @@ def trains(doc_id: int | None) -> bool:
 
 
 class Chunk:
-    """The tokens of a chunk of documents: distinct words and pairs, and each token's place among them."""
+    """The tokens of a chunk of documents: distinct words, pairs, contexts and triples, and each token's place among them."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, data: np.ndarray, offsets: np.ndarray):
         self.ids, self.known = ids, known
@@ -200,36 +289,43 @@ class Chunk:
         self.tokens[inner] = flat
         self.token_train = np.repeat(self.train, np.diff(self.first))
 
-    def index(self, inverse: bool) -> None:
-        """Distinct words (with START) and pairs, both sorted; with ``inverse``, each token's places."""
-        self.words = np.unique(np.append(self.tokens, START))
-        at = np.searchsorted(self.words, self.tokens)
-        before = np.empty_like(at)
-        before[1:] = at[:-1]
-        before[self.first[:-1]] = np.searchsorted(self.words, START)
-        pair = before.astype(np.uint64) << np.uint64(LOW) | self.tokens >> np.uint64(64 - LOW)
-        if inverse:
-            self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
-            self.word_at, self.before_at = at, before
-            return
-        self.word_counts = np.bincount(at[self.token_train], minlength=len(self.words))
-        self.pairs = np.unique(pair)
-        seen, counts = np.unique(pair[self.token_train], return_counts=True)
-        self.pair_counts = np.zeros(len(self.pairs), np.int64)
-        self.pair_counts[np.searchsorted(self.pairs, seen)] = counts
+    def index(self) -> None:
+        """Words (with START) by hash; pairs (v, w); contexts (v, u); triples (context, w); all sorted. Places are kept in 32 bits."""
+        self.words, word_at = np.unique(np.append(self.tokens, START), return_inverse=True)
+        start, word_at = word_at[-1], word_at[:-1].astype(np.uint64)
+        del self.tokens
+        v = np.roll(word_at, 1)
+        v[self.first[:-1]] = start
+        high = v << LOW
+        self.word_at, self.v_at = word_at.astype(np.int32), v.astype(np.int32)
+        self.pairs, at = np.unique(high | word_at, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        u = np.roll(v, 1)
+        u[self.first[:-1]] = start
+        self.contexts, at = np.unique(high | u, return_inverse=True)
+        del v, u, high
+        self.context_at = at.astype(np.int32)
+        self.triples, seen, at = np.unique(at.astype(np.uint64) << LOW | word_at, return_index=True, return_inverse=True)
+        self.triple_at, self.triple_pair = at.astype(np.int32), self.pair_at[seen]
 
     def routes(self, shards: int, heavy: np.ndarray):
-        """By shard: its own words' places, and its pairs' places (both ascending)."""
-        by_word = (T.mix(self.words ^ np.uint64(0x5BD1E995)) % np.uint64(shards)).astype(np.int64)
-        context = (self.pairs >> np.uint64(LOW)).astype(np.int64)
-        by_pair = by_word[context]
-        hot = np.isin(self.words, heavy)[context]
-        by_pair[hot] = T.mix(self.pairs[hot] & np.uint64((1 << LOW) - 1)) % np.uint64(shards)
-        word_order, pair_order = np.argsort(by_word, kind="stable"), np.argsort(by_pair, kind="stable")
-        word_cut = np.searchsorted(by_word[word_order], np.arange(shards + 1))
-        pair_cut = np.searchsorted(by_pair[pair_order], np.arange(shards + 1))
+        """By shard: the places of its own words, pairs, contexts and triples, all ascending."""
+        tail = lambda x: (T.mix(self.words ^ np.uint64(0x5BD1E995)) % np.uint64(shards)).astype(np.int64)[x]
+        by_word = tail(np.arange(len(self.words)))
+        hot = np.isin(self.words, heavy)
+
+        def dealt(keys: np.ndarray) -> np.ndarray:
+            word, other = (keys >> LOW).astype(np.int64), (keys & TAIL).astype(np.int64)
+            return np.where(hot[word], by_word[other], by_word[word])
+
+        by_pair, by_context = dealt(self.pairs), dealt(self.contexts)
+        by_triple = by_context[(self.triples >> LOW).astype(np.int64)]
+        cuts = []
+        for by in (by_word, by_pair, by_context, by_triple):
+            order = np.argsort(by, kind="stable")
+            cuts.append((order, np.searchsorted(by[order], np.arange(shards + 1))))
         for s in range(shards):
-            yield s, word_order[word_cut[s] : word_cut[s + 1]], pair_order[pair_cut[s] : pair_cut[s + 1]]
+            yield s, *(order[cut[s] : cut[s + 1]] for order, cut in cuts)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -306,26 +402,43 @@ def _open(blob: bytes) -> Chunk:
 
 
 def _ask(shards: int, heavy: np.ndarray):
-    """Chunks into one row a shard: words with counts (-1 + 1 = 0 where only a context), successors with counts."""
+    """Chunks into one row a shard: words, their pairs and contexts, and triples, with training counts.
+
+    Words and pairs have their count + 1, or 0 where they only name something that the shard does not answer for.
+    """
 
     def run(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk = _open(blob)
-                chunk.index(inverse=False)
+                chunk.index()
+                train = chunk.token_train
+                word_n, pair_n, triple_n = (np.bincount(at[train], minlength=len(keys)) for at, keys in ((chunk.word_at, chunk.words), (chunk.pair_at, chunk.pairs), (chunk.triple_at, chunk.triples)))
                 rows: list[tuple[int, bytes]] = []
-                for s, own, pairs in chunk.routes(shards, heavy):
-                    if len(own) or len(pairs):
-                        context = (chunk.pairs[pairs] >> np.uint64(LOW)).astype(np.int64)
-                        words = np.unique(np.concatenate([own, context]))
-                        plus = np.zeros(len(words), np.int64)
-                        plus[np.searchsorted(words, own)] = chunk.word_counts[own] + 1
-                        sizes = np.bincount(np.searchsorted(words, context), minlength=len(words))
-                        tail = chunk.pairs[pairs] & np.uint64((1 << LOW) - 1)
-                        rows.append((s, _pack(chunk.words[words], _small(plus), _small(sizes), (tail & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tail >> np.uint64(32)).astype(np.uint8), _small(chunk.pair_counts[pairs]))))
-                        if sum(len(r[1]) for r in rows) > 8 << 20:
-                            yield _rows(rows, number)
-                            rows = []
+                for s, own, pairs, contexts, triples in chunk.routes(shards, heavy):
+                    if not (len(own) or len(pairs) or len(contexts)):
+                        continue
+                    named = np.union1d(pairs, chunk.triple_pair[triples])
+                    v_pair, v_context = ((x >> LOW).astype(np.int64) for x in (chunk.pairs[named], chunk.contexts[contexts]))
+                    words = np.unique(np.concatenate([own, v_pair, v_context]))
+                    word_plus, pair_plus = np.zeros(len(words), np.int64), np.zeros(len(named), np.int64)
+                    word_plus[np.searchsorted(words, own)] = word_n[own] + 1
+                    pair_plus[np.searchsorted(named, pairs)] = pair_n[pairs] + 1
+                    of_pair = np.searchsorted(words, v_pair)
+                    pair_sizes = np.bincount(of_pair, minlength=len(words))
+                    context_sizes = np.bincount(np.searchsorted(words, v_context), minlength=len(words))
+                    parent = np.searchsorted(contexts, (chunk.triples[triples] >> LOW).astype(np.int64))
+                    # a triple's last word is named by its place among the pairs of the middle one
+                    begin = np.cumsum(pair_sizes) - pair_sizes
+                    place = np.searchsorted(named, chunk.triple_pair[triples])
+                    short = lambda keys: (chunk.words[(keys & TAIL).astype(np.int64)] >> LOW).astype(np.uint32)
+                    rows.append((s, _pack(
+                        chunk.words[words], _small(word_plus), _small(pair_sizes), short(chunk.pairs[named]), _small(pair_plus), _small(context_sizes), short(chunk.contexts[contexts]),
+                        _small(np.bincount(parent, minlength=len(contexts))), _small(place - begin[of_pair[place]]), _small(triple_n[triples]),
+                    )))
+                    if sum(len(r[1]) for r in rows) > 8 << 20:
+                        yield _rows(rows, number)
+                        rows = []
                 if rows:
                     yield _rows(rows, number)
                 del chunk
@@ -338,59 +451,122 @@ def _rows(rows: list[tuple[int, bytes]], chunk: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _merge(blobs: list[bytes]) -> TrieShard:
-    """The trie of what the chunks saw in training."""
-    found = [_unpack(b) for b in blobs]
-    words = np.unique(np.concatenate([f[0] for f in found]))
-    counts = np.zeros(len(words), np.int64)
-    keys, seen = [], []
-    for w, plus, sizes, tail, top, n in found:
-        at = np.searchsorted(words, w)
-        counts[at] += np.maximum(plus.astype(np.int64) - 1, 0)
-        trained = n > 0
-        pair = np.repeat(at, sizes.astype(np.int64)).astype(np.uint64) << np.uint64(LOW) | top.astype(np.uint64) << np.uint64(32) | tail
-        keys.append(pair[trained])
-        seen.append(n[trained].astype(np.int64))
-    key, n = np.concatenate(keys), np.concatenate(seen)
+class Question:
+    """What a chunk asks of a shard, with the tails of its triples' words."""
+
+    def __init__(self, blob: bytes):
+        self.words, self.word_plus, pair_sizes, self.pair_tail, self.pair_plus, context_sizes, self.context_tail, triple_sizes, place, self.triple_n = _unpack(blob)
+        each = np.arange(len(self.words), dtype=np.int32)
+        pair_sizes, context_sizes = pair_sizes.astype(np.int64), context_sizes.astype(np.int64)
+        self.pair_word, self.context_word = np.repeat(each, pair_sizes), np.repeat(each, context_sizes)
+        self.triple_context = np.repeat(np.arange(len(self.context_tail), dtype=np.int32), triple_sizes.astype(np.int64))
+        begin = np.cumsum(pair_sizes) - pair_sizes
+        self.triple_tail = self.pair_tail[begin[self.context_word[self.triple_context]] + place.astype(np.int64)]
+
+
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their sums."""
+    key, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *(c.astype(np.int64) for c in counts)])
     order = np.argsort(key)
     key, n = key[order], n[order]
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return TrieShard.build(words, counts, key[new], np.add.reduceat(n, new) if len(new) else n)
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[new], np.add.reduceat(n, new) if len(new) else n
+
 
+def _merge(asked: list[Question], n: int, starts: int) -> TrieShard:
+    """The trie of what the chunks saw in training; ``starts``: the start mark's count."""
+    words = np.unique(np.concatenate([q.words for q in asked]))
+    counts = np.zeros(len(words), np.int64)
+    at = [np.searchsorted(words, q.words) for q in asked]
+    for q, a in zip(asked, at, strict=True):
+        counts[a] += np.maximum(q.word_plus.astype(np.int64) - 1, 0)
+    parts = []
+    for q, a in zip(asked, at, strict=True):
+        good = q.pair_plus > 1
+        parts.append((a[q.pair_word[good]].astype(np.uint64) << LOW | q.pair_tail[good], q.pair_plus[good].astype(np.int64) - 1))
+    pairs, pair_n = _sum(*zip(*parts, strict=True))
+    above = [a[q.context_word].astype(np.uint64) << LOW | q.context_tail for q, a in zip(asked, at, strict=True)]
+    good = [q.triple_n > 0 for q in asked]
+    contexts = np.unique(np.concatenate([x[q.triple_context[g]] for x, q, g in zip(above, asked, good, strict=True)]))
+    parts = [(np.searchsorted(contexts, x[q.triple_context[g]]).astype(np.uint64) << LOW | q.triple_tail[g], q.triple_n[g]) for x, q, g in zip(above, asked, good, strict=True)]
+    triples, triple_n = _sum(*zip(*parts, strict=True))
+    total = np.where(words == START, starts, counts)
+    trie = TrieShard.build(words, total, pairs, pair_n, contexts, triples, triple_n, n)
+    trie.counts = EliasFano.of(np.concatenate([[0], np.cumsum(counts)]))
+    return trie
+
+
+def _find(level: Level, parents: list[np.ndarray], tails: list[np.ndarray]) -> np.ndarray:
+    """Places of the nodes that several chunks ask for, searched together in the level's order: each range is decoded once."""
+    parent, tail = np.concatenate(parents), np.concatenate(tails)
+    order = np.argsort((parent + 1).astype(np.uint64) << LOW | tail, kind="stable")
+    out = np.empty(len(parent), np.int64)
+    out[order] = level.places(parent[order], tail[order])
+    return out
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
     """A shard's trie, built and asked: by chunk the counts and codes in the order of the questions.
 
-    The row of chunk -1 holds the number of words seen in training.
+    The row of chunk -1 holds the number of words seen in training, and how many successors heavy words have here.
     """
-    trie = TrieShard.from_buffer(np.frombuffer(_merge(pdf["blob"].tolist()).to_bytes(), np.uint8))
-    out = [(-1, int(pdf["shard"].iloc[0]), _pack(np.array([int((trie.counts > 0).sum())], np.int64)))]
-    for chunk, blob in zip(pdf["chunk"], pdf["blob"], strict=True):
-        words, plus, sizes, tail, top, _ = _unpack(blob)
-        successors = top.astype(np.uint64) << np.uint64(32) | tail
-        out.append((int(chunk), out[0][1], _pack(_small(trie.count(words[plus > 0])), trie.code(np.repeat(words, sizes.astype(np.int64)), successors))))
-    del trie
-    release()
-    return pd.DataFrame(out, columns=["chunk", "shard", "blob"])
-
-
-def _score(shards: int, heavy: np.ndarray, n: int, v: int, train_docs: int):
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, chunks = int(pdf["shard"].iloc[0]), pdf["chunk"].tolist()
+        asked = [Question(b) for b in pdf["blob"]]
+        with mapped(_merge(asked, n, starts), folder) as trie:
+            held = trie.places(heavy)
+            limits = trie.pairs.pointers.range(0, trie.pairs.pointers.n).astype(np.int64)
+            kinds = np.where(held >= 0, limits[held + 1] - limits[held], 0)
+            sums = trie.counts.range(0, trie.counts.n)
+            out = [(-1, shard, _pack(np.array([int((sums[1:] > sums[:-1]).sum())], np.int64), kinds))]
+            del limits, sums
+            cut = lambda parts: np.cumsum([0, *map(len, parts)])
+            words, back = np.unique(np.concatenate([q.words for q in asked]), return_inverse=True)
+            at = np.split(trie.places(words)[back], cut([q.words for q in asked])[1:-1])
+            answers = []
+            for q, a in zip(asked, at, strict=True):
+                own = a[q.word_plus > 0]
+                answers.append([_small(trie.count(own)), np.where(own >= 0, trie.weights[own], 0).astype(np.uint8)])
+            mine = [q.pair_plus > 0 for q in asked]
+            pair = trie.pairs.code(_find(trie.pairs, [a[q.pair_word[m]] for q, a, m in zip(asked, at, mine, strict=True)], [q.pair_tail[m] for q, m in zip(asked, mine, strict=True)]))
+            for answer, codes in zip(answers, np.split(pair, np.cumsum([int(m.sum()) for m in mine])[:-1]), strict=True):
+                answer.append(codes)
+            context = _find(trie.contexts, [a[q.context_word] for q, a in zip(asked, at, strict=True)], [q.context_tail for q in asked])
+            ends = cut([q.context_tail for q in asked])
+            triple = trie.triples.code(_find(trie.triples, [context[i + q.triple_context] for q, i in zip(asked, ends, strict=False)], [q.triple_tail for q in asked]))
+            for answer, c, t in zip(answers, np.split(trie.contexts.code(context), ends[1:-1]), np.split(triple, cut([q.triple_tail for q in asked])[1:-1]), strict=True):
+                answer += [c, t]
+            out += [(int(chunk), shard, _pack(*answer)) for chunk, answer in zip(chunks, answers, strict=True)]
+            del trie, asked, at, context, triple, pair, answers
+        release()
+        return pd.DataFrame(out, columns=["chunk", "shard", "blob"])
+
+    return run
+
+
+def _score(shards: int, heavy: np.ndarray, weights: np.ndarray, n: int, v: int, starts: int):
     def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         given = dict(zip(answers["shard"], answers["blob"], strict=True))
         parts = []
         for blob in chunks["blob"]:
             chunk = _open(blob)
-            chunk.index(inverse=True)
-            counts, codes = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.pairs), np.uint8)
-            for s, own, pairs in chunk.routes(shards, heavy):
-                if len(own) or len(pairs):
-                    counts[own], codes[pairs] = _unpack(given[s])
+            chunk.index()
+            counts, lower2 = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words))
+            pair, lower3, triple = np.zeros(len(chunk.pairs), np.uint8), np.zeros(len(chunk.contexts), np.uint8), np.zeros(len(chunk.triples), np.uint8)
+            for s, own, pairs, contexts, triples in chunk.routes(shards, heavy):
+                if len(own) or len(pairs) or len(contexts):
+                    counts[own], code, pair[pairs], lower3[contexts], triple[triples] = _unpack(given[s])
+                    lower2[own] = _VALUES[code]
             c = counts[chunk.word_at]
-            context = counts.copy()
-            context[np.searchsorted(chunk.words, START)] = train_docs
             p = (c + 1) / (n + 1 * (v + 1))
-            joint = _CODEBOOK[codes][chunk.pair_at]
-            full = (joint + STRENGTH * p) / (np.maximum(context[chunk.before_at], joint) + STRENGTH)
+            context = np.where(chunk.words == START, starts, counts)
+            hot = np.minimum(np.searchsorted(heavy, chunk.words), len(heavy) - 1)
+            lower2 = np.where(heavy[hot] == chunk.words, weights[hot] / np.maximum(context, 1), lower2)[chunk.v_at]
+            seen = context[chunk.v_at]
+            two = np.where(seen > 0, _VALUES[pair][chunk.pair_at] * n / np.maximum(seen, 1) + lower2 * p, p)
+            lower3 = lower3[chunk.context_at]
+            full = np.minimum(np.where(lower3 > 0, _VALUES[triple][chunk.triple_at] + _VALUES[lower3] * two, two), 1.0)
             first = chunk.first[:-1]
             parts.append(pd.DataFrame({
                 "doc_id": pd.array(np.where(chunk.known, chunk.ids, 0), dtype="Int64"),
@@ -402,7 +578,7 @@ def _score(shards: int, heavy: np.ndarray, n: int, v: int, train_docs: int):
                 "score": np.add.reduceat(np.log10(full), first),
             }))
             parts[-1].loc[~chunk.known, "doc_id"] = pd.NA
-            del chunk, c, context, p, joint, full, counts, codes
+            del chunk, c, context, p, two, full, counts, pair, triple
             release()
         return pd.concat(parts)
 
@@ -411,17 +587,23 @@ def _score(shards: int, heavy: np.ndarray, n: int, v: int, train_docs: int):
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every whole text of ``docs`` (doc_id, text) under the model of those outside the held-out fold."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = stash(rows.mapInArrow(pack_chunks, "chunk long, blob binary, bytes long, tokens long, train_docs long, heavy array<struct<word:long,n:long>>"), "lm-chunks")
-    size, n, train_docs = (int(x or 0) for x in chunks.agg(F.sum("bytes"), F.sum("tokens"), F.sum("train_docs")).first())
+    size, n, starts = (int(x or 0) for x in chunks.agg(F.sum("bytes"), F.sum("tokens"), F.sum("train_docs")).first())
     shards = max(1, -(-size // SHARD_BYTES))
     often = chunks.select(F.explode("heavy").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n")).where(F.col("n") * 2 * HEAVY >= n)
-    heavy = np.array(sorted(r["word"] for r in often.collect()), np.int64).view(np.uint64)  # at most 2 * HEAVY
+    heavy = np.sort(np.append(np.array([r["word"] for r in often.collect()], np.int64).view(np.uint64), START))  # at most 2 * HEAVY
+    folder = plain_folder(shared_dir(spark))
+    folder = folder and os.path.join(folder, "stash", f"lm-tries-{uuid.uuid4().hex}")
     asked = chunks.select("chunk", "blob").mapInArrow(_ask(shards, heavy), "shard int, chunk long, blob binary")
-    answers = stash(asked.groupBy("shard").applyInPandas(_answer, "chunk long, shard int, blob binary"), "lm-answers")
-    v = sum(int(_unpack(bytes(r.blob))[0][0]) for r in answers.where("chunk = -1").select("blob").toLocalIterator())
+    answers = stash(asked.groupBy("shard").applyInPandas(_answer(heavy, n, starts, folder), "chunk long, shard int, blob binary"), "lm-answers")
+    v, kinds = 0, np.zeros(len(heavy))
+    for r in answers.where("chunk = -1").select("blob").toLocalIterator():
+        words, here = _unpack(bytes(r.blob))
+        v, kinds = v + int(words[0]), kinds + here
     ready = chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
-    return ready.applyInPandas(_score(shards, heavy, n, v, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.applyInPandas(_score(shards, heavy, DISCOUNT * kinds, n, v, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
