@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalbench.llm import _text as T
-from evalbench.llm import bpe, html, lm, media, mixing, neardup, passages, quality, secrets, topk
+from evalbench.llm import bpe, html, media, mixing, neardup, passages, quality, secrets, topk
 
 #: A small table with every odd case; columns that operators use inside come with other content.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, h string, size string, bucket string, component string"
@@ -195,55 +195,14 @@ def test_bpe_is_the_library(docs, empty):
     assert bpe.digests(empty).count() == 0
 
 
-# ---- 6
-
-
-def test_elias_fano():
-    for values in ([], [0], [5, 5, 5], sorted(random.Random(1).sample(range(1 << 60), 1000))):
-        x = np.array(values, np.uint64)
-        ef = lm.EliasFano.of(x)
-        assert (ef.decode() == x).all() and (lm.EliasFano.view(np.frombuffer(ef.to_bytes(), np.uint8), 0)[0].decode() == x).all()
-
-
-def test_trie_in_a_file(tmp_path):
-    words = np.array([10, 20, 30], np.uint64)
-    pairs = np.array([0 << 40 | 7, 0 << 40 | 9, 2 << 40 | 7], np.uint64)
-    lm.TrieShard.build(words, np.array([4, 0, 2]), pairs, np.array([3, 1, 96])).save(f"{tmp_path}/t")
-    trie = lm.TrieShard.open(f"{tmp_path}/t")
-    assert trie.count(words).tolist() == [4, 0, 2] and trie.count(np.array([11], np.uint64)).tolist() == [0]
-    codes = trie.code(np.array([10, 10, 20, 30, 99], np.uint64), np.array([7, 8, 7, 7, 7], np.uint64))
-    assert lm._CODEBOOK[codes].tolist() == [3, 0, 0, 96, 0]
-
-
-def test_scores(docs, empty):
-    rows = docs.collect()
-    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-    tokens = [[w for w in (r.text or "").translate(low).replace("\t", " ").split(" ") if w] + [0] for r in rows]
-    train = [zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2 for r in rows]
-    c = collections.Counter(w for t, ok in zip(tokens, train) if ok for w in t)
-    b = collections.Counter(p for t, ok in zip(tokens, train) if ok for p in zip(["S", *t], t))
-    n, v = sum(c.values()), len(c)
-    c["S"] = sum(train)
-    want = collections.Counter()
-    for r, t, ok in zip(rows, tokens, train):
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        full = sum(math.log10((b[u, w] + lm.STRENGTH * (c[w] + 1) / (n + v + 1)) / (c[u] + lm.STRENGTH)) for u, w in zip(["S", *t], t))
-        want[r.doc_id, not ok, len(t), sum(c[w] > 0 for w in t), n, round(base, 3), round(full, 1)] += 1
-    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 1)) for r in lm.score(docs).collect())
-    assert got == want
-    assert lm.score(empty).count() == 0
-
-
 # ---- 7
 
 
 def test_compact_windows_cover_every_stretch():
-    h = np.random.RandomState(1).randint(0, 1 << 30, 200).astype(np.uint64)
-    found = passages.compact_windows(h, 20)
-    for i in range(0, 180, 7):
-        for j in range(i + 19, 200, 11):
-            c = i + int(h[i : j + 1].argmin())
-            assert any(a <= i and b >= j and m == c for a, m, b in found)
+    h = np.random.RandomState(1).randint(0, 1 << 62, 200).astype(np.uint64)
+    starts, least = passages.compact_windows(h, np.array([0, 70, 75, 200]), 20)
+    assert starts.tolist() == [*range(51), *range(75, 181)]
+    assert least.tolist() == [i + int((h[i : i + 20] >> np.uint64(8)).argmin()) for i in starts]
 
 
 def test_repeated_passages(spark, docs, empty):
