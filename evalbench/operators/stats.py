@@ -110,7 +110,7 @@ def bootstrap_observations(pairs: DataFrame, seed: int, rounds: int) -> DataFram
     """
     base = pairs.select("place", (F.col("left") - F.col("right")).alias("d"))
     n = base.count()
-    draws = base.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("draw"))
+    draws = base.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).alias("round"), (F.col("id") % n).alias("draw"))
     drawn = draws.withColumn("place", tx.hash_index(F.concat_ws(":", F.lit(seed), "round", "draw"), F.lit(n)))
     return _interval(drawn.join(base, "place").groupBy("round").agg(F.avg("d").alias("m")), base.agg(F.avg("d").alias("effect")))
 
@@ -120,7 +120,7 @@ def bootstrap_clusters(pairs: DataFrame, seed: int, rounds: int) -> DataFrame:
     sums = pairs.groupBy("cluster").agg(F.sum(F.col("left") - F.col("right")).alias("s"), F.count(F.lit(1)).alias("n"))
     placed = sums.withColumn("place", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long"))  # one row a cluster
     k = sums.count()
-    draws = sums.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))).alias("draw"))
+    draws = sums.sparkSession.range(rounds * k).select(F.floor(F.col("id") / k).alias("round"), (F.col("id") % k).alias("draw"))
     drawn = draws.withColumn("place", tx.hash_index(F.concat_ws(":", F.lit(seed), "round", "draw"), F.lit(k)))
     means = drawn.join(placed, "place").groupBy("round").agg((F.sum("s") / F.sum("n")).alias("m"))
     return _interval(means, sums.agg((F.sum("s") / F.sum("n")).alias("effect")))

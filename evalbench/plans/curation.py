@@ -169,9 +169,9 @@ def b12(spark, d):
     return out.select("event_id", F.col("s.place").cast("long").alias("place"), F.col("s.old").alias("old"), F.col("s.new").alias("new"))
 
 
-@register("w12_first_seen", "select text_key, arg_min(doc_id, doc_id) as doc_id, count(distinct lang) > 1 as conflict from (select substr(text, 1, 5) as text_key, doc_id, lang from documents) group by text_key")
+@register("w12_first_seen", "select text_key, arg_min(doc_id, doc_id) as doc_id, count(distinct lang) > 1 as conflict from (select text as text_key, doc_id, lang from documents) group by text_key")
 def w12(spark, d):
-    rows = rel.read(spark, d, "documents").select(F.substring("text", 1, 5).alias("text_key"), "doc_id", "lang")
+    rows = rel.read(spark, d, "documents").select(F.col("text").alias("text_key"), "doc_id", "lang")
     return op.first_seen(rows, "text_key", "doc_id").select("text_key", "doc_id", "conflict")
 
 

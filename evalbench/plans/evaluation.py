@@ -164,12 +164,12 @@ def a22(spark, d):
     return rounded(op.normal_interval(rel.read(spark, d, "events").withColumn("v", F.col("value") - 50), ["event_type"], "v"), effect=6, low=6, high=6)
 
 
-_BP = "bp as (select event_id as place, value as l, 50.0::double as r, user_id % 20 as cluster from events where event_id < 300)"
+_BP = "bp as (select event_id as place, value as l, 50.0::double as r, user_id % 20 as cluster from events)"
 _IDX = "cast('0x' || substr(md5(concat_ws(':', 7, round, draw)), 1, 8) as bigint) % {n}"
 
 
 def paired(spark, d):
-    return rel.read(spark, d, "events").where("event_id < 300").select(F.col("event_id").alias("place"), F.col("value").alias("left"), F.lit(50.0).alias("right"), (F.col("user_id") % 20).alias("cluster"))
+    return rel.read(spark, d, "events").select(F.col("event_id").alias("place"), F.col("value").alias("left"), F.lit(50.0).alias("right"), (F.col("user_id") % 20).alias("cluster"))
 
 
 @register("e6_bootstrap_observations", f"with {_BP}, draws as (select round, draw, {_IDX.format(n='(select count(*) from bp)')} as place from range(200) a(round), range((select count(*) from bp)) b(draw)), means as (select round, avg(l - r) as m from draws join bp using (place) group by round) select (select round(avg(l - r), 6) from bp) as effect, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, count(*) as rounds from means")

@@ -1,4 +1,4 @@
-"""Queries of tokenizers, planners, sources and sinks; rows only, as they write files or depend on order."""
+"""Queries of tokenizers, planners, sources, sinks and gates; those without SQL depend on order or on hashes of files."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
 from evalbench.functions import tokenizer
-from evalbench.operators import curate
+from evalbench.operators import curate, gates
 from evalbench.operators import ledger as led
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
@@ -51,12 +51,13 @@ def b11(spark, d):
     return curate.plan_replacements(first, _windows(spark, d), QUOTAS, 5, 2)
 
 
-@register("e8_bootstrap_input_hash", "select sha256(string_agg(cast(event_id as varchar) || ':' || cast(cast(value as decimal(18,6)) as varchar), ',' order by event_id)) as input_hash from events where event_id < 300")
+@register("e8_bootstrap_input_hash", "with b as (select event_id // 1000 as block, sha256(string_agg(cast(event_id as varchar) || ':' || cast(cast(value as decimal(18,6)) as varchar), ',' order by event_id)) as h from events group by 1) select sha256(string_agg(h, ',' order by block)) as input_hash from b")
 def e8(spark, d):
-    e = rel.read(spark, d, "events").where("event_id < 300")
+    """A hash of the hashes of blocks of a thousand, so no task holds all rows."""
     row = F.concat_ws(":", F.col("event_id").cast("string"), F.col("value").cast("decimal(18,6)").cast("string"))
-    x = e.agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("x"))
-    return x.select(F.sha2(F.array_join(F.transform("x", lambda v: v["r"]), ","), 256).alias("input_hash"))
+    lined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(c), lambda v: v["r"]), ","), 256)
+    blocks = rel.read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("block")).agg(lined(F.collect_list(F.struct("event_id", row.alias("r")))).alias("r"))
+    return blocks.agg(lined(F.collect_list(F.struct("block", "r"))).alias("input_hash"))
 
 
 @register("s2_chunk_dataset")
@@ -99,3 +100,114 @@ def x3(spark, d):
 @register("c2_canonical_ids")
 def c2_ids(spark, d):
     return rel.read(spark, d, "benchmark").select("item_id", tx.canonical_hash(item=F.col("item_id").cast("string"), text=F.col("text")).alias("id"))
+
+
+def _json(rows, path):
+    rows.write.json(path)
+
+
+@register("s3_source_windows", "select count(*) as windows, count(distinct doc_id % 9) as pages, cast(sum(length(text)) as bigint) as characters from documents")
+def s3(spark, d):
+    path, i = folder(spark, "windows"), F.col("doc_id")
+    page = (i % 9).cast("int")
+    _json(rel.read(spark, d, "documents").select(F.format_string("w%06d", i).alias("window_id"), F.col("source").alias("document_id"), page.alias("page_start"), page.alias("page_end"), F.col("text").alias("content")), path)
+    return files.source_windows(spark, path).agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("page_start").alias("pages"), F.sum(F.length("content")).alias("characters"))
+
+
+@register("s4_parse_checkpoints", "select doc_id as document_id, idx, idx + 1 as page, substr(text, idx * 10 + 1, 10) as content from documents, range(0, 3) r(idx) where doc_id % 4 <> 0")
+def s4(spark, d):
+    path, i = folder(spark, "checkpoints"), F.col("doc_id")
+    element = lambda k: F.struct(F.lit(k + 1).alias("page"), F.lit("paragraph").alias("category"), F.substring("text", k * 10 + 1, 10).alias("content"))
+    rows = rel.read(spark, d, "documents").select(i.cast("string").alias("document_id"), F.sha2("text", 256).alias("source_sha256"), F.lit(3).alias("expected_pages"), F.lit("standard").alias("mode"), F.when(i % 4 == 0, "failed").otherwise("succeeded").alias("status"), F.array(*[element(k) for k in range(3)]).alias("elements"))
+    _json(rows, path)
+    done = files.checkpoints(spark, path).where("status = 'succeeded'")
+    return files.elements(done).select(F.col("document_id").cast("long").alias("document_id"), F.col("idx").cast("long").alias("idx"), F.col("page").cast("long").alias("page"), "content")
+
+
+@register("s5_analysis_bundle", "select 'nation' as collection, count(*) as n, cast(sum(n_nationkey) as bigint) as keys from nation union all select 'region', 2 * count(*), cast(2 * sum(r_regionkey) as bigint) from region")
+def s5(spark, d):
+    """Two bundles: nations in one of them, regions in both."""
+    base = folder(spark, "bundle")
+    table = lambda name, key, text: rel.read(spark, d, name).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("key"), F.col(text).alias("name"))).alias(name))  # noqa: E731  (25 and 5 rows)
+    regions, nations = table("region", "r_regionkey", "r_name"), table("nation", "n_nationkey", "n_name")
+    regions.join(nations).coalesce(1).write.json(f"{base}/a")
+    regions.withColumn("nation", F.array().cast("array<struct<key:bigint,name:string>>")).coalesce(1).write.json(f"{base}/b")
+    found = files.bundle(spark, [f"{base}/a", f"{base}/b"], {"nation": "key:bigint,name:string", "region": "key:bigint,name:string"})
+    count = lambda name: found[name].agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
+    return count("nation").unionByName(count("region"))
+
+
+@register("s10_parquet_sink", "select o_orderkey, o_orderstatus from orders")
+def s10(spark, d):
+    path = f"{folder(spark, 'parquet')}/orders"
+    sinks.parquet(rel.read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path)
+    return spark.read.parquet(path)
+
+
+@register("s11_csv_sink", "select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(cast(n_nationkey as decimal(12,6)) / 8 as decimal(12,6))::varchar as share from nation")
+def s11(spark, d):
+    path = f"{folder(spark, 'csv')}/nation"
+    share = (F.col("n_nationkey").cast("decimal(12,6)") / 8).cast("decimal(12,6)")
+    sinks.csv(rel.read(spark, d, "nation").select("n_nationkey", "n_name", share.alias("share")), path)
+    return spark.read.option("header", True).csv(path)
+
+
+_MANIFEST = """
+version: "1"
+documents:
+  - {document_id: law, pages: 120, language: ko}
+  - {document_id: tax, pages: 95, language: ko}
+  - document_id: health
+    pages: 230
+    language: en
+"""
+_CONFIG = """
+name: first try
+output_dir: /runs/one
+retriever: hybrid
+rrf: {k: 60}
+top_k: 5
+"""
+
+
+@register("s1_yaml_manifest", "select * from (values ('law', 120, 'ko'), ('tax', 95, 'ko'), ('health', 230, 'en')) t(document_id, pages, language)")
+def s1(spark, d):
+    return files.yaml_rows(spark, _MANIFEST, "documents", "document_id string, pages int, language string")
+
+
+@register("s7_yaml_config", "select 'hybrid' as retriever, 5 as top_k, 60 as rrf_k")
+def s7(spark, d):
+    c = files.yaml_mapping(_CONFIG)
+    return spark.createDataFrame([(c["retriever"], c["top_k"], c["rrf"]["k"])], "retriever string, top_k int, rrf_k int")
+
+
+@register("x1_semantic_config_hash", """select sha256('{"retriever":"hybrid","rrf":{"k":60},"top_k":5}') as config_hash, true as same_under_another_name""")
+def x1(spark, d):
+    c = files.yaml_mapping(_CONFIG)
+    one, two = gates.semantic_hash(c), gates.semantic_hash({**c, "name": "second", "output_dir": "/else"})
+    return spark.createDataFrame([(one, one == two)], "config_hash string, same_under_another_name boolean")
+
+
+@register("p9_search_bounds", "select item_id, case when trim(q) = '' then 'blank_query' when length(q) > 10000 then 'long_query' when k < 1 or k > 100 then 'top_k' end as problem from (select item_id, case when item_id % 7 = 0 then '  ' when item_id % 11 = 0 then repeat('x', 10001) else text end as q, item_id % 13 * 10 as k from benchmark)")
+def p9(spark, d):
+    i = F.col("item_id")
+    q = F.when(i % 7 == 0, "  ").when(i % 11 == 0, F.repeat(F.lit("x"), 10001)).otherwise(F.col("text"))
+    return rel.read(spark, d, "benchmark").select("item_id", gates.search_problem(q, i % 13 * 10).alias("problem"))
+
+
+@register("b16_campaign_hash", """select sha256('{"allow_reduced_scope":' || case when reduced then 'true' else 'false' end || ',"initial_plan_hash":"' || sha256('plan') || '","max_replacement_rounds":' || cast(rounds as varchar) || '}') as campaign_hash, rounds from (values (0, false), (2, false), (2, true)) t(rounds, reduced)""")
+def b16(spark, d):
+    rows = spark.createDataFrame([(0, False), (2, False), (2, True)], "rounds int, reduced boolean")
+    return rows.select(gates.campaign_hash(F.sha2(F.lit("plan"), 256), F.col("rounds"), F.col("reduced")).alias("campaign_hash"), "rounds")
+
+
+@register("b17_gold_access_gate", "select * from (values ('1', true, 'evaluate-gold', null), ('0', true, 'evaluate-gold', 'environment'), (null, true, 'evaluate-gold', 'environment'), ('1', false, 'evaluate-gold', 'not_explicit'), ('1', true, 'export', 'command')) t(allowed, explicit, command, refusal)")
+def b17(spark, d):
+    rows = [("1", True, "evaluate-gold"), ("0", True, "evaluate-gold"), (None, True, "evaluate-gold"), ("1", False, "evaluate-gold"), ("1", True, "export")]
+    return spark.createDataFrame([(*r, gates.gold_refusal(*r)) for r in rows], "allowed string, explicit boolean, command string, refusal string")
+
+
+@register("x18_gold_dry_run", "select 3 as config_count, count(*) as item_count, 5 as metric_count, 1000 as bootstrap_resamples from benchmark")
+def x18(spark, d):
+    """Counts only: no item, path or answer."""
+    return rel.read(spark, d, "benchmark").agg(F.lit(3).alias("config_count"), F.count(F.lit(1)).alias("item_count"), F.lit(5).alias("metric_count"), F.lit(1000).alias("bootstrap_resamples"))

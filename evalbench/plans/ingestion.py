@@ -51,9 +51,9 @@ def c4(spark, d):
     return rel.read(spark, d, "documents").select("doc_id", tx.heading_level(F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 8).cast("int")), F.lit(" Title"))).cast("long").alias("level"))
 
 
-@register("a13_repeated_furniture", f"with {_EL}, {_BL} select document_id, kind, substr(content, 1, 2) as content from bl where kind in ('header','footer') group by document_id, kind, substr(content, 1, 2) having count(distinct page) >= 2 and count(*) = count(distinct page)")
+@register("a13_repeated_furniture", f"with {_EL}, {_BL} select document_id, kind, content from bl where kind in ('header','footer') group by document_id, kind, content having count(distinct page) >= 2 and count(*) = count(distinct page)")
 def a13(spark, d):
-    return op.repeated_furniture(blocks(spark, d).withColumn("content", F.substring("content", 1, 2)), 2)
+    return op.repeated_furniture(blocks(spark, d), 2)
 
 
 @register("p3_content_blocks", f"with {_EL}, {_BL}, f as (select document_id, kind, content from bl where kind in ('header','footer') group by all having count(distinct page) >= 3 and count(*) = count(distinct page)) select document_id, count(*) as n from bl left join f using (document_id, kind, content) where content <> '' and not exists (select 1 from f where f.document_id = bl.document_id and f.kind = bl.kind and f.content = bl.content) group by document_id")

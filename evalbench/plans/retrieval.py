@@ -220,10 +220,10 @@ def w4(spark, d):
 
 
 @register("r15_evidence_binding", w("chunks questions", """select question_id as span_id, chunk_id, case when chunk_id is null then 'missing' else 'bound' end as status from questions left join (
-select question_id, chunk_id from (select question_id, chunk_id, row_number() over (partition by question_id order by length(c) - length(s), chunk_id) as r from (select question_id, regexp_replace(replace(lower(query), 'ß', 'ss'), '\\s+', ' ', 'g') as s from questions), (select chunk_id, trim(regexp_replace(replace(lower(content), 'ß', 'ss'), '\\s+', ' ', 'g')) as c from chunks where document_id = 'src0') where contains(c, trim(s))) where r = 1) using (question_id)"""))
+select question_id, chunk_id from (select question_id, chunk_id, row_number() over (partition by question_id order by length(c) - length(s), chunk_id) as r from (select question_id, regexp_replace(replace(lower(query), 'ß', 'ss'), '\\s+', ' ', 'g') as s from questions), (select chunk_id, document_id, trim(regexp_replace(replace(lower(content), 'ß', 'ss'), '\\s+', ' ', 'g')) as c from chunks) where contains(c, trim(s)) and document_id = 'src' || cast(cast(substr(question_id, 2) as integer) % 10 as varchar)) where r = 1) using (question_id)"""))
 def r15(spark, d):
-    spans = rel.questions(spark, d).select(F.col("question_id").alias("span_id"), F.lit("src0").alias("document_id"), F.lit(1).alias("page"), F.col("query").alias("quote"))
-    chunks = rel.chunks(spark, d).where("document_id = 'src0'").withColumn("page_start", F.lit(1)).withColumn("page_end", F.lit(1))
+    spans = rel.questions(spark, d).select(F.col("question_id").alias("span_id"), F.concat(F.lit("src"), (F.substring("question_id", 2, 9).cast("int") % 10).cast("string")).alias("document_id"), F.lit(1).alias("page"), F.col("query").alias("quote"))
+    chunks = rel.chunks(spark, d).withColumn("page_start", F.lit(1)).withColumn("page_end", F.lit(1))
     return op.bind_evidence(spans, chunks).select("span_id", "chunk_id", "status")
 
 

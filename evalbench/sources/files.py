@@ -23,6 +23,52 @@ def chunk_dataset(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+WINDOWS = "window_id string, document_id string, page_start int, page_end int, content string"
+
+
+def source_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Windows, one object a line; raises with the numbers of the first lines that are no window (all fields, pages in order)."""
+    fields = [f.split(" ")[0] for f in WINDOWS.split(", ")]
+    lines = spark.read.text(path).select(F.col("value"), F.from_json("value", WINDOWS).alias("w"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    good = F.col("w").isNotNull() & F.forall(F.array(*[F.col(f"w.{f}").isNotNull() for f in fields]), lambda ok: ok) & (F.col("w.page_start") <= F.col("w.page_end"))
+    bad = lines.where(~F.coalesce(good, F.lit(False))).select("part", "id").limit(10).collect()
+    if bad:
+        sizes = dict(lines.groupBy("part").agg(F.count(F.lit(1))).collect())  # one row a split
+        ahead = lambda part: sum(n for p, n in sizes.items() if p < part)
+        raise ValueError("no window on line " + ", ".join(str(ahead(r.part) + (r.id & (1 << 33) - 1) + 1) for r in bad))
+    return lines.select("w.*")
+
+
+def yaml_mapping(text: str) -> dict:
+    """A YAML document whose root is a mapping; a repeated key raises. Needs a YAML parser."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("reading YAML needs the yaml package") from error
+
+    class Unique(yaml.SafeLoader):
+        def construct_mapping(self, node, deep=False):
+            keys = [self.construct_object(k, deep=True) for k, _ in node.value]
+            if len(set(keys)) < len(keys):
+                raise ValueError("a key is repeated")
+            return super().construct_mapping(node, deep)
+
+    found = yaml.load(text, Loader=Unique)
+    if not isinstance(found, dict):
+        raise ValueError("the root is no mapping")
+    return found
+
+
+def yaml_rows(spark: SparkSession, text: str, key: str, schema: str) -> DataFrame:
+    """The list of mappings under ``key`` as rows; fields that the schema lacks or a mapping lacks raise."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    rows = yaml_mapping(text).get(key, [])
+    for r in rows:
+        if set(r) != set(names):
+            raise ValueError(f"fields {sorted(r)} instead of {sorted(names)}")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, CHECKPOINTS)
 
