@@ -110,6 +110,22 @@ def fixed_chunks(texts: DataFrame, size: int, overlap: int, snapshot: str, strat
     return out.withColumn("chunk_id", F.concat_ws(":", F.lit(snapshot), F.lit(strategy), F.substring(F.sha2(name, 256), 1, 24)))
 
 
+def snapshot_counts(texts: DataFrame, sections: DataFrame, strategies: list[tuple[str, int, int]]) -> DataFrame:
+    """parse_mode, strategy, chunks, documents, least, most and mean tokens for each mode and strategy, in one pass over the texts.
+
+    ``texts`` (parse_mode, document_id, n) and ``sections`` (the same, a row a section) hold numbers of tokens;
+    a strategy is its kind (fixed or heading), size and overlap.
+    """
+    out = None
+    for kind in ("fixed", "heading"):
+        own = [F.struct(F.lit(f"{k}-{size}-{overlap}").alias("strategy"), spans(F.col("n"), size, overlap).alias("w")) for k, size, overlap in strategies if k == kind]
+        if own:
+            rows = (texts if kind == "fixed" else sections).where("n > 0").select("parse_mode", "document_id", F.explode(F.array(*own)).alias("s"))
+            rows = rows.select("parse_mode", "document_id", "s.strategy", F.explode("s.w").alias("w")).withColumn("tokens", F.col("w.token_end") - F.col("w.token_start"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("parse_mode", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.avg("tokens").alias("mean"))
+
+
 def overlapping_blocks(windows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Windows and the blocks (with base and n_tokens) that they touch: equal document, overlapping spans."""
     b = offsets.select("document_id", "ord", "page", "base", (F.col("base") + F.col("n_tokens")).alias("stop"))

@@ -101,3 +101,25 @@ def merged(parts: DataFrame, elements: DataFrame) -> DataFrame:
     moved = parts.join(most, ["document_id", "part"], "left").withColumn("shift", F.coalesce(F.sum(F.coalesce("ids", F.lit(0))).over(order), F.lit(0)))
     out = elements.join(moved.select("document_id", "part", "start", "shift"), ["document_id", "part"])
     return out.select("document_id", "part", "idx", (F.col("id") + F.col("shift")).alias("id"), (F.col("page") + F.col("start")).alias("page"), _offset_ids("html", "shift").alias("html"))
+
+
+def snapshot_problems(checkpoints: DataFrame) -> DataFrame:
+    """(problem, n) of what keeps a set of checkpoints from being chunked; empty if it may be.
+
+    ``checkpoints``: snapshot_id, document_id, source_sha256, mode, status, pages, mapped array<int>, payload_hash, model_id,
+    model_version. All have succeeded, are of one corpus snapshot and one of the two modes, map just the pages 1 to n
+    and are identified; each mode has a document once, and both have the same ones.
+    """
+    wanted = F.sequence(F.lit(1), F.greatest("pages", F.lit(1)))
+    pages = (F.col("pages") > 0) & (F.size(F.array_except(wanted, F.array_distinct("mapped"))) == 0) & (F.size(F.array_except(F.array_distinct("mapped"), wanted)) == 0)
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    known = F.col("mode").isin("standard", "enhanced")
+    rules = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("status") == "succeeded", F.lit(False)), "not_succeeded"), F.when(~F.coalesce(known, F.lit(False)), "unknown_mode"),
+        F.when(~F.coalesce(pages, F.lit(False)), "incomplete_pages"), F.when(blank("payload_hash") | blank("model_id") | blank("model_version"), "no_identity"),
+    ))
+    own = checkpoints.select(F.explode(rules).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    by = checkpoints.where(known).groupBy("document_id", "source_sha256").agg(F.count(F.when(F.col("mode") == "standard", 1)).alias("s"), F.count(F.when(F.col("mode") == "enhanced", 1)).alias("e"))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
+    more = count(by.where("s > 1 or e > 1"), "duplicate").unionByName(count(by.where("s = 0 or e = 0"), "not_in_both_modes")).unionByName(count(checkpoints.select("snapshot_id").distinct().offset(1), "mixed_snapshots"))
+    return own.unionByName(more).where("n > 0")

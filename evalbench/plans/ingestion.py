@@ -287,7 +287,39 @@ def a15(spark, d):
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("lang").alias("languages"), F.bool_or(F.col("lang") == "de").alias("has_de")).join(F.broadcast(top)).select("documents", (F.col("top") / F.col("documents")).alias("max_share"), "languages", "has_de")
 
 
-@register("c12_snapshot_build", f"with {_TK} select parse_mode, size, cast(sum(greatest(1, cast(ceil((len(t) - 50) / (size - 50.0)) as bigint))) as bigint) as chunks from tk, (select unnest(['standard','enhanced']) as parse_mode), (select unnest([200, 300, 400, 600]) as size) where len(t) > 0 group by all")
+#: Sizes and overlaps of the strategies that a snapshot is built with.
+STRATEGIES = [("fixed", 300, 0), ("fixed", 300, 100), ("fixed", 600, 0), ("fixed", 600, 100), ("fixed", 1000, 0), ("fixed", 1000, 100), ("heading", 600, 100)]
+_STRATEGIES = ", ".join(f"('{kind}', {size}, {overlap})" for kind, size, overlap in STRATEGIES)
+
+
+@register("c12_snapshot_build", f"""with {_EL}, {_BL}, mode as (select * from (values ('standard'), ('enhanced')) t(parse_mode)), st as (select * from (values {_STRATEGIES}) t(kind, size, overlap)),
+sec as (select document_id, ord, content, sum(case when kind = 'heading' then 1 else 0 end) over (partition by document_id order by ord) as run from bl), part as (select 'fixed' as kind, doc_id as document_id, len({_TOK.format('text')}) as n from documents union all select 'heading', document_id, len({_TOK.format('string_agg(content, chr(10) order by ord)')}) from sec group by document_id, run),
+w as (select parse_mode, st.kind || '-' || size || '-' || overlap as strategy, document_id, least(o * (size - overlap) + size, n) - o * (size - overlap) as tokens from (select *, unnest(range(0, greatest(1, cast(ceil((n - overlap) / (size - overlap + 0.0)) as bigint)))) as o from part join st using (kind) where n > 0) st, mode)
+select parse_mode, strategy, count(*) as chunks, count(distinct document_id) as documents, min(tokens) as least, max(tokens) as most, round(avg(tokens), 6) as mean from w group by all""")
 def c12(spark, d):
-    parts = [op.windows(texts(spark, d), size, 50).agg(F.count(F.lit(1)).alias("chunks")).select(F.explode(F.array(F.lit("standard"), F.lit("enhanced"))).alias("parse_mode"), F.lit(size).alias("size"), "chunks") for size in (200, 300, 400, 600)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    modes = F.explode(F.array(F.lit("standard"), F.lit("enhanced"))).alias("parse_mode")
+    own = texts(spark, d).select(modes, "document_id", F.size(tx.tokens(F.col("content"))).alias("n"))
+    b = blocks(spark, d)
+    run = F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(Window.partitionBy("document_id").orderBy("ord"))
+    b = b.withColumn("key", F.concat_ws("#", "document_id", run))
+    sections = op.joined(b, "key", "ord", "content", "\n").select(modes, F.split("key", "#")[0].cast("long").alias("document_id"), F.size(tx.tokens(F.col("content"))).alias("n"))
+    out = op.snapshot_counts(own, sections, STRATEGIES)
+    return out.select("parse_mode", "strategy", "chunks", "documents", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"), F.round("mean", 6).alias("mean"))
+
+
+@register("c12_snapshot_checks", """with c as (select doc_id, mode, case when doc_id % 31 = 0 then 'failed' else 'succeeded' end as status, doc_id % 37 = 0 as short, doc_id % 41 = 0 and mode = 'enhanced' as blank, doc_id % 101 = 1 as other from documents, (values ('standard'), ('enhanced')) t(mode) where not (mode = 'enhanced' and doc_id % 43 = 0) union all select doc_id, 'standard', 'succeeded', false, false, false from documents where doc_id % 47 = 0)
+select * from (select 'not_succeeded' as problem, count(*) filter (status = 'failed') as n from c union all select 'incomplete_pages', count(*) filter (short) from c union all select 'no_identity', count(*) filter (blank) from c union all select 'duplicate', count(*) from (select doc_id from c group by doc_id, mode having count(*) > 1) union all select 'not_in_both_modes', count(*) from (select doc_id from c group by doc_id having count(distinct mode) = 1) union all select 'mixed_snapshots', count(distinct other) - 1 from c) where n > 0""")
+def c12_checks(spark, d):
+    i, docs = F.col("doc_id"), rel.read(spark, d, "documents").select("doc_id")
+
+    def stored(rows, clean):
+        short = F.lit(False) if clean else i % 37 == 0
+        return rows.select(
+            F.lit("s1").alias("snapshot_id") if clean else F.when(i % 101 == 1, "s2").otherwise("s1").alias("snapshot_id"), i.cast("string").alias("document_id"), F.sha2(i.cast("string"), 256).alias("source_sha256"), "mode",
+            F.when((i % 31 == 0) & F.lit(not clean), "failed").otherwise("succeeded").alias("status"), F.lit(3).alias("pages"), F.when(short, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("mapped"),
+            F.when((i % 41 == 0) & (F.col("mode") == "enhanced"), " ").otherwise("h").alias("payload_hash"), F.lit("m").alias("model_id"), F.lit("v").alias("model_version"),
+        )
+
+    both = docs.select("doc_id", F.explode(F.array(F.lit("standard"), F.lit("enhanced"))).alias("mode")).where("not (mode = 'enhanced' and doc_id % 43 = 0)")
+    again = docs.where("doc_id % 47 = 0").withColumn("mode", F.lit("standard"))
+    return parsing.snapshot_problems(stored(both, False).unionByName(stored(again, True)))

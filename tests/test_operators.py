@@ -105,9 +105,15 @@ def test_duplicate_groups_equal_all_pairs(spark, checkpoint, copies):
 
 
 def test_top_three_and_pareto(spark):
-    df = spark.createDataFrame([("a", 0.91, 0.90, 0.92, 10.0), ("b", 0.90, 0.89, 0.91, 9.0), ("c", 0.895, 0.885, 0.905, 2.0), ("d", 0.70, 0.69, 0.71, 1.0)], "id string, quality double, ci_low double, ci_high double, cost double")
-    assert [r.id for r in report.top_three(df).orderBy("place").collect()] == ["a", "b", "c"]
-    assert {r.id for r in report.pareto(df, "id", "quality", "cost").collect()} == {"a", "b", "c", "d"}
+    r = random.Random(31)
+    rows = [(f"c{i}", round(0.4 + 0.05 * i, 3), 0.0, 0.0, float(r.randint(1, 99))) for i in range(9)]
+    rows = [(i, q, q - 0.12, q + 0.12, cost) for i, q, _, _, cost in rows]
+    df = spark.createDataFrame(rows, "id string, quality double, ci_low double, ci_high double, cost double")
+    order = sorted(rows, key=lambda x: -x[1])
+    third = min((x for x in order[2:] if x[3] >= order[0][2]), key=lambda x: x[4])
+    assert [x.id for x in report.top_three(df).orderBy("place").collect()] == [order[0][0], order[1][0], third[0]]
+    front = {a[0] for a in rows if not any(b[1] >= a[1] and b[4] <= a[4] and (b[1] > a[1] or b[4] < a[4]) for b in rows)}
+    assert {x.id for x in report.pareto(df, "id", "quality", "cost").collect()} == front and len(front) < len(rows)
 
 
 def test_reaching_the_cap_is_rejected_and_reserves_nothing(spark):
