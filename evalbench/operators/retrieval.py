@@ -6,6 +6,8 @@ vector), hits (question_id, chunk_id, rank, score). Every ranking orders by scor
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,23 +114,59 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int | None = 10, prefix: i
     """Exact cosine top-k of a bounded set of query vectors (question_id, vector) over ``vectors`` (chunk_id, vector).
 
     The question set is the side sent to every task, after a check of its size; larger sets go through in
-    blocks. With ``prefix`` only that many leading components count.
+    blocks. With ``prefix`` only that many leading components count. With ``k`` a task multiplies blocks of vectors
+    with the queries and keeps k rows a query; without, all pairs are ranked. Lengths have to be equal.
     """
     cut = (lambda c: F.slice(c, 1, prefix)) if prefix else (lambda c: c)
-    own = queries.select("question_id", cut(doubles(F.col("vector"))).alias("q")).withColumn("nq", norm(F.col("q")))
-    rows = vectors.select("chunk_id", cut(doubles(F.col("vector"))).alias("v")).withColumn("nv", norm(F.col("v")))
+    own = queries.select("question_id", cut(doubles(F.col("vector"))).alias("q"))
+    rows = vectors.select("chunk_id", cut(doubles(F.col("vector"))).alias("v"))
     n = own.count()
     blocks = max(1, -(-n // 10_000))
     parts = []
     for i in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
-        parts.append(best(rows.join(F.broadcast(part)).select("question_id", "chunk_id", (dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).alias("score")), k))
+        if k is None:
+            met = rows.withColumn("nv", norm(F.col("v"))).join(F.broadcast(part.withColumn("nq", norm(F.col("q")))))
+            parts.append(best(met.select("question_id", "chunk_id", (dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).alias("score")), None))
+            continue
+        asked = part.toArrow()  # at most about 10,000 vectors
+        ids = asked["question_id"].to_pylist()
+        q = np.array(asked["q"].to_pylist(), dtype=float).reshape(len(ids), -1)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        found = rows.mapInArrow(_best_products(shared, k), "question_id string, chunk_id string, score double")
+        parts.append(best(found, k))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _best_products(shared, k: int, width: int = 512):
+    """Rows (chunk_id, v) into the k best of each query of this task, by rounded score and then id."""
+
+    def run(batches):
+        ids, q = shared.value
+        held: list[list[tuple[float, str, float]]] = [[] for _ in ids]
+        least = np.full(len(ids), -np.inf)
+        for batch in batches:
+            names, vectors = batch.column(0).to_pylist(), batch.column(1)
+            for at in range(0, len(names) if ids else 0, width):
+                part = vectors.slice(at, width)
+                v = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                scores = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                rounded = np.round(scores, TIE_DECIMALS)
+                for i in np.flatnonzero((rounded >= least[:, None]).any(axis=1)):
+                    hits = np.flatnonzero(rounded[i] >= least[i])
+                    held[i] = sorted([*held[i], *((-float(rounded[i, j]), names[at + j], float(scores[i, j])) for j in hits)])[:k]
+                    if len(held[i]) == k:
+                        least[i] = -held[i][-1][0]
+        out = [(ids[i], name, score) for i, own in enumerate(held) for _, name, score in own]
+        columns = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["question_id", "chunk_id", "score"])
+
+    return run
+
+
 def prefix_rerank(vectors: DataFrame, queries: DataFrame, k: int, prefix: int, factor: int = 4) -> DataFrame:
     """Two stages: max(20, factor * k) candidates by the leading components, then the full cosine."""
     found = cosine(vectors, queries, max(20, factor * k), prefix).select("question_id", "chunk_id")

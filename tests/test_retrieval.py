@@ -76,6 +76,19 @@ def test_many_terms_are_not_sent_to_all_tasks(spark, monkeypatch):
     assert {x.chunk_id: x.score for x in retrieval.bm25(c, q).collect()} == pytest.approx(want)
 
 
+def test_cosine_blocks_equal_all_pairs(spark):
+    r = random.Random(9)
+    rows = [(f"c{i:03d}", [float(r.randint(-3, 3)) + 0.5 for _ in range(12)]) for i in range(300)]
+    rows += [(f"t{i}", rows[7][1]) for i in range(9)]  # ties
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", rows[i * 7][1]) for i in range(6)], "question_id string, vector array<float>")
+    for k, prefix in ((4, None), (20, 5), (1000, None)):
+        every = retrieval.cosine(vectors, asked, None, prefix).where(F.col("rank") <= k)
+        key = lambda df: sorted((x.question_id, x.rank, x.chunk_id, round(x.score, 9)) for x in df.collect())
+        assert key(retrieval.cosine(vectors, asked, k, prefix)) == key(every)
+    assert retrieval.cosine(vectors.where("chunk_id = ''"), asked, 3).count() == 0
+
+
 def test_fusion_equals_the_formula(spark):
     r = random.Random(2)
     lists = [r.sample("abcdefghij", n) for n in (6, 4, 9)]
