@@ -1,12 +1,15 @@
 """Operator 2: secret scan by a character convolutional network over candidates in context.
 
-Three base patterns always report. Besides, every run of 16 or more token characters that holds a digit or
-mixes cases, is a candidate with a base match or without: the network reads the candidate (its first and
-last characters where it is long) and the characters around it, and reports it as ``learned`` if its
-calibrated probability reaches the threshold. Training is in numpy, on findings labelled by construction
-(generated keys, tokens and hashes in assignments and headers against identifiers, numbers, addresses, words
-and paths in prose); a held-out part of them calibrates the logits (a line fitted to log-odds) and
-sets the threshold: the highest one that keeps a recall of ``RECALL`` there. Base spans do not depend on it.
+Three base patterns always report. The network reads every candidate and the characters around it: the value of
+each base match, whatever its length, and every run of 16 or more token characters that holds a digit or mixes
+cases (words and names of one case are no candidates). It sees INNER characters of a candidate at a time with
+BEFORE characters of the text before and AFTER after them; a longer candidate is read whole, in windows that overlap by half,
+and has the highest probability of these. A run whose calibrated probability reaches the threshold is
+reported as ``learned``; a base match that reaches it counts as confirmed. Training is in numpy, on findings
+labelled by construction (generated keys, tokens, passwords and hashes in assignments, headers and inside long
+paths against identifiers, numbers, addresses, words and paths in prose); a held-out part of them calibrates the
+logits (a line fitted to log-odds) and sets the threshold: the highest one that keeps a recall of ``RECALL``
+there. Base spans do not depend on it.
 
 Spans are code points, end exclusive. A base span is the whole match. A learned span that lies inside a base span of the same text is
 not repeated.
@@ -40,25 +43,30 @@ KINDS = ("assign", "access", "hex", "learned")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
-WINDOW, BEFORE, AFTER, HEAD = 64, 20, 4, 28
+BEFORE, INNER, AFTER = 20, 40, 12
+WINDOW = BEFORE + INNER + AFTER
 FILTERS, WIDTH = 24, 5
 RECALL = 0.995
 ALPHABET = {c: i + 1 for i, c in enumerate(string.ascii_letters + string.digits + string.punctuation + " \n\t")}
 SYMBOLS = len(ALPHABET) + 2  # 0: outside the text, the last one: any other character
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the three base patterns: leftmost, non-overlapping within each kind."""
-    found: list[tuple[int, int, str]] = []
+def matches(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, kind, start of the value) of the three base patterns: leftmost, non-overlapping within each kind."""
+    found: list[tuple[int, int, str, int]] = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
-        found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), "assign", m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
-        found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+        found += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    return [m[:3] for m in matches(text)]
+
+
 _DIGIT, _MIXED = re.compile("[0-9]"), re.compile("[a-z][A-Z][^ ]*[a-z][A-Z]")
 
 
@@ -66,14 +74,18 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]) or _MIXED.search(m[0])]
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that the network reads: itself, or windows of INNER characters at steps of a half, the last one at its end."""
+    if end - start <= INNER:
+        return [(start, end)]
+    return [(a, a + INNER) for a in [*range(start, end - INNER, INNER // 2), end - INNER]]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """The window the network reads: context, the candidate's head and tail, context; 0 beyond the text."""
+    """What the network reads: context, a part of a candidate, context; 0 beyond the text."""
     of = ALPHABET.get
-    inner = text[start:end]
-    if len(inner) > HEAD + 12:
-        inner = inner[:HEAD] + inner[-12:]
     left = text[max(0, start - BEFORE) : start]
-    codes = [0] * (BEFORE - len(left)) + [of(c, SYMBOLS - 1) for c in left + inner + text[end : end + AFTER]]
+    codes = [0] * (BEFORE - len(left)) + [of(c, SYMBOLS - 1) for c in left + text[start : end + AFTER]]
     return np.array((codes + [0] * WINDOW)[:WINDOW], dtype=np.int16)
 
 
@@ -94,7 +106,7 @@ class CharCNN:
         self.dim, self.slope, self.shift, self.threshold = dim, 1.0, 0.0, 0.5
 
     #: pooled apart: the context before, the candidate, what comes last
-    ZONES = ((0, BEFORE - WIDTH + 1), (BEFORE - WIDTH + 1, BEFORE + HEAD), (BEFORE + HEAD, WINDOW - WIDTH + 1))
+    ZONES = ((0, BEFORE - WIDTH + 1), (BEFORE - WIDTH + 1, BEFORE + 28), (BEFORE + 28, WINDOW - WIDTH + 1))
 
     def _forward(self, x: np.ndarray):
         p = self.p
@@ -142,8 +154,8 @@ class CharCNN:
             np.add.at(demb, x[:, j : j + dcols.shape[1]], dcols[:, :, j])
         return {"emb": demb, "conv": cols.reshape(len(flat), -1).T @ flat, "cb": flat.sum(0), "w1": pooled.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": np.array([d.sum()])}
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """A line on the logits by Newton steps on the log loss; then the recall-constrained threshold."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, recall: float = RECALL) -> None:
+        """A line on the logits by Newton steps on the log loss; then the recall-constrained threshold for whole findings (``of``: ascending number of each part's)."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(25):
@@ -153,12 +165,14 @@ class CharCNN:
             hess = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             a, b = np.array([a, b]) - np.linalg.solve(hess, g)
         self.slope, self.shift = float(a), float(b)
-        positive = np.sort(self.probability(x[y == 1]))
-        self.threshold = float(positive[int((1 - recall) * len(positive))]) if len(positive) else 0.5
+        good = np.flatnonzero(y == 1)
+        first = np.flatnonzero(np.append(True, of[good][1:] != of[good][:-1])[: len(good)])
+        highest = np.sort(np.maximum.reduceat(self.probability(x[good]), first)) if len(first) else first
+        self.threshold = float(highest[int((1 - recall) * len(highest))]) if len(first) else 0.5
 
 
-def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) generated by rule, half of them secrets."""
+def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, start and end of the secret in it) generated by rule, half of them with a secret (else both are the start)."""
     r = random.Random(seed)
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
     some = lambda alphabet, a, b: "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
@@ -191,45 +205,76 @@ def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int
         lambda: some(low, 14, 20) + "." + some(dig, 1, 2),
     ]
     naming = ["token", "secret", "key", "api_key", "auth", "credential", "Authorization: Bearer", "access_key", "private"]
+    short = lambda: some(low + up + dig, 6, 15)
+    known = lambda: r.choice([word(), word() + word(), "true", "false", "null", "string", "value", "required", "changeme" + word(), word() + ".txt", some(dig, 6, 8)])
+    path = lambda a, b: "".join(word() + r.choice("/.-_/") for _ in range(r.randint(a, b)))
     out = []
     for i in range(n):
         label = i % 2
-        core = r.choice(secret if label else plain)()
-        if label and r.random() < 0.6:
-            before = f"{prose(0, 4)} {r.choice(naming)}{r.choice([' = ', '=', ': ', ' '])}{r.choice(['', chr(34), chr(39)])}"
+        kind = r.random()
+        lead = tail = ""
+        if kind < 0.12:  # the value of a base match of any length
+            core = short() if label else known()
+            before = f"{prose(0, 4)} {r.choice(['password', 'passwd', 'token', 'secret', 'api_key'])}{r.choice([' = ', '=', ': ', ':'])}{r.choice(['', chr(34), chr(39)])}"
         else:
-            before = prose(0, 6) + r.choice(["", "", "", "\n", " (", ' "', ": "])
+            core = r.choice(secret if label else plain)()
+            if kind < 0.24:  # inside a long run
+                lead, tail = path(1, 9), "/" + path(0, 6) + r.choice(["html", "txt", word()])
+                core = core if label else path(1, 3) + str(r.randint(0, 99))
+            if label and r.random() < 0.6 and not lead:
+                before = f"{prose(0, 4)} {r.choice(naming)}{r.choice([' = ', '=', ': ', ' '])}{r.choice(['', chr(34), chr(39)])}"
+            else:
+                before = prose(0, 6) + r.choice(["", "", "", "\n", " (", ' "', ": "])
         after = r.choice([" ", " ", '"', "\n", ". ", ") ", ""]) + prose(0, 3)
-        out.append((before + core + after, len(before), len(before) + len(core), label))
+        at = len(before) + len(lead)
+        out.append((before + lead + core + tail + after, len(before), at + len(core) + len(tail), at, at + len(core) if label else at))
     return out
 
 
+def labelled_parts(found: list[tuple[str, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and the number of the finding of each part that has a clear label: all of a secret, or INNER / 2 of it, or next to nothing."""
+    x, y, of = [], [], []
+    for number, (text, start, end, a, b) in enumerate(found):
+        for lo, hi in pieces(start, end):
+            inside = max(0, min(hi, b) - max(lo, a))
+            if inside == b - a or inside >= INNER // 2 or inside < 4:
+                x.append(encode(text, lo, hi))
+                y.append(float(inside >= 4))
+                of.append(number)
+    return np.array(x), np.array(y), np.array(of)
+
+
 @functools.cache
 def trained(seed: int = 7) -> CharCNN:
     """The network, trained and calibrated on generated findings; the same in every process."""
-    found = labelled_findings()
-    x = np.array([encode(t, a, b) for t, a, b, _ in found])
-    y = np.array([label for *_, label in found], dtype=float)
-    part = np.arange(len(x)) // 2 % 4 == 3
+    x, y, of = labelled_parts(labelled_findings())
+    part = of // 2 % 4 == 3
     net = CharCNN(seed)
     net.fit(x[~part], y[~part])
-    net.calibrate(x[part], y[part])
+    net.calibrate(x[part], y[part], of[part])
     return net
 
 
-def scan(texts: list[str], net: CharCNN) -> Iterator[list[tuple[int, int, str]]]:
-    """All spans of each text, by start and kind."""
-    base = [base_spans(t) for t in texts]
-    found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
+def scan(texts: list[str], net: CharCNN) -> Iterator[tuple[list[tuple[int, int, str]], int]]:
+    """All spans of each text, by start and kind, and how many base spans the network confirms."""
+    base = [matches(t) for t in texts]
+    found = [(i, a, b, -1) for i, t in enumerate(texts) for a, b in candidates(t)]
+    found += [(i, value, end, k) for i, spans in enumerate(base) for k, (_, end, _, value) in enumerate(spans)]
     more: dict[int, list[tuple[int, int, str]]] = {}
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        sure = net.probability(np.array([encode(texts[i], a, b) for i, a, b in part])) >= net.threshold
-        for (i, a, b), yes in zip(part, sure, strict=True):
-            if yes and not any(s <= a and b <= e for s, e, _ in base[i]):
-                more.setdefault(i, []).append((a, b, "learned"))
+    confirmed = [0] * len(texts)
+    for at in range(0, len(found), 2048):
+        group = found[at : at + 2048]
+        parts = [pieces(a, b) for _, a, b, _ in group]
+        first = np.cumsum([0, *map(len, parts)])
+        p = net.probability(np.array([encode(texts[i], a, b) for (i, *_), own in zip(group, parts, strict=True) for a, b in own]))
+        for (i, a, b, k), highest in zip(group, np.maximum.reduceat(p, first[:-1]), strict=True):
+            if highest >= net.threshold:
+                if k >= 0:
+                    confirmed[i] += 1
+                elif not any(s <= a and b <= e for s, e, *_ in base[i]):
+                    more.setdefault(i, []).append((a, b, "learned"))
     for i, spans in enumerate(base):
-        yield sorted([*spans, *more.get(i, [])], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+        yield sorted([*(m[:3] for m in spans), *more.get(i, [])], key=lambda s: (s[0], KINDS.index(s[2]), s[1])), confirmed[i]
 
 
 def _groups(column: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
@@ -249,20 +294,21 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
-    """doc_id, counts by base kind, the hash of the base spans and all spans of every whole text."""
+    """doc_id, counts by base kind, the hash of the base spans, all spans, and the base spans that the network confirms, of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(net or trained())
 
     def run(batches):
         for batch in batches:
-            rows = [s for g in _groups(batch.column(1)) for s in scan(g, shared.value)]
+            both = [s for g in _groups(batch.column(1)) for s in scan(g, shared.value)]
+            rows = [spans for spans, _ in both]
             base = [[s for s in spans if s[2] != "learned"] for spans in rows]
             counts = [pa.array([sum(s[2] == kind for s in spans) for spans in base], pa.int64()) for kind in KINDS[:3]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array([hashlib.sha256(joined(s).encode()).hexdigest() for s in base], pa.string()), pa.array([joined(s) for s in rows], pa.string())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [batch.column(0), *counts, pa.array([hashlib.sha256(joined(s).encode()).hexdigest() for s in base], pa.string()), pa.array([joined(s) for s in rows], pa.string()), pa.array([n for _, n in both], pa.int64())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def redact(docs: DataFrame, net: CharCNN | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -276,7 +322,7 @@ def redact(docs: DataFrame, net: CharCNN | None = None, mark: str = "[SECRET]")
             texts = [x.as_py() for x in batch.column(at)]
             out, i = [], 0
             for group in _groups(batch.column(at)):
-                for text, spans in zip(group, scan(group, shared.value), strict=True):
+                for text, (spans, _) in zip(group, scan(group, shared.value), strict=True):
                     parts, done = [], 0
                     for a, b, _ in spans:
                         if b > done:
