@@ -6,7 +6,8 @@ name class; for a run its length, its share of link text, its ending, its kind o
 parent-child potential, one 2 x 2 table for each class of child, ties the labels along the tree. Messages go
 up and down once, level by level and for many pages at a time, and give the exact content marginal of every
 run; runs at 0.5 or more are the text. The weights maximise the likelihood of labelled pages, which are
-generated by rule (articles in many page frames, with menus, notices, adverts, forms, comments and so on);
+generated by rule (articles in many page frames, with menus, notices, adverts, forms, comments and so on, and
+pages of a few bare blocks);
 the gradient is the observed minus the expected feature count, from the same message passing.
 
 Blocks: a run's character references are decoded, its white space becomes single spaces, and runs are joined
@@ -48,8 +49,8 @@ MAIN_NAME = re.compile(r"(?:^|[-_ ])(?:article|articlebody|content|post|entry|st
 FRAME_NAME = re.compile(r"(?:^|[-_ ])(?:nav\w*|menu\w*|side(?:bar)?|ads?|advert\w*|sponsor\w*|banner\w*|cookies?|consent|notices?|comments?|respon[ds]\w*|repl(?:y|ies)|footer|header|masthead|promo\w*|related|share\w*|social|subscri\w+|newsletter|breadcrumbs?|popup|modal|widget\w*|login|search\w*|toolbar|pagination|pager|alert\w*|disclaimer|copyright|complementary|navigation|contentinfo|toc|tags?|meta)(?:$|[-_ ])", re.IGNORECASE)
 ROOT, MAIN, FRAME, NEUTRAL, SECTION, PARAGRAPH, HEADING, ITEM, RUN = range(9)
 CLASSES = 9
-#: Features of runs follow the classes: length (5), link share (4), ending (2).
-FEATURES = CLASSES + 11
+#: Features of runs follow the classes: length (5), link share (4), ending (2); then one of roots and neutral elements whose page has no main element.
+FEATURES = CLASSES + 12
 
 
 def classify(tag: str, attributes: str) -> int:
@@ -183,6 +184,9 @@ class Forest:
         extra = np.array([e for t in trees for e in t.extra if e is not None], dtype=int).reshape(-1, 3)
         for column, start in enumerate((CLASSES, CLASSES + 5, CLASSES + 9)):
             self.features[run, start + extra[:, column]] = 1
+        page = np.repeat(np.arange(len(trees)), np.diff(base))
+        bare = np.bincount(page[self.kind == MAIN], minlength=len(trees)) == 0
+        self.features[:, FEATURES - 1] = bare[page] & np.isin(self.kind, (ROOT, NEUTRAL)) if len(page) else 0
         # what a paragraph or heading is, its run is: its class comes as a second class feature
         held = run[np.isin(self.kind[self.parent[run]], (PARAGRAPH, HEADING, ITEM))]
         self.features[held, self.kind[self.parent[held]]] = 1
@@ -331,17 +335,45 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, list[str]]]:
     return out
 
 
+def plain_pages(n: int = 500, seed: int = 8) -> list[str]:
+    """Pages without any frame around their one to three blocks, and pages that have frames only; content runs start with an upper-case X."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvé") for _ in range(r.randint(1, 9)))
+    say = lambda: "X" + " ".join(word() for _ in range(r.choice([1, 2, 4, 8, 15, 40]))) + r.choice(["", ".", "!"])
+    link = lambda: f'<a href="/{word()}">{word()}</a>'
+    block = lambda tag: f"<{tag}>{say()}" + (f" {link()}" if r.random() < 0.1 else "") + f"</{tag}>"
+    frames = [lambda: f"<nav><ul><li>{link()}</li></ul></nav>", lambda: f"<footer>{word()} {word()}.</footer>", lambda: f'<div class="comments"><p>{word()} {word()}.</p></div>', lambda: f"<form><label>{word()}</label><input></form>", lambda: f'<div class="ad">{word()}</div>', lambda: f"<aside><p>{word()} {word()}</p></aside>"]
+    out = []
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.2:
+            body = say()
+        elif kind < 0.85:
+            body = "".join(block(r.choice(["p", "p", "p", "div", "blockquote", "pre", "h1", "h2", "section"])) for _ in range(r.choice([1, 1, 1, 2, 3])))
+        else:
+            body = ""
+        if r.random() < 0.25 or not body:
+            before, after = (r.choice(frames)() if r.random() < 0.6 else "" for _ in range(2))
+            body = f"{before}{body}{after}" or r.choice(frames)()
+        if r.random() < 0.15:
+            body = f"<div>{body}</div>"
+        if r.random() < 0.5:
+            body = f"<html>{r.choice(['', '<head><title>t</title></head>'])}<body>{body}</body></html>"
+        out.append(body)
+    return out
+
+
 @functools.cache
 def trained() -> TreeModel:
     """The model fitted to the labelled pages; the same in every process."""
-    trees = [parse(page) for page, _ in labelled_pages()]
+    trees = [parse(page) for page in [*(page for page, _ in labelled_pages()), *plain_pages()]]
     forest = Forest(trees)
     labels = np.zeros(len(forest.kind), int)
     for tree, base in zip(trees, forest.base, strict=False):
         for node, text in tree.runs.items():
             if text.startswith("X"):
                 labels[base + node] = 1
-    # an element is content if a run below it is, up to the smallest element that holds all content runs
+    # an element is content if a run below it is, up to the smallest element that holds all content runs, or to the root of a page without a main element
     for tree, base in zip(trees, forest.base, strict=False):
         good = [x for x in tree.runs if labels[base + x]]
         paths = []
@@ -355,7 +387,7 @@ def trained() -> TreeModel:
         deepest = max(shared, key=lambda x: tree.depth[x], default=-1)
         for path in paths:
             for x in path:
-                if tree.depth[x] >= tree.depth[deepest]:
+                if MAIN not in tree.kind or tree.depth[x] >= tree.depth[deepest]:
                     labels[base + x] = 1
     model = TreeModel()
     model.fit(forest, labels)
