@@ -7,10 +7,11 @@ The draws are shared out among output shards by a binary tree: a node holds the
 source; its left child gets half of all, source by source from the hypergeometric distribution given what
 is left (drawn by inversion from the mode, with a hashed uniform number), and the right child the rest. So
 every split is exact: quotas of a source add up to its draws. A shard then takes the next draws of each
-source, which are disjoint, and orders its rows by a hash.
+source, which are disjoint, and orders its rows by a hash: they are dealt to tasks by shard and sorted there.
 
 Blocks hold about ``BLOCK_WORDS`` words or ``BLOCK_DOCS`` documents, so a hot source is many blocks and no
-task holds a source's documents together. Tables by source or by block are aggregates.
+task holds a source's documents together. Running sums over a source's blocks, draws and shards go in two levels,
+so no task holds these together either. Tables by source or by block are aggregates.
 
 Targets: the sources' sizes sum to the budget, weights 1, 2, 3 repeat over the sources in code point order
 with null last, no target passes 3 times its source's size, and what is cut is shared again by weight. With
@@ -33,6 +34,7 @@ from evalbench.llm._spark import stash, table
 BLOCK_WORDS = 100_000
 BLOCK_DOCS = 1_000
 SHARD_DRAWS = 8
+SPAN = 4096  # blocks, draws or shards of a source that one window holds
 MOST = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -60,6 +62,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "sid", "source_size", "docs", "weight", target.alias("target"))
 
 
+def upto(rows: DataFrame, by: str, span: Column, order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over those of the same ``by`` that come before, in two levels.
+
+    ``span`` cuts the order into parts of bounded size: sums by part run ahead, and a window stays within a part. So
+    no task holds all rows of a hot ``by``.
+    """
+    rows = rows.withColumn("__span", span).withColumn("__value", value)
+    parts = rows.groupBy(by, "__span").agg(F.sum("__value").alias("__sum"))
+    ahead = Window.partitionBy(by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(by, "__span", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(by, "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0))).join(parts, [by, "__span"])
+    return out.withColumn(name, F.col("__ahead") + F.col("__inside")).drop("__span", "__value", "__inside", "__ahead")
+
+
+def part_of(h: Column, blocks: Column) -> Column:
+    """The part of a hashed order that a place falls into: as many equal ranges of hashes as give ``SPAN`` blocks each."""
+    return F.floor((h / F.lit(2.0**64) + 0.5) * F.ceil(blocks / SPAN)).cast("long")
+
+
 #: ln x! by Stirling's series at x + 10, brought down again.
 LOG_FACTORIAL = "(x + 10.5D) * ln(x + 10D) - x - 10D + 0.9189385332046727D + 1D/(12D*(x + 10D)) - 1D/(360D*pow(x + 10D, 3)) - ln((x+1D)*(x+2D)*(x+3D)*(x+4D)*(x+5D)*(x+6D)*(x+7D)*(x+8D)*(x+9D)*(x+10D))"
 
@@ -111,8 +133,7 @@ def shards(draws: DataFrame, seed: int) -> DataFrame:
             node = stash(node.repartition("node"), "mix-tree")
     # sources are numbered from 0 without gaps, so a place in the array is a source
     quotas = node.select(F.col("node").alias("shard"), F.posexplode("draws").alias("place", "n")).select("shard", F.col("place").cast("long").alias("sid"), "n")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = quotas.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    quotas = upto(quotas, "sid", F.floor(F.col("shard") / SPAN), ["shard"], F.col("n"), "first").where("n > 0")
     return quotas.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
 
 
@@ -124,25 +145,24 @@ def plan(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     whole = F.floor(ratio + 1e-12).cast("long")
     sources = sources.withColumn("blocks", pieces).withColumn("passes", whole)
     sources = stash(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-sources")
-    dealt = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("sid", F.pmod("h", "blocks").alias("block"), "size", "passes", "rest")
-    blocks = dealt.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    order = F.xxhash64(F.lit(seed), F.lit("last"), "sid", "block")
-    running = Window.partitionBy("sid").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("end", F.sum("words").over(running))
-    begin = F.col("end") - F.col("words")
+    dealt = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("sid", F.pmod("h", "blocks").alias("block"), "size", "passes", "rest", "blocks")
+    blocks = dealt.groupBy("sid", "block").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("passes", "rest", "blocks")])
+    blocks = blocks.withColumn("order", F.xxhash64(F.lit(seed), F.lit("last"), "sid", "block"))
+    blocks = upto(blocks, "sid", part_of(F.col("order"), F.col("blocks")), ["order", "block"], F.col("words"), "begin")
+    begin, blocks = F.col("begin"), blocks.withColumn("end", F.col("begin") + F.col("words"))
     blocks = blocks.select(
-        "sid", "block", "passes",
+        "sid", "block", "passes", "blocks",
         ((F.col("end") <= F.col("rest")) & (F.col("words") > 0)).alias("again"),
         F.when((F.col("end") > F.col("rest")) & (begin < F.col("rest")), F.col("rest") - begin).alias("budget"),
     )
     blocks = stash(blocks, "mix-blocks")
     last = F.col("again") | F.col("budget").isNotNull()
-    draws = blocks.select("sid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") + last.cast("long"))).alias("pass"), "passes", "again", "budget")
+    draws = blocks.select("sid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") + last.cast("long"))).alias("pass"), "passes", "again", "budget", "blocks")
     draws = draws.where((F.col("pass") < F.col("passes")) | ((F.col("pass") == F.col("passes")) & last))
     # the last pass keeps its order: whole blocks first, the shared one after them
-    place = F.struct("pass", (F.col("pass") == F.col("passes")) & F.col("budget").isNotNull(), F.xxhash64(F.lit(seed), "pass", "sid", "block"), "block")
-    numbered = draws.withColumn("draw", (F.row_number().over(Window.partitionBy("sid").orderBy(place)) - 1).cast("long"))
-    numbered = numbered.select("sid", "block", "draw", ((F.col("pass") == F.col("passes")) & F.col("budget").isNotNull()).alias("partial"))
+    draws = draws.withColumn("partial", (F.col("pass") == F.col("passes")) & F.col("budget").isNotNull()).withColumn("order", F.xxhash64(F.lit(seed), "pass", "sid", "block"))
+    numbered = upto(draws, "sid", F.struct("pass", "partial", part_of(F.col("order"), F.col("blocks")).alias("part")), ["order", "block"], F.lit(1).cast("long"), "draw")
+    numbered = numbered.select("sid", "block", "draw", "partial")
     counts = numbered.groupBy("sid").agg(F.count(F.lit(1)).alias("draws"))
     counts = sources.select("sid").join(counts, "sid", "left").select("sid", F.coalesce("draws", F.lit(0)).cast("long").alias("draws"))
     where = shards(counts, seed)
@@ -177,18 +197,30 @@ def decide(rows: DataFrame, seed: int = 1, small: DataFrame | None = None) -> Da
 
 
 def measured(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("*", word_count(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__h"))
+    # rows without an id are told apart by their texts, else all would be one block
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.col("text")), F.lit(""))
+    return docs.select("*", word_count(F.col("text")).alias("__size"), F.xxhash64(F.lit(seed), F.lit("doc"), name).alias("__h"))
 
 
-def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The mixture: each row of ``docs`` once a copy taken, with ``mix_shard`` and ``mix_key`` (its place by order within the shard)."""
-    own = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *[F.col(c) for c in ("doc_id", "source", "text")])
+def copies(docs: DataFrame, seed: int) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``mix_shard`` and ``mix_key``, once a copy taken, shard by shard in the order of the key."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c) for c in ("doc_id", "source", "text")])
     rows = measured(packed, seed).select("row", F.col("doc_id"), "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
     small = stash(rows.select("source", "size", "h"), "mix-rows")
-    taken = decide(rows, seed, small)
-    copies = taken.select("row", "h", F.posexplode("shards").alias("copy", "mix_shard"))
-    return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "mix_shard", F.xxhash64(F.lit(seed), "h", "copy", "mix_shard").alias("mix_key"))
+    taken = decide(rows, seed, small).select("row", "h", F.posexplode("shards").alias("copy", "mix_shard"))
+    keyed = taken.select("row", "mix_shard", F.xxhash64(F.lit(seed), "h", "copy", "mix_shard").alias("mix_key"))
+    return keyed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_key")
+
+
+def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The mixture: each row of ``docs`` once a copy taken, with ``mix_shard`` and ``mix_key`` (its place by order within the shard), in place of columns of these names."""
+    own = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_key")]
+    return copies(docs, seed).select(*[F.col(f"row.`{c}`").alias(c) for c in own], "mix_shard", "mix_key")
+
+
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows of the mixture with the columns of ``docs`` alone; a shard's rows stand together, in their shuffled order."""
+    return copies(docs, seed).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
