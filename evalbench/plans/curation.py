@@ -249,7 +249,7 @@ def b15_resumed(spark, d):
     return val.resume_problems(planned, stored)
 
 
-@register("b14_gold_seal")
+@register("b14_gold_seal", """with l as (select '{"item_id":' || cast(item_id as varchar) || ',"text":' || cast(to_json(text) as varchar) || '}' as line from benchmark) select sha256(string_agg(line, chr(10) order by line)) as seal, count(*) as n from l""")
 def b14(spark, d):
     line = F.to_json(F.struct("item_id", "text"))
     return rel.read(spark, d, "benchmark").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("seal"), F.count(F.lit(1)).alias("n"))
@@ -263,7 +263,7 @@ def j18(spark, d):
     return count(a.exceptAll(b), "standard").unionByName(count(b.exceptAll(a), "enhanced"))
 
 
-@register("x16_validation_payload")
+@register("x16_validation_payload", f"""with {_CAND}, r as ({_B1.replace('with ' + _CAND, '')}) select chr(123) || string_agg('"' || rule || '":' || cast(n as varchar), ',' order by rule) || chr(125) as payload from (select coalesce(rule, 'accepted') as rule, count(*) as n from r group by 1)""")
 def x16(spark, d):
     g = op.evidence_rules(*candidates(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("rule", F.lit("accepted")).alias("rule"), "n"))))).alias("payload"))

@@ -60,14 +60,14 @@ def e8(spark, d):
     return blocks.agg(lined(F.collect_list(F.struct("block", "r"))).alias("input_hash"))
 
 
-@register("s2_chunk_dataset")
+@register("s2_chunk_dataset", "select source as document_id, count(*) as n from documents group by source")
 def s2(spark, d):
     path = folder(spark, "chunks")
     rel.chunks(spark, d).select("chunk_id", "document_id", "content", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("p").alias("parse_snapshot"), F.lit("s").alias("strategy")).write.json(path)
     return files.chunk_dataset(spark, path).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("s6_sealed_source")
+@register("s6_sealed_source", "select count(*) as lines from benchmark")
 def s6(spark, d):
     path = folder(spark, "sealed")
     rel.read(spark, d, "benchmark").coalesce(1).write.json(path)
@@ -75,14 +75,14 @@ def s6(spark, d):
     return files.sealed_lines(spark, one["path"], one["sha256"]).agg(F.count(F.lit(1)).alias("lines"))
 
 
-@register("s12_immutable_sink")
+@register("s12_immutable_sink", "select count(*) as n, true as same from benchmark")
 def s12(spark, d):
     base, b = folder(spark, "immutable"), rel.read(spark, d, "benchmark")
     first, second = sinks.immutable_json(b, base), sinks.immutable_json(b.orderBy(F.col("item_id").desc()), base)
     return spark.read.json(first).agg(F.count(F.lit(1)).alias("n")).withColumn("same", F.lit(first == second))
 
 
-@register("s15_export_manifest")
+@register("s15_export_manifest", "select * from (values ('region', 64), ('nation', 64)) t(table_name, hash_length)")
 def s15(spark, d):
     base = folder(spark, "export")
     sinks.parquet(rel.read(spark, d, "region"), f"{base}/region")
@@ -97,7 +97,7 @@ def x3(spark, d):
     return e.join(stop, "run_id", "left").groupBy("run_id").agg(F.count(F.when(F.col("stop_step").isNull() | (F.col("step") < F.col("stop_step")), 1)).alias("answered"))
 
 
-@register("c2_canonical_ids")
+@register("c2_canonical_ids", """select item_id, sha256('{"item":"' || cast(item_id as varchar) || '","text":' || cast(to_json(text) as varchar) || '}') as id from benchmark""")
 def c2_ids(spark, d):
     return rel.read(spark, d, "benchmark").select("item_id", tx.canonical_hash(item=F.col("item_id").cast("string"), text=F.col("text")).alias("id"))
 

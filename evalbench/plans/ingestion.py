@@ -61,7 +61,7 @@ def p3(spark, d):
     return op.keep_content(op.flag_boilerplate(blocks(spark, d))).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("c5_document_blocks")
+@register("c5_document_blocks", f"with {_EL}, {_BL} select kind, count(*) as n from bl group by kind union all select 'empty_page', count(distinct document_id) from el")
 def c5(spark, d):
     e = elements(spark, d)
     pages = e.groupBy("document_id").agg((F.max("page") + 1).alias("page_count"))
@@ -190,7 +190,7 @@ def j12(spark, d):
     return w.join(p, "page").groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@register("w18_greedy_batches")
+@register("w18_greedy_batches", f"with recursive {_TK}, n as (select document_id % 16 as grp, document_id as ord, len(t) as tokens, row_number() over (partition by document_id % 16 order by document_id) as r from tk), f as (select grp, ord, r, cast(0 as bigint) as batch, cast(1 as bigint) as items, cast(tokens as bigint) as total from n where r = 1 union all select n.grp, n.ord, n.r, batch + case when items + 1 > 20 or total + tokens > 4000 then 1 else 0 end, case when items + 1 > 20 or total + tokens > 4000 then 1 else items + 1 end, case when items + 1 > 20 or total + tokens > 4000 then tokens else total + tokens end from f join n on n.grp = f.grp and n.r = f.r + 1) select grp, ord, batch from f")
 def w18(spark, d):
     t = texts(spark, d).select((F.col("document_id") % 16).alias("grp"), F.col("document_id").alias("ord"), F.size(tx.tokens(F.col("content"))).cast("long").alias("tokens"))
     return op.pack_batches(t, 20, 4000)

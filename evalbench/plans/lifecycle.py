@@ -89,11 +89,19 @@ def g6(spark, d):
     return ctx.unknown_citations(a, ctx.build_context(hits(spark, d), 2000)).where("citation_id = 'C9'")
 
 
-@register("g7_end_to_end_answer")
+@register("g7_end_to_end_answer", _ctx("select c.question_id, left(content, 200) as answer, cast(null as varchar) as violation, c.chunk_id, c.n as cited_of from (select *, count(*) over (partition by question_id) as n from ctx) c join chunks using (chunk_id) where citation_id = 'C1'"))
 def g7(spark, d):
-    c = ctx.build_context(hits(spark, d), 2000).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "citation_id", "content"))).alias("x"))
-    out = F.to_json(F.struct(F.substring(F.col("x")[0]["content"], 1, 40).alias("answer"), F.array(F.lit("C1")).alias("citations"), F.lit(False).alias("abstained")))
-    return c.select("question_id", ctx.parse_answer(out).alias("a")).select("question_id", F.col("a.answer").alias("answer"), ctx.policy_violation(F.col("a")).alias("violation"))
+    """Context, prompt, an offline generator that quotes the first cited chunk, parsing, policy, and the cited chunk."""
+    cited = ctx.build_context(hits(spark, d), 2000)
+    each = cited.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "citation_id", "content"))).alias("x"), F.count(F.lit(1)).alias("cited_of"))  # within a budget of tokens
+    shown = F.array_join(F.transform("x", lambda c: F.concat(F.lit("["), c["citation_id"], F.lit("] "), c["content"])), "\n")
+    prompt = ctx.render(F.lit("Answer from:\n{{context}}\nQuestion: {{question}}"), context=shown, question=F.col("query"))
+    asked = each.join(rel.questions(spark, d).select("question_id", "query"), "question_id").withColumn("prompt", prompt).where("prompt is not null")
+    reply = F.to_json(F.struct(F.substring(F.col("x")[0]["content"], 1, 200).alias("answer"), F.array(F.col("x")[0]["citation_id"]).alias("citations"), F.lit(False).alias("abstained")))
+    answered = asked.select("question_id", "cited_of", ctx.parse_answer(reply).alias("a"))
+    found = cited.select("question_id", F.col("citation_id").alias("c"), "chunk_id")
+    out = answered.withColumn("c", F.explode("a.citations")).join(found, ["question_id", "c"])
+    return out.select("question_id", F.col("a.answer").alias("answer"), ctx.policy_violation(F.col("a")).alias("violation"), "chunk_id", "cited_of")
 
 
 @register("g8_offline_experiment", w("evidence " + _NEED, f"select question_id, count(*) as retrieved, count(e.chunk_id) as cited from ({_HITS}) h left join evidence e using (question_id, chunk_id) group by question_id"))
