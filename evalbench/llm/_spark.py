@@ -29,8 +29,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of fewer splits are small: at the usual split size they hold a gigabyte at most.
+FEW_SPLITS = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose files are fewer pieces than the cores is dealt out, as a scan never splits a row group."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 64)) if df.rdd.getNumPartitions() < min(FEW_SPLITS, cores) else df
 
 
 def crc_part(spark_column: Column, parts: int) -> Column:

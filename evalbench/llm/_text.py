@@ -59,20 +59,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, a single row at least."""
+def slices(offsets: np.ndarray, most: int = 1 << 20, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and ``most`` bytes, a single row at least."""
     start, n = 0, len(offsets) - 1
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        stop = min(n, max(stop, start + 1))
+        stop = min(n, max(stop, start + 1), start + rows)
         yield start, stop
         start = stop
 
 
-def batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 62) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of each slice."""
     data, offsets = utf8(column)
-    for a, b in slices(offsets, most):
+    for a, b in slices(offsets, most, rows):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 

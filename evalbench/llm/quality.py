@@ -13,7 +13,7 @@ of at most 65,536 + 21 rows. Everything else covers all rows.
 Defined results: a null text counts as empty; an empty text is scored like any other; a null doc_id counts as
 the empty text for the fold and is never labelled; labels that are null or neither 0 nor 1 are ignored, a
 document labelled twice has its smaller label; repeated rows give repeated results; with no usable label
-every score is 0.5; other columns are not read.
+every score is 0.5; of equally near neighbours those of smaller ids vote; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 FORM_WEIGHT = 0.3
 LEAST_DOCS = 3
+ROWS = 256  # texts whose counts are held together
 #: Levels of the form statistics.
 EDGES = ((0.01, 0.05, 0.2), (0.2, 0.4, 0.6, 0.8, 0.9), (0.3, 0.6, 0.8, 0.9, 0.95), (1.5, 3, 4.5, 6, 7.5, 9))
 FORMS = sum(len(e) + 1 for e in EDGES)
@@ -56,7 +57,7 @@ def form_levels(stats: np.ndarray) -> np.ndarray:
 def counted(column: pa.Array, place: np.ndarray):
     """(first row, counts of the placed bigrams, all bigrams, form statistics) of each slice of texts."""
     width = int(place.max(initial=-1)) + 1
-    for a, b, data, offsets in T.batches(column, 1 << 20):
+    for a, b, data, offsets in T.batches(column, 1 << 20, ROWS):
         starts, ends, first = T.words(data, offsets)
         h = T.word_hashes(data, starts, ends, lower=False)
         counts, stats = np.zeros((b - a, width), np.float32), np.zeros((b - a, 4))
@@ -99,6 +100,9 @@ class Voter:
         near = np.maximum(vectors @ self.vectors.T, 0)
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # where the last place is shared, the smaller ids have it
+        shared = np.flatnonzero((near >= np.take_along_axis(near, top, 1).min(1, keepdims=True)).sum(1) > k)
+        top[shared] = np.argsort(-near[shared], axis=1, kind="stable")[:, :k]
         weight = np.take_along_axis(near, top, 1).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
         return np.where(total > 0, (weight * self.labels[top]).sum(1) / np.maximum(total, 1e-300), self.labels.mean())
@@ -182,8 +186,8 @@ def document_frequencies(texts: DataFrame, place: np.ndarray) -> tuple[int, np.n
 
 
 def score(docs: DataFrame, voter: Voter, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default, which must not have a ``score``) with ``score``."""
-    columns = columns or docs.columns
+    """``columns`` of ``docs`` (all by default) with ``score``, which takes the place of a column of that name."""
+    columns = [c for c in columns or docs.columns if c.lower() != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def run(batches):
