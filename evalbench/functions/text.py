@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-import uuid
 from collections import Counter
 
 import pandas as pd
@@ -78,9 +77,38 @@ def nearly_contains(least: float):
     return found
 
 
-@F.pandas_udf(StringType())
-def uuid5_url(name: pd.Series) -> pd.Series:
-    return name.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+#: Fixed value: the namespace of names that are URLs.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5_url(name: Column) -> Column:
+    """The name-based (SHA-1) identifier of a URL: 16 bytes of the hash with version 5 and the usual variant."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def valid_url(text: Column) -> Column:
+    """An absolute http or https URL with a host and without blanks."""
+    return F.coalesce(text.rlike(r"^https?://[^\s/?#]+\S*$") & F.try_parse_url(text, F.lit("HOST")).isNotNull(), F.lit(False))
+
+
+def iso_date(text: Column) -> Column:
+    """The date of a text of just the form YYYY-MM-DD; null where it is none."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def frozen(json: Column) -> Column:
+    """A JSON object of texts with its keys in order, so that equal objects are equal texts."""
+    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
+    return F.to_json(F.map_from_entries(entries))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number of seconds, or an HTTP date (0 if it has passed); null where it is neither."""
+    at = F.try_to_timestamp(F.substring(value, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
+    dated = F.when(value.rlike(r"^[A-Z][a-z]{2}, [0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8} GMT$"), F.greatest(F.lit(0.0), (at.cast("double") - now.cast("double"))))
+    return F.when(value.rlike(r"^[0-9]+(\.[0-9]+)?$"), value.cast("double")).otherwise(dated)
 
 
 def fold(text: Column, unicode_forms: bool = False) -> Column:

@@ -370,11 +370,40 @@ def scalar_hash_index(spark, d):
     return rel.read(spark, d, "events").select("event_id", tx.hash_index(F.col("event_id").cast("string"), F.lit(97)).alias("i"))
 
 
-@register("scalar_uuid5")
+_U5 = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))"
+
+
+@register("scalar_uuid5", f"select page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast('0x' || substr(h, 17, 1) as integer) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from (select page_id, {_U5} as h from pages)")
 def scalar_uuid5(spark, d):
     return rel.read(spark, d, "pages").select("page_id", tx.uuid5_url(F.col("url")).alias("id"))
 
 
+@register("scalar_url_and_date", "select page_id, case page_id % 4 when 0 then true else false end as url_ok, case page_id % 5 when 0 then date '2024-02-29' when 1 then date '2023-12-31' end as day from pages")
+def scalar_url_and_date(spark, d):
+    """URLs as they are, without scheme, with a blank and without host; dates that are right, of no day, of another form and none."""
+    i = F.col("page_id")
+    url = F.when(i % 4 == 0, F.col("url")).when(i % 4 == 1, F.regexp_replace("url", "^[a-z]+:", "")).when(i % 4 == 2, F.concat(F.col("url"), F.lit(" x"))).otherwise("https:///path")
+    day = F.when(i % 5 == 0, "2024-02-29").when(i % 5 == 1, "2023-12-31").when(i % 5 == 2, "2023-02-30").when(i % 5 == 3, "2024-2-9").otherwise("soon")
+    return rel.read(spark, d, "pages").select("page_id", tx.valid_url(url).alias("url_ok"), tx.iso_date(day).alias("day"))
+
+
+@register("scalar_json_freeze", """select event_id, '{"a":"' || cast(event_id as varchar) || '","k":"' || event_type || '","z":"1"}' as frozen from events""")
+def scalar_json_freeze(spark, d):
+    i = F.col("event_id").cast("string")
+    one = F.concat(F.lit('{"z":"1", "k":"'), F.col("event_type"), F.lit('","a":"'), i, F.lit('"}'))
+    two = F.concat(F.lit('{"a":"'), i, F.lit('","z":"1","k":"'), F.col("event_type"), F.lit('"}'))
+    return rel.read(spark, d, "events").select("event_id", tx.frozen(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("frozen"))
+
+
+@register("scalar_retry_after", "select event_id, case event_id % 5 when 0 then cast(event_id % 60 as double) when 1 then greatest(0, cast(event_id % 300 as double) - 100) when 2 then 1.5 end as wait from events")
+def scalar_retry_after(spark, d):
+    """Seconds, HTTP dates from 100 seconds before now on, fractions, and texts that are neither."""
+    i, now = F.col("event_id"), F.lit("2024-03-01 00:00:00").cast("timestamp")
+    dated = F.concat(F.lit("Fri, "), F.date_format(F.timestamp_seconds(now.cast("long") - 100 + i % 300), "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    value = F.when(i % 5 == 0, (i % 60).cast("string")).when(i % 5 == 1, dated).when(i % 5 == 2, "1.5").when(i % 5 == 3, "later").otherwise("-3")
+    return rel.read(spark, d, "events").select("event_id", tx.retry_after(value, now).alias("wait"))
+
+
 @register("scalar_time", "select event_id, strftime(ts, '%Y%m%d') as stamp, epoch(timestamp '2024-01-31') - epoch(date_trunc('second', ts)) > 86400 as old from events")
 def scalar_time(spark, d):
     return rel.read(spark, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd").alias("stamp"), ((F.lit("2024-01-31").cast("timestamp").cast("long") - F.date_trunc("second", "ts").cast("long")) > 86400).alias("old"))

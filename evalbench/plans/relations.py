@@ -35,7 +35,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = questions(spark, sf_dir).select("question_id", "query"), chunks(spark, sf_dir).select("chunk_id", "content")
     # the tokens inside a query, without its first and last, are tokens of the chunk, so their first five-gram must meet;
     # tokens are a column of their own, or each five-gram would split the text again
-    gram = lambda i: F.concat_ws(" ", F.slice("t", i, 5))
+    gram = lambda i: F.xxhash64(F.slice("t", i, 5))
     left = q.withColumn("t", tx.tokens(F.col("query"))).select("question_id", "query", gram(F.lit(2)).alias("g"))
     right = c.withColumn("t", tx.tokens(F.col("content"))).select("chunk_id", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 4, F.lit(1))), gram))).alias("g"))
     met = right.join(F.broadcast(left) if left.limit(10_001).count() <= 10_000 else left, "g")
