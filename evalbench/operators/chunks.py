@@ -6,6 +6,7 @@ section array), tokens of blocks. Order is always a column, never the order of r
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,17 +147,25 @@ def joined(rows: DataFrame, by: str, order: str, value: str, separator: str) ->
 
 
 def pack_batches(items: DataFrame, most_items: int, most_tokens: int) -> DataFrame:
-    """Greedy batches in order within ``grp``: a new one starts where either limit would be passed.
+    """``grp, ord, batch``: greedy batches in order within ``grp``; a new one starts where either limit would be passed.
 
-    A fold over (ord, tokens) pairs of one group, which callers keep bounded (a snapshot's missing chunks by
-    partition).
+    A batch depends on all before it, so one task reads a group in order, row by row; Spark sorts it, and it is
+    never held together.
     """
-    rows = items.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("ord", "tokens"))).alias("x"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<ord:bigint,batch:int>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] + 1 > most_items) | (a["t"] + x["tokens"] > most_tokens))
-        batch = a["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), (F.when(new, 0).otherwise(a["t"]) + x["tokens"]).cast("long").alias("t"), F.concat(a["out"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), batch.alias("batch")))).alias("out"))
-
-    return rows.select("grp", F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("o")).select("grp", F.col("o.ord").alias("ord"), F.col("o.batch").alias("batch"))
+    def run(batches):
+        group, batch, n, total = object(), 0, 0, 0
+        for rows in batches:
+            out = []
+            for g, tokens in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if g != group:
+                    group, batch, n, total = g, 0, 0, 0
+                if n and (n + 1 > most_items or total + tokens > most_tokens):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + tokens
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int64())], ["grp", "ord", "batch"])
+
+    kind = {c: items.schema[c].dataType.simpleString() for c in ("grp", "ord")}
+    rows = items.select("grp", "ord", "tokens").repartition("grp").sortWithinPartitions("grp", "ord")
+    return rows.mapInArrow(run, f"grp {kind['grp']}, ord {kind['ord']}, batch long")

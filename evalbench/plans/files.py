@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
 from evalbench.functions import tokenizer
-from evalbench.operators import curate, gates
+from evalbench.operators import curate, gates, lifecycle
 from evalbench.operators import ledger as led
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
@@ -51,13 +51,10 @@ def b11(spark, d):
     return curate.plan_replacements(first, _windows(spark, d), QUOTAS, 5, 2)
 
 
-@register("e8_bootstrap_input_hash", "with b as (select event_id // 1000 as block, sha256(string_agg(cast(event_id as varchar) || ':' || cast(cast(value as decimal(18,6)) as varchar), ',' order by event_id)) as h from events group by 1) select sha256(string_agg(h, ',' order by block)) as input_hash from b")
+@register("e8_bootstrap_input_hash", rel.ordered_hash_sql("events", "", "event_id", "cast(event_id as varchar) || ':' || cast(cast(value as decimal(18,6)) as varchar)"))
 def e8(spark, d):
-    """A hash of the hashes of blocks of a thousand, so no task holds all rows."""
-    row = F.concat_ws(":", F.col("event_id").cast("string"), F.col("value").cast("decimal(18,6)").cast("string"))
-    lined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(c), lambda v: v["r"]), ","), 256)
-    blocks = rel.read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("block")).agg(lined(F.collect_list(F.struct("event_id", row.alias("r")))).alias("r"))
-    return blocks.agg(lined(F.collect_list(F.struct("block", "r"))).alias("input_hash"))
+    line = F.concat_ws(":", F.col("event_id").cast("string"), F.col("value").cast("decimal(18,6)").cast("string"))
+    return lifecycle.ordered_hash(rel.read(spark, d, "events"), [], "event_id", line)
 
 
 @register("s2_chunk_dataset", "select source as document_id, count(*) as n from documents group by source")

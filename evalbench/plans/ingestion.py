@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
 from evalbench.operators import chunks as op
-from evalbench.operators import parsing
+from evalbench.operators import lifecycle, parsing
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 
@@ -266,10 +266,9 @@ def c20(spark, d):
     return parsing.run_summary(plan, made)
 
 
-@register("c19_embedding_manifest", "select label, count(*) as n, sha256(string_agg(cast(vec_id as varchar), ',' order by vec_id)) as manifest from embeddings group by label")
+@register("c19_embedding_manifest", rel.ordered_hash_sql("embeddings", "label", "vec_id", "cast(vec_id as varchar)"))
 def c19(spark, d):
-    g = rel.read(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return g.select("label", "n", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("manifest"))
+    return lifecycle.ordered_hash(rel.read(spark, d, "embeddings"), ["label"], "vec_id", F.col("vec_id").cast("string"))
 
 
 @register("c17_manifest_violations", "select source, 'too_large' as violation from documents group by source having sum(n_chars) > 0.06 * (select sum(n_chars) from documents) union all select source, 'few_languages' from documents group by source having count(distinct lang) < 4")

@@ -176,10 +176,9 @@ def p2(spark, d):
     return rel.read(spark, d, "documents").join(ret.small(allowed), "source", "left_semi").select("doc_id")
 
 
-@register("p7_split_gate", "select count(*) as n, sha256(string_agg(cast(doc_id as varchar), ',' order by doc_id)) as membership from labels where quality = 1 and toxic = 0")
+@register("p7_split_gate", rel.ordered_hash_sql("(select doc_id from labels where quality = 1 and toxic = 0)", "", "doc_id", "cast(doc_id as varchar)"))
 def p7(spark, d):
-    g = rel.read(spark, d, "labels").where("quality = 1 and toxic = 0").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("x"))
-    return g.select("n", F.sha2(F.array_join(F.transform("x", lambda x: x.cast("string")), ","), 256).alias("membership"))
+    return op.ordered_hash(rel.read(spark, d, "labels").where("quality = 1 and toxic = 0"), [], "doc_id", F.col("doc_id").cast("string"))
 
 
 @register("p8_document_selection", "select doc_id, problem from (select unnest([1, 5, 5, 99999999]) as doc_id, 'unknown' as problem) where doc_id not in (select doc_id from documents) union all select 5, 'duplicate'")

@@ -114,3 +114,11 @@ def with_sql(names: str, query: str) -> str:
     for name in names.split():
         add(name)
     return ("with " + ",\n".join(SQL[n] for n in order) + "\n" if order else "") + query
+
+
+def ordered_hash_sql(source: str, by: str, order: str, line: str) -> str:
+    """Three nested queries: hashes of blocks of a thousand, of a thousand of these, and of what is left; ``by`` may be empty."""
+    keys = f"{by}, " if by else ""
+    one = f"select {keys}{order} // 1000 as b, sha256(string_agg({line}, ',' order by {order})) as h, count(*) as n from {source} group by {keys}{order} // 1000"
+    two = f"select {keys}b // 1000 as b, sha256(string_agg(h, ',' order by b)) as h, sum(n) as n from ({one}) group by {keys}b // 1000"
+    return f"select {keys}cast(sum(n) as bigint) as n, sha256(string_agg(h, ',' order by b)) as hash from ({two}){' group by ' + by if by else ''}"
