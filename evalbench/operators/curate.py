@@ -223,9 +223,16 @@ def completion_level(n: Column, target: int, floor: int, emergency: int) -> Colu
 def plan_jobs(windows: DataFrame, quotas: dict[str, int], per_document: int, per_page: int) -> DataFrame:
     """Jobs (ordinal, kind, window_id): kinds in turn take the next window, documents in turn, within both caps.
 
-    Raises if the windows do not reach. Sequential; on the driver over the windows of one benchmark.
+    Raises if the windows do not reach. Sequential, so on the driver, but over those windows only that it may come to:
+    of the first documents, one a job, the first windows of each page and of these the first ones, up to the caps.
     """
-    rows = windows.select("window_id", "document_id", "page").orderBy("document_id", "page", "window_id").collect()
+    jobs_wanted = sum(quotas.values())
+    rows = windows.select("window_id", "document_id", "page").where(F.lit(jobs_wanted > 0))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("page", "window_id"))
+    rows = rows.join(windows.select("document_id").distinct().orderBy("document_id").limit(jobs_wanted), "document_id", "left_semi")
+    rows = rows.withColumn("__p", place("document_id", "page")).where(F.col("__p") <= per_page)
+    rows = rows.withColumn("__p", place("document_id")).where(F.col("__p") <= per_document).drop("__p")
+    rows = rows.orderBy("document_id", "page", "window_id").collect()  # at most jobs times the cap
     queues: dict[str, list] = {}
     for r in rows:
         queues.setdefault(r.document_id, []).append(r)

@@ -104,6 +104,28 @@ def test_duplicate_groups_equal_all_pairs(spark, checkpoint, copies):
     assert got == {i: (x, i != x) for i, x in enumerate(root) if x in many}
 
 
+def test_planned_jobs_equal_a_loop_over_all_windows(spark):
+    r = random.Random(6)
+    windows = [(f"w{i:03d}", f"d{r.randrange(7)}", r.randrange(3)) for i in range(60)]
+    df = spark.createDataFrame(windows, "window_id string, document_id string, page int")
+    for quotas, per_document, per_page in (({"b": 3, "a": 2}, 1, 1), ({"a": 12, "c": 9}, 4, 2), ({"a": 0}, 2, 2)):
+        order, used, pages, want, at = sorted({d for _, d, _ in windows}), {}, {}, [], 0
+        left = {d: sorted((p, w) for w, x, p in windows if x == d) for d in order}
+        for kind in [k for k in sorted(quotas) for _ in range(quotas[k])]:
+            while True:
+                d = order[at % len(order)]
+                at += 1
+                free = next(((p, w) for p, w in left[d] if used.get(d, 0) < per_document and pages.get((d, p), 0) < per_page), None)
+                if free:
+                    left[d].remove(free)
+                    used[d], pages[d, free[0]] = used.get(d, 0) + 1, pages.get((d, free[0]), 0) + 1
+                    want.append((kind, free[1]))
+                    break
+        assert [(x.kind, x.window_id) for x in curate.plan_jobs(df, quotas, per_document, per_page).orderBy("ordinal").collect()] == want
+    with pytest.raises(ValueError):
+        curate.plan_jobs(df, {"a": 8}, 1, 1)
+
+
 def test_top_three_and_pareto(spark):
     r = random.Random(31)
     rows = [(f"c{i}", round(0.4 + 0.05 * i, 3), 0.0, 0.0, float(r.randint(1, 99))) for i in range(9)]
