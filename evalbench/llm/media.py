@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalbench.llm._spark import table
+
 ROW = 64
 MOST_ROWS = 8191  # blocks; a side has at most 65535 pixels
 MOST_BYTES = ROW * 128 * MOST_ROWS
@@ -378,7 +380,8 @@ def load(pictures: list[np.ndarray], n: int) -> bytes:
 
 
 def inspect(media: DataFrame, column: str = "media") -> DataFrame:
-    """``width``, ``height``, ``thumbnail`` (binary, row by row) and ``thumbnail_hash`` of JPEG files in a column."""
+    """``media`` with ``width``, ``height``, ``thumbnail`` (binary, row by row) and ``thumbnail_hash`` of the JPEG files in a column, in place of columns of these names."""
+    media = media.drop("width", "height", "thumbnail", "thumbnail_hash")
 
     def run(batches):
         for batch in batches:
@@ -450,4 +453,4 @@ def parse_size(data: bytes) -> tuple[int, int]:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return text_media(table(spark, sf_dir, "documents"))

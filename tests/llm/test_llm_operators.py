@@ -68,6 +68,20 @@ def test_topk_is_exact(spark):
     assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_topk_of_ids_on_several_rows(spark):
+    rows = [(0, [0.5, 0.5]), (0, [0.25, 0.9]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.1, 0.1]), (100, [0.3, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("rank", "score", "query_id")})
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id % 100 = 0")).collect())
+    # a query id is asked once, by its least vector, and its rows are no candidates; other repeated rows each count
+    floor = lambda v: [math.floor(1024 * float(np.float32(x))) for x in v]
+    score = lambda a, b: sum(x * y for x, y in zip(floor(a), floor(b)))
+    want = []
+    for q, v in ((0, [0.25, 0.9]), (100, [0.3, 0.0])):
+        found = sorted(((-score(v, x), i) for i, x in rows if i != q))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == sorted(want)
+
+
 # ---- 2
 
 
