@@ -21,10 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{re.sub('[^a-z0-9]+', '-', name)}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/stash/{re.sub('[^a-z0-9]+', '-', name)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
