@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalbench.llm._spark import release
+from evalbench.llm._spark import release, table
 
 #: Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_PIECES = 600_000
+FEWER_PIECES = 200_000  # where a task also holds ids
 MEMO = 1_000_000
 CACHE_PIECE_CHARS = 256
 
@@ -204,14 +205,14 @@ class TrieBPE:
         for p, ws in split.items():
             self.cache[p] = np.array([t for w in ws for t in ids[w]], dtype="<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_batch(self, texts: list[str], most: int = CACHE_PIECES) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; at most ``most`` pieces and those of the batch are remembered."""
         if not self.cache:
             self.cache.update({s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()})
         cut = [self.pieces(t) for t in texts]
         new = {p for ps in cut for p in ps} - self.cache.keys()
         if new:
-            if len(self.cache) + len(new) > CACHE_PIECES:
+            if len(self.cache) + len(new) > most:
                 self.cache = {p: self.cache[p] for p in {*self.special, *(p for ps in cut for p in ps)} & self.cache.keys()}
             if len(self.step) > MEMO:
                 self.step.clear()
@@ -252,8 +253,8 @@ def _groups(column: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) of each whole text."""
-    path = path or vocabulary_path()
+    """``docs`` with ``ids`` (array<int>) of each whole text, in place of a column of that name."""
+    path, docs = path or vocabulary_path(), docs.drop("ids")
 
     def run(batches):
         for batch in batches:
@@ -266,8 +267,8 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> Da
 
 
 def decode(docs: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
-    """``docs`` with ``decoded`` (string), from the ids in ``column``."""
-    path = path or vocabulary_path()
+    """``docs`` with ``decoded`` (string), from the ids in ``column``, in place of a column of that name."""
+    path, docs = path or vocabulary_path(), docs.drop("decoded")
 
     def run(batches):
         for batch in batches:
@@ -288,14 +289,19 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         bpe = encoder(path)
         for batch in batches:
-            ids = [x for g in _groups(batch.column(2)) for x in bpe.encode_batch(g)]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
-            decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), lists, pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-            )
+            done = 0
+            for group in _groups(batch.column(2)):
+                ids = list(bpe.encode_batch(group, FEWER_PIECES))
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
+                decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(done, len(ids)), batch.column(1).slice(done, len(ids)), pa.array(np.diff(offsets), pa.int64()), lists, pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                )
+                done += len(ids)
+                del ids, lists, decoded
+            release()
         bpe.forget()
         release()
 
@@ -323,4 +329,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(table(spark, sf_dir, "documents"))
