@@ -51,9 +51,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalbench.llm import _text as T
-from evalbench.llm._spark import release, shared_dir, stash, table
+from evalbench.llm._spark import own_dir, release, stash, table
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 4 << 20
 DISCOUNT = 0.75
 HEAVY = 1000
@@ -328,9 +328,9 @@ class Chunk:
             yield s, *(order[cut[s] : cut[s + 1]] for order, cut in cuts)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -368,7 +368,7 @@ def pack_chunks(batches):
         often = counts * HEAVY >= n
         row = pa.RecordBatch.from_pydict({
             "chunk": pa.array([part << 24 | number], pa.int64()),
-            "blob": pa.array([_pack(chunk.ids, chunk.known.astype(np.uint8), np.concatenate(data), offsets)], pa.binary()),
+            "blob": pa.array([_pack(chunk.ids, chunk.known.astype(np.uint8), np.concatenate(data), offsets, level=5)], pa.binary()),
             "bytes": pa.array([held], pa.int64()),
             "tokens": pa.array([n], pa.int64()),
             "train_docs": pa.array([int(chunk.train.sum())], pa.int64()),
@@ -405,6 +405,7 @@ def _ask(shards: int, heavy: np.ndarray):
     """Chunks into one row a shard: words, their pairs and contexts, and triples, with training counts.
 
     Words and pairs have their count + 1, or 0 where they only name something that the shard does not answer for.
+    Heavy words, which are in all rows, go by their number.
     """
 
     def run(batches):
@@ -431,9 +432,11 @@ def _ask(shards: int, heavy: np.ndarray):
                     # a triple's last word is named by its place among the pairs of the middle one
                     begin = np.cumsum(pair_sizes) - pair_sizes
                     place = np.searchsorted(named, chunk.triple_pair[triples])
+                    known = chunk.words[words]
+                    hot = np.isin(known, heavy)
                     short = lambda keys: (chunk.words[(keys & TAIL).astype(np.int64)] >> LOW).astype(np.uint32)
                     rows.append((s, _pack(
-                        chunk.words[words], _small(word_plus), _small(pair_sizes), short(chunk.pairs[named]), _small(pair_plus), _small(context_sizes), short(chunk.contexts[contexts]),
+                        known[~hot], _small(np.searchsorted(heavy, known[hot])), _small(word_plus), _small(pair_sizes), short(chunk.pairs[named]), _small(pair_plus), _small(context_sizes), short(chunk.contexts[contexts]),
                         _small(np.bincount(parent, minlength=len(contexts))), _small(place - begin[of_pair[place]]), _small(triple_n[triples]),
                     )))
                     if sum(len(r[1]) for r in rows) > 8 << 20:
@@ -454,8 +457,9 @@ def _rows(rows: list[tuple[int, bytes]], chunk: int) -> pa.RecordBatch:
 class Question:
     """What a chunk asks of a shard, with the tails of its triples' words."""
 
-    def __init__(self, blob: bytes):
-        self.words, self.word_plus, pair_sizes, self.pair_tail, self.pair_plus, context_sizes, self.context_tail, triple_sizes, place, self.triple_n = _unpack(blob)
+    def __init__(self, blob: bytes, heavy: np.ndarray):
+        rest, numbers, self.word_plus, pair_sizes, self.pair_tail, self.pair_plus, context_sizes, self.context_tail, triple_sizes, place, self.triple_n = _unpack(blob)
+        self.words = np.sort(np.concatenate([rest, heavy[numbers]]))
         each = np.arange(len(self.words), dtype=np.int32)
         pair_sizes, context_sizes = pair_sizes.astype(np.int64), context_sizes.astype(np.int64)
         self.pair_word, self.context_word = np.repeat(each, pair_sizes), np.repeat(each, context_sizes)
@@ -513,7 +517,7 @@ def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, chunks = int(pdf["shard"].iloc[0]), pdf["chunk"].tolist()
-        asked = [Question(b) for b in pdf["blob"]]
+        asked = [Question(b, heavy) for b in pdf["blob"]]
         with mapped(_merge(asked, n, starts), folder) as trie:
             held = trie.places(heavy)
             limits = trie.pairs.pointers.range(0, trie.pairs.pointers.n).astype(np.int64)
@@ -537,7 +541,7 @@ def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
             triple = trie.triples.code(_find(trie.triples, [context[i + q.triple_context] for q, i in zip(asked, ends, strict=False)], [q.triple_tail for q in asked]))
             for answer, c, t in zip(answers, np.split(trie.contexts.code(context), ends[1:-1]), np.split(triple, cut([q.triple_tail for q in asked])[1:-1]), strict=True):
                 answer += [c, t]
-            out += [(int(chunk), shard, _pack(*answer)) for chunk, answer in zip(chunks, answers, strict=True)]
+            out += [(int(chunk), shard, _pack(*answer, level=5)) for chunk, answer in zip(chunks, answers, strict=True)]
             del trie, asked, at, context, triple, pair, answers
         release()
         return pd.DataFrame(out, columns=["chunk", "shard", "blob"])
@@ -594,7 +598,7 @@ def score(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-size // SHARD_BYTES))
     often = chunks.select(F.explode("heavy").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n")).where(F.col("n") * 2 * HEAVY >= n)
     heavy = np.sort(np.append(np.array([r["word"] for r in often.collect()], np.int64).view(np.uint64), START))  # at most 2 * HEAVY
-    folder = plain_folder(shared_dir(spark))
+    folder = plain_folder(own_dir(spark))
     folder = folder and os.path.join(folder, "stash", f"lm-tries-{uuid.uuid4().hex}")
     asked = chunks.select("chunk", "blob").mapInArrow(_ask(shards, heavy), "shard int, chunk long, blob binary")
     answers = stash(asked.groupBy("shard").applyInPandas(_answer(heavy, n, starts, folder), "chunk long, shard int, blob binary"), "lm-answers")
