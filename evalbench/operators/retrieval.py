@@ -75,7 +75,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 10, k1: float
     to_all = F.broadcast if few else (lambda df: df)
     tokens = tokenised(chunks, unicode_forms)
     # only terms of some question are counted: a semi join before the shuffle
-    post = postings(tokens, to_all(terms.select("term").distinct()))
+    post = rewritten(postings(tokens, to_all(terms.select("term").distinct())))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         post = post.join(small(allowed.select("document_id").distinct()), "document_id", "left_semi")
