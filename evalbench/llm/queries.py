@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, html, lm, media, mixing, neardup, passages, quality, secrets, topk
+from evalbench.llm import bpe, divergence, html, lm, media, mixing, neardup, passages, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_icws_neardup": neardup.op8,
         "op9_jpeg_media": media.op9,
         "op10_knn_quality": quality.op10,
+        "op11_joint_divergence": divergence.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_segment_topk": topk.SQL}
+    return {"op1_segment_topk": topk.SQL, "op11_joint_divergence": divergence.SQL}
