@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, divergence, html, lm, media, mixing, neardup, passages, quality, secrets, topk
+from evalbench.llm import bpe, divergence, html, lm, media, mixing, neardup, passages, quality, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jpeg_media": media.op9,
         "op10_knn_quality": quality.op10,
         "op11_joint_divergence": divergence.op11,
+        "op12_bounded_ring": sharding.op12,
     }
 
 
