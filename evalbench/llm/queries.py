@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalbench.llm import bpe, divergence, html, lm, media, mixing, neardup, passages, quality, secrets, sharding, topk
+from evalbench.llm import bpe, conversations, divergence, html, lm, media, mixing, neardup, passages, quality, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_knn_quality": quality.op10,
         "op11_joint_divergence": divergence.op11,
         "op12_bounded_ring": sharding.op12,
+        "op13_viterbi_repair": conversations.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_segment_topk": topk.SQL, "op11_joint_divergence": divergence.SQL}
+    return {"op1_segment_topk": topk.SQL, "op11_joint_divergence": divergence.SQL, "op13_viterbi_repair": conversations.SQL}
