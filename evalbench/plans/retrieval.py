@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
+from evalbench.operators import index as ix
 from evalbench.operators import retrieval as op
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.plans.relations import with_sql as w
+from evalbench.sources.shared import fresh
 
 def rounded_score():
     return F.round("score", 6).alias("score")
@@ -103,6 +105,30 @@ def r5(spark, d):
     return op.prefix_rerank(rel.vectors(spark, d), rel.query_vectors(spark, d), 10, 16).select("question_id", "chunk_id", rounded_score(), "rank")
 
 
+def _index(spark, d):
+    return ix.build(rel.vectors(spark, d), fresh(spark, "index"))
+
+
+@register("r6_index_search")
+def r6(spark, d):
+    """Every vector indexed; as many lists are probed as find 95 % of the hits of other vectors."""
+    index = _index(spark, d)
+    others = rel.read(spark, d, "embeddings").where("vec_id % 25 = 12").select(F.format_string("o%05d", "vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return ix.search(index, rel.query_vectors(spark, d), 10, ix.calibrated(index, others, 10)).select("question_id", "chunk_id", rounded_score(), "rank")
+
+
+@register("r6_index_exact", w("vectors qvectors", _top(_COS, 10)))
+def r6_exact(spark, d):
+    return ix.search(_index(spark, d), rel.query_vectors(spark, d), 10, exact=True).select("question_id", "chunk_id", rounded_score(), "rank")
+
+
+@register("r6_index_rows", w("vectors", "select label, count(*) as n, count(distinct chunk_id) as chunks, round(sum(vector[1]), 4) + 0.0 as first from vectors group by label"))
+def r6_rows(spark, d):
+    """Every vector is filed once, as it was."""
+    rows = _index(spark, d).rows(spark).join(rel.vectors(spark, d).select("chunk_id", "label"), "chunk_id")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("chunks"), (F.round(F.sum(F.element_at("vector", 1).cast("double")), 4) + 0.0).alias("first"))
+
+
 @register("w3_candidate_stage", w("vectors qvectors", _top(_COS16, 20)))
 def w3(spark, d):
     return op.cosine(rel.vectors(spark, d), rel.query_vectors(spark, d), 20, prefix=16).select("question_id", "chunk_id", rounded_score(), "rank")
