@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
 from evalbench.operators import context as ctx
 from evalbench.operators import lifecycle as op
 from evalbench.operators import retrieval as ret
+from evalbench.operators.screening import Screening
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.plans.relations import with_sql as w
 from evalbench.plans.retrieval import _BM25, _top
+from evalbench.sources.shared import fresh
+from evalbench.sources.store import Store
 
 _HITS = _top(_BM25, 10)
 _NEED = "qterms postings dfs stats"
@@ -325,6 +331,60 @@ def x20(spark, d):
     return op.screening_state(log)
 
 
+def _stored_runs(spark, d):
+    """A run a user over their events: begun, answered but for errors, some interrupted, some of these resumed, errors of even users answered, whole runs finished."""
+    e = rel.read(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("string").alias("question_id"), F.col("value").alias("latency_ms"), "event_id", "event_type", "user_id")
+    hits = e.select("*", F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)).alias("rank")).where("rank > 0").select("run_id", "question_id", F.format_string("c%d-%d", F.col("event_id") % 97, "rank").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), (1 / F.col("rank")).alias("score"), "event_type", "event_id", "user_id")
+    runs = e.select("run_id", "user_id").distinct().select("run_id", "user_id", F.sha2(F.format_string("config-%d", F.col("user_id") % 12), 256).alias("config_hash"), F.lit("all").alias("question_hash"))
+    asked, given, runs_of = e.select("run_id", "question_id"), ["run_id", "question_id", "latency_ms"], ["run_id", "config_hash", "question_hash"]
+    s = Screening(spark, fresh(spark, "screening"))
+    s.begin(runs.select(*runs_of), asked)
+    s.answer(e.where("event_type <> 'error'").select(*given), hits.where("event_type <> 'error'"))
+    s.interrupt(runs.where("user_id % 5 = 0").select("run_id"))
+    again = "event_type = 'error' and user_id % 2 = 0 or event_id % 7 = 0 and event_type <> 'error'"
+    s.begin(runs.where("user_id % 10 = 0").select(*runs_of), e.where("user_id % 10 = 0").select("run_id", "question_id"))
+    s.answer(e.where(again).select(*given), hits.where(again))
+    whole = runs.select("run_id").join(s.pending(), "run_id", "left_anti")
+    s.finish(whole.withColumn("evaluation", F.lit("{}")))
+    return s
+
+
+_RUN_SQL = "select cast(user_id as varchar) as run_id, {status} as status, count(*) as expected, count(*) filter ({done}) as completed, cast(coalesce(sum(event_id % 3) filter ({done}), 0) as bigint) as hits from events group by user_id"
+_DONE = "event_type <> 'error' or user_id % 2 = 0"
+
+
+@register("x20_stored_runs", _RUN_SQL.format(done=_DONE, status=f"case when count(*) filter (not ({_DONE})) = 0 then 'complete' when user_id % 5 = 0 and user_id % 10 <> 0 then 'interrupted' else 'running' end"))
+def x20_stored(spark, d):
+    return _stored_runs(spark, d).state()
+
+
+@register("x20_stored_version", _RUN_SQL.format(done="event_type <> 'error'", status="case when user_id % 5 = 0 then 'interrupted' else 'running' end"))
+def x20_version(spark, d):
+    """The third version, after six commits."""
+    return _stored_runs(spark, d).state(3)
+
+
+@register("s16_stored_upsert", "select 1 as version, lang, count(*) as n from documents group by lang union all select 2, case when doc_id % 3 = 0 then 'new' else lang end as l, count(*) from documents group by l")
+def s16_stored(spark, d):
+    docs = rel.read(spark, d, "documents").select("doc_id", "lang")
+    s = Store(spark, fresh(spark, "upsert"), {"languages": "doc_id long, lang string"})
+    s.upsert("languages", docs, ["doc_id"])
+    s.upsert("languages", docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+    both = [s.read("languages", v).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), "lang", "n") for v in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
+@register("s17_stored_artifacts", "select 1 as version, count(*) as n, count(distinct sha256(text)) as texts from documents where doc_id % 2 = 0 union all select 2, count(*), count(distinct sha256(text)) from documents")
+def s17_stored(spark, d):
+    """Artifacts by id: what is stored with the same content is left out, and an insert of nothing new makes no version."""
+    docs = rel.read(spark, d, "documents").select(F.col("doc_id").alias("artifact_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    s = Store(spark, fresh(spark, "artifacts"), {"artifacts": "artifact_id long, content_hash string"})
+    for part in (docs.where("artifact_id % 2 = 0"), docs, docs):
+        s.insert("artifacts", part, ["artifact_id"])
+    both = [s.read("artifacts", v).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content_hash").alias("texts")).select(F.lit(v).alias("version"), "n", "texts") for v in s.versions()]
+    return reduce(DataFrame.unionByName, both)
+
+
 @register("x21_attempt_numbers", "select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as attempt from events where event_type = 'error'")
 def x21(spark, d):
     from pyspark.sql.window import Window
