@@ -12,6 +12,7 @@ from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
 from evalbench.sources import files, sinks
 from evalbench.sources.shared import fresh as folder
+from evalbench.streaming import ledger, runner
 
 
 def _vocabulary() -> tuple[str, str]:
@@ -94,6 +95,30 @@ def x3(spark, d):
     return e.join(stop, "run_id", "left").groupBy("run_id").agg(F.count(F.when(F.col("stop_step").isNull() | (F.col("step") < F.col("stop_step")), 1)).alias("answered"))
 
 
+_X3 = """with e as (select cast(user_id as varchar) as run_id, event_id as step, case event_type when 'error' then 'schema' when 'signup' then 'provider' else 'ok' end as outcome from events),
+    seen as (select *, count(*) over x as n, count(*) filter (outcome = 'schema') over x as s, count(*) filter (outcome = 'provider') over x as p from e window x as (partition by run_id order by step rows between 9 preceding and current row)),
+    stops as (select run_id, min(step) as stop_step, arg_min(case when s >= 4 then 'schema_error_threshold' else 'provider_error_threshold' end, step) as reason from seen where n = 10 and outcome <> 'ok' and (s >= 4 or p >= 5) group by run_id)
+select run_id, max(step) as step, case when any_value(stop_step) is null then 'running' else 'stopped' end as status, any_value(reason) as reason, any_value(stop_step) as stop_step,
+    count(*) filter (outcome = 'ok' and (stop_step is null or step < stop_step)) as answered, count(*) filter (outcome <> 'ok' and (stop_step is null or step <= stop_step)) as failed, count(*) filter (step > stop_step) as skipped
+from e left join stops using (run_id) group by run_id"""
+
+
+@register("x3_streamed_runs", _X3)
+def x3_streamed(spark, d):
+    """All events as outcomes, in four parts; the stream stops after each and starts again from its checkpoint."""
+    e = rel.read(spark, d, "events")
+    outcome = F.when(F.col("event_type") == "error", "schema").when(F.col("event_type") == "signup", "provider").otherwise("ok")
+    rows = e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("step"), outcome.alias("outcome"))
+    low, high = rows.agg(F.min("step"), F.max("step")).first()
+    source, out, checkpoint = folder(spark, "outcomes"), folder(spark, "runs"), folder(spark, "checkpoint")
+    width = ((high or 0) - (low or 0)) // 4 + 1
+    for part in range(4):
+        rows.where(F.floor((F.col("step") - (low or 0)) / width) == part).write.mode("append").parquet(source)
+        stream = runner.run_states(spark.readStream.schema(rows.schema).parquet(source), 10, 0.4, 0.5)
+        ledger.run_once(stream, out, checkpoint)
+    return lifecycle.newest(spark.read.schema(runner.ROWS).parquet(out), ["run_id"], [F.col("step").desc()])
+
+
 @register("c2_canonical_ids", """select item_id, sha256('{"item":"' || cast(item_id as varchar) || '","text":' || cast(to_json(text) as varchar) || '}') as id from benchmark""")
 def c2_ids(spark, d):
     return rel.read(spark, d, "benchmark").select("item_id", tx.canonical_hash(item=F.col("item_id").cast("string"), text=F.col("text")).alias("id"))
