@@ -6,12 +6,16 @@ section array), tokens of blocks. Order is always a column, never the order of r
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
+from evalbench.operators import order
+from evalbench.sources.shared import rewritten
 
 #: Element categories and their kinds.
 KINDS = {
@@ -146,13 +150,41 @@ def joined(rows: DataFrame, by: str, order: str, value: str, separator: str) ->
     return rows.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]), separator).alias(value))
 
 
-def pack_batches(items: DataFrame, most_items: int, most_tokens: int) -> DataFrame:
+#: A group of more rows is packed by many tasks; each holds about so many rows.
+PACK_ROWS = 8192
+PACK_FAN = 256
+
+
+def _stops(tokens: pd.Series, most_items: int, most_tokens: int) -> list[int]:
+    """Where a batch that begins at each row ends."""
+    sums = np.concatenate([[0], np.cumsum(tokens.to_numpy(np.int64))])
+    at = np.arange(len(tokens))
+    by_tokens = np.searchsorted(sums, sums[:-1] + most_tokens, side="right") - 1
+    return np.maximum(at + 1, np.minimum(np.minimum(at + most_items, by_tokens), len(tokens))).tolist()
+
+
+def pack_batches(items: DataFrame, most_items: int, most_tokens: int, part: int = PACK_ROWS, fan: int = PACK_FAN) -> DataFrame:
     """``grp, ord, batch``: greedy batches in order within ``grp``; a new one starts where either limit would be passed.
 
-    A batch depends on all before it, so one task reads a group in order, row by row; Spark sorts it, and it is
-    never held together.
+    A group of at most ``part`` rows is read in order by one task. A larger one is cut into parts. Where a part's first
+    batch begins is among its first ``most_items`` rows, so for each of these the part tells, on its own, how many batches
+    begin in it and where the next part's first one begins. ``fan`` such tables in a row are one table of the same
+    kind, and so on up to one for the group; on the way back each part learns its true beginning and number of batches
+    before it, and numbers its rows. A null number of tokens counts as 0, and an item beyond the limit is a batch.
     """
-
+    if most_items < 1 or most_tokens < 1:
+        raise ValueError("limits must be positive")
+    part = max(part, most_items)
+    items = items.select("grp", "ord", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    large = rewritten(items.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select(F.col("grp").alias("__of_grp")), "pack-large")
+    if large.isEmpty():
+        return _packed_alone(items, most_items, most_tokens)
+    rest = items.join(large, order.same(["grp"], "__of_"), "left_anti")
+    rows = order.placed(items.join(large, order.same(["grp"], "__of_"), "left_semi"), ["grp"], [F.col("ord")])
+    return _packed_alone(rest, most_items, most_tokens).unionByName(_packed_in_parts(rows, most_items, most_tokens, part, fan))
+
+
+def _packed_alone(items: DataFrame, most_items: int, most_tokens: int) -> DataFrame:
     def run(batches):
         group, batch, n, total = object(), 0, 0, 0
         for rows in batches:
@@ -166,6 +198,75 @@ def pack_batches(items: DataFrame, most_items: int, most_tokens: int) -> DataFra
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int64())], ["grp", "ord", "batch"])
 
-    kind = {c: items.schema[c].dataType.simpleString() for c in ("grp", "ord")}
-    rows = items.select("grp", "ord", "tokens").repartition("grp").sortWithinPartitions("grp", "ord")
-    return rows.mapInArrow(run, f"grp {kind['grp']}, ord {kind['ord']}, batch long")
+    rows = items.repartition("grp").sortWithinPartitions("grp", "ord")
+    return rows.mapInArrow(run, f"grp {_kind(items, 'grp')}, ord {_kind(items, 'ord')}, batch long")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _packed_in_parts(rows: DataFrame, most_items: int, most_tokens: int, part: int, fan: int) -> DataFrame:
+    grp = f"grp {_kind(rows, 'grp')}"
+    rows = rows.withColumn("node", F.floor(F.col("place") / part).cast("long"))
+    # the first rows of a part also go to the part before it, whose last batch may end there
+    both = (F.col("place") % part < most_items) & (F.col("node") > 0)
+    seen = rows.withColumn("node", F.explode(F.when(both, F.array(F.col("node") - 1, "node")).otherwise(F.array("node"))))
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        stops = _stops(pdf.sort_values("place")["tokens"], most_items, most_tokens)
+        own = min(part, len(stops))
+        leave, count = [0] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            stop = stops[i]
+            leave[i], count[i] = (stop - part, 1) if stop >= own else (leave[stop], count[stop] + 1)
+        n = min(own, most_items)
+        return pd.DataFrame({"grp": [key[0]] * n, "node": key[1], "entry": range(n), "leave": leave[:n], "n": count[:n]})
+
+    def joined_tables(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tables = _tables(pdf)
+        out = []
+        for entry in tables[min(tables)]:
+            at, n = entry, 0
+            for node in sorted(tables):
+                at, more = tables[node].get(at, (at - part, 0))  # no batch begins in a part that is shorter
+                n += more
+            out.append((key[0], key[1], entry, at, n))
+        return pd.DataFrame(out, columns=["grp", "node", "entry", "leave", "n"])
+
+    def spread(key: tuple, parent: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, before = int(parent["entry"].iloc[0]), int(parent["before"].iloc[0])
+        tables, out = _tables(pdf), []
+        for node in sorted(tables):
+            out.append((key[0], node, at, before))
+            at, more = tables[node].get(at, (at - part, 0))
+            before += more
+        return pd.DataFrame(out, columns=["grp", "node", "entry", "before"])
+
+    def numbered(key: tuple, start: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        at, batch = int(start["entry"].iloc[0]), int(start["before"].iloc[0])
+        stops, out = _stops(pdf["tokens"], most_items, most_tokens), [batch - 1] * min(at, len(pdf))
+        while at < len(stops):
+            out += [batch] * (stops[at] - at)
+            at, batch = stops[at], batch + 1
+        return pd.DataFrame({"grp": pdf["grp"], "ord": pdf["ord"], "batch": out})
+
+    kind = f"{grp}, node long, entry long, leave long, n long"
+    levels = [rewritten(seen.groupBy("grp", "node").applyInPandas(table, kind), "pack-parts")]
+    while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
+        up = levels[-1].groupBy("grp", F.floor(F.col("node") / fan).cast("long").alias("up"))
+        levels.append(rewritten(up.applyInPandas(joined_tables, kind), "pack-tables"))
+    starts = levels[-1].select("grp", "node").distinct().select("grp", "node", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("before"))
+    for level in reversed(levels[:-1]):
+        own = level.withColumn("up", F.floor(F.col("node") / fan).cast("long"))
+        starts = rewritten(starts.groupBy("grp", "node").cogroup(own.groupBy("grp", "up")).applyInPandas(spread, f"{grp}, node long, entry long, before long"), "pack-starts")
+    return starts.groupBy("grp", "node").cogroup(rows.groupBy("grp", "node")).applyInPandas(numbered, f"{grp}, ord {_kind(rows, 'ord')}, batch long")
+
+
+def _tables(pdf: pd.DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
+    """node -> entry -> (where the next part is entered, batches that begin here)"""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    for node, entry, leave, n in zip(pdf["node"], pdf["entry"], pdf["leave"], pdf["n"], strict=True):
+        out.setdefault(int(node), {})[int(entry)] = (int(leave), int(n))
+    return out

@@ -196,6 +196,13 @@ def w18(spark, d):
     return op.pack_batches(t, 20, 4000)
 
 
+@register("w18_one_hot_group", f"with recursive {_TK}, n as (select document_id as ord, len(t) as tokens, row_number() over (order by document_id) as r from tk), f as (select ord, r, cast(0 as bigint) as batch, cast(1 as bigint) as items, cast(tokens as bigint) as total from n where r = 1 union all select n.ord, n.r, batch + case when items + 1 > 20 or total + tokens > 4000 then 1 else 0 end, case when items + 1 > 20 or total + tokens > 4000 then 1 else items + 1 end, case when items + 1 > 20 or total + tokens > 4000 then tokens else total + tokens end from f join n on n.r = f.r + 1) select 'all' as grp, ord, batch from f")
+def w18_hot(spark, d):
+    """All documents as one group, packed in parts of 256 rows."""
+    t = texts(spark, d).select(F.lit("all").alias("grp"), F.col("document_id").alias("ord"), F.size(tx.tokens(F.col("content"))).cast("long").alias("tokens"))
+    return op.pack_batches(t, 20, 4000, part=256, fan=16)
+
+
 @register("w19_fixed_batches", "select doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 20 as bigint) as batch from documents")
 def w19(spark, d):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
