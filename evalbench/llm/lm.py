@@ -14,8 +14,10 @@ The trie is kept in shards by the word next to the predicted one. A shard has th
 sequence: words; for each word its successors, and its predecessors; for each (word, predecessor) the successors.
 A node's value is its parent's place and 32 bits of its word's hash, so a level is monotone; a pointer sequence holds
 where each parent's range begins. What is stored at a node is one byte, a smoothed probability quantised on a
-logarithmic scale (steps of 1 / SCALE of a power of ten): the discounted terms above - for pairs as a share of all
-N - and the weights of the order below. A level is never decoded as a whole: a query finds its parents' ranges by
+logarithmic scale: the discounted terms above and the weights of the order below. The scale has at most SCALE steps a
+power of ten and as few as its 255 codes need to reach the least term that N tokens can have, so nothing is clipped at
+any size: up to 9 * 10^7 tokens a code is within 4.2 % of its term, at 10^12 within 6.3 %. A pair of a heavy word (see
+below) is a share of a bound of that word's count that all tasks know, any other of the count itself. A level is never decoded as a whole: a query finds its parents' ranges by
 the pointers, and decodes and searches these ranges. A shard is one file, mapped into memory; it is in the folder
 that executors share where that is a plain folder, and goes when its task ends. Else it is viewed in the buffer.
 
@@ -36,6 +38,7 @@ the empty text for the fold; repeated rows each count and each score; without tr
 from __future__ import annotations
 
 import contextlib
+import math
 import os
 import struct
 import urllib.parse
@@ -57,10 +60,13 @@ CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 4 << 20
 DISCOUNT = 0.75
 HEAVY = 1000
+#: A heavy word's count is at most so many times its count in the chunks where it is heavy: these have half of N / HEAVY
+#: at least, and in the others it has less than N / HEAVY.
+REFERENCE = 3
 END, START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
 LOW = np.uint64(32)
 TAIL = np.uint64((1 << 32) - 1)
-SCALE = 28  # codes a power of ten; 255 codes reach 10 ** -9
+SCALE = 28  # codes a power of ten, at most
 SAMPLE = 4096  # ones of a high part between two entries of its directory
 BLOCK = 1 << 18  # nodes that are decoded together, about
 
@@ -120,13 +126,19 @@ class EliasFano:
         return EliasFano(n, bits, buffer[a:b], buffer[b:c], buffer[c : c + 8 * sample].view(np.uint64)), c + 8 * sample
 
 
-#: Probabilities by code; code 0 stands for what was never seen.
-_VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / SCALE)])
+def scale_of(n: int) -> int:
+    """Codes a power of ten with which 255 of them reach the least term of a model of ``n`` tokens."""
+    return min(SCALE, int(254 / math.log10(REFERENCE * max(n, 1) / (1 - DISCOUNT))))
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
+def values(scale: int) -> np.ndarray:
+    """Probabilities by code; code 0 stands for what was never seen."""
+    return np.concatenate([[0.0], 10.0 ** (-np.arange(255) / scale)])
+
+
+def quantise(p: np.ndarray, scale: int) -> np.ndarray:
     """Codes of probabilities above 0."""
-    return np.clip(np.rint(-SCALE * np.log10(p)) + 1, 1, 255).astype(np.uint8)
+    return np.clip(np.rint(-scale * np.log10(p)) + 1, 1, 255).astype(np.uint8)
 
 
 class Level:
@@ -185,18 +197,19 @@ class TrieShard:
         self.words, self.counts, self.weights, self.pairs, self.contexts, self.triples = words, counts, weights, pairs, contexts, triples
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, contexts: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, n: int) -> TrieShard:
-        """All keys sorted and distinct, all counts above 0 but those of words; ``n``: the training tokens."""
+    def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, contexts: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, scale: int, below: np.ndarray | None = None) -> TrieShard:
+        """All keys sorted and distinct, all counts above 0 but those of words; ``below``: what a word's pairs are shares of, its count unless given."""
+        below = counts if below is None else below
         kinds = np.bincount((pairs >> LOW).astype(np.int64), minlength=len(words))
         seen = np.flatnonzero((kinds > 0) & (counts > 0))
         weights = np.zeros(len(words), np.uint8)
-        weights[seen] = quantise(DISCOUNT * kinds[seen] / counts[seen])
+        weights[seen] = quantise(DISCOUNT * kinds[seen] / counts[seen], scale)
         parent = (triples >> LOW).astype(np.int64)
         total = np.bincount(parent, triple_n, minlength=len(contexts))
         different = np.bincount(parent, minlength=len(contexts))
         return TrieShard(
-            EliasFano.of(words), EliasFano.of(np.concatenate([[0], np.cumsum(counts)])), weights, Level.of(pairs, len(words), quantise((pair_n - DISCOUNT) / max(n, 1))),
-            Level.of(contexts, len(words), quantise(DISCOUNT * different / np.maximum(total, 1))), Level.of(triples, len(contexts), quantise((triple_n - DISCOUNT) / total[parent])),
+            EliasFano.of(words), EliasFano.of(np.concatenate([[0], np.cumsum(counts)])), weights, Level.of(pairs, len(words), quantise((pair_n - DISCOUNT) / below[(pairs >> LOW).astype(np.int64)], scale)),
+            Level.of(contexts, len(words), quantise(DISCOUNT * different / np.maximum(total, 1), scale)), Level.of(triples, len(contexts), quantise((triple_n - DISCOUNT) / total[parent], scale)),
         )
 
     def to_bytes(self) -> bytes:
@@ -477,8 +490,8 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return key[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def _merge(asked: list[Question], n: int, starts: int) -> TrieShard:
-    """The trie of what the chunks saw in training; ``starts``: the start mark's count."""
+def _merge(asked: list[Question], heavy: np.ndarray, bounds: np.ndarray, scale: int, starts: int) -> TrieShard:
+    """The trie of what the chunks saw in training; ``starts``: the start mark's count, ``bounds``: those of heavy words."""
     words = np.unique(np.concatenate([q.words for q in asked]))
     counts = np.zeros(len(words), np.int64)
     at = [np.searchsorted(words, q.words) for q in asked]
@@ -495,7 +508,10 @@ def _merge(asked: list[Question], n: int, starts: int) -> TrieShard:
     parts = [(np.searchsorted(contexts, x[q.triple_context[g]]).astype(np.uint64) << LOW | q.triple_tail[g], q.triple_n[g]) for x, q, g in zip(above, asked, good, strict=True)]
     triples, triple_n = _sum(*zip(*parts, strict=True))
     total = np.where(words == START, starts, counts)
-    trie = TrieShard.build(words, total, pairs, pair_n, contexts, triples, triple_n, n)
+    # the pairs of a heavy word lie in shards that do not know its count
+    held = np.minimum(np.searchsorted(heavy, words), len(heavy) - 1)
+    below = np.where(heavy[held] == words, bounds[held], total)
+    trie = TrieShard.build(words, total, pairs, pair_n, contexts, triples, triple_n, scale, below)
     trie.counts = EliasFano.of(np.concatenate([[0], np.cumsum(counts)]))
     return trie
 
@@ -509,7 +525,7 @@ def _find(level: Level, parents: list[np.ndarray], tails: list[np.ndarray]) -> n
     return out
 
 
-def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
+def _answer(heavy: np.ndarray, bounds: np.ndarray, scale: int, starts: int, folder: str | None):
     """A shard's trie, built and asked: by chunk the counts and codes in the order of the questions.
 
     The row of chunk -1 holds the number of words seen in training, and how many successors heavy words have here.
@@ -518,7 +534,7 @@ def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, chunks = int(pdf["shard"].iloc[0]), pdf["chunk"].tolist()
         asked = [Question(b, heavy) for b in pdf["blob"]]
-        with mapped(_merge(asked, n, starts), folder) as trie:
+        with mapped(_merge(asked, heavy, bounds, scale, starts), folder) as trie:
             held = trie.places(heavy)
             limits = trie.pairs.pointers.range(0, trie.pairs.pointers.n).astype(np.int64)
             kinds = np.where(held >= 0, limits[held + 1] - limits[held], 0)
@@ -549,7 +565,9 @@ def _answer(heavy: np.ndarray, n: int, starts: int, folder: str | None):
     return run
 
 
-def _score(shards: int, heavy: np.ndarray, weights: np.ndarray, n: int, v: int, starts: int):
+def _score(shards: int, heavy: np.ndarray, bounds: np.ndarray, weights: np.ndarray, scale: int, n: int, v: int, starts: int):
+    value = values(scale)
+
     def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         given = dict(zip(answers["shard"], answers["blob"], strict=True))
         parts = []
@@ -561,16 +579,17 @@ def _score(shards: int, heavy: np.ndarray, weights: np.ndarray, n: int, v: int,
             for s, own, pairs, contexts, triples in chunk.routes(shards, heavy):
                 if len(own) or len(pairs) or len(contexts):
                     counts[own], code, pair[pairs], lower3[contexts], triple[triples] = _unpack(given[s])
-                    lower2[own] = _VALUES[code]
+                    lower2[own] = value[code]
             c = counts[chunk.word_at]
             p = (c + 1) / (n + 1 * (v + 1))
             context = np.where(chunk.words == START, starts, counts)
             hot = np.minimum(np.searchsorted(heavy, chunk.words), len(heavy) - 1)
-            lower2 = np.where(heavy[hot] == chunk.words, weights[hot] / np.maximum(context, 1), lower2)[chunk.v_at]
-            seen = context[chunk.v_at]
-            two = np.where(seen > 0, _VALUES[pair][chunk.pair_at] * n / np.maximum(seen, 1) + lower2 * p, p)
+            hot, at = heavy[hot] == chunk.words, hot
+            lower2 = np.where(hot, weights[at] / np.maximum(context, 1), lower2)[chunk.v_at]
+            whole = np.where(hot, bounds[at] / np.maximum(context, 1), 1.0)[chunk.v_at]
+            two = np.where(context[chunk.v_at] > 0, value[pair][chunk.pair_at] * whole + lower2 * p, p)
             lower3 = lower3[chunk.context_at]
-            full = np.minimum(np.where(lower3 > 0, _VALUES[triple][chunk.triple_at] + _VALUES[lower3] * two, two), 1.0)
+            full = np.minimum(np.where(lower3 > 0, value[triple][chunk.triple_at] + value[lower3] * two, two), 1.0)
             first = chunk.first[:-1]
             parts.append(pd.DataFrame({
                 "doc_id": pd.array(np.where(chunk.known, chunk.ids, 0), dtype="Int64"),
@@ -582,7 +601,7 @@ def _score(shards: int, heavy: np.ndarray, weights: np.ndarray, n: int, v: int,
                 "score": np.add.reduceat(np.log10(full), first),
             }))
             parts[-1].loc[~chunk.known, "doc_id"] = pd.NA
-            del chunk, c, context, p, two, full, counts, pair, triple
+            del chunk, c, context, p, two, whole, full, counts, pair, triple
             release()
         return pd.concat(parts)
 
@@ -597,17 +616,19 @@ def score(docs: DataFrame) -> DataFrame:
     size, n, starts = (int(x or 0) for x in chunks.agg(F.sum("bytes"), F.sum("tokens"), F.sum("train_docs")).first())
     shards = max(1, -(-size // SHARD_BYTES))
     often = chunks.select(F.explode("heavy").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n")).where(F.col("n") * 2 * HEAVY >= n)
-    heavy = np.sort(np.append(np.array([r["word"] for r in often.collect()], np.int64).view(np.uint64), START))  # at most 2 * HEAVY
+    known = {r["word"] & (1 << 64) - 1: REFERENCE * r["n"] for r in often.collect()} | {int(START): max(starts, 1)}  # at most 2 * HEAVY
+    heavy = np.array(sorted(known), np.uint64)
+    bounds, scale = np.array([known[w] for w in sorted(known)], float), scale_of(n)
     folder = plain_folder(own_dir(spark))
     folder = folder and os.path.join(folder, "stash", f"lm-tries-{uuid.uuid4().hex}")
     asked = chunks.select("chunk", "blob").mapInArrow(_ask(shards, heavy), "shard int, chunk long, blob binary")
-    answers = stash(asked.groupBy("shard").applyInPandas(_answer(heavy, n, starts, folder), "chunk long, shard int, blob binary"), "lm-answers")
+    answers = stash(asked.groupBy("shard").applyInPandas(_answer(heavy, bounds, scale, starts, folder), "chunk long, shard int, blob binary"), "lm-answers")
     v, kinds = 0, np.zeros(len(heavy))
     for r in answers.where("chunk = -1").select("blob").toLocalIterator():
         words, here = _unpack(bytes(r.blob))
         v, kinds = v + int(words[0]), kinds + here
     ready = chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
-    return ready.applyInPandas(_score(shards, heavy, DISCOUNT * kinds, n, v, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.applyInPandas(_score(shards, heavy, bounds, DISCOUNT * kinds, scale, n, v, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
