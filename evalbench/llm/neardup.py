@@ -20,7 +20,7 @@ no pair is open (see ``links``), whatever the bucket's size. Classes are the con
 
 Defined results: null and empty texts, and those of white space only, are classes of their own; texts of 1 to
 4 words match only equal texts; a row with a null doc_id has a null class; repeated rows are in one class;
-letters A-Z compare without case and white space of any length is one separator; other columns are not read.
+a doc_id on several texts is in the class of each, and such classes may have the same name; letters A-Z compare without case and white space of any length is one separator; other columns are not read.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ def sampler(seed: int = 1) -> Sampler:
 
 
 def signatures(docs: DataFrame, weigh: Weights, seed: int = 1) -> DataFrame:
-    """doc_id, two hashes of the word sequence, whether there are words, and the band hashes."""
+    """doc_id and text_hash as given, two hashes of the word sequence, whether there are words, and the band hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(weigh)
 
     def run(batches):
@@ -231,6 +231,7 @@ def signatures(docs: DataFrame, weigh: Weights, seed: int = 1) -> DataFrame:
                 bands = sampler(seed).bands(sampler(seed).sample(s, off, shared.value))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a),
+                    "text_hash": batch.column(2).slice(a, b - a),
                     "h1": pa.array(T.signed(T.sequence_hash(h, first, 0xD1342543DE82EF95)), pa.int64()),
                     "h2": pa.array(T.signed(T.sequence_hash(h, first, 0xAF251AF3B0F025B5)), pa.int64()),
                     "words": pa.array(np.diff(first) > 0, pa.bool_()),
@@ -238,7 +239,7 @@ def signatures(docs: DataFrame, weigh: Weights, seed: int = 1) -> DataFrame:
                 })
             release()
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, words boolean, bands array<long>")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, words boolean, bands array<long>")
 
 
 # ---- candidates and links
@@ -367,30 +368,44 @@ def links(texts: DataFrame, members: DataFrame, weigh: Weights, least: float = S
             left = labelled(left.drop("component"))
 
 
-def classes(docs: DataFrame, seed: int = 1, least: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of the class) for every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classed(docs: DataFrame, seed: int, least: float) -> DataFrame:
+    """doc_id, text_hash, whether there are words, and ``first``: the row (doc_id, text_hash) that stands for the class.
+
+    A vertex is a word sequence, whatever ids it has; its number is its own, as one id may have several texts.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     weigh = weights(rows.select("text"))
     signed = stash(signatures(rows, weigh, seed), "neardup-signatures")
-    vertices = signed.where(F.col("doc_id").isNotNull() & F.col("words")).groupBy("h1", "h2").agg(F.min("doc_id").alias("vertex"), F.first("bands").alias("bands"))
-    vertices = stash(vertices, "neardup-vertices")
+    vertices = signed.where(F.col("doc_id").isNotNull() & F.col("words")).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
+    vertices = stash(vertices.withColumn("vertex", F.monotonically_increasing_id()), "neardup-vertices")
     exploded = vertices.select(F.explode("bands").alias("bucket"), F.col("vertex").alias("doc_id"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stash(exploded.join(shared, "bucket"), "neardup-members")
-    wanted = members.select("doc_id").distinct()
-    texts = stash(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "neardup-texts")
-    joined = links(texts, members, weigh, least).withColumnsRenamed({"id": "vertex", "component": "class_id"})
-    by_text = vertices.select("h1", "h2", "vertex").join(joined, "vertex", "left").select("h1", "h2", F.coalesce("class_id", "vertex").alias("class_id"))
-    own = signed.select("doc_id", "h1", "h2", "words").join(by_text, ["h1", "h2"], "left")
-    return own.select("doc_id", F.when(F.col("words") & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    wanted = vertices.join(members.select(F.col("doc_id").alias("vertex")).distinct(), "vertex").select("vertex", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = stash(rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["vertex"]).select(F.col("vertex").alias("doc_id"), "text"), "neardup-texts")
+    joined = links(texts, members, weigh, least).withColumnRenamed("id", "vertex")
+    least_first = vertices.join(joined, "vertex").groupBy("component").agg(F.min("first").alias("of_class"))
+    linked = joined.join(least_first, "component").select("vertex", "of_class")
+    by_text = vertices.select("h1", "h2", "vertex", "first").join(linked, "vertex", "left").select("h1", "h2", F.coalesce("of_class", "first").alias("first"))
+    return signed.select("doc_id", "text_hash", "h1", "h2", (F.col("words") & F.col("doc_id").isNotNull()).alias("words")).join(by_text, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def classes(docs: DataFrame, seed: int = 1, least: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of the class) for every row of ``docs`` (doc_id, text)."""
+    return _classed(docs, seed, least).select("doc_id", F.when(F.col("words"), F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest doc_id; rows with a null doc_id stay."""
-    others = classes(docs, seed).where("doc_id <> class_id").select(F.col("doc_id").alias("__other")).distinct()
-    kept = docs.join(others, docs["doc_id"].cast("long") == F.col("__other"), "left_anti")
+    """``docs`` with one row of each class: that with the smallest doc_id; rows with a null doc_id stay.
+
+    Rows are told apart by id and text: of an id on several texts, each text's class keeps its row.
+    """
+    first = F.struct("doc_id", "text_hash")
+    others = _classed(docs, seed, SIMILARITY).where(F.col("words") & (first != F.col("first"))).select(F.col("doc_id").alias("__other"), F.col("text_hash").alias("__other_text")).distinct()
+    told = docs.withColumn("__text", F.xxhash64("text"))
+    kept = told.join(others, (told["doc_id"].cast("long") == F.col("__other")) & (F.col("__text") == F.col("__other_text")), "left_anti")
     whole = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(whole)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text"]).unionByName(whole).drop("__text")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ of at most 65,536 + 21 rows. Everything else covers all rows.
 
 Defined results: a null text counts as empty; an empty text is scored like any other; a null doc_id counts as
 the empty text for the fold and is never labelled; labels that are null or neither 0 nor 1 are ignored, a
-document labelled twice has its smaller label; repeated rows give repeated results; with no usable label
-every score is 0.5; of equally near neighbours those of smaller ids vote; other columns are not read.
+document labelled twice has its smaller label, one with several texts is learned by that of the least hash; equally near
+neighbours count in the order of their texts' hashes; repeated rows give repeated results; with no usable label
+every score is 0.5; other columns are not read.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class Voter:
         near = np.maximum(vectors @ self.vectors.T, 0)
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        # where the last place is shared, the smaller ids have it
+        # where the last place is shared, those that stand first have it: they stand by a hash of their texts
         shared = np.flatnonzero((near >= np.take_along_axis(near, top, 1).min(1, keepdims=True)).sum(1) > k)
         top[shared] = np.argsort(-near[shared], axis=1, kind="stable")[:, :k]
         weight = np.take_along_axis(near, top, 1).astype(np.float64) ** SHARPNESS
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
     spark = docs.sparkSession
     chosen = {r.doc_id: r.label for r in training_labels(labels, per_class).collect()}  # at most 2 * per_class
     rows = spark.createDataFrame(sorted(chosen.items()), "id long, label int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def sparse(batches):
         everything = np.arange(1 << 16)
@@ -142,11 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
                     seen.append(at.astype("<u2").tobytes())
                     counts.append(row[at].astype("<f4").tobytes())
                 stats += s.tolist()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(seen, pa.binary()), pa.array(counts, pa.binary()), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "at", "counts", "stats"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(seen, pa.binary()), pa.array(counts, pa.binary()), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "text_hash", "at", "counts", "stats"])
 
-    labelled = texts.join(F.broadcast(rows), texts.doc_id == rows.id, "left_semi").dropDuplicates(["doc_id"])
-    found = labelled.mapInArrow(sparse, "doc_id long, at binary, counts binary, stats array<double>").collect() if chosen else []
-    found.sort(key=lambda r: r.doc_id)
+    labelled = texts.join(F.broadcast(rows), texts.doc_id == rows.id, "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct("text_hash", "text")).alias("text"), F.min("text_hash").alias("text_hash"))
+    found = labelled.mapInArrow(sparse, "doc_id long, text_hash long, at binary, counts binary, stats array<double>").collect() if chosen else []
+    found.sort(key=lambda r: (r.text_hash, chosen[r.doc_id]))
     at = [np.frombuffer(r["at"], "<u2") for r in found]
     frequency = np.bincount(np.concatenate([*at, np.zeros(0, np.uint16)]), minlength=1 << 16)
     columns = np.flatnonzero(frequency >= min(LEAST_DOCS, max(len(found), 1)))

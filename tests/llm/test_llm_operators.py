@@ -243,6 +243,30 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 20]
 
 
+def test_ids_on_several_texts(spark):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    near = " ".join(["zz", *b.split()[1:]])
+    rows = [(5, a), (5, b), (6, c), (7, near), (7, a.upper()), (5, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("x"))
+    assert sorted(((r.doc_id, r.text) for r in neardup.keep_one(df).collect()), key=repr) == sorted([(5, a), (5, b), (6, c), (None, a)], key=repr)
+    assert collections.Counter((r.doc_id, r.class_id) for r in neardup.classes(df).collect()) == {(5, 5): 3, (6, 6): 1, (7, 5): 2, (None, None): 1}
+
+
+def test_scores_do_not_depend_on_ids(spark):
+    texts = [prose(30 + i % 5, i % 12) for i in range(60)]  # many equal texts with both labels
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    out = []
+    for names in (ids, ids[::-1]):
+        df = spark.createDataFrame(list(zip(names, texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(n, i // 7 % 2) for i, n in enumerate(names)], "doc_id long, quality int")
+        out.append({r.text: r.score for r in quality.score(df, quality.fit(df, labels)).collect()})
+    assert out[0] == out[1]
+    twice = spark.createDataFrame([(ids[0], texts[0]), (ids[0], texts[1]), (ids[1], texts[2])], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, quality int")
+    votes = [sorted((r.text, r.score) for r in quality.score(twice, quality.fit(twice.repartition(n), labels)).collect()) for n in (1, 3)]
+    assert votes[0] == votes[1]
+
+
 def test_large_group_stays_linked(spark):
     base, r = prose(150, 3).split(), random.Random(1)
     rows = [(0, " ".join(base))]
