@@ -60,21 +60,32 @@ def page_mapping(elements: DataFrame, pages: DataFrame) -> DataFrame:
     return every.join(g, ["document_id", "page"], "left").select("document_id", "page", F.coalesce("element_count", F.lit(0)).alias("element_count"), F.coalesce("element_indexes", F.array().cast("array<long>")).alias("element_indexes"))
 
 
+LEVELS = 6  # of headings
+
+
 def section_paths(blocks: DataFrame) -> DataFrame:
     """Running stack of headings: a heading of level n cuts the stack to n - 1 entries and is put on top.
 
-    An ordered fold over a document's headings (not all its blocks); blocks take the path of the last heading.
+    Its place in the stack is n, or one more than the place of the heading before if that is less: so for the i-th heading
+    the least of n_j + (i - j) over those up to it, and i. An entry stays until a heading comes to its place or a lower
+    one. So the path is, place by place, the last heading there if none came to a lower place since: all running
+    aggregates over the document's blocks, without lists that grow.
     """
-    heads = blocks.where("kind = 'heading'").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ord", tx.heading_level(F.col("content")).alias("level"), "content"))).alias("h"))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<ord:bigint,path:array<string>>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        path = F.concat(F.slice(acc["path"], 1, F.least(x["level"] - 1, F.size(acc["path"]))), F.array(F.trim(F.regexp_replace(x["content"], "^#+", ""))))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), path.alias("path")))).alias("out"))
-
-    paths = heads.select("document_id", F.explode(F.aggregate("h", start, step, lambda a: a["out"])).alias("p")).select("document_id", F.col("p.ord").alias("ord"), F.col("p.path").alias("__p"))
-    w = Window.partitionBy("document_id").orderBy("ord")
-    return blocks.join(paths, ["document_id", "ord"], "left").withColumn("section", F.coalesce(F.last("__p", ignorenulls=True).over(w), F.array().cast("array<string>"))).drop("__p")
+    by = Window.partitionBy("document_id").orderBy("ord")
+    head = F.col("kind") == "heading"
+    rows = blocks.withColumn("__i", F.sum(head.cast("long")).over(by))
+    ahead = F.min(F.when(head, tx.heading_level(F.col("content")) - F.col("__i"))).over(by)
+    rows = rows.withColumn("__depth", F.when(head, F.least(F.lit(LEVELS), F.col("__i"), F.col("__i") + ahead)))
+    title = F.trim(F.regexp_replace("content", "^#+", ""))
+    last = [F.max(F.when(F.col("__depth") == k, F.struct("ord", title.alias("title")))).over(by).alias(f"__h{k}") for k in range(1, LEVELS + 1)]
+    rows = rows.select("*", *last)
+    entries, lower = [], None
+    for k in range(1, LEVELS + 1):
+        own = F.col(f"__h{k}")
+        there = own.isNotNull() if lower is None else own.isNotNull() & F.coalesce(own["ord"] > lower, F.lit(True))
+        entries.append(F.when(there, own["title"]))
+        lower = own["ord"] if lower is None else F.greatest(lower, own["ord"])
+    return rows.withColumn("section", F.array_compact(F.array(*entries))).select(*blocks.columns, "section")
 
 
 def section_runs(blocks: DataFrame) -> DataFrame:
@@ -131,10 +142,21 @@ def snapshot_counts(texts: DataFrame, sections: DataFrame, strategies: list[tupl
     return out.groupBy("parse_mode", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.avg("tokens").alias("mean"))
 
 
-def overlapping_blocks(windows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Windows and the blocks (with base and n_tokens) that they touch: equal document, overlapping spans."""
+BIN_TOKENS = 1024
+
+
+def overlapping_blocks(windows: DataFrame, offsets: DataFrame, width: int = BIN_TOKENS) -> DataFrame:
+    """Windows and the blocks (with base and n_tokens) that they touch: equal document, overlapping spans.
+
+    Both are dealt to bins of ``width`` tokens of their document, and a pair counts in the bin where the later of the two
+    begins. So a long document is as many groups as bins, each with the windows and blocks of its tokens.
+    """
+    cells = lambda first, last: F.explode(F.sequence(F.floor(first / width), F.greatest(F.floor(first / width), F.floor((last - 1) / width)))).alias("__bin")
     b = offsets.select("document_id", "ord", "page", "base", (F.col("base") + F.col("n_tokens")).alias("stop"))
-    return windows.join(b, "document_id").where("stop > token_start and base < token_end")
+    b = b.select("*", cells(F.col("base"), F.col("stop")))
+    w = windows.select("*", cells(F.col("token_start"), F.col("token_end")))
+    met = w.join(b, ["document_id", "__bin"]).where("stop > token_start and base < token_end")
+    return met.where(F.floor(F.greatest("token_start", "base") / width) == F.col("__bin")).drop("__bin")
 
 
 def contiguity_violations(windows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
+from evalbench.operators import admission, order
 
 
 def evidence_rules(candidates: DataFrame, windows: DataFrame) -> DataFrame:
@@ -150,20 +151,44 @@ def shared_token_links(items: DataFrame) -> DataFrame:
     return items.join(first, "token").where("a <> item_id").select("a", F.col("item_id").alias("b")).distinct()
 
 
-def allocate_splits(components: DataFrame, splits: list[str], seed: int) -> DataFrame:
-    """Largest component first to the split that has least so far; ties by a hash of the seed.
+def split_runs(sizes: list[tuple[int, int]], splits: list[str], seed: int) -> list[tuple[int, int, list[str]]]:
+    """(size, first place, splits in turn) for components of ``sizes`` (size, how many), largest first, each to the split that has least.
 
-    Sequential by nature; runs on the driver over (component, size), which callers bound (a benchmark).
+    Splits that are within a component's size of the least one take turns; how often they do so before the next
+    split is reached is a division. Ties between splits go by a hash of the seed, the split and the size.
     """
     import hashlib
 
-    rows = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.md5(F.concat_ws(":", F.lit(seed), "component"))).collect()
-    size, out = dict.fromkeys(splits, 0), []
-    for r in rows:
-        name = min(size, key=lambda s: (size[s], hashlib.md5(f"{seed}:{s}:{r.component}".encode()).hexdigest()))
-        size[name] += r.n
-        out.append((r.component, name))
-    return components.join(components.sparkSession.createDataFrame(out, "component long, split string"), "component")
+    level, out = dict.fromkeys(splits, 0), []
+    for size, n in sorted(sizes, reverse=True):
+        place = 0
+        while place < n:
+            order = sorted(splits, key=lambda s: (level[s], hashlib.md5(f"{seed}:{s}:{size}".encode()).hexdigest()))
+            turn = [s for s in order if level[s] < level[order[0]] + size]
+            rest = min((level[s] for s in order if s not in turn), default=None)
+            rounds = n if rest is None else (rest - 1 - max(level[s] for s in turn)) // size + 1
+            took = min(n - place, rounds * len(turn))
+            out.append((size, place, turn))
+            for i, s in enumerate(turn):
+                level[s] += size * (took // len(turn) + (i < took % len(turn)))
+            place += took
+    return out
+
+
+def allocate_splits(components: DataFrame, splits: list[str], seed: int) -> DataFrame:
+    """``components`` (item_id, component) with ``split``: largest component first to the split that has least so far.
+
+    The driver sees how many components there are of each size, which are few different ones, and gives back runs of
+    places among those of a size (see ``split_runs``); components of a size stand in the order of a hash.
+    """
+    sized = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    placed = order.placed(sized, ["n"], [F.md5(F.concat_ws(":", F.lit(seed), "component")), F.col("component")])
+    sizes = [tuple(r) for r in placed.groupBy("n").agg(F.count(F.lit(1))).collect()]  # a row a size
+    runs = components.sparkSession.createDataFrame(split_runs(sizes, splits, seed), "n long, first long, turn array<string>")
+    runs = runs.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("first", "turn"))).alias("runs"))  # at most a run a split
+    found = placed.join(runs, "n").withColumn("run", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("place")), -1))
+    split = F.element_at(F.col("run.turn"), ((F.col("place") - F.col("run.first")) % F.size("run.turn") + 1).cast("int"))
+    return components.join(found.select("component", split.alias("split")), "component")
 
 
 def stratified(items: DataFrame, strata: list[str], n: int, key: Column) -> DataFrame:
@@ -181,19 +206,14 @@ def admit(rows: DataFrame, quota: str = "kind", quotas: dict[str, int] | None =
     return rows.withColumn("__p", place).withColumn("accepted", F.col("__p") <= most).drop("__p")
 
 
-def admit_with_caps(rows: DataFrame, quotas: dict[str, int], per_document: int) -> DataFrame:
+def admit_with_caps(rows: DataFrame, quotas: dict[str, int], per_document: int, block: int = admission.BLOCK) -> DataFrame:
     """The same where each document may also give at most ``per_document``; a row that its document's cap rejects uses no quota.
 
-    The caps depend on each other, so this is sequential; on the driver over the candidates of one benchmark.
+    See ``admission``: the driver holds a block of rows and what was accepted, at most the quotas' sum.
     """
-    left, used, out = dict(quotas), {}, []
-    for r in rows.orderBy("ord").select("candidate_id", "kind", "document_id").toLocalIterator():
-        ok = used.get(r.document_id, 0) < per_document and left.get(r.kind, 0) > 0
-        if ok:
-            used[r.document_id] = used.get(r.document_id, 0) + 1
-            left[r.kind] -= 1
-        out.append((r.candidate_id, ok))
-    return rows.join(rows.sparkSession.createDataFrame(out, "candidate_id long, accepted boolean"), "candidate_id")
+    keyed = rows.withColumn("places", F.array(F.struct(F.col("document_id").cast("string").alias("document_id"), F.lit(0).alias("page"))))
+    filled = admission.admission(keyed.select("ord", "kind", "places"), quotas, per_document, None, block)
+    return admission.rejected(keyed, filled, quotas, rows.sparkSession).withColumn("accepted", F.col("rule").isNull()).drop("rule", "places")
 
 
 def one_substitution(original: Column, changed: Column) -> Column:

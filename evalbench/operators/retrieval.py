@@ -250,11 +250,36 @@ def aggregate_retrieval_by_type(scores: DataFrame) -> DataFrame:
     return scores.groupingSets([["question_type"], []], "question_type").agg(*_retrieval_aggregates())
 
 
+ANCHOR = 5  # tokens
+
+
 def bind_evidence(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Spans (span_id, document_id, page, quote) to the chunk of their document and page that contains them with the least excess."""
+    """Spans (span_id, document_id, page, quote) to the chunk of their document and page that contains them with the least excess.
+
+    A quote's tokens but its first and last are whole tokens of a chunk that contains it. So the two meet under
+    ``ANCHOR`` such tokens in a row, of a quote's the run that the fewest chunks of its document have; where it has
+    fewer, under all of them. Quotes of less than three tokens have none and meet the chunks of their page.
+    """
     key = lambda c: F.trim(F.regexp_replace(tx.fold(c), r"\s+", " "))
-    s, c = spans.withColumn("__q", key(F.col("quote"))), chunks.withColumn("__c", key(F.col("content")))
-    met = s.join(c.select("document_id", "chunk_id", "page_start", "page_end", "__c"), "document_id").where(F.col("page").between(F.col("page_start"), F.col("page_end")) & F.contains("__c", "__q"))
-    met = met.withColumn("excess", F.length("__c") - F.length("__q"))
+    s = rewritten(spans.withColumn("__q", key(F.col("quote"))).withColumn("__t", tx.tokens(F.col("quote"))), "spans")
+    c = rewritten(chunks.select("document_id", "chunk_id", "page_start", "page_end", "content").withColumn("__c", key(F.col("content"))).withColumn("__t", tx.tokens(F.col("content"))).drop("content"), "span-chunks")
+    inner = F.size("__t") - 2
+    grams = lambda first, last, n: F.array_distinct(F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.slice("__t", i, n))))
+    long_ = s.where(inner >= ANCHOR).select("*", F.explode(grams(F.lit(2), F.size("__t") - ANCHOR, F.lit(ANCHOR))).alias("__g"))
+    every = c.where(F.size("__t") >= ANCHOR).select("document_id", "chunk_id", F.explode(grams(F.lit(1), F.size("__t") - ANCHOR + 1, F.lit(ANCHOR))).alias("__g"))
+    asked = long_.select("document_id", "__g").distinct()
+    held = rewritten(every.join(small(asked), ["document_id", "__g"], "left_semi"), "span-grams")
+    seen = held.groupBy("document_id", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    # a gram that no chunk has tells that the quote is missing
+    rare = long_.select("span_id", "document_id", "__g").join(seen, ["document_id", "__g"], "left").groupBy("span_id", "document_id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("r"))
+    pairs = rare.select("span_id", "document_id", F.col("r.__g").alias("__g")).join(held, ["document_id", "__g"]).select("span_id", "chunk_id")
+    for n in range(1, ANCHOR):
+        own = s.where(inner == n).select("span_id", "document_id", F.xxhash64(F.slice("__t", 2, n)).alias("__g"))
+        cut = c.where(F.size("__t") >= n).select("document_id", "chunk_id", F.explode(grams(F.lit(1), F.size("__t") - n + 1, F.lit(n))).alias("__g"))
+        pairs = pairs.unionByName(cut.join(small(own), ["document_id", "__g"]).select("span_id", "chunk_id"))
+    pages = c.select("document_id", "chunk_id", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    bare = pages.join(small(s.where(inner < 1).select("span_id", "document_id", "page")), ["document_id", "page"]).select("span_id", "chunk_id")
+    met = pairs.unionByName(bare).join(s.select("span_id", "document_id", "page", "__q"), "span_id").join(c.drop("__t"), ["document_id", "chunk_id"])
+    met = met.where(F.col("page").between(F.col("page_start"), F.col("page_end")) & F.contains("__c", "__q")).withColumn("excess", F.length("__c") - F.length("__q"))
     first = rank(met, "span_id", [F.col("excess"), F.col("chunk_id")], 1, "__r").select("span_id", "chunk_id")
     return spans.join(first, "span_id", "left").withColumn("status", F.when(F.col("chunk_id").isNull(), "missing").otherwise("bound"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
+from evalbench.operators import order
 
 #: Units, their dimension and their factor.
 UNITS = {"원": ("krw", 1), "천원": ("krw", 1000), "만원": ("krw", 10000), "kg": ("mass-g", 1000), "킬로그램": ("mass-g", 1000), "g": ("mass-g", 1), "그램": ("mass-g", 1), "%": ("scalar", 0.01), "퍼센트": ("scalar", 0.01)}
@@ -81,13 +84,18 @@ def kappa(pairs: DataFrame) -> DataFrame:
     return out.select("n", "observed", "expected", F.when(F.col("expected") == 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
+def mid_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the mean rank (from 1) of those of their group that have the same ``value``; see ``order.placed``."""
+    placed = order.placed(rows, by, [F.asc_nulls_first(value)], "__place")
+    keys = [*by, value]
+    mid = placed.groupBy(*keys).agg(((F.min("__place") + F.max("__place")) / 2 + 1).alias(name)).withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    return placed.join(mid, order.same(keys, "__of_")).select(*rows.columns, name)
+
+
 def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of mid-ranks within each group."""
-    def mid(c: str) -> Column:
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-
-    return rows.withColumn("__a", mid(a)).withColumn("__b", mid(b)).groupBy(*by).agg(F.corr("__a", "__b").alias("rho"))
+    ranked = mid_ranks(mid_ranks(rows.select(*by, a, b), by, a, "__a"), by, b, "__b")
+    return ranked.groupBy(*by).agg(F.corr("__a", "__b").alias("rho"))
 
 
 def threshold_agreement(rows: DataFrame, a: str, b: str, at: float) -> DataFrame:
@@ -126,6 +134,43 @@ def bootstrap_clusters(pairs: DataFrame, seed: int, rounds: int) -> DataFrame:
     return _interval(means, sums.agg((F.sum("s") / F.sum("n")).alias("effect")))
 
 
+BLOCK_ROWS = 65_536
+
+
+def bootstrap_tree(sums: DataFrame, seed: int, rounds: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """The interval of sum(s) / sum(n) over drawn rows of ``sums`` (place from 0 without gaps, s, n): observations have n = 1, clusters their sums.
+
+    A round draws as many rows as there are, with replacement. How many of them fall into a block of places comes from a
+    tree of binomial splits, each of which has random numbers of its own, so a block finds its count by walking down
+    to itself; within it the draws are uniform. So a round is multinomial, reruns agree, and what is shuffled is a row
+    a block and round, whatever the rows: no draw is a row.
+    """
+    total = sums.count()
+
+    def drawn(lo: int, hi: int) -> np.ndarray:
+        """Draws of each round that fall into the places lo to hi - 1."""
+        a, b, n = 0, total, np.full(rounds, total)
+        while (a, b) != (lo, hi):
+            middle = a + -(-((b - a) // block + ((b - a) % block > 0)) // 2) * block
+            left = np.random.Generator(np.random.PCG64([seed, a, b])).binomial(n, (middle - a) / (b - a))
+            a, b, n = (a, middle, left) if hi <= middle else (middle, b, n - left)
+        return n
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = int(key[0]) * block
+        pdf = pdf.sort_values("place")
+        both, size = pdf[["s", "n"]].to_numpy(float), len(pdf)
+        r = np.random.Generator(np.random.PCG64([seed, lo, total, 1]))
+        out = np.empty((rounds, 2))
+        for i, k in enumerate(drawn(lo, min(total, lo + block))):
+            out[i] = np.bincount(r.integers(0, size, k), minlength=size) @ both
+        return pd.DataFrame({"round": range(rounds), "s": out[:, 0], "n": out[:, 1]})
+
+    parts = sums.select("place", "s", "n").groupBy(F.floor(F.col("place") / block).cast("long")).applyInPandas(run, "round int, s double, n double")
+    means = parts.groupBy("round").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return _interval(means, sums.agg((F.sum("s") / F.sum("n")).alias("effect")))
+
+
 def _interval(means: DataFrame, effect: DataFrame) -> DataFrame:
     p = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count(F.lit(1)).alias("rounds"))
     return p.join(F.broadcast(effect)).select("effect", F.element_at("p", 1).alias("low"), F.element_at("p", 2).alias("high"), "rounds")

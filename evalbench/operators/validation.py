@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
-from evalbench.operators import curate
+from evalbench.operators import admission, curate
 
 #: Question kinds whose answer has to stand in the evidence word for word.
 LITERAL_KINDS = ("fact", "numeric")
@@ -89,27 +89,10 @@ def broken(candidates: DataFrame, spans: DataFrame, units: DataFrame, changes: D
     return out.distinct()
 
 
-def admitted(clean: DataFrame, quotas: dict[str, int], per_document: int, per_page: int) -> DataFrame:
-    """(ord, rule): what quotas and caps reject of ``clean`` (ord, kind, places array<struct<document_id, page>>), in order.
-
-    The three depend on what was accepted before, so this is sequential: rows stream through the driver, which keeps
-    counts of accepted ones only, at most the quotas' sum.
-    """
-    kinds, documents, pages, out = dict.fromkeys(quotas, 0), {}, {}, []
-    for r in clean.orderBy("ord").toLocalIterator():
-        places = {(p["document_id"], p["page"]) for p in r["places"]}
-        held = {d for d, _ in places}
-        if kinds.get(r["kind"], 0) >= quotas.get(r["kind"], 0):
-            out.append((r["ord"], "type_quota_exceeded"))
-        elif any(documents.get(d, 0) >= per_document for d in held):
-            out.append((r["ord"], "per_document_cap_exceeded"))
-        elif any(pages.get(p, 0) >= per_page for p in places):
-            out.append((r["ord"], "per_page_cap_exceeded"))
-        else:
-            kinds[r["kind"]] += 1
-            documents |= {d: documents.get(d, 0) + 1 for d in held}
-            pages |= {p: pages.get(p, 0) + 1 for p in places}
-    return clean.sparkSession.createDataFrame(out, "ord long, rule string")
+def admitted(clean: DataFrame, quotas: dict[str, int], per_document: int, per_page: int, block: int = admission.BLOCK) -> DataFrame:
+    """(ord, rule): what quotas and caps reject of ``clean`` (ord, kind, places array<struct<document_id, page>>), in order; see ``admission``."""
+    filled = admission.admission(clean, quotas, per_document, per_page, block)
+    return admission.rejected(clean, filled, quotas, clean.sparkSession).where("rule is not null").select("ord", "rule")
 
 
 def validate(candidates: DataFrame, spans: DataFrame, units: DataFrame, changes: DataFrame, checkpoint, quotas: dict[str, int], per_document: int, per_page: int, terms: list[str] = (), similar: float = 0.92) -> DataFrame:
@@ -117,6 +100,7 @@ def validate(candidates: DataFrame, spans: DataFrame, units: DataFrame, changes:
     rules = checkpoint(broken(candidates, spans, units, changes, checkpoint, terms, similar))
     places = spans.select("ord", "document_id", "page").unionByName(changes.select("ord", "document_id", "page")).groupBy("ord").agg(F.collect_set(F.struct("document_id", "page")).alias("places"))
     clean = candidates.select("ord", "kind").join(rules, "ord", "left_anti").join(places, "ord", "left").withColumn("places", F.coalesce("places", F.array().cast("array<struct<document_id:string,page:int>>")))
+    clean = checkpoint(clean)  # read once a round of admission
     every = rules.unionByName(admitted(clean, quotas, per_document, per_page)).groupBy("ord").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
     out = candidates.select("ord", "candidate_id").join(every, "ord", "left")
     return out.select("ord", "candidate_id", F.col("rules").isNull().alias("accepted"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))

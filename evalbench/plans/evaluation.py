@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
+from evalbench.operators import order
 from evalbench.operators import stats as op
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
@@ -182,6 +183,21 @@ def e7(spark, d):
     return rounded(op.bootstrap_clusters(paired(spark, d), 7, 1000), effect=6, low=6, high=6)
 
 
+@register("e6_bootstrap_tree")
+def e6_tree(spark, d):
+    """Of the observations; the rows are drawn by a tree of binomial splits, so there is no SQL."""
+    sums = paired(spark, d).select("place", (F.col("left") - F.col("right")).alias("s"), F.lit(1).alias("n"))
+    return rounded(op.bootstrap_tree(sums, 7, 200), effect=6, low=6, high=6)
+
+
+@register("e7_bootstrap_tree")
+def e7_tree(spark, d):
+    """Of whole users."""
+    p = paired(spark, d)
+    sums = rel.read(spark, d, "events").select(F.col("event_id").alias("place"), "user_id").join(p, "place").groupBy("user_id").agg(F.sum(F.col("left") - F.col("right")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return rounded(op.bootstrap_tree(order.placed(sums, [], [F.col("user_id")]), 7, 1000), effect=6, low=6, high=6)
+
+
 @register("e12_failure_labels", "select primary_label, count(*) as n, count(*) filter (primary_label = secondary_label) as same from (select ['retrieval','context','answer','citation','numeric','refusal','parse','judge','cost','other'][event_id % 10 + 1] as primary_label, case when event_id % 3 = 0 then ['retrieval','context','answer','citation','numeric','refusal','parse','judge','cost','other'][event_id % 7 + 1] end as secondary_label from events) group by primary_label")
 def e12(spark, d):
     return failures(spark, d).groupBy("primary_label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("primary_label") == F.col("secondary_label"), 1)).alias("same"))

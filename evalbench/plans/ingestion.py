@@ -114,7 +114,14 @@ def c16(spark, d):
     return out.withColumn("id", F.col("id").cast("long")).withColumn("page", F.col("page").cast("long"))
 
 
-@register("w15_heading_stack")
+_HS = ", ".join(f"max(case when depth = {k} then {{'ord': ord, 'title': trim(regexp_replace(content, '^#+', ''))}} end) over x as h{k}" for k in range(1, 7))
+_HE = ", ".join(f"case when h{k}.ord > greatest(0, {', '.join(f'coalesce(h{j}.ord, 0)' for j in range(1, k)) or '0'}) then h{k}.title end" for k in range(1, 7))
+
+
+@register("w15_heading_stack", f"""with {_EL}, {_BL}, b as (select document_id, ord, kind, case when kind = 'heading' then repeat('#', cast(ord % 3 + 1 as integer)) || ' ' || content else content end as content from bl),
+    n as (select *, count(*) filter (kind = 'heading') over (partition by document_id order by ord) as i from b), l as (select *, min(case when kind = 'heading' then greatest(1, least(6, length(regexp_extract(content, '^(#*)', 1)))) - i end) over (partition by document_id order by ord) as ahead from n),
+    e as (select *, case when kind = 'heading' then least(6, i, i + ahead) end as depth from l), h as (select document_id, ord, {_HS} from e window x as (partition by document_id order by ord))
+select document_id, ord, array_to_string(list_filter([{_HE}], lambda t: t is not null), '>') as section from h""")
 def w15(spark, d):
     b = blocks(spark, d).withColumn("content", F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), (F.col("ord") % 3 + 1).cast("int")), F.lit(" "), F.col("content"))).otherwise(F.col("content")))
     return op.section_paths(b).select("document_id", "ord", F.array_join("section", ">").alias("section"))
