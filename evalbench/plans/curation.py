@@ -133,7 +133,13 @@ def b8(spark, d):
     return labels.select(F.col("id").alias("item_id"), "component")
 
 
-@register("b9_split_allocation")
+_B9 = "(list_sort([" + ", ".join(f"{{'l': {s}, 'h': md5('1:{s}:' || cast(n as varchar)), 's': '{s}'}}" for s in ("dev", "gold", "holdout")) + "]))[1].s"
+
+
+@register("b9_split_allocation", f"""with recursive comp as (select doc_id % 300 - (doc_id % 300) % 3 as component, count(*) as n from documents group by 1), o as (select n, row_number() over (order by n desc, md5('1:' || cast(component as varchar))) as r from comp),
+    f(r, dev, gold, holdout) as (select 0::bigint, 0::bigint, 0::bigint, 0::bigint union all select r, dev + case s when 'dev' then n else 0 end, gold + case s when 'gold' then n else 0 end, holdout + case s when 'holdout' then n else 0 end
+        from (select o.r, o.n, dev, gold, holdout, {_B9} as s from f join o on o.r = f.r + 1))
+select unnest(['dev', 'gold', 'holdout']) as split, unnest([dev, gold, holdout]) as n from f where r = (select count(*) from comp)""")
 def b9(spark, d):
     labels = op.min_label_components(op.shared_token_links(items(spark, d)), checkpoint)
     return op.allocate_splits(labels, ["dev", "gold", "holdout"], 1).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -155,7 +161,11 @@ def w21(spark, d):
     return op.admit(rows, "kind", {"en": 100, "de": 20}).select("doc_id", "accepted")
 
 
-@register("w20_caps_admission")
+@register("w20_caps_admission", """with recursive n as (select doc_id, lang, coalesce(source, '') as source, row_number() over (order by doc_id) as r from documents),
+    f(r, doc_id, accepted, used, kept) as (select 0::bigint, null::bigint, false, MAP {'': 0}, MAP {'en': 100, 'de': 50, 'fr': 20} union all
+        select r, doc_id, ok, case when ok then map_concat(used, MAP {source: coalesce(used[source], 0) + 1}) else used end, case when ok then map_concat(kept, MAP {lang: kept[lang] - 1}) else kept end
+        from (select n.r, n.doc_id, n.source, n.lang, used, kept, coalesce(used[n.source], 0) < 6 and coalesce(kept[n.lang], 0) > 0 as ok from f join n on n.r = f.r + 1))
+select doc_id as candidate_id, accepted from f where r > 0""")
 def w20(spark, d):
     rows = rel.read(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("kind"), F.col("source").alias("document_id"), F.col("doc_id").alias("ord"))
     return op.admit_with_caps(rows, {"en": 100, "de": 50, "fr": 20}, 6).select("candidate_id", "accepted")

@@ -130,12 +130,12 @@ def a19(spark, d):
     return rounded(op.spearman(e, ["event_type"], "value", "u"), rho=6)
 
 
-_JUDGE = "judge as (select event_id, event_type as question_type, (event_id % 100) / 99.0::double as judge, (event_id % 100) / 99.0::double * case when event_id % 2 = 1 then 0.9 else 1.0 end as human from events)"
+_JUDGE = "judge as (select event_id, event_type as question_type, (event_id * 13 % 64) / 63.0::double as judge, greatest((event_id * 13 % 64) / 63.0::double - case when event_id % 3 = 0 then 0.2 else 0.0 end, 0.0::double) as human from events)"
 
 
 def judged(spark, d):
-    j = F.col("event_id") % 100 / 99.0
-    return rel.read(spark, d, "events").select("event_id", F.col("event_type").alias("question_type"), j.alias("judge"), (j * F.when(F.col("event_id") % 2 == 1, 0.9).otherwise(1.0)).alias("human"))
+    j = F.col("event_id") * 13 % 64 / 63.0
+    return rel.read(spark, d, "events").select("event_id", F.col("event_type").alias("question_type"), j.alias("judge"), F.greatest(j - F.when(F.col("event_id") % 3 == 0, 0.2).otherwise(0.0), F.lit(0.0)).alias("human"))
 
 
 _THR = "round(avg(cast((judge >= 0.5) = (human >= 0.5) as double)), 6) as agreement, count(*) filter (judge >= 0.5 and human >= 0.5) as tp, count(*) filter (judge >= 0.5 and human < 0.5) as fp, count(*) filter (judge < 0.5 and human >= 0.5) as fn"

@@ -142,7 +142,7 @@ _JUDGED = [
     ("e1 shows it", "it shows", "evidence_not_in_rationale"),
     ("see e1.", "see e1 and x-77.", "invented_in_rationale"),
     ('"correctness_evidence_ids":["e1"]', '"correctness_evidence_ids":["e1","e1"]', "blank_or_repeated_evidence"),
-    ("see e1.", "see e1이.", None),
+    ("see e1.", "(e1)", None),
 ]
 
 
