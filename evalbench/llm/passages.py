@@ -9,15 +9,17 @@ signatures of a common stretch, about 4 n / STRETCH of them. A text is filed und
 
 Passages have PASSAGE words or more and a Jaccard similarity of 0.8 or more. In n shingles that allows at most
 n / 45 changed words, which leave some STRETCH shingles in a row unchanged: these are in both texts, so both are
-filed under their signatures. So both functions must agree, and one pair of them is enough.
+filed under their signatures. So both functions must agree, and of two texts alone one pair of them is enough.
 
 What only one text is filed under goes. Under a key, members are compared with the one of smallest text id:
 equal words around c are extended both ways, and else the longest stretch around c is sought whose shingles are
 in the leader's text near the same place, with the similarity of 0.8; both read the whole texts. A member that
 is not in a passage there is filed anew, under longer stretches of its words around those that the key stands for
-(see ``refile``). These depend on the key alone, so members that share a passage meet again, and after three
-rounds equal keys mean equal passages. So groups of a frequent phrase split by their surroundings, and no pairs
-within a group are made.
+(see ``refile``). These depend on the key alone, so members that share an equal passage meet again, and after three
+rounds equal keys mean equal passages. Members that share a passage with changes meet again by min-hash: each is also
+filed under the ``NEARBY`` least of the shingles around the key (see ``nearby``), so two that share what lies beyond a
+common phrase meet apart from the texts that have the phrase alone. So groups of a frequent phrase split by their
+surroundings, and no pairs within a group are made.
 
 Documents are known by a hash of their words in order, so equal texts are one from the start.
 
@@ -29,6 +31,8 @@ where it follows itself.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +51,7 @@ SIMILARITY = 0.8
 SHARE = SIMILARITY * 2 / (1 + SIMILARITY)  # of the shingles of one of two equally long passages that the other has
 DRIFT = 0.25  # words inserted or left out, by distance
 CONTEXT = 0xAF251AF3B0F025B5
+AROUND, NEARBY = 24, 8  # shingles on either side of a key, and how many of them an unsettled member is filed under
 PARTS = 4
 ROWS = 16_384  # of a batch of results
 
@@ -102,7 +107,7 @@ def known_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_id long, words long")
 
 
-_UNIT = "bucket long, text_id long, place int, hi int"
+_UNIT = "bucket long, text_id long, place int, hi int, near boolean"
 
 
 def _file(batches):
@@ -112,7 +117,7 @@ def _file(batches):
             keys, rows, c, d = entries(data, offsets)
             starts, ends, first = T.words(data, offsets)
             ids = T.signed(sequence_hash(T.word_hashes(data, starts, ends), first, 0xD1342543DE82EF95))
-            yield pa.RecordBatch.from_pydict({"bucket": T.signed(keys), "text_id": ids[rows], "place": pa.array(np.minimum(c, d), pa.int32()), "hi": pa.array(np.maximum(c, d) + WIDTH, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"bucket": T.signed(keys), "text_id": ids[rows], "place": pa.array(np.minimum(c, d), pa.int32()), "hi": pa.array(np.maximum(c, d) + WIDTH, pa.int32()), "near": pa.array(np.zeros(len(c), bool))})
         release()
 
 
@@ -120,7 +125,7 @@ def led(units: DataFrame) -> DataFrame:
     """The units of keys that two texts or more hold, with the least (text_id, place) of the key as ``leader`` and ``leader_place``."""
     key = Window.partitionBy("bucket")
     held = units.withColumn("h", F.min(F.struct("text_id", "place")).over(key)).withColumn("most", F.max("text_id").over(key)).where("h.text_id < most")
-    return held.select("text_id", "place", "hi", F.col("h.text_id").alias("leader"), F.col("h.place").alias("leader_place")).where("text_id <> leader or place <> leader_place")
+    return held.select("text_id", "place", "hi", "near", F.col("h.text_id").alias("leader"), F.col("h.place").alias("leader_place")).where("text_id <> leader or place <> leader_place")
 
 
 def _around(hit: np.ndarray, at: int) -> list[tuple[int, int]]:
@@ -215,6 +220,16 @@ def refile(words: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def nearby(text: Text, lo: int, hi: int) -> list[int]:
+    """Keys of the words [lo, hi), told by their first and last shingle, with each of the least NEARBY shingles around them."""
+    s, last = text.shingles, hi - WIDTH
+    around = np.unique(np.concatenate([s[max(0, lo - AROUND) : lo], s[last + 1 : last + 1 + AROUND]]))
+    hashed = T.mix(around ^ np.uint64(CONTEXT))
+    least = around[np.argsort(hashed)[:NEARBY]]
+    anchor = T.mix(s[[lo]] * np.uint64(0x9E3779B97F4A7C15) + s[[last]])
+    return T.signed(T.mix(anchor ^ T.mix(least))).tolist()
+
+
 def compare(left: Text, right: Text, left_at: np.ndarray, right_at: np.ndarray) -> tuple[list[tuple], np.ndarray]:
     """Shared passages (left start, left end, start, end, similarity), and which meets are in none."""
     order = np.lexsort((right_at, right_at - left_at))
@@ -243,8 +258,8 @@ def compare(left: Text, right: Text, left_at: np.ndarray, right_at: np.ndarray)
     return found, out
 
 
-_OUT = "leader long, text_id long, leader_start int, leader_end int, start int, end int, similarity double, bucket long, place int, hi int"
-_COMPARED = pa.schema([("leader", pa.int64()), ("text_id", pa.int64()), *((n, pa.int32()) for n in ("leader_start", "leader_end", "start", "end")), ("similarity", pa.float64()), ("bucket", pa.int64()), *((n, pa.int32()) for n in ("place", "hi"))])
+_OUT = "leader long, text_id long, leader_start int, leader_end int, start int, end int, similarity double, bucket long, place int, hi int, near boolean"
+_COMPARED = pa.schema([("leader", pa.int64()), ("text_id", pa.int64()), *((n, pa.int32()) for n in ("leader_start", "leader_end", "start", "end")), ("similarity", pa.float64()), ("bucket", pa.int64()), *((n, pa.int32()) for n in ("place", "hi")), ("near", pa.bool_())])
 
 
 def _judged(rows: list[tuple]) -> pa.RecordBatch:
@@ -252,15 +267,15 @@ def _judged(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _COMPARED, strict=True)], schema=_COMPARED)
 
 
-def _compare(batches):
-    """Pairs (leader, text_id, meets, left, right) into passages, and into units filed anew; places of one text are only filed anew."""
+def _compare(batches, first: bool):
+    """Pairs (leader, text_id, meets, left, right) into passages, and into units filed anew; places of one text are only filed anew. Surroundings count in the ``first`` round."""
     last, left = None, None
     for batch in batches:
         rows: list[tuple] = []
         leaders, members = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         meets = batch.column(2)
         inner = meets.flatten()
-        left_at, right_at, hi = (inner.field(n).to_numpy(zero_copy_only=False) for n in ("leader_place", "place", "hi"))
+        left_at, right_at, hi, again = (inner.field(n).to_numpy(zero_copy_only=False) for n in ("leader_place", "place", "hi", "near"))
         cut = np.concatenate([[0], np.cumsum(meets.value_lengths().to_numpy(zero_copy_only=False))])
         for i, (leader, member) in enumerate(zip(leaders, members, strict=True)):
             if leader != last:
@@ -271,9 +286,12 @@ def _compare(batches):
             if leader != member:
                 right = Text(_hashes(batch.column(4).slice(i, 1)))
                 found, short = compare(left, right, left_at[own].astype(np.int64), at)
-                rows += [(leader, member, *f, None, None, None) for f in found]
+                rows += [(leader, member, *f, None, None, None, None) for f in found]
+            short = short & ~again[own].astype(bool)  # what is filed for its surroundings was filed for its words too
             for lo, stop in set(zip(at[short].tolist(), end[short].tolist(), strict=True)):
-                rows += [(None, member, None, None, None, None, None, *f) for f in refile(right.words, lo, stop)]
+                rows += [(None, member, None, None, None, None, None, *f, False) for f in refile(right.words, lo, stop)]
+                if first:
+                    rows += [(None, member, None, None, None, None, None, key, lo, stop, True) for key in nearby(right, lo, stop)]
             if len(rows) >= ROWS:
                 yield _judged(rows)
                 rows = []
@@ -298,12 +316,13 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = stash(rows.join(one, "doc_id").dropDuplicates(["text_id"]).select("text_id", "text"), "passages-texts")
     found = None
     while True:
-        pairs = units.groupBy("leader", "text_id").agg(F.collect_set(F.struct("leader_place", "place", "hi")).alias("meets"))
+        first = found is None
+        pairs = units.groupBy("leader", "text_id").agg(F.collect_set(F.struct("leader_place", "place", "hi", "near")).alias("meets"))
         both = pairs.join(texts.withColumnRenamed("text", "right"), "text_id").join(texts.withColumnsRenamed({"text_id": "leader", "text": "left"}), "leader")
-        judged = stash(both.select("leader", "text_id", "meets", "left", "right").mapInArrow(_compare, _OUT), "passages-judged")
-        good = judged.where("leader is not null").drop("bucket", "place", "hi")
+        judged = stash(both.select("leader", "text_id", "meets", "left", "right").mapInArrow(functools.partial(_compare, first=first), _OUT), "passages-judged")
+        good = judged.where("leader is not null").drop("bucket", "place", "hi", "near")
         found = good if found is None else found.unionByName(good)
-        units = stash(led(judged.where("leader is null").select("bucket", "text_id", "place", "hi").distinct()), "passages-open")
+        units = stash(led(judged.where("leader is null").select("bucket", "text_id", "place", "hi", "near").distinct()), "passages-open")
         if not units.limit(1).count():
             return found, known
 

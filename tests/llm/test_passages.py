@@ -37,6 +37,21 @@ def test_edited_passages_are_found(spark, length, changes):
     assert all(spans[0][0] in range(25, 48) and spans[-1][1] - spans[0][0] >= 0.8 * length for spans in got.values())
 
 
+def test_passages_whose_halves_others_quote(spark):
+    """Pairs of a passage with a word changed in its middle, among texts that quote one half of it, which is no passage."""
+    r = random.Random(12)
+    texts, pairs = [], []
+    for k in range(30):
+        one = words(54, r)
+        two = [*one[:27], f"new{k}", *one[28:]]
+        pairs += [len(texts), len(texts) + 1]
+        texts += [words(40, r) + one + words(30, r), words(25, r) + two + words(60, r)]
+        texts += [words(30, r) + (one[:27] if i % 2 else one[28:]) + words(35, r) for i in range(16)]
+    got = found(spark, texts)
+    assert sum(i in got for i in pairs) >= 0.9 * len(pairs)
+    assert len(set(got) - set(pairs)) <= 0.02 * len(texts)
+
+
 def test_same_documents_as_all_pairs(spark):
     """Equal stretches of 50 words, by comparing all pairs; with lines that fall short of a passage in a third of all texts, at several places of one text."""
     r = random.Random(4)
