@@ -2,12 +2,12 @@
 
 A page is parsed into a tree of block elements with its text runs as leaves; inline markup stays inside its
 run. Every node has a hidden label, content or not. A node's own potential comes from its features (tag and
-name class; for a run its length, its share of link text, its ending, its kind of block) and a
+name class; for a run its length, its share of link text, its ending, its kind of block, words that head boxes) and a
 parent-child potential, one 2 x 2 table for each class of child, ties the labels along the tree. Messages go
 up and down once, level by level and for many pages at a time, and give the exact content marginal of every
 run; runs at 0.5 or more are the text. The weights maximise the likelihood of labelled pages, which are
-generated by rule (articles in many page frames, with menus, notices, adverts, forms, comments and so on, and
-pages of a few bare blocks);
+generated by rule (articles in many page frames, with or without a header of their own, with menus, notices, adverts,
+forms, comments and so on, also in boxes that only their words tell, and pages of a few bare blocks);
 the gradient is the observed minus the expected feature count, from the same message passing.
 
 Blocks: a run's character references are decoded, its white space becomes single spaces, and runs are joined
@@ -47,13 +47,20 @@ MAIN_TAGS = {"article", "main"}
 FRAME_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "fieldset"}
 MAIN_NAME = re.compile(r"(?:^|[-_ ])(?:article|articlebody|content|post|entry|story|main|text|body)(?:$|[-_ ])", re.IGNORECASE)
 FRAME_NAME = re.compile(r"(?:^|[-_ ])(?:nav\w*|menu\w*|side(?:bar)?|ads?|advert\w*|sponsor\w*|banner\w*|cookies?|consent|notices?|comments?|respon[ds]\w*|repl(?:y|ies)|footer|header|masthead|promo\w*|related|share\w*|social|subscri\w+|newsletter|breadcrumbs?|popup|modal|widget\w*|login|search\w*|toolbar|pagination|pager|alert\w*|disclaimer|copyright|complementary|navigation|contentinfo|toc|tags?|meta)(?:$|[-_ ])", re.IGNORECASE)
-ROOT, MAIN, FRAME, NEUTRAL, SECTION, PARAGRAPH, HEADING, ITEM, RUN = range(9)
-CLASSES = 9
-#: Features of runs follow the classes: length (5), link share (4), ending (2); then one of roots and neutral elements whose page has no main element.
-FEATURES = CLASSES + 12
-
-
-def classify(tag: str, attributes: str) -> int:
+#: What heads or fills boxes that are no article, where neither tag nor name tells.
+FRAME_WORDS = re.compile(r"^\W*\d*\W*(?:comment|kommentar|comentario|commentaire|repl(?:y|ies)|respon[ds]|leave a|related|read (?:more|also|next)|more from|subscribe|sign up|newsletter|advert|sponsor|share|follow us|imprint|impressum|mentions l.gales|aviso legal|copyright|©|\(c\)|all rights)", re.IGNORECASE)
+FRAME_PHRASE = re.compile(r"newsletter|all rights reserved|alle rechte|tous droits|todos los derechos|cookies|imprint|impressum", re.IGNORECASE)
+ROOT, MAIN, FRAME, NEUTRAL, SECTION, PARAGRAPH, HEADING, ITEM, RUN, OPENING = range(10)  # OPENING: the header of a main element
+CLASSES = 10
+#: Features of runs follow the classes: length (5), link share (4), ending (2), words of frames in a short run (2); then one of roots and neutral elements whose page has no main element.
+FEATURES = CLASSES + 14
+
+
+def classify(tag: str, attributes: str, within_main: bool = False) -> int:
+    if tag in ("html", "body"):  # their names tell of the layout
+        return NEUTRAL
+    if tag == "header" and within_main:
+        return OPENING
     if tag in FRAME_TAGS:
         return FRAME
     named = " ".join(x for found in NAMES.findall(attributes) for x in found if x) if attributes and "=" in attributes else ""
@@ -77,10 +84,10 @@ class Tree:
     parent: list[int] = field(default_factory=lambda: [-1])
     depth: list[int] = field(default_factory=lambda: [0])
     kind: list[int] = field(default_factory=lambda: [ROOT])
-    extra: list[tuple[int, int, int] | None] = field(default_factory=lambda: [None])
+    extra: list[tuple[int, int, int, int] | None] = field(default_factory=lambda: [None])
     runs: dict[int, str] = field(default_factory=dict)
 
-    def add(self, parent: int, kind: int, extra: tuple[int, int, int] | None = None) -> int:
+    def add(self, parent: int, kind: int, extra: tuple[int, int, int, int] | None = None) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.kind.append(kind)
@@ -101,7 +108,7 @@ def parse(page: str) -> Tree:
         pieces.clear()
         if text:
             words, share = text.count(" ") + 1, links[1] / len(text)
-            extra = (min(4, (words > 2) + (words > 5) + (words > 12) + (words > 25)), (share > 0) + (share > 0.4) + (share > 0.8), int(text[-1] in ".!?:;\"')»…"))
+            extra = (min(4, (words > 2) + (words > 5) + (words > 12) + (words > 25)), (share > 0) + (share > 0.4) + (share > 0.8), int(text[-1] in ".!?:;\"')»…"), int(words <= 12 and bool(FRAME_WORDS.search(text) or FRAME_PHRASE.search(text))))
             tree.runs[tree.add(stack[-1][1], RUN, extra)] = text
         links[1] = 0
 
@@ -159,7 +166,8 @@ def parse(page: str) -> Tree:
             continue
         if tag == "body":
             stack[:] = [s for s in stack if s[0] != "head"]
-        node = tree.add(stack[-1][1], classify(tag, attributes or ""))
+        within = tag == "header" and next((tree.kind[x] == MAIN for _, x in reversed(stack) if tree.kind[x] in (MAIN, FRAME)), False)
+        node = tree.add(stack[-1][1], classify(tag, attributes or "", within))
         if tag != "hr" and not (attributes or "").endswith("/"):
             stack.append((tag, node))
     flush()
@@ -181,8 +189,8 @@ class Forest:
         self.features = np.zeros((len(self.kind), FEATURES))
         self.features[np.arange(len(self.kind)), self.kind] = 1
         run = np.flatnonzero(self.kind == RUN)
-        extra = np.array([e for t in trees for e in t.extra if e is not None], dtype=int).reshape(-1, 3)
-        for column, start in enumerate((CLASSES, CLASSES + 5, CLASSES + 9)):
+        extra = np.array([e for t in trees for e in t.extra if e is not None], dtype=int).reshape(-1, 4)
+        for column, start in enumerate((CLASSES, CLASSES + 5, CLASSES + 9, CLASSES + 11)):
             self.features[run, start + extra[:, column]] = 1
         page = np.repeat(np.arange(len(trees)), np.diff(base))
         bare = np.bincount(page[self.kind == MAIN], minlength=len(trees)) == 0
@@ -277,11 +285,21 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, list[str]]]:
         }[kind]()
         return f"<{tag}{name}>{inner}</{tag}>"
 
+    def nameless(kind: str) -> str:
+        """A box that only its words tell: comments, a newsletter, related pages, an imprint."""
+        tag, item = r.choice(["div", "section"]), lambda: r.choice(["<p>{}</p>", "<div>{}</div>"]).format(sentence(3, 30))
+        said = {"comments": ["3 comments", "Comments", "12 Kommentare", "Leave a reply", "2 responses"], "ad": ["Advertisement", "Sponsored"], "side": ["Related", "Read more", "More from us", "Subscribe to our newsletter", "Follow us"]}
+        if kind == "footer":
+            return f"<{tag}>{r.choice(['Imprint', '© 2020', 'Copyright', 'All rights reserved', 'Impressum'])} {words(1, 5)}{r.choice(['', '.'])}</{tag}>"
+        head = r.choice(["h2", "h3", "h4", "p", "div"])
+        fill = "<ul>" + "".join(f"<li>{sentence(3, 30) if kind == 'comments' else link()}</li>" for _ in range(r.randint(1, 4))) + "</ul>" if r.random() < 0.5 else "".join(item() for _ in range(r.randint(1, 3)))
+        return f"<{tag}><{head}>{r.choice(said[kind])}</{head}>{fill}</{tag}>"
+
     out = []
     for _ in range(n):
         body: list[str] = []
         content: list[str] = []
-        ends, longest = r.choice([".....!,", ".....!,", "|", " ", "!"]), r.choice([3, 8, 8, 8, 40])
+        ends, longest = r.choice([".....!,", ".....!,", "|", " ", "!"]), r.choice([1, 2, 3, 8, 8, 8, 40])
         least, most = r.choice([(1, 5), (1, 5), (1, 2), (4, 30), (20, 60)])
 
         def say(text: str, content: list[str] = content) -> str:
@@ -294,8 +312,11 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, list[str]]]:
         r.shuffle(body)
         open_tag, name = r.choice([("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="post"'), ("section", ' class="entry-content"'), ("div", ' itemprop="articleBody"'), ("div", ' class="story"')])
         parts = []
-        if r.random() < 0.8:
-            parts.append(f"<h1>{say(words(2, 12))}</h1>")
+        title = f"<h1>{say(words(2, 12))}</h1>" if r.random() < 0.8 else ""
+        if title and r.random() < 0.35:  # the article's own header, with a line below the title
+            line = r.choice([None, None, "p", "div", "span"])
+            title = f"<header{r.choice(['', ' class=entry-header', ' class="post-header"'])}>{title}{f'<{line}>{say(words(2, 6))}</{line}>' if line else ''}</header>"
+        parts.append(title)
         for _ in range(r.randint(1, longest)):
             kind = r.random()
             if kind < 0.66:
@@ -330,12 +351,12 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, list[str]]]:
         body.append(main)
         for kind, often in (("side", 0.3), ("comments", 0.4), ("ad", 0.2), ("footer", 0.8)):
             if r.random() < often:
-                body.append(boxed(kind))
+                body.append(nameless(kind) if r.random() < 0.25 else boxed(kind))
         out.append((f"<html><head><title>{words(2, 8)}</title><style>p{{}}</style><script>x='<p>'</script></head><body>" + "".join(body) + r.choice(["</body></html>", ""]), content))
     return out
 
 
-def plain_pages(n: int = 500, seed: int = 8) -> list[str]:
+def plain_pages(n: int = 700, seed: int = 8) -> list[str]:
     """Pages without any frame around their one to three blocks, and pages that have frames only; content runs start with an upper-case X."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvé") for _ in range(r.randint(1, 9)))
@@ -346,8 +367,12 @@ def plain_pages(n: int = 500, seed: int = 8) -> list[str]:
     out = []
     for _ in range(n):
         kind = r.random()
-        if kind < 0.2:
+        if kind < 0.1:
             body = say()
+        elif kind < 0.4:  # a short article without a frame, with a link or a box in it
+            tag, box = r.choice(["article", "article", "main"]), r.choice(["", f"<p>{link()}</p>", f"<p>{link()}</p>", f'<aside class="related">{link()}</aside>', f'<div class="related"><p>{word()} {word()}.</p></div>'])
+            head = r.choice(["", "", f"<h1>{say()}</h1>", f"<header><h1>{say()}</h1></header>"])
+            body = f"<{tag}>{head}<p>{say()}</p>{box}{f'<p>{say()}</p>' if r.random() < 0.5 else ''}</{tag}>"
         elif kind < 0.85:
             body = "".join(block(r.choice(["p", "p", "p", "div", "blockquote", "pre", "h1", "h2", "section"])) for _ in range(r.choice([1, 1, 1, 2, 3])))
         else:
@@ -358,7 +383,7 @@ def plain_pages(n: int = 500, seed: int = 8) -> list[str]:
         if r.random() < 0.15:
             body = f"<div>{body}</div>"
         if r.random() < 0.5:
-            body = f"<html>{r.choice(['', '<head><title>t</title></head>'])}<body>{body}</body></html>"
+            body = f"<html>{r.choice(['', '<head><title>t</title></head>'])}<body{r.choice(['', '', ' class="header-fixed"'])}>{body}</body></html>"
         out.append(body)
     return out
 
@@ -373,7 +398,7 @@ def trained() -> TreeModel:
         for node, text in tree.runs.items():
             if text.startswith("X"):
                 labels[base + node] = 1
-    # an element is content if a run below it is, up to the smallest element that holds all content runs, or to the root of a page without a main element
+    # an element is content if a run below it is, up to the smallest element that holds all content runs and to a main element, or to the root of a page without one
     for tree, base in zip(trees, forest.base, strict=False):
         good = [x for x in tree.runs if labels[base + x]]
         paths = []
@@ -386,8 +411,9 @@ def trained() -> TreeModel:
         shared = set(paths[0]).intersection(*paths[1:]) if paths else set()
         deepest = max(shared, key=lambda x: tree.depth[x], default=-1)
         for path in paths:
+            top = min((tree.depth[x] for x in path if tree.kind[x] == MAIN), default=len(path))
             for x in path:
-                if MAIN not in tree.kind or tree.depth[x] >= tree.depth[deepest]:
+                if MAIN not in tree.kind or tree.depth[x] >= min(tree.depth[deepest], top):
                     labels[base + x] = 1
     model = TreeModel()
     model.fit(forest, labels)

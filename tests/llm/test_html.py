@@ -1,5 +1,8 @@
 """Main text of bare pages and odd rows."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +49,46 @@ def test_odd_rows(spark):
     assert got[4].n_chars == 499_999 and len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
     empty = html.main_text(df.where("page_id = 99"))
     assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def layouts(seed):
+    """(page, blocks of its article) by layout, with words that the training pages do not have."""
+    r = random.Random(seed)
+    words = lambda a, b: " ".join("".join(r.choice("etaoinshrdlcmuw") for _ in range(r.randint(2, 8))) for _ in range(r.randint(a, b)))
+    line = lambda: words(5, 18).capitalize() + "."
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">{words(1, 2)}</a></li>' for i in range(5)) + "</ul></nav>"
+    page = lambda main, after="": f"<html><head><title>t</title></head><body>{menu}{main}{after}<footer>&copy; {words(2, 5)} {line()}</footer></body></html>"
+    title, by, one, two = words(2, 8), words(2, 4), line(), line()
+    long = [" ".join(line() for _ in range(4)) for _ in range(5)]
+    article = lambda head, *blocks: f"<article>{head}{''.join(f'<p>{b}</p>' for b in blocks)}</article>"
+    yield "header", page(article(f"<header><h1>{title}</h1></header>", one)), [title, one]
+    yield "header, two", page(article(f'<header class="entry-header"><h1>{title}</h1></header>', one, two)), [title, one, two]
+    yield "byline", page(article(f"<header><h1>{title}</h1><p>{by}</p></header>", one)), [title, by, one]
+    yield "header, long", page(article(f"<header><h1>{title}</h1></header>", *long)), [title, *long]
+    yield "in main", page(f"<main>{article(f'<header><h1>{title}</h1></header>', one, two)}</main>"), [title, one, two]
+    yield "comments", page(article(f"<h1>{title}</h1>", *long), f"<section><h3>{r.randint(1, 9)} comments</h3><ul><li>{line()}</li><li>{line()}</li></ul></section>"), [title, *long]
+    yield "newsletter", page(article(f"<h1>{title}</h1>", *long), f"<div><h3>Subscribe to our newsletter</h3><p>{line()}</p></div>"), [title, *long]
+    yield "imprint", page(article(f"<h1>{title}</h1>", *long), f"<div>Imprint {words(2, 4)}</div>"), [title, *long]
+    yield "body class", f'<html><body class="header-fixed"><p>{one}</p></body></html>', [one]
+    yield "related box", f'<article><p>{one}</p><div class="related"><p>{line()}</p></div><p>{two}</p></article>', [one, two]
+    yield "site header", page(article(f"<h1>{title}</h1>", one), "").replace("<nav>", f"<header><p>{words(1, 3)}</p></header><nav>"), [title, one]
+
+
+def test_layouts():
+    model = html.trained()
+    right, empty = collections.Counter(), collections.Counter()
+    for seed in range(30):
+        for name, page, blocks in layouts(seed):
+            got = next(html.extract([page], model))
+            right[name] += got == "\n\n".join(blocks)
+            empty[name] += not got
+    assert not sum(empty.values()) and min(right[name] for name, *_ in layouts(0)) >= 27, (right, empty)
+    bare = [next(html.extract([f'<article><p>{t}</p><p><a href="/x">more</a></p></article>'], model)) for t in ("A sentence of a short article.", "One more sentence, which is a little longer than the other.", "Short.")]
+    assert all(bare)
+
+
+def test_clashing_columns_repeats_and_empty_tables(spark):
+    page = "<article><header><h1>Title</h1></header><p>Words of the article.</p></article>"
+    rows = spark.createDataFrame([(1, "u", page)] * 3, "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("text", "n_chars", "TEXT2")})
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in html.main_text(rows).collect()] == [(1, "u", "Title\n\nWords of the article.", 28)] * 3
+    assert html.main_text(rows.where("false")).collect() == []
