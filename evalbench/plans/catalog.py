@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from evalbench.plans import curation, evaluation, files, ingestion, lifecycle, reporting, retrieval  # noqa: F401
+    from evalbench.plans import curation, evaluation, export, files, ingestion, lifecycle, reporting, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
