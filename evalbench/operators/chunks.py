@@ -126,6 +126,26 @@ def fixed_chunks(texts: DataFrame, size: int, overlap: int, snapshot: str, strat
     return out.withColumn("chunk_id", F.concat_ws(":", F.lit(snapshot), F.lit(strategy), F.substring(F.sha2(name, 256), 1, 24)))
 
 
+def snapshot_chunks(texts: DataFrame, sections: DataFrame, strategies: list[tuple[str, int, int]]) -> DataFrame:
+    """snapshot_id, chunk_id, document_id, ordinal, token_count and content of every mode and strategy's chunks, in one pass over ``texts`` and one over ``sections``.
+
+    Both hold parse_mode, document_id and content, a section also its ``run`` within the document.
+    """
+    out = None
+    for kind, rows in (("fixed", texts.withColumn("run", F.lit(0).cast("long"))), ("heading", sections)):
+        own = [(k, size, overlap) for k, size, overlap in strategies if k == kind]
+        if not own:
+            continue
+        t = rows.select("parse_mode", "document_id", "run", tx.tokens(F.col("content")).alias("t")).where(F.size("t") > 0)
+        cut = lambda w: F.struct(w["ordinal"].alias("ordinal"), w["token_start"].alias("token_start"), (w["token_end"] - w["token_start"]).alias("token_count"), F.array_join(F.slice("t", w["token_start"] + 1, w["token_end"] - w["token_start"]), " ").alias("content"))
+        parts = F.array(*[F.struct(F.lit(f"{k}-{size}-{overlap}").alias("strategy"), F.transform(spans(F.size("t"), size, overlap), cut).alias("w")) for k, size, overlap in own])
+        made = t.select("parse_mode", "document_id", "run", F.explode(parts).alias("s")).select("parse_mode", "document_id", "run", "s.strategy", F.explode("s.w").alias("w")).select("parse_mode", "document_id", "run", "strategy", "w.*")
+        out = made if out is None else out.unionByName(made)
+    snapshot, document = F.concat_ws(":", "parse_mode", "strategy"), F.col("document_id").cast("string")
+    name = F.concat_ws("|", document, F.col("run").cast("string"), F.col("token_start").cast("string"), F.col("token_count").cast("string"), "content")
+    return out.select(snapshot.alias("snapshot_id"), F.concat_ws(":", snapshot, F.substring(F.sha2(name, 256), 1, 24)).alias("chunk_id"), document.alias("document_id"), "ordinal", F.col("token_count").cast("int").alias("token_count"), "content", "parse_mode", "strategy")
+
+
 def snapshot_counts(texts: DataFrame, sections: DataFrame, strategies: list[tuple[str, int, int]]) -> DataFrame:
     """parse_mode, strategy, chunks, documents, least, most and mean tokens for each mode and strategy, in one pass over the texts.
 

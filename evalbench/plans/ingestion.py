@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from evalbench.functions import text as tx
 from evalbench.operators import chunks as op
 from evalbench.operators import lifecycle, parsing
+from evalbench.operators.snapshots import Snapshots
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
+from evalbench.sources.shared import fresh, rewritten
 
 _TOK = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+(?:\.\p{{Nd}}+)?|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[\p{{L}}\p{{Nl}}\p{{No}}]+')"
 _CATS = "['heading1','paragraph','list','table','figure','header','footer','unknown']"
@@ -320,6 +322,42 @@ def c12(spark, d):
     return out.select("parse_mode", "strategy", "chunks", "documents", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"), F.round("mean", 6).alias("mean"))
 
 
+@register("c12_stored_snapshots", f"""with {_EL}, {_BL}, mode as (select * from (values ('standard'), ('enhanced')) t(parse_mode)), st as (select * from (values {_STRATEGIES}) t(kind, size, overlap)),
+sec as (select document_id, ord, content, sum(case when kind = 'heading' then 1 else 0 end) over (partition by document_id order by ord) as run from bl), part as (select 'fixed' as kind, doc_id as document_id, {_TOK.format('text')} as t from documents union all select 'heading', document_id, {_TOK.format('string_agg(content, chr(10) order by ord)')} from sec group by document_id, run),
+w as (select parse_mode, st.kind || '-' || size || '-' || overlap as strategy, document_id, t[o * (size - overlap) + 1:least(o * (size - overlap) + size, len(t))] as c from (select *, unnest(range(0, greatest(1, cast(ceil((len(t) - overlap) / (size - overlap + 0.0)) as bigint)))) as o from part join st using (kind) where len(t) > 0) st, mode)
+select parse_mode || ':' || strategy as snapshot_id, count(*) as chunks, count(distinct document_id) as documents, cast(sum(len(c)) as bigint) as tokens, cast(sum(length(array_to_string(c, ' '))) as bigint) as characters, true as agree from w group by all""")
+def c12_stored(spark, d):
+    """The chunks of fourteen snapshots, stored and read back; created again, which changes nothing."""
+    modes = F.explode(F.array(F.lit("standard"), F.lit("enhanced"))).alias("parse_mode")
+    run = F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(Window.partitionBy("document_id").orderBy("ord"))
+    b = blocks(spark, d).withColumn("key", F.concat_ws("#", "document_id", run))
+    part = F.split("key", "#")
+    sections = op.joined(b, "key", "ord", "content", "\n").select(modes, part[0].cast("long").alias("document_id"), part[1].cast("long").alias("run"), "content")
+    made = rewritten(op.snapshot_chunks(texts(spark, d).select(modes, "document_id", "content"), sections, STRATEGIES), "chunks")
+    known = made.select("snapshot_id", "parse_mode", "strategy").distinct().select("snapshot_id", F.lit("documents").alias("corpus"), "parse_mode", "strategy", F.lit("none").alias("model_id"), F.lit(64).alias("dimension"))
+    s = Snapshots(spark, fresh(spark, "snapshots"))
+    first = s.create(known, made.drop("parse_mode", "strategy"))
+    if s.create(known, made.drop("parse_mode", "strategy")) != first:
+        raise ValueError("the same snapshots made a version")
+    stored = s.store.read("chunks").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("token_count").alias("tokens"), F.sum(F.length("content")).alias("characters"))
+    return stored.join(s.state().select("snapshot_id", F.col("chunks").alias("n"), "stored"), "snapshot_id").select("snapshot_id", "chunks", "documents", "tokens", "characters", ((F.col("n") == F.col("chunks")) & (F.col("stored") == F.col("chunks"))).alias("agree"))
+
+
+@register("x19_stored_embeddings", """with e as (select 'label-' || cast(label as varchar) as snapshot_id, vec_id from embeddings)
+select 'interrupted' as step, snapshot_id, count(*) as chunks, count(*) filter (vec_id % 3 = 0) as vectors, count(*) filter (vec_id % 3 <> 0) as pending, false as complete from e group by all union all select 'finished', snapshot_id, count(*), count(*), 0, true from e group by all""")
+def x19_stored(spark, d):
+    """A snapshot a label: a third of the vectors, then those that are pending, then complete."""
+    e = rel.read(spark, d, "embeddings").select(F.format_string("label-%d", "label").alias("snapshot_id"), F.format_string("c%08d", "vec_id").alias("chunk_id"), "vec_id", F.col("embedding").alias("vector"))
+    chunks = e.select("snapshot_id", "chunk_id", F.col("snapshot_id").alias("document_id"), F.lit(0).alias("ordinal"), F.lit(1).alias("token_count"), F.col("chunk_id").alias("content"))
+    s = Snapshots(spark, fresh(spark, "embeddings"))
+    s.create(e.select("snapshot_id").distinct().select("snapshot_id", F.lit("embeddings").alias("corpus"), F.lit("standard").alias("parse_mode"), F.lit("fixed").alias("strategy"), F.lit("m").alias("model_id"), F.lit(64).alias("dimension")), chunks)
+    part = s.add(e.where("vec_id % 3 = 0").select("snapshot_id", "chunk_id", "vector"))
+    s.add(e.join(s.pending().select("snapshot_id", "chunk_id"), ["snapshot_id", "chunk_id"], "left_semi").select("snapshot_id", "chunk_id", "vector"))
+    done = s.finish(e.select("snapshot_id").distinct())
+    rows = [s.state(v).select(F.lit(step).alias("step"), "snapshot_id", "chunks", "vectors", (F.col("chunks") - F.col("vectors")).alias("pending"), "complete") for step, v in (("interrupted", part), ("finished", done))]
+    return rows[0].unionByName(rows[1])
+
+
 @register("c12_snapshot_checks", """with c as (select doc_id, mode, case when doc_id % 31 = 0 then 'failed' else 'succeeded' end as status, doc_id % 37 = 0 as short, doc_id % 41 = 0 and mode = 'enhanced' as blank, doc_id % 101 = 1 as other from documents, (values ('standard'), ('enhanced')) t(mode) where not (mode = 'enhanced' and doc_id % 43 = 0) union all select doc_id, 'standard', 'succeeded', false, false, false from documents where doc_id % 47 = 0)
 select * from (select 'not_succeeded' as problem, count(*) filter (status = 'failed') as n from c union all select 'incomplete_pages', count(*) filter (short) from c union all select 'no_identity', count(*) filter (blank) from c union all select 'duplicate', count(*) from (select doc_id from c group by doc_id, mode having count(*) > 1) union all select 'not_in_both_modes', count(*) from (select doc_id from c group by doc_id having count(distinct mode) = 1) union all select 'mixed_snapshots', count(distinct other) - 1 from c) where n > 0""")
 def c12_checks(spark, d):
