@@ -199,11 +199,10 @@ def stratified(items: DataFrame, strata: list[str], n: int, key: Column) -> Data
 
 def admit(rows: DataFrame, quota: str = "kind", quotas: dict[str, int] | None = None) -> DataFrame:
     """First rows of each kind in input order up to its quota."""
-    place = F.row_number().over(Window.partitionBy(quota).orderBy("ord"))
     most = F.lit(0)
     for name, size in (quotas or {}).items():
         most = F.when(F.col(quota) == name, size).otherwise(most)
-    return rows.withColumn("__p", place).withColumn("accepted", F.col("__p") <= most).drop("__p")
+    return order.placed(rows, [quota], [F.col("ord")], "__p").withColumn("accepted", F.col("__p") < most).drop("__p")
 
 
 def admit_with_caps(rows: DataFrame, quotas: dict[str, int], per_document: int, block: int = admission.BLOCK) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from evalbench.functions import text as tx
 from evalbench.operators import chunks as op
-from evalbench.operators import lifecycle, parsing
+from evalbench.operators import lifecycle, order, parsing
 from evalbench.operators.snapshots import Snapshots
 from evalbench.plans import relations as rel
 from evalbench.plans.catalog import register
@@ -214,8 +214,8 @@ def w18_hot(spark, d):
 
 @register("w19_fixed_batches", "select doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 20 as bigint) as batch from documents")
 def w19(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return rel.read(spark, d, "documents").select("doc_id", F.floor((n - 1) / 20).alias("batch"))
+    docs = rel.read(spark, d, "documents").select("doc_id", "source")
+    return order.placed(docs, ["source"], [F.col("doc_id")]).select("doc_id", F.floor(F.col("place") / 20).alias("batch"))
 
 
 @register("c22_corpus_snapshot_id", "select sha256(string_agg(h, '' order by h)) as snapshot_id from (select sha256(concat_ws('|', source, count(*), sum(n_chars))) as h from documents group by source)")

@@ -283,15 +283,16 @@ def x10(spark, d):
     return op.conflicts(e, new, "vec_id", "embedding")
 
 
-@register("x12_duplicate_configs", w("configs", "select parse_mode, retriever, count(*) as n from configs group by all having count(*) > 1"))
+@register("x12_duplicate_configs", "select sha256(coalesce(text, '')) as content_hash, count(*) as n from documents group by 1 having count(*) > 1")
 def x12(spark, d):
-    return op.duplicates(rel.configs(spark, d), ["parse_mode", "retriever"])
+    """Documents submitted more than once, by content."""
+    return op.duplicates(rel.read(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")), ["content_hash"])
 
 
-@register("x13_frozen_inputs", w("configs", "select sha256(string_agg(config_hash, ',' order by experiment_id)) as frozen from configs"))
+@register("x13_frozen_inputs", rel.ordered_hash_sql("documents", "", "doc_id", "sha256(coalesce(text, ''))"))
 def x13(spark, d):
-    g = rel.configs(spark, d).agg(F.sort_array(F.collect_list(F.struct("experiment_id", "config_hash"))).alias("x"))
-    return g.select(F.sha2(F.array_join(F.transform("x", lambda x: x["config_hash"]), ","), 256).alias("frozen"))
+    """All documents frozen in the order of their ids."""
+    return op.ordered_hash(rel.read(spark, d, "documents"), [], "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 @register("x14_gold_completeness", w("results", """select experiment_id as config_hash, 'self_hash' as problem, count(*) as n from results where event_id % 31 = 0 group by all union all select experiment_id, 'file_name', count(*) from results where event_id % 43 = 0 group by all

@@ -162,9 +162,11 @@ def p5(spark, d):
     return board(spark, d).select("config_hash", "retriever", "recall")
 
 
-@register("p6_salted_public_id", w("configs", """select experiment_id, sha256('{"config_hash":"' || config_hash || '","public_salt":"pepper"}') as public_id from configs"""))
+@register("p6_salted_public_id", """select doc_id, sha256('{"config_hash":"' || sha256(coalesce(text, '')) || '","public_salt":"pepper"}') as public_id from documents""")
 def p6(spark, d):
-    return rel.configs(spark, d).select("experiment_id", tx.canonical_hash(public_salt=F.lit("pepper"), config_hash=F.col("config_hash")).alias("public_id"))
+    """Documents named in public by a salted hash of their content."""
+    content = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return rel.read(spark, d, "documents").select("doc_id", tx.canonical_hash(public_salt=F.lit("pepper"), config_hash=content).alias("public_id"))
 
 
 @register("x8_export_tables", _board("select 'leaderboard' as table_name, count(*) as n from board union all select 'results', count(*) from star union all select 'configs', count(*) from configs union all select 'by_type', count(*) from (select distinct experiment_id, question_type from results)"))
