@@ -7,7 +7,8 @@ BEFORE characters of the text before and AFTER after them; a longer candidate is
 and has the highest probability of these. A run whose calibrated probability reaches the threshold is
 reported as ``learned``; a base match that reaches it counts as confirmed. Training is in numpy, on findings
 labelled by construction (generated keys, tokens, passwords and hashes in assignments, headers and inside long
-paths against identifiers, numbers, addresses, words and paths in prose); a held-out part of them calibrates the
+paths against identifiers, UUIDs, account and book numbers, class names, compounds, numbers, addresses, words and paths
+in prose); a held-out part of them calibrates the
 logits (a line fitted to log-odds) and sets the threshold: the highest one that keeps a recall of ``RECALL``
 there. Base spans do not depend on it.
 
@@ -103,6 +104,7 @@ class CharCNN:
             "w2": r.randn(hidden) * (1 / hidden) ** 0.5,
             "b2": np.zeros(1),
         }
+        self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
         self.dim, self.slope, self.shift, self.threshold = dim, 1.0, 0.0, 0.5
 
     #: pooled apart: the context before, the candidate, what comes last
@@ -111,15 +113,16 @@ class CharCNN:
     def _forward(self, x: np.ndarray):
         p = self.p
         e = p["emb"][x]
-        cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - WIDTH + 1, -1)
-        conv = np.maximum(cols @ p["conv"] + p["cb"], 0)
+        length = WINDOW - WIDTH + 1
+        conv = sum(e[:, j : j + length] @ p["conv"][j * self.dim : (j + 1) * self.dim] for j in range(WIDTH))
+        conv = np.maximum(conv + p["cb"], 0)
         arg = np.stack([conv[:, a:b].argmax(1) + a for a, b in self.ZONES], axis=1)
         pooled = np.take_along_axis(conv, arg, axis=1).reshape(len(x), -1)
         h = np.maximum(pooled @ p["w1"] + p["b1"], 0)
-        return cols, conv, arg, pooled, h, h @ p["w2"] + p["b2"][0]
+        return e, conv, arg, pooled, h, h @ p["w2"] + p["b2"][0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 2048])[-1] for i in range(0, len(x), 2048)] or [np.zeros(0)])
+        return np.concatenate([self._forward(x[i : i + 2048])[-1] for i in range(0, len(x), 2048)] or [np.zeros(0)]).astype(float)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.logits(x) + self.shift)))
@@ -135,24 +138,24 @@ class CharCNN:
                 for k, d in g.items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * d
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * d * d
-                    self.p[k] -= 0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] -= (0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        cols, conv, arg, pooled, h, logit = self._forward(x)
-        d = (1 / (1 + np.exp(-logit)) - y) / len(x)
+        p, length = self.p, WINDOW - WIDTH + 1
+        e, conv, arg, pooled, h, logit = self._forward(x)
+        d = ((1 / (1 + np.exp(-logit)) - y) / len(x)).astype(np.float32)
         dh = np.outer(d, p["w2"]) * (h > 0)
         dpool = (dh @ p["w1"].T).reshape(len(x), 3, FILTERS)
         dconv = np.zeros_like(conv)
         for z in range(3):
             np.put_along_axis(dconv, arg[:, z : z + 1], dpool[:, z : z + 1], axis=1)
         dconv *= conv > 0
-        flat = dconv.reshape(-1, FILTERS)
-        dcols = (dconv @ p["conv"].T).reshape(len(x), -1, WIDTH, self.dim)
-        demb = np.zeros_like(p["emb"])
+        flat, de = dconv.reshape(-1, FILTERS), np.zeros_like(e)
         for j in range(WIDTH):
-            np.add.at(demb, x[:, j : j + dcols.shape[1]], dcols[:, :, j])
-        return {"emb": demb, "conv": cols.reshape(len(flat), -1).T @ flat, "cb": flat.sum(0), "w1": pooled.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": np.array([d.sum()])}
+            de[:, j : j + length] += dconv @ p["conv"][j * self.dim : (j + 1) * self.dim].T
+        dw = np.concatenate([e[:, j : j + length].reshape(len(flat), -1).T @ flat for j in range(WIDTH)])
+        demb = np.stack([np.bincount(x.ravel(), de[:, :, k].ravel(), SYMBOLS) for k in range(self.dim)], axis=1)
+        return {"emb": demb, "conv": dw, "cb": flat.sum(0), "w1": pooled.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": np.array([d.sum()])}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, recall: float = RECALL) -> None:
         """A line on the logits by Newton steps on the log loss; then the recall-constrained threshold for whole findings (``of``: ascending number of each part's)."""
@@ -171,7 +174,7 @@ class CharCNN:
         self.threshold = float(highest[int((1 - recall) * len(highest))]) if len(first) else 0.5
 
 
-def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int, int, int]]:
+def labelled_findings(n: int = 10_000, seed: int = 11) -> list[tuple[str, int, int, int, int]]:
     """(text, start, end, start and end of the secret in it) generated by rule, half of them with a secret (else both are the start)."""
     r = random.Random(seed)
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
@@ -189,11 +192,14 @@ def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int
         lambda: "eyJ" + some(low + up + dig, 16, 30) + "." + some(low + up + dig + "_-", 20, 40),
         lambda: "AIza" + some(low + up + dig + "_-", 35, 35),
     ]
+    vowels, starts = "aeiou", ["b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "pr", "ch", "th", "sch", "gr"]
+    spoken_word = lambda a, b: "".join(r.choice(starts) + r.choice(vowels) + r.choice(["", "", "n", "r", "s", "l", "ng", "ct", "ss"]) for _ in range(r.randint(a, b)))
+    camel = lambda a, b: "".join(r.choice([spoken_word(1, 4).capitalize(), spoken_word(1, 4).capitalize(), r.choice(["XML", "HTTP", "ID", "Url", "To", "By", "Is"])]) for _ in range(r.randint(a, b)))
     plain = [
-        lambda: some(dig, 16, 16),
+        *[lambda: some(dig, 16, 16)] * 4,
         lambda: some(dig, 16, 24),
         lambda: some(dig, 16, 16) + r.choice(".-,"),
-        lambda: f"{word()}{r.randint(1, 99)}.{word()}.{word()}.example.com",
+        *[lambda: f"{word()}{r.randint(1, 99)}.{r.choice([word() + '.', ''])}{r.choice([word(), 'example'])}.{r.choice(['com', 'org', 'net'])}"] * 3,
         lambda: f"{word()}.{r.randint(10, 99)}@".replace("@", "") + f"-{word()}-{word()}-{r.randint(1, 2030)}",
         lambda: f"/{word()}/{word()}/{word()}-{r.randint(1, 2030)}.html",
         lambda: f"{r.randint(1970, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}",
@@ -203,6 +209,13 @@ def labelled_findings(n: int = 8000, seed: int = 11) -> list[tuple[str, int, int
         lambda: r.choice(["=", "-", "_", "."]) * r.randint(15, 40) + str(r.randint(0, 9)),
         lambda: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{word()}.{r.randint(0, 99)}.{word()}",
         lambda: some(low, 14, 20) + "." + some(dig, 1, 2),
+        *[lambda: "-".join(some("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))] * 3,
+        *[lambda: some(up, 2, 2) + some(dig, 2, 2) + r.choice([lambda: some(dig, 12, 23), lambda: some(up, 4, 4) + some(dig, 8, 18)])()] * 4,
+        lambda: f"97{r.choice('89')}-{some(dig, 1, 1)}-{some(dig, 2, 6)}-{some(dig, 2, 6)}-{some(dig, 1, 1)}",
+        *[lambda: camel(3, 6) + r.choice(["", "", some(dig, 1, 3)])] * 2,
+        lambda: spoken_word(1, 3) + camel(2, 5),
+        lambda: "".join(spoken_word(1, 3) for _ in range(r.randint(4, 9))) + r.choice(["", "", some(dig, 1, 2)]),
+        lambda: r.choice(low + up) * r.randint(28, 60),
     ]
     naming = ["token", "secret", "key", "api_key", "auth", "credential", "Authorization: Bearer", "access_key", "private"]
     short = lambda: some(low + up + dig, 6, 15)
