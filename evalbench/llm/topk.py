@@ -5,7 +5,7 @@ Vectors are cut into equal segments; each has a mean and a deviation. For two ve
     |q - x|^2  >=  sum over segments of length * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2)
 
 so with the norms the inner product is at most the sum of length * (mean_q * mean_x + dev_q * dev_x). Bounds
-go from coarse to fine: a block of candidates is first bounded with 4 segments, then the pairs left with 16,
+go from coarse to fine: a block of candidates and queries is first bounded with 4 segments, then the pairs left with 16,
 and the exact integer products are computed for the survivors. A pair goes only if its bound is below the
 query's k-th score so far, so the result is exact, ties to the smaller id included.
 
@@ -32,6 +32,9 @@ from evalbench.llm._spark import stash, table
 WAVE_BYTES = 16 << 20
 SEGMENTS = (4, 16)
 BLOCK = 1024
+#: Pairs of a step, and numbers of the vectors gathered for them: a task's memory does not grow with the queries' number.
+PAIRS = 1 << 17
+GATHERED = 1 << 20
 SCALE = 1024.0
 #: Bounds are computed in doubles; this much of the size of the terms covers their rounding.
 SLACK = 1e-9
@@ -60,6 +63,24 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, dev], axis=1) * np.sqrt(np.concatenate([length, length]))
 
 
+def _kept(left: np.ndarray, a: np.ndarray, b: np.ndarray, worst: np.ndarray, slack: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs ``left`` whose product, with ``slack``, reaches the row's ``worst``, and the products.
+
+    Where many are left, one matrix product of the block is quicker than pairs gathered one by one. Integer products
+    are exact in any order.
+    """
+    qi, ci = np.nonzero(left)
+    if 16 * len(qi) > left.size:
+        product = (a @ b.T)[qi, ci]
+    else:
+        product = np.empty(len(qi))
+        step = max(1, GATHERED // a.shape[1])
+        for at in range(0, len(qi), step):
+            product[at : at + step] = np.einsum("ij,ij->i", a[qi[at : at + step]], b[ci[at : at + step]])
+    keep = product + (0.0 if slack is None else slack[qi, ci]) >= worst[qi]
+    return qi[keep], ci[keep], product[keep]
+
+
 class Search:
     """Running top-k of a block of queries of one length."""
 
@@ -72,22 +93,26 @@ class Search:
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         for at in range(0, len(ids), BLOCK):
-            self._block(ids[at : at + BLOCK], x[at : at + BLOCK])
-
-    def _block(self, ids: np.ndarray, x: np.ndarray) -> None:
-        worst = self.scores[:, -1]
-        slack = SLACK * np.outer(self.norm, np.linalg.norm(x, axis=1)) + 1e-6
-        coarse = self.levels[0] @ statistics(x, SEGMENTS[0]).T + slack
-        qi, ci = np.nonzero((coarse >= worst[:, None]) & (self.ids[:, None] != ids[None, :]))
-        if len(qi):
-            fine = np.einsum("ij,ij->i", self.levels[1][qi], statistics(x, SEGMENTS[1])[ci]) + slack[qi, ci]
-            keep = fine >= worst[qi]
-            qi, ci = qi[keep], ci[keep]
+            own, part = ids[at : at + BLOCK], x[at : at + BLOCK]
+            levels, norm = [statistics(part, s) for s in SEGMENTS], np.linalg.norm(part, axis=1)
+            step = max(1, PAIRS // len(own))
+            for first in range(0, len(self.ids), step):
+                self._block(slice(first, first + step), own, part, levels, norm)
+
+    def _block(self, some: slice, ids: np.ndarray, x: np.ndarray, levels: list[np.ndarray], norm: np.ndarray) -> None:
+        """Some of the queries, at most ``PAIRS`` pairs, whatever the number of queries."""
+        worst = self.scores[some, -1]
+        slack = SLACK * np.outer(self.norm[some], norm) + 1e-6
+        left = (self.levels[0][some] @ levels[0].T + slack >= worst[:, None]) & (self.ids[some, None] != ids[None, :])
+        qi, ci = _kept(left, self.levels[1][some], levels[1], worst, slack)[:2]
+        if not len(qi):
+            return
+        left[:] = False
+        left[qi, ci] = True
+        qi, ci, exact = _kept(left, self.q[some], x, worst)
         if not len(qi):
             return
-        exact = np.einsum("ij,ij->i", self.q[qi], x[ci])
-        keep = exact >= worst[qi]
-        qi, ci, exact = qi[keep], ci[keep], exact[keep]
+        qi = qi + some.start
         touched = np.unique(qi)
         all_q = np.concatenate([np.repeat(touched, self.k), qi])
         all_s = np.concatenate([self.scores[touched].ravel(), exact])

@@ -375,3 +375,22 @@ def test_quality_on_held_out_documents(spark, docs, empty):
     assert quality.accepted(docs, voter).columns == docs.columns and quality.accepted(empty, voter).count() == 0
     none = quality.fit(df, labels.where("doc_id < 0"))
     assert {r.score for r in quality.score(docs, none, ["doc_id"]).collect()} == {0.5}
+
+
+def test_topk_memory_does_not_grow_with_queries():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    x = np.floor(1024 * r.normal(size=(1500, 64)))
+    peaks = []
+    for n in (500, 4000):
+        search = topk.Search(np.arange(n) * 100, np.floor(1024 * r.normal(size=(n, 64))), 10)
+        tracemalloc.start()
+        search.add(np.arange(len(x)), x)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        exact = search.q @ x.T
+        exact[search.ids[:, None] == np.arange(len(x))[None, :]] = -np.inf
+        for i in range(0, n, 250):
+            assert search.found[i].tolist() == np.lexsort((np.arange(len(x)), -exact[i]))[:10].tolist()
+    assert peaks[1] < 1.5 * peaks[0] < 100 << 20, peaks
