@@ -24,9 +24,11 @@ _NEED = "qterms postings dfs stats"
 
 
 def hits(spark, d):
+    """With texts and their tokens, which are counted for chunks that were found only."""
     c = rel.chunks(spark, d)
-    n = c.select("chunk_id", "content", F.size(tx.tokens(F.col("content"))).alias("tokens"))
-    return ret.bm25(c, rel.questions(spark, d), 10).withColumn("score", F.round("score", 6)).join(n, "chunk_id")
+    found = ret.bm25(c, rel.questions(spark, d), 10).withColumn("score", F.round("score", 6))
+    met = ret.small(found).join(c.select("chunk_id", "content"), "chunk_id")
+    return met.withColumn("tokens", F.size(tx.tokens(F.col("content"))))
 
 
 _CTX = f"hits as ({_HITS}), ctx as (select *, 'C' || cast(row_number() over (partition by question_id order by rank) as varchar) as citation_id from (select h.question_id, h.chunk_id, h.rank, len(terms) as tokens, sum(len(terms)) over (partition by question_id order by rank) as used from hits h join tokens using (chunk_id)) where used <= 2000)"
