@@ -1,9 +1,12 @@
 """Steps whose memory, shuffle or time grew faster than their input."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalbench.operators import retrieval
+from evalbench.operators import retrieval, stats
 from evalbench.plans import catalog, lifecycle
 from evalbench.plans import relations as rel
 
@@ -55,3 +58,35 @@ def test_evidence_explodes_no_texts(spark):
 def test_only_found_chunks_are_cut_into_tokens(spark):
     text = plan(lifecycle.hits(spark, DATA))
     assert text.index("regexp_extract_all") < text.index("Join")
+
+
+def test_draws_are_no_rows(spark):
+    rows = [(i, None if i % 9 == 4 else float(i * i % 31), 1.0) for i in range(70)]
+    got = stats.bootstrap_observations(spark.createDataFrame(rows, "place long, left double, right double"), 7, 20)
+    d = [None if x is None else x - y for _, x, y in rows]
+    means = []
+    for r in range(20):
+        drawn = [d[int(hashlib.md5(f"7:{r}:{k}".encode()).hexdigest()[:8], 16) % 70] for k in range(70)]
+        drawn = [x for x in drawn if x is not None]
+        means.append(sum(drawn) / len(drawn))
+    row = got.first()
+    assert np.allclose([row.low, row.high], np.quantile(means, [0.025, 0.975])) and row.rounds == 20
+    assert "Join Inner, (place" not in plan(got) and "FlatMapCoGroupsInPandas" in plan(got)
+
+
+def test_all_pairs_are_products_of_blocks(spark):
+    rows = [(i, None if i == 7 else [float(np.float32(np.cos(i * j + 1))) for j in range(8)]) for i in range(90)]
+    vectors = spark.createDataFrame([(f"c{i}", v) for i, v in rows], "chunk_id string, vector array<float>")
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in rows if i % 7 == 0], "question_id string, vector array<float>")
+    got = {r.question_id: r for r in retrieval.cosine_summary(vectors, queries).collect()}
+    v = np.array([x for i, x in rows if i != 7])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i, x in rows[::7]:
+        r = got[f"q{i}"]
+        assert r.pairs == 90
+        if x is None:
+            assert r.best is None and r["mean"] is None
+        else:
+            s = v @ (np.array(x) / np.linalg.norm(x))
+            assert np.allclose([r.best, r["mean"]], [s.max(), s.mean()])
+    assert "Join" not in plan(catalog.queries()["j2_query_vector_pairs"](spark, DATA))
