@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,16 +113,44 @@ def normal_interval(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("effect"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
 
 
+#: Draws that a task makes at once, and places of a block: a place within a block takes two bytes.
+DRAWS, PLACES = 1 << 20, 1 << 16
+
+
 def bootstrap_observations(pairs: DataFrame, seed: int, rounds: int) -> DataFrame:
     """Percentile interval of the mean of left - right; observations by place, drawn by a hash of (seed, round, draw).
 
-    ``pairs``: place (from 0, without gaps), left, right. The draws are rounds x observations rows of numbers.
+    ``pairs``: place (from 0, without gaps), left, right. No draw is a row: a task makes up to ``DRAWS`` draws of a round
+    and sends those of each block of places on as two bytes each; a block sums its rows by round.
     """
     base = pairs.select("place", (F.col("left") - F.col("right")).alias("d"))
     n = base.count()
-    draws = base.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).alias("round"), (F.col("id") % n).alias("draw"))
-    drawn = draws.withColumn("place", tx.hash_index(F.concat_ws(":", F.lit(seed), "round", "draw"), F.lit(n)))
-    return _interval(drawn.join(base, "place").groupBy("round").agg(F.avg("d").alias("m")), base.agg(F.avg("d").alias("effect")))
+    pieces = -(-n // DRAWS)
+
+    def draw(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                i_round, first = divmod(int(i), pieces)
+                head, md5 = f"{seed}:{i_round}:".encode() + b"%d", hashlib.md5
+                digests = b"".join([md5(head % k).digest() for k in range(first * DRAWS, min(n, (first + 1) * DRAWS))])
+                places = np.sort(np.frombuffer(digests, ">u4")[::4].astype(np.int64) % n)
+                blocks, starts = np.unique(places // PLACES, return_index=True)
+                own = [x.astype("<u2").tobytes() for x in np.split(places % PLACES, starts[1:])]
+                yield pd.DataFrame({"block": blocks, "round": np.full(len(blocks), i_round, np.int32), "drawn": own})
+
+    def total(key: tuple, rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        at, d = rows["place"].to_numpy(np.int64) % PLACES, rows["d"].to_numpy(float)
+        there = rows["known"].to_numpy(bool)
+        sums, counts = np.bincount(at[there], d[there], PLACES), np.bincount(at[there], minlength=PLACES)
+        got = [(sums[x].sum(), int(counts[x].sum())) for x in (np.frombuffer(b, "<u2") for b in drawn["drawn"])]
+        return pd.DataFrame({"round": drawn["round"], "s": [g[0] for g in got], "n": [g[1] for g in got]})
+
+    tasks = rounds * pieces
+    drawn = base.sparkSession.range(0, tasks, 1, max(1, min(tasks, -(-rounds * n // (4 * DRAWS))))).mapInPandas(draw, "block long, round int, drawn binary")
+    held = base.where(F.col("place").between(0, n - 1)).select("place", F.col("d").isNotNull().alias("known"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    parts = held.groupBy(F.floor(F.col("place") / PLACES).cast("long").alias("block")).cogroup(drawn.groupBy("block")).applyInPandas(total, "round int, s double, n long")
+    means = parts.groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    return _interval(means.where("m is not null"), base.agg(F.avg("d").alias("effect")))
 
 
 def bootstrap_clusters(pairs: DataFrame, seed: int, rounds: int) -> DataFrame:
