@@ -146,6 +146,13 @@ def snapshot_chunks(texts: DataFrame, sections: DataFrame, strategies: list[tupl
     return out.select(snapshot.alias("snapshot_id"), F.concat_ws(":", snapshot, F.substring(F.sha2(name, 256), 1, 24)).alias("chunk_id"), document.alias("document_id"), "ordinal", F.col("token_count").cast("int").alias("token_count"), "content", "parse_mode", "strategy")
 
 
+def in_modes(chunks: DataFrame, modes: list[str]) -> DataFrame:
+    """``chunks`` of ``snapshot_chunks`` once for each of ``modes``, for modes whose texts are the same; copies stand side by side."""
+    each = chunks.withColumn("parse_mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    snapshot = F.concat_ws(":", "parse_mode", "strategy")
+    return each.withColumns({"snapshot_id": snapshot, "chunk_id": F.concat_ws(":", snapshot, F.substring_index("chunk_id", ":", -1))})
+
+
 def snapshot_counts(texts: DataFrame, sections: DataFrame, strategies: list[tuple[str, int, int]]) -> DataFrame:
     """parse_mode, strategy, chunks, documents, least, most and mean tokens for each mode and strategy, in one pass over the texts.
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalbench.operators import lifecycle
-from evalbench.operators.retrieval import doubles, norm
+from evalbench.operators.retrieval import doubles, norm, small
+from evalbench.sources.shared import rewritten
 from evalbench.sources.store import Store
 
 IDENTITY = ["corpus", "parse_mode", "strategy", "model_id", "dimension"]
@@ -41,6 +42,13 @@ def _refuse(rows: DataFrame, what: str, *columns: str) -> None:
         raise ValueError(f"{what}: {found}")
 
 
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that are there more than once. Their hashes are counted first, so only keys of equal hashes are shuffled."""
+    h = F.xxhash64(*key).alias("__h")
+    again = rows.groupBy(h).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
+    return lifecycle.duplicates(rows.select(*key, h).join(again, "__h", "left_semi").drop("__h"), key) if not again.isEmpty() else rows.select(*key).limit(0)
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, base: str):
         self.store = Store(spark, base, TABLES)
@@ -48,9 +56,10 @@ class Snapshots:
     def create(self, snapshots: DataFrame, chunks: DataFrame) -> int:
         """Register ``snapshots`` (snapshot_id and IDENTITY) with their ``chunks``; the version is the old one if nothing is new."""
         _refuse(lifecycle.duplicates(snapshots, ["snapshot_id"]), "snapshots given twice", "snapshot_id")
-        _refuse(lifecycle.duplicates(chunks, ["snapshot_id", "chunk_id"]), "chunks given twice", "snapshot_id", "chunk_id")
-        _refuse(chunks.join(snapshots, "snapshot_id", "left_anti"), "chunks of no snapshot", "snapshot_id", "chunk_id")
+        _refuse(repeated(chunks, ["snapshot_id", "chunk_id"]), "chunks given twice", "snapshot_id", "chunk_id")
+        _refuse(chunks.join(small(snapshots.select("snapshot_id")), "snapshot_id", "left_anti"), "chunks of no snapshot", "snapshot_id", "chunk_id")
         given = snapshots.select("snapshot_id", *IDENTITY).join(manifests(chunks), "snapshot_id", "left").fillna(0, ["chunks"]).fillna("", ["manifest"])
+        given = rewritten(given, "manifests")  # a row a snapshot; texts are hashed once
 
         def change(parent: int) -> int:
             known = self.store.read("snapshots", parent)
@@ -58,10 +67,10 @@ class Snapshots:
             met = given.join(theirs, "snapshot_id")
             _refuse(met.where(" or ".join(f"not ({c} <=> __{c})" for c in IDENTITY)), "stored with another identity", "snapshot_id")
             _refuse(met.where("manifest <> __manifest"), "stored with other chunks", "snapshot_id")
-            fresh = given.join(known, "snapshot_id", "left_anti")
+            fresh = rewritten(given.join(known, "snapshot_id", "left_anti"), "fresh")
             if fresh.isEmpty():
                 return parent
-            return self.store.commit(parent, "create", {"snapshots": fresh, "chunks": chunks.join(known, "snapshot_id", "left_anti")})
+            return self.store.commit(parent, "create", {"snapshots": fresh, "chunks": chunks.join(small(fresh.select("snapshot_id")), "snapshot_id", "left_semi")})
 
         return self.store.retried(change)
 
@@ -73,7 +82,7 @@ class Snapshots:
     def add(self, vectors: DataFrame) -> int:
         """Store ``vectors`` (snapshot_id, chunk_id, vector) of chunks that have none; nothing of a batch is stored if it breaks a rule."""
         rows, key = vectors.select("snapshot_id", "chunk_id", F.col("vector").cast("array<float>").alias("vector")), ["snapshot_id", "chunk_id"]
-        _refuse(lifecycle.duplicates(rows, key), "vectors given twice", *key)
+        _refuse(repeated(rows, key), "vectors given twice", *key)
 
         def change(parent: int) -> int:
             _refuse(rows.join(self.store.read("complete", parent), "snapshot_id", "left_semi"), "complete snapshots do not change", *key)

@@ -70,7 +70,7 @@ class Store:
             for table, df in rows.items():
                 folder = f"data/{table}-{uuid.uuid4().hex}"
                 wanted = self.spark.createDataFrame([], self.tables[table]).schema
-                df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{self.base}/{folder}")
+                df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{self.base}/{folder}", compression="zstd")
                 folders[table] = [folder] if whole else [*folders.get(table, []), folder]
         found = {"version": parent + 1, "action": action, "folders": folders}
         self._put(f"log/{parent + 1:012d}.json", json.dumps(found | {"hash": _hash(found)}, sort_keys=True))

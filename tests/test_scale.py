@@ -90,3 +90,25 @@ def test_all_pairs_are_products_of_blocks(spark):
             s = v @ (np.array(x) / np.linalg.norm(x))
             assert np.allclose([r.best, r["mean"]], [s.max(), s.mean()])
     assert "Join" not in plan(catalog.queries()["j2_query_vector_pairs"](spark, DATA))
+
+
+def test_a_snapshot_is_stored_without_a_shuffle_of_its_texts(spark, tmp_path, monkeypatch):
+    from evalbench.operators.snapshots import Snapshots
+    from evalbench.sources.store import Store
+
+    rows = [("s", f"c{i}", "d", i, 1, "word " * 50) for i in range(20)]
+    chunks = spark.createDataFrame(rows, "snapshot_id string, chunk_id string, document_id string, ordinal int, token_count int, content string")
+    known = spark.createDataFrame([("s", "c", "m", "x", "n", 4)], "snapshot_id string, corpus string, parse_mode string, strategy string, model_id string, dimension int")
+    plans, commit = [], Store.commit
+
+    def watched(self, parent, action, add=None, replace=None):
+        plans.append(physical(add["chunks"]))
+        return commit(self, parent, action, add, replace)
+
+    monkeypatch.setattr(Store, "commit", watched)
+    s = Snapshots(spark, f"file://{tmp_path}/s")
+    assert s.create(known, chunks) == s.create(known, chunks) == 1 and len(plans) == 1
+    assert "SortMergeJoin" not in plans[0] and "Exchange hashpartitioning" not in plans[0]
+    assert s.store.read("chunks").count() == 20
+    with pytest.raises(ValueError, match="given twice"):
+        s.create(known, chunks.unionByName(chunks.limit(1)))
