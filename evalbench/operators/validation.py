@@ -58,6 +58,7 @@ def unanswerable(candidates: DataFrame, changes: DataFrame, units: DataFrame) ->
     wanted = changes.select("document_id").distinct()
     # joined before the test: a fact may run over the end of a unit
     documents = units.join(wanted, "document_id", "left_semi").groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "chunk_id", "content"))), lambda x: x["content"]), "\n").alias("whole"))
+    documents = documents.select("document_id", tx.squash(F.col("whole")).alias("whole"))  # once a document, not once a candidate
     chunk = units.select("document_id", "page", "chunk_id", tx.squash(F.col("content")).alias("unit"))
     original, changed = tx.squash(F.col("original")), tx.squash(F.col("changed"))
     found = rows.join(chunk, ["document_id", "page", "chunk_id"]).where(F.contains("unit", original)).select("ord").distinct().withColumn("there", F.lit(True))
@@ -65,7 +66,7 @@ def unanswerable(candidates: DataFrame, changes: DataFrame, units: DataFrame) ->
     known = F.col("whole").isNotNull()
     rules = F.array_compact(F.array(
         F.when(F.col("document_id").isNull(), "malformed_unanswerable"), F.when(F.col("document_id").isNotNull() & ~known, "impossible_target_document"),
-        F.when(known & F.col("there").isNull(), "original_fact_not_found"), F.when(known & F.contains(tx.squash(F.col("whole")), changed), "asserted_absent_fact_present"),
+        F.when(known & F.col("there").isNull(), "original_fact_not_found"), F.when(known & F.contains("whole", changed), "asserted_absent_fact_present"),
         F.when(known & ~F.contains(tx.squash(F.col("question")), changed), "transformed_fact_not_in_question"),
     ))
     return out.select("ord", F.explode(rules).alias("rule"))

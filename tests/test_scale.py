@@ -112,3 +112,8 @@ def test_a_snapshot_is_stored_without_a_shuffle_of_its_texts(spark, tmp_path, mo
     assert s.store.read("chunks").count() == 20
     with pytest.raises(ValueError, match="given twice"):
         s.create(known, chunks.unionByName(chunks.limit(1)))
+
+
+def test_a_document_is_squashed_before_its_candidates_meet_it(spark):
+    text = plan(catalog.queries()["b4_unanswerable_rules"](spark, DATA))
+    assert "regexp_replace(lower(translate(whole" not in text.split("Join")[0]
