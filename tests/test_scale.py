@@ -1,12 +1,15 @@
 """Steps whose memory, shuffle or time grew faster than their input."""
 
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalbench.operators import retrieval, stats
+from evalbench.functions import text as tx
+from evalbench.operators import curate, retrieval, stats
 from evalbench.plans import catalog, lifecycle
 from evalbench.plans import relations as rel
 
@@ -117,3 +120,35 @@ def test_a_snapshot_is_stored_without_a_shuffle_of_its_texts(spark, tmp_path, mo
 def test_a_document_is_squashed_before_its_candidates_meet_it(spark):
     text = plan(catalog.queries()["b4_unanswerable_rules"](spark, DATA))
     assert "regexp_replace(lower(translate(whole" not in text.split("Join")[0]
+
+
+def test_texts_that_share_a_piece_only_are_no_rows_of_a_join(spark, tmp_path):
+    letters, r = "abcdefghijklmnopqrstuvwxyz", random.Random(4)
+    texts = ["licensedunderthe" + "".join(r.choice(letters) for _ in range(80)) for _ in range(150)]
+    texts.append(texts[7][:50] + texts[7][53:])
+    compared = []
+
+    def checkpoint(df):
+        path = f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        if {"fa", "fb"} <= set(df.columns):
+            compared.append(out.count())
+        return out
+
+    out = curate.duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "item_id long, question string"), 0.92, checkpoint)
+    assert sorted(tuple(x) for x in out.collect()) == [(7, 7, False), (150, 7, True)]
+    assert compared and sum(compared) < 20 and "Broadcast" not in physical(out)
+
+
+def test_letter_bits_bound_what_texts_share(spark):
+    r = random.Random(2)
+    texts = ["", "a", "가나다가나다", *("".join(r.choice("abcde가나 ") for _ in range(r.randint(1, 90))) for _ in range(40))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.letter_bits("t").alias("s")).collect()
+    held = {x.t: x.s for x in rows}
+    for a in texts:
+        for b in texts:
+            for j, cut in enumerate((list, lambda t: list(zip(t, t[1:], strict=False)))):
+                real = sum((Counter(cut(a)) & Counter(cut(b))).values())
+                bits = sum(((x & y) & (2**64 - 1)).bit_count() for x, y in zip(held[a][4 * j : 4 * j + 4], held[b][4 * j : 4 * j + 4], strict=True))
+                assert real <= bits + min(held[a][8 + j], held[b][8 + j])
