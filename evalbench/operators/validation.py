@@ -28,12 +28,13 @@ def repeated_ids(candidates: DataFrame) -> DataFrame:
 def evidence(spans: DataFrame, units: DataFrame, least: float = 0.96) -> DataFrame:
     """For each span the first that holds: no such page, no such chunk on it, in no unit of the chunk even nearly."""
     pages = units.select("document_id", "page").distinct().withColumn("on_page", F.lit(True))
-    met = spans.join(pages, ["document_id", "page"], "left").join(units, ["document_id", "page", "chunk_id"], "left")
-    quote, content = tx.squash(F.col("quote")), tx.squash(F.col("content"))
-    inside = F.contains(content, quote) & (quote != "")
-    # only what is not contained goes to Python
-    near = tx.nearly_contains(least)(F.when(F.col("content").isNotNull() & ~inside & (quote != ""), quote), content)
-    met = met.withColumn("__ok", inside | F.coalesce(near, F.lit(False)))
+    squashed = units.select("document_id", "page", "chunk_id", tx.squash(F.col("content")).alias("content"))  # once a unit
+    met = spans.withColumn("__q", tx.squash(F.col("quote"))).join(pages, ["document_id", "page"], "left").join(squashed, ["document_id", "page", "chunk_id"], "left")
+    met = met.withColumn("__in", F.contains("content", "__q") & (F.col("__q") != ""))
+    # only what is not contained goes to Python, its content too
+    asked = F.col("content").isNotNull() & ~F.col("__in") & (F.col("__q") != "")
+    near = tx.nearly_contains(least)(F.when(asked, F.col("__q")), F.when(asked, F.col("content")))
+    met = met.withColumn("__ok", F.col("__in") | F.coalesce(near, F.lit(False)))
     each = met.groupBy("ord", "document_id", "page", "chunk_id", "quote").agg(F.bool_or("on_page").alias("on_page"), F.count("content").alias("n"), F.bool_or(F.coalesce("__ok", F.lit(False))).alias("ok"))
     rule = F.when(F.col("on_page").isNull(), "impossible_page").when(F.col("n") == 0, "impossible_chunk").when(~F.col("ok"), "evidence_not_found")
     return each.select("ord", rule.alias("rule")).where("rule is not null").distinct()

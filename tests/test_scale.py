@@ -1,5 +1,6 @@
 """Steps whose memory, shuffle or time grew faster than their input."""
 
+import difflib
 import hashlib
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalbench.functions import text as tx
-from evalbench.operators import curate, retrieval, stats
+from evalbench.operators import curate, retrieval, stats, validation
 from evalbench.plans import catalog, lifecycle
 from evalbench.plans import relations as rel
 
@@ -152,3 +153,26 @@ def test_letter_bits_bound_what_texts_share(spark):
                 real = sum((Counter(cut(a)) & Counter(cut(b))).values())
                 bits = sum(((x & y) & (2**64 - 1)).bit_count() for x, y in zip(held[a][4 * j : 4 * j + 4], held[b][4 * j : 4 * j + 4], strict=True))
                 assert real <= bits + min(held[a][8 + j], held[b][8 + j])
+
+
+def test_units_are_squashed_once_before_spans_meet_them(spark):
+    quotes = spark.createDataFrame([(1, "d", 1, "k", "one two"), (2, "d", 1, "k", "x")], "ord long, document_id string, page int, chunk_id string, quote string")
+    units = spark.createDataFrame([("d", 1, "k", "One, two, three")], "document_id string, page int, chunk_id string, content string")
+    out = validation.evidence(quotes, units)
+    text = plan(out)
+    assert "regexp_replace" not in text[: text.index("Join")]
+    assert [tuple(x) for x in out.collect()] == [(2, "evidence_not_found")]
+
+
+@pytest.mark.parametrize("n", [1, 7, 10, 33, 64])
+def test_windows_are_those_of_a_loop(spark, n):
+    r, rows = random.Random(n), []
+    for i in range(60):
+        text = "".join(r.choice("abcd가") for _ in range(r.choice([0, n - 1, n, 3 * n + 5])))
+        at = r.randrange(max(len(text) - n, 0) + 1)
+        quote = (text[at : at + n] or "a") if r.random() < 0.6 else "".join(r.choice("abce") for _ in range(n))
+        rows.append((i, quote[: n // 2] + r.choice(["", "e", "b"]) + quote[n // 2 + 1 :], text))
+    got = {x.i: x.ok for x in spark.createDataFrame(rows, "i int, q string, t string").select("i", tx.nearly_contains(0.85)("q", "t").alias("ok")).collect()}
+    for i, q, t in rows:
+        places = range(0, len(t) - len(q) + 1, max(1, len(q) // 10))
+        assert got[i] == any(difflib.SequenceMatcher(None, q, t[p : p + len(q)]).ratio() >= 0.85 for p in places), (q, t)
