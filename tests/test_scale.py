@@ -176,3 +176,8 @@ def test_windows_are_those_of_a_loop(spark, n):
     for i, q, t in rows:
         places = range(0, len(t) - len(q) + 1, max(1, len(q) // 10))
         assert got[i] == any(difflib.SequenceMatcher(None, q, t[p : p + len(q)]).ratio() >= 0.85 for p in places), (q, t)
+
+
+def test_bm25_of_all_hits_sorts_no_question_as_a_whole(spark):
+    text = physical(catalog.queries()["p4_positive_score"](spark, DATA))
+    assert "Window" not in text and "Sort " not in text
