@@ -43,7 +43,7 @@ SAMPLES = BANDS * ROWS
 COMMON = 0.02
 RARE_IDF = float(np.sqrt(1 - np.log(COMMON)))
 POOL_BITS = 14
-GROWTH = 8  # leaders of a component under a key: 1, 8, 64, ... by round
+GROWTH = 32  # leaders of a key by round: 1, 32, 1024, ... of its largest component, 1, 4, 16, ... of all others together
 GATHER = 2_000_000  # shingles that are counted together
 ROUNDING = 1e-9  # of a size; covers the order of additions
 
@@ -321,11 +321,13 @@ def links(texts: DataFrame, members: DataFrame, weigh: Weights, least: float = S
     ``texts`` (doc_id, text) holds the members' texts. Every member is compared with its bucket's leader, the one
     that meets most others in all its buckets, as an original does among its copies. A bucket is settled if its
     other members are in one component then. The members of the rest are filed under their prefixes (see
-    ``prefixes``), so any linked pair of two components meets under its first common shingle. Under a key, every
-    component but the largest has a leader, then more by round: these are compared with all of other components
-    that the order allows at that place, and leave the key. Components that are linked grow together, so most
-    keys are settled soon; the number of leaders grows until every key is. So no pair of a bucket that is linked
-    stays between two components, and there is no limit on what is compared.
+    ``prefixes``), so any linked pair of two components meets under its first common shingle. Under a key, one member
+    of the largest component and one of all others lead, those that meet most in their buckets: they are compared with all
+    of other components that the order allows at that place, and leave the key. Components that are linked grow
+    together, so most keys are settled soon; then more lead by round, of the largest component and of all others
+    together, until every key is settled. So what meets under a key is its members times the leaders of the round, however
+    many components it has, no pair of a bucket that is linked stays between two components, and there is no limit on
+    what is compared.
     """
     shared = texts.sparkSession.sparkContext.broadcast(weigh)
     share = least / (1 + least)
@@ -347,21 +349,22 @@ def links(texts: DataFrame, members: DataFrame, weigh: Weights, least: float = S
     joined = components(found)
     open_ = labelled(rest).groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     wanted = labelled(rest.join(open_, "bucket", "left_semi").select("doc_id").distinct())
-    left = stash(prefixes(wanted.join(texts, "doc_id").select("doc_id", "component", "text"), shared, least), "neardup-prefixes")
-    leaders = 1
+    left = prefixes(wanted.join(texts, "doc_id").select("doc_id", "component", "text"), shared, least)
+    left = stash(left.join(central, "doc_id"), "neardup-prefixes")
+    many, few = 1, 1
     while True:
         sized = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         unsettled = sized.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         left = stash(left.join(unsettled.select("key", F.col("top.component").alias("top")), "key"), "neardup-open")
         if left.isEmpty():
             return joined
-        turn = F.row_number().over(Window.partitionBy("key", "component").orderBy("before", "doc_id"))
-        lead = left.where("component <> top").withColumn("turn", turn).where(F.col("turn") <= leaders)
+        turn = F.row_number().over(Window.partitionBy("key", F.col("component") == F.col("top")).orderBy("central", "before", "doc_id"))
+        lead = left.withColumn("turn", turn).where(F.col("turn") <= many).where((F.col("component") == F.col("top")) | (F.col("turn") <= few))
         lead = lead.select("key", F.col("doc_id").alias("leader"), F.col("component").alias("other"), F.col("size").alias("led"), F.col("before").alias("ahead"))
         pairs = left.join(lead, "key").where(F.col("component") != F.col("other")).where(fits("size", "before", "led") & fits("led", "ahead", "size"))
         more = verified(pairs.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct())
         left = left.drop("top").join(lead.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        leaders *= GROWTH
+        many, few = many * GROWTH, few * GROWTH // 8
         if not more.isEmpty():
             found = found.unionByName(more)
             joined = components(found)

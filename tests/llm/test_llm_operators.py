@@ -331,6 +331,31 @@ def test_many_near_copies_have_the_classes_of_all_pairs(spark):
     assert {x.doc_id: x.class_id for x in neardup.classes(rows.unionByName(rows)).collect()} == want
 
 
+def test_many_components_under_a_key_do_not_all_meet(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"other{i}" for i in range(60)), *(" ".join([*base[: 5 + i % 50], f"new{i}", *base[6 + i % 50 :]]) for i in range(250)), " ".join(base)]
+    checked, plain = spark.sparkContext.accumulator(0), neardup._verify
+
+    def counting(shared, least):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    checked.add(batch.num_rows)
+                    yield batch
+
+            yield from plain(shared, least)(seen())
+
+        return run
+
+    monkeypatch.setattr(neardup, "_verify", counting)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weigh = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    got = {x.id: x.component for x in neardup.links(rows, rows.selectExpr("7L as bucket", "doc_id"), weigh).collect()}
+    # the bucket's leader is like none, and all but the last text are like the last one and few others
+    assert {got[i] for i in range(1, len(texts))} == {1}
+    assert checked.value < 20 * len(texts)
+
+
 def test_samples_estimate_similarity():
     r = np.random.RandomState(5)
     a = r.randint(0, 1 << 62, 400).astype(np.uint64)
