@@ -7,7 +7,7 @@ documents. The labelled vectors are broadcast, cosines are computed in blocks ag
 ``NEIGHBOURS`` nearest vote with weight cosine ** ``SHARPNESS``.
 
 Bounds: at most ``PER_CLASS`` labelled documents of each class are used (those with the smallest hashes of
-their id), so what is broadcast has at most 2 * PER_CLASS vectors of ``DIMENSIONS`` numbers and a projection
+their id); their counts are sparse in the driver and their singular directions come from products with them, so what is broadcast has at most 2 * PER_CLASS vectors of ``DIMENSIONS`` numbers and a projection
 of at most 65,536 + 21 rows. Everything else covers all rows.
 
 Defined results: a null text counts as empty; an empty text is scored like any other; a null doc_id counts as
@@ -34,6 +34,7 @@ SHARPNESS = 8
 FORM_WEIGHT = 0.3
 LEAST_DOCS = 3
 ROWS = 256  # texts whose counts are held together
+CELLS = 1 << 20  # counts of labelled texts that are dense at a time, or those of 16 texts
 #: Levels of the form statistics.
 EDGES = ((0.01, 0.05, 0.2), (0.2, 0.4, 0.6, 0.8, 0.9), (0.3, 0.6, 0.8, 0.9, 0.95), (1.5, 3, 4.5, 6, 7.5, 9))
 FORMS = sum(len(e) + 1 for e in EDGES)
@@ -69,24 +70,83 @@ def counted(column: pa.Array, place: np.ndarray):
         yield a, counts, np.maximum(np.diff(offsets) - 1, 0), stats
 
 
+class Rows:
+    """Counts or weights of placed bigrams by document; only a block of rows is dense at a time."""
+
+    def __init__(self, offsets: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
+        self.offsets, self.columns, self.values, self.width = offsets, columns, values, width
+
+    def blocks(self):
+        n, step = len(self.offsets) - 1, max(16, min(ROWS, CELLS // max(self.width, 1)))
+        return ((a, min(a + step, n)) for a in range(0, n, step))
+
+    def cells(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(b - a), np.diff(self.offsets[a : b + 1])), self.columns[self.offsets[a] : self.offsets[b]]
+
+    def dense(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, self.width), np.float32)
+        out[self.cells(a, b)] = self.values[self.offsets[a] : self.offsets[b]]
+        return out
+
+
+def leading(times, n: int, k: int, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues and their vectors of a symmetric matrix of ``n`` rows, given by its product with columns.
+
+    Products of a block of columns, made orthogonal, span a space whose best vectors begin the next round, until their
+    images are multiples of them (to 1e-5 of the largest). The matrix itself is never held; a small one is solved at once.
+    """
+    width = k + 32
+    if n <= steps * width + k:
+        values, vectors = np.linalg.eigh(times(np.eye(n)))
+        return values[::-1][:k], vectors[:, ::-1][:, :k]
+    q = np.linalg.qr(np.random.RandomState(1).standard_normal((n, width)))[0]
+    for _ in range(50):
+        basis, images = q, times(q)
+        while basis.shape[1] < steps * width:
+            new = images[:, -width:]
+            for _ in range(3):
+                new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+            basis, images = np.concatenate([basis, new], axis=1), np.concatenate([images, times(new)], axis=1)
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1][:width], turn[:, ::-1][:, :width]
+        q, image = basis @ turn, images @ turn
+        if np.linalg.norm(image - q * values, axis=0)[:k].max() <= 1e-5 * abs(values[0]):
+            break
+        q = np.linalg.qr(q)[0]
+    return values[:k], q[:, :k]
+
+
 class Voter:
     """The fitted model: all arrays are bounded by the module's constants."""
 
-    def __init__(self, place: np.ndarray, idf: np.ndarray, counts: np.ndarray, totals: np.ndarray, stats: np.ndarray, labels: np.ndarray):
+    def __init__(self, place: np.ndarray, idf: np.ndarray, rows: Rows, totals: np.ndarray, stats: np.ndarray, labels: np.ndarray):
         self.place, self.idf, self.labels = place, idf.astype(np.float32), labels.astype(np.float32)
         self.projection = np.zeros((len(idf) + FORMS, 0), np.float32)
         if len(labels):
-            x = self.weigh(counts, totals, stats)
-            # leading right singular vectors, by the smaller Gram matrix
-            if len(x) < x.shape[1]:
-                values, left = np.linalg.eigh(x @ x.T)
-                top = np.argsort(-values)[:DIMENSIONS]
-                top = top[values[top] > 1e-6]
-                self.projection = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
-            else:
-                values, right = np.linalg.eigh(x.T @ x)
-                self.projection = right[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
-            self.vectors = self.project(x)
+            forms = np.zeros((len(labels), FORMS), np.float32)
+            weighed = Rows(rows.offsets, rows.columns, np.zeros(len(rows.columns), np.float32), rows.width)
+            for a, b in rows.blocks():
+                x = self.weigh(rows.dense(a, b), totals[a:b], stats[a:b])
+                weighed.values[rows.offsets[a] : rows.offsets[b]] = x[rows.cells(a, b)]
+                forms[a:b] = x[:, rows.width :]
+            each = lambda: ((a, b, np.concatenate([weighed.dense(a, b), forms[a:b]], axis=1)) for a, b in rows.blocks())
+
+            def onto(left: np.ndarray) -> np.ndarray:
+                left, out = left.astype(np.float32), np.zeros((rows.width + FORMS, left.shape[1]), np.float32)
+                for a, b, x in each():
+                    out += x.T @ left[a:b]
+                return out
+
+            def gram(left: np.ndarray) -> np.ndarray:
+                right = onto(left)
+                return np.concatenate([x @ right for _, _, x in each()]).astype(float)
+
+            # leading right singular vectors, by the left ones
+            values, left = leading(gram, len(labels), DIMENSIONS)
+            keep = values > 1e-6 * max(values[0], 1)
+            self.projection = onto(left[:, keep]) / np.sqrt(values[keep]).astype(np.float32)
+            self.vectors = np.concatenate([self.project(x) for _, _, x in each()])
 
     def weigh(self, counts: np.ndarray, totals: np.ndarray, stats: np.ndarray) -> np.ndarray:
         x = np.log1p(counts * (1000 / (totals[:, None] + 20)).astype(np.float32)) * self.idf
@@ -153,12 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
     columns = np.flatnonzero(frequency >= min(LEAST_DOCS, max(len(found), 1)))
     place = np.full(1 << 16, -1, np.int32)
     place[columns] = np.arange(len(columns))
-    counts, totals = np.zeros((len(found), len(columns)), np.float32), np.zeros(len(found))
-    for i, r in enumerate(found):
-        own = np.frombuffer(r["counts"], "<f4")
-        totals[i] = own.sum()
+    own, totals = [np.frombuffer(r["counts"], "<f4") for r in found], np.zeros(len(found))
+    for i, counts in enumerate(own):
+        totals[i] = counts.sum()
         keep = place[at[i]] >= 0
-        counts[i, place[at[i][keep]]] = own[keep]
+        at[i], own[i] = place[at[i][keep]], counts[keep]
+    counts = Rows(np.cumsum([0, *map(len, at)]), np.concatenate([*at, np.zeros(0, np.int32)]), np.concatenate([*own, np.zeros(0, np.float32)]), len(columns))
     n, df = document_frequencies(texts, place)
     idf = np.log((1 + n) / (1 + df)) + 0.2
     return Voter(place, idf, counts, totals, np.array([r["stats"] for r in found]).reshape(-1, 4), np.array([chosen[r.doc_id] for r in found]))
