@@ -53,22 +53,45 @@ def answers(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.select("ord", F.explode(rules).alias("rule"))
 
 
-def unanswerable(candidates: DataFrame, changes: DataFrame, units: DataFrame) -> DataFrame:
-    """Unanswerable candidates: no change given, an unknown document, the original fact not in its chunk, the changed one in the document or not in the question."""
-    rows = candidates.where("not answerable").select("ord", "question").join(changes, "ord", "left")
-    wanted = changes.select("document_id").distinct()
-    # joined before the test: a fact may run over the end of a unit
-    documents = units.join(wanted, "document_id", "left_semi").groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "chunk_id", "content"))), lambda x: x["content"]), "\n").alias("whole"))
-    documents = documents.select("document_id", tx.squash(F.col("whole")).alias("whole"))  # once a document, not once a candidate
+#: Letters of a document that are searched at once.
+SEARCHED = 1 << 18
+
+
+def facts_in_documents(facts: DataFrame, units: DataFrame, block: int = SEARCHED) -> DataFrame:
+    """The distinct (document_id, fact) of ``facts`` that the squashed units of the document, joined in order, contain.
+
+    ``facts`` are not empty. A fact may run over the ends of units, so a block of ``block`` letters goes on by as many as the
+    longest fact of the document has but one. A text meets its document's facts once, not once a fact.
+    """
+    facts = facts.groupBy("document_id").agg(F.collect_set("fact").alias("facts"), F.max(F.length("fact")).alias("longest"))
+    laid = units.select("document_id", "page", "chunk_id", tx.squash(F.col("content")).alias("unit")).where("unit <> ''").join(facts.select("document_id", "longest"), "document_id")
+    end = F.sum(F.length("unit")).over(Window.partitionBy("document_id").orderBy("page", "chunk_id", "unit").rowsBetween(Window.unboundedPreceding, 0))
+    laid = laid.withColumn("end", end).withColumn("start", F.col("end") - F.length("unit"))
+    blocks = F.sequence(F.floor(F.greatest(F.col("start") - F.col("longest") + 1, F.lit(0)) / block), F.floor((F.col("end") - 1) / block))
+    laid = laid.withColumn("block", F.explode(blocks))
+    begin = F.greatest(F.col("start"), F.col("block") * block)
+    stop = F.least(F.col("end"), (F.col("block") + 1) * block + F.col("longest") - 1)
+    part = F.struct(begin.alias("at"), F.substring("unit", (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")).alias("part"))
+    texts = laid.groupBy("document_id", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]), "").alias("text"))
+    return texts.join(facts, "document_id").select("document_id", F.explode(tx.held("text", "facts")).alias("fact")).distinct()
+
+
+def unanswerable(candidates: DataFrame, changes: DataFrame, units: DataFrame, block: int = SEARCHED) -> DataFrame:
+    """Unanswerable candidates: no change given, an unknown document, the original fact not in its chunk, the changed one in the document or not in the question.
+
+    No text of a document or unit is in a row of a candidate beyond the join that looks into its unit.
+    """
+    rows = candidates.where("not answerable").select("ord", "question").join(changes.withColumn("fact", tx.squash(F.col("changed"))), "ord", "left")
+    known = units.where("content is not null").select("document_id").distinct().withColumn("known", F.lit(True))
+    present = facts_in_documents(changes.select("document_id", tx.squash(F.col("changed")).alias("fact")).where("fact <> ''"), units, block).withColumn("present", F.lit(True))
     chunk = units.select("document_id", "page", "chunk_id", tx.squash(F.col("content")).alias("unit"))
-    original, changed = tx.squash(F.col("original")), tx.squash(F.col("changed"))
-    found = rows.join(chunk, ["document_id", "page", "chunk_id"]).where(F.contains("unit", original)).select("ord").distinct().withColumn("there", F.lit(True))
-    out = rows.join(documents, "document_id", "left").join(found, "ord", "left")
-    known = F.col("whole").isNotNull()
+    found = rows.join(chunk, ["document_id", "page", "chunk_id"]).where(F.contains("unit", tx.squash(F.col("original")))).select("ord").distinct().withColumn("there", F.lit(True))
+    out = rows.join(known, "document_id", "left").join(present, ["document_id", "fact"], "left").join(found, "ord", "left")
+    known = F.col("known").isNotNull()
     rules = F.array_compact(F.array(
         F.when(F.col("document_id").isNull(), "malformed_unanswerable"), F.when(F.col("document_id").isNotNull() & ~known, "impossible_target_document"),
-        F.when(known & F.col("there").isNull(), "original_fact_not_found"), F.when(known & F.contains("whole", changed), "asserted_absent_fact_present"),
-        F.when(known & ~F.contains(tx.squash(F.col("question")), changed), "transformed_fact_not_in_question"),
+        F.when(known & F.col("there").isNull(), "original_fact_not_found"), F.when(known & ((F.col("fact") == "") | F.col("present").isNotNull()), "asserted_absent_fact_present"),
+        F.when(known & ~F.contains(tx.squash(F.col("question")), F.col("fact")), "transformed_fact_not_in_question"),
     ))
     return out.select("ord", F.explode(rules).alias("rule"))
 

@@ -123,6 +123,28 @@ def test_a_document_is_squashed_before_its_candidates_meet_it(spark):
     assert "regexp_replace(lower(translate(whole" not in text.split("Join")[0]
 
 
+def test_no_candidate_carries_its_document(spark):
+    assert "whole" not in plan(catalog.queries()["b4_unanswerable_rules"](spark, DATA))
+
+
+@pytest.mark.parametrize("block", [3, 16, 1 << 18])
+def test_facts_are_found_over_the_ends_of_units_and_blocks(spark, block):
+    r = random.Random(block)
+    units = [(f"d{i % 3}", i // 12, f"k{i % 12:02d}", "".join(r.choice("ab C,가") for _ in range(r.randint(0, 9))) if i % 7 else None) for i in range(72)]
+    facts = [(f"d{r.randrange(4)}", "".join(r.choice("abc가") for _ in range(r.randint(1, 12)))) for _ in range(400)]
+    got = validation.facts_in_documents(spark.createDataFrame(facts, "document_id string, fact string"), spark.createDataFrame(units, "document_id string, page int, chunk_id string, content string"), block)
+    whole = {d: "".join((u[3] or "").lower().replace(" ", "").replace(",", "") for u in sorted(units, key=lambda u: u[1:3]) if u[0] == d) for d, *_ in units}
+    want = sorted({(d, f) for d, f in facts if f in whole.get(d, "")})
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 20
+
+
+def test_an_empty_fact_is_in_every_document_with_text(spark):
+    candidates = spark.createDataFrame([(i, "q", False) for i in range(3)], "ord long, question string, answerable boolean")
+    changes = spark.createDataFrame([(0, "d", 1, "k", "x", "!"), (1, "e", 1, "k", "x", "!"), (2, "d", 1, "k", "x", None)], "ord long, document_id string, page int, chunk_id string, original string, changed string")
+    units = spark.createDataFrame([("d", 1, "k", "x"), ("e", 1, "k", None)], "document_id string, page int, chunk_id string, content string")
+    assert sorted(tuple(x) for x in validation.unanswerable(candidates, changes, units).collect()) == [(0, "asserted_absent_fact_present"), (1, "impossible_target_document")]
+
+
 def test_texts_that_share_a_piece_only_are_no_rows_of_a_join(spark, tmp_path):
     letters, r = "abcdefghijklmnopqrstuvwxyz", random.Random(4)
     texts = ["licensedunderthe" + "".join(r.choice(letters) for _ in range(80)) for _ in range(150)]
