@@ -59,6 +59,17 @@ def test_evidence_explodes_no_texts(spark):
     assert "Generate" not in plan(rel.evidence(spark, DATA))
 
 
+def test_evidence_of_queries_of_any_length_and_numbers(spark, tmp_path):
+    r = random.Random(12)
+    prose = [" ".join("".join(r.choice("abcdeé가") for _ in range(r.randint(1, 7))) for _ in range(40)) for _ in range(12)]
+    docs = ["", None, "x", "a 1234,5678 in one two three four five six seven", "Σοφός ΣΑΣ", *prose]
+    queries = ["", None, "x", "one two", "34,5678 in one two three four five six", "ΣΑΣ", ", ", *(t[i : i + n] for t in prose for n in (1, 2, 3, 5, 7, 8, 13, 15, 30, 62, 63, 80) for i in (0, 17))]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(queries)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((f"q{i:05d}", f"c{j:08d}") for i, q in enumerate(queries) for j, t in enumerate(docs) if q is not None and t is not None and q in t)
+    assert sorted(tuple(x) for x in rel.evidence(spark, str(tmp_path)).collect()) == want
+
+
 def test_only_found_chunks_are_cut_into_tokens(spark):
     text = plan(lifecycle.hits(spark, DATA))
     assert text.index("regexp_extract_all") < text.index("Join")
