@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalbench.functions import text as tx
 from evalbench.operators import chunks, curate, ledger, report, stats
 from evalbench.sources import files, sinks
 from evalbench.streaming import ledger as stream
@@ -104,6 +105,70 @@ def test_duplicate_groups_equal_all_pairs(spark, checkpoint, copies):
     assert got == {i: (x, i != x) for i, x in enumerate(root) if x in many}
 
 
+def test_long_duplicate_groups_equal_all_pairs(spark, checkpoint):
+    r = random.Random(5)
+    many, few = "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaeeeeeettttooonnniiissrrhhllddccuummffppggwwyyb"
+    texts = []
+    for letters, n, heavy in ((few + "vk", 900, 0), (few, 260, 0), (many, 230, 1), (few + many, 400, 1), (few + "vkjxqz", 195, 1)):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(40)]
+        for _ in range(3):
+            base = ""
+            while len(base) < n:
+                base += r.choice(words)
+            texts.append(base)
+            for edits in (1, 3, n // 40, n // 26, n // 24, n // 12):
+                t = list(base)
+                for _ in range(edits * (1 + heavy)):
+                    i = r.randrange(len(t))
+                    t[i : i + 1] = r.choice([[], [r.choice(letters)], [t[i], r.choice(letters)]])
+                texts.append("".join(t))
+            texts.append(base + base[: n // 7])
+            texts.append(base[n // 9 :])
+    r.shuffle(texts)
+    texts.append(texts[3])
+    root = list(range(len(texts)))
+    linked = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        # equal texts have one place, so a later copy is compared under the first's
+        if texts[a] == texts[b] or difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.92 and texts.index(texts[b]) == b:
+            linked += 1
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if x == hi else x for x in root]
+    many = {x for x in root if root.count(x) > 1}
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, question string")
+    got = {x.item_id: (x.group_id, x.rejected) for x in curate.duplicate_groups(df, 0.92, checkpoint).collect()}
+    assert got == {i: (x, i != x) for i, x in enumerate(root) if x in many} and linked > 100
+
+
+def test_duplicate_groups_of_documents_are_of_whole_texts(spark, tmp_path):
+    from evalbench.plans import catalog
+
+    r = random.Random(8)
+    start, rest = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (130, 3000)]
+    texts = [start + rest, start + rest[::-1], start + rest[:2900] + "x" + rest[2900:], rest[:50]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["b6_near_duplicate_groups"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(x) for x in got) == [(0, 0, False), (2, 0, True)]
+
+
+def test_texts_that_are_alike_share_their_pieces():
+    r = random.Random(9)
+    for trial in range(300):
+        letters = r.choice(["aaaaaaaaaeeeeeeettttttooooonnnnvk", "abcdefghijklmnopqrstuvwxyz0123456789", "ab"])
+        a = [r.choice(letters) for _ in range(r.randint(200, 700))]
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 11)):
+            i = r.randrange(len(b))
+            b[i : i + 1] = r.choice([[], [r.choice(letters)], [b[i], r.choice(letters)]])
+        a, b = "".join(a), "".join(b)
+        if len(b) >= tx.INDEXED and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92:
+            for size in tx.PIECE_SIZES:
+                assert len(set(tx._bag(a, size).tolist()) & set(tx._bag(b, size).tolist())) >= tx._common_pieces(len(a) + len(b), tx._rare(b), 0.92, size)
+            size, agree = tx._piece_size(b, 0.92)
+            x, y = set(tx._bag(a, size).tolist()), set(tx._bag(b, size).tolist())
+            assert len(x & y) >= tx.SHARED * len(x | y) and agree > 0
+
+
 def test_planned_jobs_equal_a_loop_over_all_windows(spark):
     r = random.Random(6)
     windows = [(f"w{i:03d}", f"d{r.randrange(7)}", r.randrange(3)) for i in range(60)]
